@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +43,7 @@ def blocks(batch: pa.RecordBatch, text: int, budget: int = 4 << 20, rows: int =
     """Slices of a batch with about `budget` bytes of text each, so that what a
     worker holds doesn't depend on the batch size that Spark was given."""
     column, start, held = batch.column(text), 0, 0
-    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     for i, n in enumerate(sizes):
         if i > start and (held + n > budget or i - start >= rows):
             yield batch.slice(start, i - start)
@@ -73,14 +74,11 @@ def map_texts(
     schema = T.StructType([*[df.schema[c] for c in kept], *outputs])
 
     def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        apply, target = make(), to_arrow_schema(schema, timezone="UTC")
+        apply = make()
         for batch in batches:
             for block in blocks(batch, 0):
                 texts = [x or "" for x in block.column(0).to_pylist()]
                 made = [a if isinstance(a, pa.Array) else pa.array(a) for a in apply(texts)]
-                columns = [*block.columns[1:], *made]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+                yield pa.RecordBatch.from_arrays([*block.columns[1:], *made], names=schema.names)
 
     return given.mapInArrow(run, schema)
