@@ -82,3 +82,32 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays([*block.columns[1:], *made], names=schema.names)
 
     return given.mapInArrow(run, schema)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """`df`, computed once and read back from the shared checkpoint folder.
+
+    The folder is the one the cluster names in spark.checkpoint.dir; where that
+    is unset, as in tests, a temporary one is made.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named:
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="quillmark-checkpoint-")
+        context.setCheckpointDir(named)
+    return df.checkpoint(eager=True)
+
+
+def among(df: DataFrame, column: str, ids: DataFrame, limit: int = 500_000) -> DataFrame:
+    """Rows of `df` whose `column` occurs in the one column of `ids` (distinct, non-null).
+
+    Up to `limit` ids (4 MB as longs) are broadcast, which spares moving the
+    rows of `df`; more are joined by a shuffle.
+    """
+    ids = ids.toDF("__wanted")
+    if ids.limit(limit + 1).count() <= limit:
+        ids = F.broadcast(ids)
+    return df.join(ids, df[column] == ids["__wanted"], "left_semi")
