@@ -8,22 +8,29 @@ tables ** 2 * 2 * half. Two sets of likeness J miss each other in all tables
 with a probability under 2 * (1 - J ** half) ** tables: 5.6e-4 at J = 0.8 and
 1e-8 at 0.95, for the defaults.
 
-Copies with equal sets are one class from the start. Candidates are found in
-two steps, neither of which emits all pairs of a bucket:
+Copies with equal sets are one class from the start. Candidates are then found
+without emitting all pairs of a bucket:
 
-1. every class is compared with one other, the first of a bucket that it shares
-   most often; what is confirmed is joined to components;
+1. every class is compared with one other, the most central class that it meets
+   (an original rather than one of its altered copies), and what isn't linked
+   then with the most central one among its like; links make components;
 2. only buckets that still hold several components are looked at again: members
-   outside the component of the bucket's first member against the others, if
-   their sketches (8 bits of each minhash) don't rule the pair out. A pair at
-   the threshold is ruled out with a probability under 1e-5.
-
-So pairs within a large group of copies are never formed, and a link between
+   outside the bucket's main component against the others, unless the sketches
+   (8 bits of each minhash) rule the pair out, or what is known about a common
+   head h does. If x and y share no shingle outside h, they share no more than
+   the smaller of x & h and y & h, which often is too little;
+3. pairs of one head that share a shingle outside it are found by a join on
+   that shingle, so the rule of step 2 loses nothing.
+
+A pair at the threshold is ruled out by its sketches with a probability under
+1e-4. So pairs within a large group of copies are never formed, and a link between
 different texts is only lost with the probabilities above.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -122,33 +129,54 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int, half: int, ta
     return given.mapInArrow(run, "doc_id long, n_shingles long, digest binary, left array<long>, right array<long>, sketch array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose full sets have 100 * both >= percent * either.
+def compared(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(a, b, n_a, n_b, common, added) for each pair (a, b) of ids, from the full sets.
 
-    docs: doc_id, text (binary). Where an id has several texts, any may link.
+    added: the shingles that a has and b has not, where half of all are common.
+    docs: doc_id, text (binary). An id with several texts gives several rows.
     """
     ids = saved(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     texts = among(docs, "doc_id", ids)
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
+        known: dict[bytes, np.ndarray] = {}
         for batch in batches:
             for block in blocks(batch, 2):
-                keep, known = [], {}
-                for a, b, ta, tb in zip(*block.columns, strict=True):
+                counts, added = [], []
+                for ta, tb in zip(block.column(2), block.column(3), strict=True):
                     sets = []
-                    for key, value in ((a, ta), (b, tb)):
-                        raw = value.as_py()
+                    for raw in (ta.as_py(), tb.as_py()):
                         if len(known) > 64:
                             known.clear()
                         if (found := known.get(raw)) is None:
                             found = known[raw] = shingle_set(raw, size)
                         sets.append(found)
-                    common = len(np.intersect1d(*sets, assume_unique=True))
-                    keep.append(common > 0 and 100 * common >= percent * (len(sets[0]) + len(sets[1]) - common))
-                yield pa.RecordBatch.from_arrays([block.column(0), block.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                    common = np.intersect1d(*sets, assume_unique=True)
+                    counts.append((len(sets[0]), len(sets[1]), len(common)))
+                    near = 2 * len(common) >= len(sets[0]) + len(sets[1]) - len(common)
+                    added.append(np.setdiff1d(sets[0], common, assume_unique=True).view(np.int64) if near else None)
+                columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), *columns, pa.array(added, pa.list_(pa.int64()))], names=["a", "b", "n_a", "n_b", "common", "added"])
+
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, n_a long, n_b long, common long, added array<long>")
+
+
+def likely(percent: int, common: Column, n_a: Column, n_b: Column) -> Column:
+    return (common > 0) & (100 * common >= percent * (n_a + n_b - common))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+
+def headed(buckets: DataFrame) -> DataFrame:
+    """(a, b): each id of (key, id, n) with the most central other id that heads a bucket of its own.
+
+    An id is the more central the more others it shares buckets with (n: ids of
+    a bucket); the most central id heads a bucket. An original shares more
+    buckets with its altered copies than they do among themselves.
+    """
+    weights = buckets.groupBy("id").agg(F.sum("n").alias("w"))
+    ranked = buckets.join(weights, "id").groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("head"))
+    own = buckets.join(ranked, "key").where(F.col("id") != -F.col("head.i"))
+    return own.groupBy("id").agg((-F.max("head")["i"]).alias("b")).select(F.col("id").alias("a"), "b")
 
 
 def differing(x: Column, y: Column, longs: int) -> Column:
@@ -185,26 +213,46 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     halves = classes.select("rep", F.posexplode("keys.left").alias("i", "l"), F.col("keys.right").alias("right"))
     bands = halves.select("rep", "i", "l", F.posexplode("right").alias("j", "r")).select(F.xxhash64("i", "j", "l", "r").alias("key"), F.col("rep").alias("id"))
-    heads = bands.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("top")).where("head <> top").select("key", "head")
-    buckets = saved(bands.join(heads, "key").distinct())
-
-    shared = buckets.where("id <> head").groupBy("id", "head").count()
-    first = shared.groupBy("id").agg(F.max_by("head", F.struct("count", -F.col("head"))).alias("b")).select(F.col("id").alias("a"), "b")
-    links = saved(confirmed(saved(first), texts, size, percent).unionByName(own))
+    filled = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = saved(bands.join(filled, "key"))
+
+    links = own
+    rounds = []
+    loose = buckets
+    for _ in range(2):
+        rounds.append(saved(compared(saved(headed(loose)), texts, size)))
+        found = rounds[-1].where(likely(percent, F.col("common"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+        links = links.unionByName(found)
+        linked = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
+        loose = loose.join(linked, "id", "left_anti").select("key", "id", "n")
+    links = saved(links.distinct())
     parts = components(links)
 
-    at = buckets.join(parts, "id", "left").select("key", "id", "head", F.coalesce("component", "id").alias("part"))
-    open_keys = at.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    still = saved(at.join(open_keys, "key", "left_semi").join(classes.select(F.col("rep").alias("id"), "keys.sketch"), "id"))
-    main = still.where("id = head").select("key", F.col("part").alias("main"))
-    members = still.join(main, "key").select("key", "id", "part", "sketch", (F.col("part") == F.col("main")).alias("inner"))
+    # What is left: pairs that share a bucket but not a component.
+    at = buckets.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+    mixed_keys = at.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.mode("part", True).alias("main")).where("lo <> hi").select("key", "main")
+    near = rounds[0].where("added is not null").groupBy("a").agg(F.first("b").alias("head"), F.max("n_a").alias("size"), F.max("common").alias("common")).withColumnRenamed("a", "id")
+    sketches = classes.select(F.col("rep").alias("id"), "keys.sketch")
+    members = saved(at.join(mixed_keys, "key").join(sketches, "id").join(near, "id", "left").select("key", "id", "part", "sketch", "head", "size", "common", (F.col("part") == F.col("main")).alias("inner")))
     x, y = members.where("not inner").alias("x"), members.alias("y")
-    pairs = x.join(
-        y,
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & (F.col("y.inner") | (F.col("x.id") < F.col("y.id"))) & (differing(F.col("x.sketch"), F.col("y.sketch"), longs) <= most_differing),
-    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    pairs = saved(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    more = confirmed(pairs, texts, size, percent)
+    most = F.least(F.col("x.common"), F.col("y.common"))
+    settled = (F.col("x.head") == F.col("y.head")) & (100 * most < percent * (F.col("x.size") + F.col("y.size") - most))
+    alike = differing(F.col("x.sketch"), F.col("y.sketch"), longs) <= most_differing
+    once = F.col("y.inner") | (F.col("x.id") < F.col("y.id"))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & once & ~F.coalesce(settled, F.lit(False)) & alike)
+
+    added = rounds[0].where("added is not null").select(F.col("b").alias("head"), F.col("a").alias("id"), F.explode("added").alias("shingle"))
+    added = added.join(parts, "id", "left").select("head", "shingle", "id", F.coalesce("component", "id").alias("part"))
+    several_parts = added.groupBy("head", "shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.mode("part", True).alias("main")).where("lo <> hi").select("head", "shingle", "main")
+    added = saved(added.join(several_parts, ["head", "shingle"]).join(sketches, "id").select("head", "shingle", "id", "part", "sketch", (F.col("part") == F.col("main")).alias("inner")))
+    x, y = added.where("not inner").alias("x"), added.alias("y")
+    sharing = x.join(y, (F.col("x.head") == F.col("y.head")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") != F.col("y.part")) & once & alike)
+
+    pair = (F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    pairs = met.select(*pair).unionByName(sharing.select(*pair)).distinct()
+    done = reduce(DataFrame.unionByName, [r.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for r in rounds])
+    pairs = saved(pairs.join(done, ["a", "b"], "left_anti"))
+    more = compared(pairs, texts, size).where(likely(percent, F.col("common"), F.col("n_a"), F.col("n_b"))).select("a", "b")
     parts = components(links.unionByName(more))
 
     named = classes.select("digest", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_component"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import bpe, minhash, secrets, toxicity
+from quillmark.llm import bpe, decontam, minhash, secrets, toxicity
 from quillmark.llm.common import table
 
 
@@ -22,12 +22,16 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
 
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op2_bpe": op2_bpe, "op7_minhash": op7_minhash, "op10_toxicity": op10_toxicity}
+    return {"op1_secrets": op1_secrets, "op2_bpe": op2_bpe, "op7_minhash": op7_minhash, "op9_decontam": op9_decontam, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
