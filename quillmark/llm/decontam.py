@@ -55,9 +55,15 @@ def agreement(own: Column, item: Column, offset: Column, window: int, percent: i
     low, high = F.greatest(F.lit(0), -offset), F.least(F.size(item), F.size(own) - offset)
     need = F.ceil(size * percent / 100.0).cast("int")
     same = F.transform(F.sequence(low, high - 1), lambda j: F.when(F.get(item, j) == F.get(own, j + offset), 1).otherwise(0))
-    runs = F.transform(F.sequence(F.lit(1), high - low - size + 1), lambda s: F.aggregate(F.slice(same, s, size), F.lit(0), lambda a, x: a + x))
-    enough = F.aggregate(same, F.lit(0), lambda a, x: a + x) >= need
-    best = F.when(enough, F.array_max(runs))
+    # Folds the places into the current run's agreement and the best so far; `at` holds all places.
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("now"), F.lit(0).alias("best"), same.alias("at"))
+
+    def step(held, x):
+        gone = F.when(held["n"] >= size, F.get(held["at"], held["n"] - size)).otherwise(0)
+        now = held["now"] + x - gone
+        return F.struct((held["n"] + 1).alias("n"), now.alias("now"), F.greatest(held["best"], now).alias("best"), held["at"].alias("at"))
+
+    best = F.aggregate(same, start, step, lambda held: held["best"])
     return F.when((high - low >= size) & (size > 0), F.when(best >= need, best))
 
 
@@ -82,12 +88,13 @@ def overlaps(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: st
         parts = []
         for n, only in lengths:
             group = masks if n == span else ("1" * n,)
-            fits = F.size(column) == only if only else F.size(column) >= n
-            made = df.where(fits).select(*keep, column, windows(F.col(column), group).alias("hashes")).select(*keep, column, F.posexplode("hashes").alias("at", "seed"))
+            made = df.where(F.size(column) == only) if only else df
+            # The outer form adds no filter on the hashes' number, which would be computed anew below.
+            made = made.select(*keep, column, windows(F.col(column), group).alias("hashes")).select(*keep, column, F.posexplode_outer("hashes").alias("at", "seed"))
             parts.append(made.select(*keep, column, "seed", (F.col("at") % (F.size(column) - (n - 1))).cast("int").alias(at)))
         return reduce(DataFrame.unionByName, parts)
 
-    ways = [(span, None), *((n, None) for n in short)]
+    ways = [(n, None) for n in (span, *short)]
     seeds = seeded(items, "item", "item_at", ["item_id"], [(span, None), *((n, n) for n in short)])
     offset = F.col("doc_at") - F.col("item_at")
     found = agreement(F.col("own"), F.col("item"), F.col("offset"), window, percent)
@@ -98,9 +105,9 @@ def overlaps(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: st
         met = bare.join(seeds.select("item_id", "seed", "item_at"), "seed").select("doc_id", "item_id", offset.alias("offset")).distinct()
         with_items = met.join(items, met["item_id"].eqNullSafe(items["item_id"])).select("doc_id", met["item_id"], "offset", "item")
         hits = with_items.join(own, with_items["doc_id"].eqNullSafe(own["doc_id"])).select(with_items["doc_id"], "item_id", "offset", "item", "own")
-    told = hits.select("doc_id", "item_id", "offset", F.least(F.lit(window), F.size("item")).alias("places"), found.alias("agreeing")).where("agreeing is not null")
-    best = F.max_by(F.struct(F.col("offset").alias("start"), "agreeing", "places"), F.struct("agreeing", -F.col("offset")))
-    return told.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
+    told = hits.select("doc_id", "item_id", "offset", F.least(F.lit(window), F.size("item")).alias("places"), found.alias("agreeing"))
+    best = F.max(F.when(F.col("agreeing").isNotNull(), F.struct("agreeing", (-F.col("offset")).alias("before"), "places")))
+    return told.groupBy("doc_id", "item_id").agg(best.alias("best")).where("best is not null").select("doc_id", "item_id", (-F.col("best.before")).alias("start"), "best.agreeing", "best.places")
 
 
 def clean(docs: DataFrame, bench: DataFrame, **kw) -> DataFrame:
