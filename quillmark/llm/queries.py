@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import bpe, decontam, minhash, secrets, toxicity
+from quillmark.llm import bpe, decontam, langid, licenses, minhash, quality, secrets, toxicity
 from quillmark.llm.common import table
 
 
@@ -18,10 +18,22 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known(spark))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.page_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,7 +43,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op2_bpe": op2_bpe, "op7_minhash": op7_minhash, "op9_decontam": op9_decontam, "op10_toxicity": op10_toxicity}
+    return {"op1_secrets": op1_secrets, "op2_bpe": op2_bpe, "op4_quality": op4_quality, "op6_licenses": op6_licenses, "op7_minhash": op7_minhash, "op8_langid": op8_langid, "op9_decontam": op9_decontam, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
