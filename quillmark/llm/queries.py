@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import bpe, decontam, langid, licenses, minhash, quality, secrets, toxicity
+from quillmark.llm import bpe, decontam, fingerprint, langid, licenses, minhash, quality, secrets, toxicity
 from quillmark.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known(spark))
 
@@ -43,7 +47,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op2_bpe": op2_bpe, "op4_quality": op4_quality, "op6_licenses": op6_licenses, "op7_minhash": op7_minhash, "op8_langid": op8_langid, "op9_decontam": op9_decontam, "op10_toxicity": op10_toxicity}
+    return {"op1_secrets": op1_secrets, "op2_bpe": op2_bpe, "op4_quality": op4_quality, "op5_fingerprint": op5_fingerprint, "op6_licenses": op6_licenses, "op7_minhash": op7_minhash, "op8_langid": op8_langid, "op9_decontam": op9_decontam, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
