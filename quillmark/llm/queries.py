@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import bpe, decontam, fingerprint, langid, licenses, minhash, quality, secrets, toxicity
+from quillmark.llm import bpe, decontam, fingerprint, langid, licenses, lm, minhash, quality, secrets, toxicity
 from quillmark.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op2_bpe": op2_bpe, "op4_quality": op4_quality, "op5_fingerprint": op5_fingerprint, "op6_licenses": op6_licenses, "op7_minhash": op7_minhash, "op8_langid": op8_langid, "op9_decontam": op9_decontam, "op10_toxicity": op10_toxicity}
+    return {"op1_secrets": op1_secrets, "op2_bpe": op2_bpe, "op3_lm": op3_lm, "op4_quality": op4_quality, "op5_fingerprint": op5_fingerprint, "op6_licenses": op6_licenses, "op7_minhash": op7_minhash, "op8_langid": op8_langid, "op9_decontam": op9_decontam, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
