@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.common import among, blocks, saved
+from quillmark.llm.common import among, blocks, saved, without
 from quillmark.llm.graph import components
 
 #: Words whose hash a worker remembers before it starts afresh.
@@ -190,6 +190,12 @@ def differing(x: Column, y: Column, longs: int) -> Column:
     return total
 
 
+def first_shared(key: Column, tables: int) -> Column:
+    """Whether the table of `key` is the first that x and y share: so a pair comes from one bucket only."""
+    i, j = (F.coalesce(*[F.when(F.get(F.col(f"x.{side}"), F.lit(k)) == F.get(F.col(f"y.{side}"), F.lit(k)), F.lit(k)) for k in range(tables)]) for side in ("left", "right"))
+    return key == F.xxhash64(i, j, F.get(F.col("x.left"), i), F.get(F.col("x.right"), j))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, half: int = 2, tables: int = 8, most_differing: int = 17) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of `docs`.
 
@@ -233,13 +239,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     mixed_keys = at.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.mode("part", True).alias("main")).where("lo <> hi").select("key", "main")
     near = rounds[0].where("added is not null").groupBy("a").agg(F.first("b").alias("head"), F.max("n_a").alias("size"), F.max("common").alias("common")).withColumnRenamed("a", "id")
     sketches = classes.select(F.col("rep").alias("id"), "keys.sketch")
-    members = saved(at.join(mixed_keys, "key").join(sketches, "id").join(near, "id", "left").select("key", "id", "part", "sketch", "head", "size", "common", (F.col("part") == F.col("main")).alias("inner")))
+    halves = classes.select(F.col("rep").alias("id"), "keys.left", "keys.right", "keys.sketch")
+    members = saved(at.join(mixed_keys, "key").join(halves, "id").join(near, "id", "left").select("key", "id", "part", "left", "right", "sketch", "head", "size", "common", (F.col("part") == F.col("main")).alias("inner")))
     x, y = members.where("not inner").alias("x"), members.alias("y")
     most = F.least(F.col("x.common"), F.col("y.common"))
     settled = (F.col("x.head") == F.col("y.head")) & (100 * most < percent * (F.col("x.size") + F.col("y.size") - most))
     alike = differing(F.col("x.sketch"), F.col("y.sketch"), longs) <= most_differing
     once = F.col("y.inner") | (F.col("x.id") < F.col("y.id"))
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & once & ~F.coalesce(settled, F.lit(False)) & alike)
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & once & ~F.coalesce(settled, F.lit(False)) & alike & first_shared(F.col("x.key"), tables))
 
     added = rounds[0].where("added is not null").select(F.col("b").alias("head"), F.col("a").alias("id"), F.explode("added").alias("shingle"))
     added = added.join(parts, "id", "left").select("head", "shingle", "id", F.coalesce("component", "id").alias("part"))
@@ -259,3 +266,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     out = marks.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, **kw) -> DataFrame:
+    """The rows of `docs` (doc_id, text and any others) of which one is left for each group of near-duplicates.
+
+    The one with the least id stays, of repeated rows of an id the one with the
+    least text; rows without an id stay.
+    """
+    found = saved(near_duplicates(docs, **kw).select("doc_id", "kept"))
+    rest = without(docs, "doc_id", found.where("not kept").select("doc_id"))
+    repeated = saved(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return rest
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    several = among(rest, "doc_id", repeated).groupBy("doc_id").agg(F.min_by(F.struct("text", *others), F.coalesce("text", F.lit(""))).alias("row"))
+    single = several.select("doc_id", "row.*").select(*docs.columns)
+    return without(rest, "doc_id", repeated).unionByName(single)
