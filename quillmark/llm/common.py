@@ -84,13 +84,10 @@ def map_texts(
     return given.mapInArrow(run, schema)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """`df`, computed once and read back from the shared checkpoint folder.
-
-    The folder is the one the cluster names in spark.checkpoint.dir; where that
-    is unset, as in tests, a temporary one is made.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints: the one that the cluster names in
+    spark.checkpoint.dir or, where that is unset, as in tests, a temporary one."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         named = context.getConf().get("spark.checkpoint.dir")
         if not named:
@@ -98,6 +95,12 @@ def saved(df: DataFrame) -> DataFrame:
 
             named = tempfile.mkdtemp(prefix="quillmark-checkpoint-")
         context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """`df`, computed once and read back from the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -111,3 +114,11 @@ def among(df: DataFrame, column: str, ids: DataFrame, limit: int = 500_000) -> D
     if ids.limit(limit + 1).count() <= limit:
         ids = F.broadcast(ids)
     return df.join(ids, df[column] == ids["__wanted"], "left_semi")
+
+
+def without(df: DataFrame, column: str, ids: DataFrame, limit: int = 500_000) -> DataFrame:
+    """Rows of `df` whose `column` doesn't occur in the one column of `ids`; null counts as a value. Broadcast as in `among`."""
+    ids = saved(ids.toDF("__unwanted").distinct())
+    if ids.limit(limit + 1).count() <= limit:
+        ids = F.broadcast(ids)
+    return df.join(ids, df[column].eqNullSafe(ids["__unwanted"]), "left_anti")

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import SPACE, SPACE_CLASS
+from quillmark.llm.common import SPACE, SPACE_CLASS, without
 
 #: 1: the token at this place of the window is hashed. All masks are as long.
 MASKS = ("11010011", "11101001")
@@ -112,8 +112,7 @@ def overlaps(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: st
 
 def clean(docs: DataFrame, bench: DataFrame, **kw) -> DataFrame:
     """The rows of `docs` (doc_id, text and any others) that overlap no item; see `overlaps`."""
-    dirty = overlaps(docs, bench, **kw).select(F.col("doc_id").alias("__dirty")).distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["__dirty"]), "left_anti")
+    return without(docs, "doc_id", overlaps(docs, bench, **kw).select("doc_id"))
 
 
 def contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
