@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from quillmark.plans import backtest, registry  # noqa: F401
+from quillmark.plans import backtest, market, registry  # noqa: F401

@@ -181,11 +181,11 @@ def r17_leakage_audit(spark, sf_dir):
     return audit(rows, {"dated": F.count_if(F.col("evaluated_at").isNull()) == 0, "unique": F.count(F.lit(1)) == F.count_distinct("evaluation_id"), "final_only": F.count_if(F.col("mode") != "FINAL") == 0})
 
 
-@query("m11_rescored", BACKTEST + """ SELECT evaluation_id, round(coalesce(module_a, 0) / 50 * 29.37 + coalesce(module_c, 0) / 0.1 * 19.13 + coalesce(module_d, 0) / 0.08 * 9.71, 2) AS rescored FROM backtest""")
+@query("m11_rescored", BACKTEST + """ SELECT evaluation_id, CAST(round(CAST(coalesce(module_a, 0) / 50 * 29.371 + coalesce(module_c, 0) / 0.1 * 19.133 + coalesce(module_d, 0) / 0.08 * 9.717 AS DECIMAL(20, 9)), 2) AS DOUBLE) AS rescored FROM backtest""")
 def m11_rescored(spark, sf_dir):
     from quillmark.functions.returns import rescored
 
-    return backtest(spark, sf_dir).select("evaluation_id", rescored([(F.col("module_a"), 50.0, 29.37), (F.col("module_c"), 0.1, 19.13), (F.col("module_d"), 0.08, 9.71)]).alias("rescored"))
+    return backtest(spark, sf_dir).select("evaluation_id", rescored([(F.col("module_a"), 50.0, 29.371), (F.col("module_c"), 0.1, 19.133), (F.col("module_d"), 0.08, 9.717)]).alias("rescored"))
 
 
 @query("a22_shadow_totals", BACKTEST + """, v AS (SELECT *, CASE WHEN module_a >= 30 THEN 'APPLY' WHEN module_a >= 20 THEN 'NEUTRAL' ELSE 'AVOID' END AS base, CASE WHEN module_a + module_c * 10 >= 30 THEN 'APPLY' WHEN module_a + module_c * 10 >= 20 THEN 'NEUTRAL' ELSE 'AVOID' END AS shadow FROM backtest WHERE module_a IS NOT NULL)

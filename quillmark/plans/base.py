@@ -7,7 +7,7 @@ horizon is null. Prices are the daily volume-weighted closes of parts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.sources.tables import table
@@ -17,6 +17,11 @@ OUTCOMES = ["return_1w", "return_1m", "return_6m", "excess_1w", "excess_1m", "ex
 HORIZON = {0: "1w", 1: "1m", 2: "6m"}
 
 
+def places(value: Column, n: int) -> Column:
+    """Rounded by the same steps as the SQL beside it, so that halves agree in both engines."""
+    return F.floor(value * float(10**n) + 0.5) / float(10**n)
+
+
 def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(
@@ -76,19 +81,19 @@ backtest AS (SELECT * FROM (SELECT * FROM evaluations WHERE mode = 'FINAL') LEFT
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice", "l_quantity")
-    return li.groupBy(F.col("l_partkey").alias("symbol"), F.to_date("l_shipdate").alias("day")).agg(F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 4).alias("close"))
+    return li.groupBy(F.col("l_partkey").alias("symbol"), F.to_date("l_shipdate").alias("day")).agg(places(F.sum("l_extendedprice") / F.sum("l_quantity"), 4).alias("close"))
 
 
 PRICES = """
 prices AS (
-  SELECT l_partkey AS symbol, CAST(l_shipdate AS DATE) AS day, round(sum(l_extendedprice) / sum(l_quantity), 4) AS close
+  SELECT l_partkey AS symbol, CAST(l_shipdate AS DATE) AS day, floor(sum(l_extendedprice) / sum(l_quantity) * 10000 + 0.5) / 10000 AS close
   FROM lineitem GROUP BY 1, 2)"""
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versioned observations: an order's lines, by horizon; each version but the first supersedes the one before in its horizon."""
     li = table(spark, sf_dir, "lineitem")
-    horizon = F.element_at(F.array(F.lit("1W"), F.lit("1M"), F.lit("6M")), F.col("l_linenumber") % 3 + 1)
+    horizon = F.element_at(F.array(F.lit("1W"), F.lit("1M"), F.lit("6M")), F.col("version") % 3 + 1)
     return li.groupBy(F.col("l_orderkey").alias("evaluation_id"), F.col("l_linenumber").alias("version")).agg(F.min("l_partkey").alias("symbol"), F.to_date(F.min("l_shipdate")).alias("observed_on"), F.max(F.round(F.col("l_discount") * 100 - 5, 2)).alias("return_pct")).select(
         "evaluation_id", horizon.alias("horizon"), "version", (F.col("evaluation_id") * 10 + F.col("version")).alias("observation_id"), "symbol", "observed_on", "return_pct", F.when(F.col("version") > 3, F.col("evaluation_id") * 10 + F.col("version") - 3).alias("supersedes"),
     )
