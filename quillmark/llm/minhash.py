@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     near = rounds[0].where("added is not null").groupBy("a").agg(F.first("b").alias("head"), F.max("n_a").alias("size"), F.max("common").alias("common")).withColumnRenamed("a", "id")
     sketches = classes.select(F.col("rep").alias("id"), "keys.sketch")
     halves = classes.select(F.col("rep").alias("id"), "keys.left", "keys.right", "keys.sketch")
-    members = (at.join(mixed_keys, "key").join(halves, "id").join(near, "id", "left").select("key", "id", "part", "left", "right", "sketch", "head", "size", "common", (F.col("part") == F.col("main")).alias("inner")))
+    members = at.join(mixed_keys, "key").join(halves, "id").join(near, "id", "left").select("key", "id", "part", "left", "right", "sketch", "head", "size", "common", (F.col("part") == F.col("main")).alias("inner"))
     x, y = members.where("not inner").alias("x"), members.alias("y")
     most = F.least(F.col("x.common"), F.col("y.common"))
     settled = (F.col("x.head") == F.col("y.head")) & (100 * most < percent * (F.col("x.size") + F.col("y.size") - most))
@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     added = rounds[0].where("added is not null").select(F.col("b").alias("head"), F.col("a").alias("id"), F.explode("added").alias("shingle"))
     added = added.join(parts, "id", "left").select("head", "shingle", "id", F.coalesce("component", "id").alias("part"))
     several_parts = added.groupBy("head", "shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.mode("part", True).alias("main")).where("lo <> hi").select("head", "shingle", "main")
-    added = (added.join(several_parts, ["head", "shingle"]).join(sketches, "id").select("head", "shingle", "id", "part", "sketch", (F.col("part") == F.col("main")).alias("inner")))
+    added = added.join(several_parts, ["head", "shingle"]).join(sketches, "id").select("head", "shingle", "id", "part", "sketch", (F.col("part") == F.col("main")).alias("inner"))
     x, y = added.where("not inner").alias("x"), added.alias("y")
     sharing = x.join(y, (F.col("x.head") == F.col("y.head")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") != F.col("y.part")) & once & alike)
 
