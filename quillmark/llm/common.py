@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -104,6 +105,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df`, written as Parquet to the shared folder and read back: smaller than a
+    checkpoint, and to be deleted with the folder when the application has ended."""
+    path = f"{shared_folder(df.sparkSession)}/quillmark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def among(df: DataFrame, column: str, ids: DataFrame, limit: int = 500_000) -> DataFrame:
     """Rows of `df` whose `column` occurs in the one column of `ids` (distinct, non-null).
 

@@ -16,14 +16,15 @@ distinct pair of a block, and no vocabulary is held as a whole anywhere.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import blocks, remainder
+from quillmark.llm.common import blocks, remainder, stored
 
 #: The token at a text's end; no word holds white space.
 END = b"\n"
@@ -62,12 +63,28 @@ def contexts(docs: DataFrame, share: float) -> tuple[list[bytes], int]:
     return sorted(bytes(r[0]) for r in chosen), total[2]
 
 
-def _pairs(raw: bytes, known: dict[bytes, int]) -> list[tuple[int, bytes]]:
-    """(context, token) of each token of a text, the end token included."""
-    tokens = raw.lower().split()
-    tokens.append(END)
-    get = known.get
-    return list(zip([START, *[get(t, OTHER) for t in tokens[:-1]]], tokens, strict=True))
+class _Ids(dict):
+    """word -> number, in the order of first sight; known contexts come first."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def _numbered(texts, ids: dict[bytes, int], contexts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context << 40 | number of the word) of each token of the texts, and the tokens of each text.
+
+    The first `contexts` numbers of `ids` are words that are contexts of their own.
+    """
+    parts, sizes, number = [], [], ids.__getitem__
+    for raw in texts:
+        tokens = raw.as_py().lower().split()
+        tokens.append(END)
+        at = np.fromiter(map(number, tokens), np.int64, len(tokens))
+        before = np.where(at < contexts, at + 2, OTHER)
+        parts.append(at | np.concatenate([[START], before[:-1]]) << 40)
+        sizes.append(len(tokens))
+    return np.concatenate(parts) if parts else np.empty(0, np.int64), np.array(sizes, np.int64)
 
 
 def mixture(rows, rounds: int = 200):
@@ -85,7 +102,7 @@ def mixture(rows, rounds: int = 200):
     return w
 
 
-def log_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", share: float = 1 / 500, block_bytes: int = 32 << 20, left_out: int = 10) -> DataFrame:
+def log_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", share: float = 1 / 200, block_bytes: int = 32 << 20, left_out: int = 10) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of `docs`.
 
     held_out: a boolean column of `docs`; such rows are scored, not learnt from
@@ -98,38 +115,40 @@ def log_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     part = F.when(F.coalesce(held_out, F.lit(False)), 2).when(F.pmod(F.xxhash64(F.col(doc_id), F.lit("left out")), F.lit(left_out)) == 0, 1).otherwise(0)
     given = docs.select(F.col(doc_id).alias("doc_id"), part.cast("int").alias("part"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
     words, size = contexts(given.where("part < 2"), share)
-    known = {w: i + 2 for i, w in enumerate(words)}
     number = max(1, size // block_bytes + 1)
     given = given.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(number)).cast("int"))
+    word_mask = (1 << 40) - 1
 
     def count(table: pa.Table) -> pa.Table:
-        counted = [Counter(), Counter(), Counter()]
-        for kind, raw in zip(table.column("part").to_pylist(), table.column("text"), strict=True):
-            counted[kind].update(_pairs(raw.as_py(), known))
-        kept, tuned, asked = counted
-        pairs = list(kept.keys() | tuned.keys() | asked.keys())
+        ids = _Ids((w, i) for i, w in enumerate(words))
+        keys, sizes = _numbered(table.column("text"), ids, len(words))
+        kind = np.repeat(table.column("part").to_numpy(), sizes)
+        pairs, at = np.unique(keys, return_inverse=True)
+        spelt = pa.array(list(ids), pa.binary())
         return pa.table({
-            "block": pa.array(np.full(len(pairs), table.column("block")[0].as_py()), pa.int32()), "context": pa.array([c for c, _ in pairs], pa.int32()), "word": pa.array([w for _, w in pairs], pa.binary()),
-            "r": pa.array([kept[p] for p in pairs], pa.int64()), "d": pa.array([tuned[p] for p in pairs], pa.int64()),
+            "block": pa.array(np.full(len(pairs), table.column("block")[0].as_py()), pa.int32()), "context": pa.array((pairs >> 40).astype(np.int32)), "word": spelt.take(pa.array(pairs & word_mask)),
+            "r": pa.array(np.bincount(at, kind == 0, len(pairs)).astype(np.int64)), "d": pa.array(np.bincount(at, kind == 1, len(pairs)).astype(np.int64)),
         })
 
-    asked = given.groupBy("block").applyInArrow(count, "block int, context int, word binary, r long, d long").repartition("word")
-    pairs = asked.groupBy("word", "context").agg(F.sum("r").alias("r"), F.sum("d").alias("d"))
-    own = pairs.groupBy("word").agg(F.sum("r").alias("rw"), F.sum("d").alias("dw"))
-    one = F.lit(1).alias("one")
-    totals = own.agg(F.coalesce(F.sum("rw"), F.lit(0)).alias("nr"), F.coalesce(F.sum(F.col("rw") + F.col("dw")), F.lit(0)).alias("n"), F.count_if(F.col("rw") > 0).alias("vr"), F.count_if(F.col("rw") + F.col("dw") > 0).alias("v")).select("*", one)
-    per_context = pairs.groupBy("context").agg(F.sum("r").alias("rc"), F.sum(F.col("r") + F.col("d")).alias("c"))
+    asked = given.groupBy("block").applyInArrow(count, "block int, context int, word binary, r long, d long")
+    pairs = asked.groupBy("word", "context").agg(F.sum("r").alias("r"), F.sum("d").alias("d"), F.collect_list("block").alias("blocks"))
+    of_word = Window.partitionBy("word")
+    counts = stored(pairs.select("*", F.sum("r").over(of_word).alias("rw"), F.sum("d").over(of_word).alias("dw")))
+
+    own = counts.groupBy("word").agg(F.first("rw").alias("rw"), F.first("dw").alias("dw"))
+    nr, n, vr, v = own.agg(F.coalesce(F.sum("rw"), F.lit(0)), F.coalesce(F.sum(F.col("rw") + F.col("dw")), F.lit(0)), F.count_if(F.col("rw") > 0), F.count_if(F.col("rw") + F.col("dw") > 0)).first()
     # A context's bucket: START and OTHER for themselves, others by powers of two of their share.
-    at = per_context.join(F.broadcast(totals), F.lit(1) == totals["one"]).select("*", F.when(F.col("context") < 2, F.col("context")).otherwise(2 + F.floor(-F.log2(F.greatest(F.col("rc"), F.lit(1)) / F.greatest(F.col("nr"), F.lit(1))))).cast("int").alias("bucket")).drop("one")
-    full = pairs.join(own, "word").join(F.broadcast(at), "context")
+    totals = [(c, rc, all_, c if c < 2 else 2 + int(-math.log2(max(rc, 1) / max(nr, 1)))) for c, rc, all_ in counts.groupBy("context").agg(F.sum("r"), F.sum(F.col("r") + F.col("d"))).collect()]
+    at = counts.sparkSession.createDataFrame(totals, "context int, rc long, c long, bucket int")
+    full = counts.join(F.broadcast(at), "context")
 
-    def ratio(a: str, b: str) -> Column:
-        return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    def ratio(a: Column, b: Column) -> Column:
+        return F.when(b > 0, a / b).otherwise(0.0)
 
     def coarse(p: Column) -> Column:
         return F.when(p > 0, F.pow(F.lit(10.0), F.round(F.log10(p), 1))).otherwise(0.0)
 
-    left = full.where("d > 0").select("bucket", (1.0 / (F.col("vr") + 1)).alias("p0"), coarse(ratio("rw", "nr")).alias("p1"), coarse(ratio("r", "rc")).alias("p2"), F.when(F.col("rw") > 0, 0.0).otherwise(1.0).alias("p3"), "d")
+    left = full.where("d > 0").select("bucket", F.lit(1.0 / (vr + 1)).alias("p0"), coarse(ratio(F.col("rw"), F.lit(nr))).alias("p1"), coarse(ratio(F.col("r"), F.col("rc"))).alias("p2"), F.when(F.col("rw") > 0, 0.0).otherwise(1.0).alias("p3"), "d")
     left = left.groupBy("bucket", "p0", "p1", "p2", "p3").agg(F.sum("d").alias("n"))
 
     def learn(rows):
@@ -137,31 +156,32 @@ def log_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
 
         return pd.DataFrame({"bucket": [rows["bucket"].iloc[0]], "w": [mixture(rows).tolist()]})
 
-    weights = left.groupBy("bucket").applyInPandas(learn, "bucket int, w array<double>")
+    learnt = left.groupBy("bucket").applyInPandas(learn, "bucket int, w array<double>").collect()
+    weights = counts.sparkSession.createDataFrame([(b, list(w)) for b, w in learnt], "bucket int, w array<double>")
     judged = full.join(F.broadcast(weights), "bucket", "left").withColumn("w", F.coalesce("w", F.array(*[F.lit(0.25)] * 4)))
     cw, cp = F.col("rw") + F.col("dw"), F.col("r") + F.col("d")
-    share_all = F.when(F.col("n") > 0, cw / F.col("n")).otherwise(0.0)
-    share_here = F.when(F.col("c") > 0, cp / F.col("c")).otherwise(0.0)
-    chance = F.get("w", F.lit(0)) / (F.col("v") + 1) + F.get("w", F.lit(1)) * share_all + F.get("w", F.lit(2)) * share_here + F.when(cw > 0, 0.0).otherwise(F.get("w", F.lit(3)))
-    base = F.log10((cw + 1) / (F.col("n") + F.col("v") + 1))
-    answers = judged.select("word", "context", F.log10(chance).alias("log_p"), base.alias("log_base"), (cw > 0).alias("seen"))
-    answers = asked.select("block", "word", "context").join(answers, ["word", "context"])
+    share = [F.lit(1.0 / (v + 1)), ratio(cw, F.lit(n)), ratio(cp, F.col("c")), F.when(cw > 0, 0.0).otherwise(1.0)]
+    chance = sum((F.get("w", F.lit(i)) * p for i, p in enumerate(share)), F.lit(0.0))
+    answers = judged.select("word", "context", cw.alias("n"), F.log10(chance).alias("log_p"), F.explode("blocks").alias("block"))
 
     def add_up(docs_: pa.Table, told: pa.Table) -> pa.Table:
-        place = dict(zip(zip(told.column("context").to_pylist(), told.column("word").to_pylist(), strict=True), range(told.num_rows), strict=True))
-        log_p, log_base, seen = (told.column(c).to_numpy() for c in ("log_p", "log_base", "seen"))
-        out = defaultdict(list)
-        for raw in docs_.column("text"):
-            at_ = np.fromiter(map(place.__getitem__, _pairs(raw.as_py(), known)), np.int64)
-            out["n_tokens"].append(len(at_))
-            out["n_known"].append(int(seen[at_].sum()))
-            out["base_score"].append(float(log_base[at_].sum()))
-            out["score"].append(float(log_p[at_].sum()))
-        return pa.table({"doc_id": docs_.column("doc_id"), "held_out": pa.array([p == 2 for p in docs_.column("part").to_pylist()], pa.bool_()), **{k: pa.array(out[k]) for k in ("n_tokens", "n_known", "base_score", "score")}})
+        ids = _Ids((w, i) for i, w in enumerate(words))
+        keys, sizes = _numbered(docs_.column("text"), ids, len(words))
+        spelt = np.fromiter(map(ids.__getitem__, told.column("word").to_pylist()), np.int64, told.num_rows)
+        told_keys = spelt | told.column("context").to_numpy().astype(np.int64) << 40
+        order = np.argsort(told_keys)
+        place = order[np.searchsorted(told_keys[order], keys)]
+        count_, log_p = told.column("n").to_numpy(), told.column("log_p").to_numpy()
+        base = np.log10(count_ + 1.0) - math.log10(n + v + 1)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        total = lambda x: np.add.reduceat(x[place], starts)
+        return pa.table({
+            "doc_id": docs_.column("doc_id"), "held_out": pa.array(docs_.column("part").to_numpy() == 2), "n_tokens": pa.array(sizes), "n_known": pa.array(total((count_ > 0).astype(np.int64))),
+            "train_tokens": pa.array(np.full(len(sizes), n, np.int64)), "base_score": pa.array(total(base)), "score": pa.array(total(log_p)),
+        })
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    scored = given.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.join(F.broadcast(totals.select(F.col("n").alias("train_tokens"), "one")), F.lit(1) == F.col("one")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return given.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
