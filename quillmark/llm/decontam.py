@@ -10,8 +10,6 @@ some run of `window` tokens agrees in `percent` hundredths of its places.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,16 +31,27 @@ def _at(places: Column, i: Column, offset: int) -> Column:
     return F.get(places, i + F.lit(offset))
 
 
-def windows(places: Column, masks: tuple[str, ...]) -> Column:
-    """Masked hash of each window, mask after mask; empty where no window fits."""
-    span = len(masks[0])
-    last = F.size(places) - span
+def windows(places: Column, masks: list[str]) -> Column:
+    """Masked hash of each window, mask after mask; a mask that is too long has none."""
 
     def of(mask: str) -> Column:
-        kept = [k for k, c in enumerate(mask) if c == "1"]
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(mask), *[_at(places, i, k) for k in kept]))
+        kept, last = [k for k, c in enumerate(mask) if c == "1"], F.size(places) - len(mask)
+        made = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(mask), *[_at(places, i, k) for k in kept]))
+        return F.when(last >= 0, made).otherwise(F.array().cast("array<long>"))
+
+    return F.concat(*[of(m) for m in masks])
 
-    return F.when(last >= 0, F.concat(*[of(m) for m in masks])).otherwise(F.array().cast("array<long>"))
+
+def window_place(at: Column, size: Column, masks: list[str]) -> tuple[Column, Column]:
+    """(first token, mask length) of the at-th entry of `windows` for so many tokens."""
+    start, place, length, before = F.lit(0), F.lit(None).cast("int"), F.lit(None).cast("int"), []
+    for mask in masks:
+        end = start + F.greatest(size - (len(mask) - 1), F.lit(0))
+        before.append((end, at - start, len(mask)))
+        start = end
+    for end, first, n in reversed(before):
+        place, length = F.when(at < end, first).otherwise(place), F.when(at < end, n).otherwise(length)
+    return place.cast("int"), length
 
 
 def agreement(own: Column, item: Column, offset: Column, window: int, percent: int) -> Column:
@@ -83,25 +92,22 @@ def overlaps(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: st
     short = sorted(r[0] for r in items.select(F.size("item").alias("n")).where(F.col("n") < span).distinct().collect())
     own = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("own"))
 
-    def seeded(df: DataFrame, column: str, at: str, keep: list[str], lengths: list[tuple[int, int | None]]) -> DataFrame:
-        """A row for each window; lengths: of the windows, and the number of tokens if only such texts have them."""
-        parts = []
-        for n, only in lengths:
-            group = masks if n == span else ("1" * n,)
-            made = df.where(F.size(column) == only) if only else df
-            # The outer form adds no filter on the hashes' number, which would be computed anew below.
-            made = made.select(*keep, column, windows(F.col(column), group).alias("hashes")).select(*keep, column, F.posexplode_outer("hashes").alias("at", "seed"))
-            parts.append(made.select(*keep, column, "seed", (F.col("at") % (F.size(column) - (n - 1))).cast("int").alias(at)))
-        return reduce(DataFrame.unionByName, parts)
-
-    ways = [(n, None) for n in (span, *short)]
-    seeds = seeded(items, "item", "item_at", ["item_id"], [(span, None), *((n, n) for n in short)])
+    every = [*masks, *("1" * n for n in short)]
+
+    def seeded(df: DataFrame, column: str, at: str, keep: list[str]) -> DataFrame:
+        """A row for each window. The outer form adds no filter on the hashes' number, which would compute them anew."""
+        made = df.select(*keep, column, windows(F.col(column), every).alias("hashes")).select(*keep, column, F.posexplode_outer("hashes").alias("at", "seed"))
+        place, length = window_place(F.col("at"), F.size(column), every)
+        return made.select(*keep, column, "seed", place.alias(at), length.alias("length"))
+
+    # An item is looked for by the masks or, if it is too short for them, as a whole.
+    seeds = seeded(items, "item", "item_at", ["item_id"]).where(F.col("length") == F.least(F.lit(span), F.size("item"))).drop("length")
     offset = F.col("doc_at") - F.col("item_at")
     found = agreement(F.col("own"), F.col("item"), F.col("offset"), window, percent)
     if seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
-        hits = seeded(own, "own", "doc_at", ["doc_id"], ways).join(F.broadcast(seeds), "seed").withColumn("offset", offset)
+        hits = seeded(own, "own", "doc_at", ["doc_id"]).join(F.broadcast(seeds), "seed").withColumn("offset", offset)
     else:
-        bare = seeded(own, "own", "doc_at", ["doc_id"], ways).select("doc_id", "seed", "doc_at")
+        bare = seeded(own, "own", "doc_at", ["doc_id"]).select("doc_id", "seed", "doc_at")
         met = bare.join(seeds.select("item_id", "seed", "item_at"), "seed").select("doc_id", "item_id", offset.alias("offset")).distinct()
         with_items = met.join(items, met["item_id"].eqNullSafe(items["item_id"])).select("doc_id", met["item_id"], "offset", "item")
         hits = with_items.join(own, with_items["doc_id"].eqNullSafe(own["doc_id"])).select(with_items["doc_id"], "item_id", "offset", "item", "own")

@@ -130,7 +130,7 @@ def identify(pages: DataFrame, model: Model, page_id: str = "page_id", url: str
     judged = full.select("page_id", "text_lang", "declared", "host", logs.alias("sum"))
     top = F.array_max("sum")
     weight = F.aggregate(F.transform("sum", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
-    return judged.select("page_id", F.when(F.size("sum") > 0, F.get(names, F.array_position("sum", top).cast("int") - 1)).alias("lang"), F.round(1.0 / weight, 6).alias("confidence"), "text_lang", "declared", "host")
+    return judged.select("page_id", F.when(F.size("sum") > 0, F.get(names, F.array_position("sum", top).cast("int") - 1)).alias("lang"), F.round(F.when(weight > 0, 1.0 / weight), 6).alias("confidence"), "text_lang", "declared", "host")
 
 
 def page_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:

@@ -64,8 +64,8 @@ def train(texts: list[str], labels: list[int], share_bad: float, pairs: int = 20
     worth = z @ w
     weight = np.where(y == 0, share_bad / len(bad), (1 - share_bad) / len(good))
     order = np.argsort(worth)
-    at = min(int(np.searchsorted(np.cumsum(weight[order]), share_bad)), len(order) - 1)
-    return w / scale, float(worth[order][at])
+    at = min(int(np.searchsorted(np.cumsum(weight[order]), share_bad - 1e-9)), len(order) - 2)
+    return w / scale, float(worth[order][at : at + 2].mean())
 
 
 def score(df: DataFrame, weights: np.ndarray, threshold: float, text: str = "text", out: str = "quality") -> DataFrame:
