@@ -51,10 +51,11 @@ def train(texts: list[str], labels: list[int], share_bad: float, pairs: int = 20
     that the sample stands for. Without texts of both labels nothing is
     preferred: weights and threshold are 0.
     """
-    x, y = np.array([features(t) for t in texts]).reshape(len(texts), -1), np.array(labels)
+    y = np.array(labels)
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return np.zeros(len(features(""))), 0.0
+    x = np.array([features(t) for t in texts])
     scale = np.maximum(x.std(axis=0), 1e-6)
     z, rng = x / scale, np.random.default_rng(seed)
     better, worse = z[rng.choice(good, pairs)], z[rng.choice(bad, pairs)]
