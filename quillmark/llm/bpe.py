@@ -25,12 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.common import map_texts
+from quillmark.llm.common import map_texts, remember_alone
 
 #: Marks a word's end inside the automaton; no byte symbol uses it.
 END = "\x00"
 #: Words (and token pairs) that a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Where these occur, the two regular-expression engines may differ about letters,
 #: numbers or white space; elsewhere the faster one splits.
 UNUSUAL = re.compile("[\x1c-\x1f\x85\u00b2\u00b3\u00b9\u00bc-\u00be\u0250-\U0010ffff]")
@@ -233,7 +233,12 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str
     """
     path = path or vocabulary_path()
     outputs = [T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())]
-    return map_texts(df, lambda: codec(path).both, outputs, text)
+
+    def make():
+        remember_alone("bpe", codec.cache_clear)
+        return codec(path).both
+
+    return map_texts(df, make, outputs, text)
 
 
 def decode(df: DataFrame, path: str | None = None, ids: str = "token_ids", out: str = "decoded_text") -> DataFrame:

@@ -26,6 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: In a worker process: what each operator remembers from task to task, by how to forget it.
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def remember_alone(operator: str, forget: Callable[[], None]) -> None:
+    """Called in a worker before an operator fills its memory: the other operators' is given back,
+    as Spark uses a worker process for the tasks of all of them."""
+    for name in [n for n in _remembered if n != operator]:
+        _remembered.pop(name)()
+    _remembered[operator] = forget
+
+
 def ascii_lower(text):
     """Column: A-Z lowered, every other character left alone."""
     return F.translate(text, UPPER, LOWER)

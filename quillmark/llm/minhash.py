@@ -38,11 +38,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.common import among, blocks, saved, without
+from quillmark.llm.common import among, blocks, remember_alone, saved, without
 from quillmark.llm.graph import components
 
 #: Words whose hash a worker remembers before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Odd multipliers, drawn once: each minhash has its own.
 _SEEDS = np.random.default_rng(20250101).integers(1, 1 << 63, size=1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -58,6 +58,10 @@ class _WordHash(dict):
 _hash = _WordHash()
 
 
+def forget() -> None:
+    _hash.clear()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
@@ -102,6 +106,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int, half: int, ta
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
     def run(batches):
+        remember_alone("minhash", forget)
         for batch in batches:
             for block in blocks(batch, 1):
                 sizes, digests, sketch = [], [], np.zeros((block.num_rows, count), np.uint8)
@@ -140,6 +145,7 @@ def compared(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
+        remember_alone("minhash", forget)
         known: dict[bytes, np.ndarray] = {}
         for batch in batches:
             for block in blocks(batch, 2):

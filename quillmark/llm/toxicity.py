@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.common import map_texts, remainder
+from quillmark.llm.common import map_texts, remainder, remember_alone
 
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = b"~{^}~{^}" * 3
 _PLACES = bytes(range(128, 256))
 #: Differences that a worker remembers before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 
 def words(text: str) -> set[str]:
@@ -180,6 +180,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "toxicity"
     key = (model.ordinary, model.toxic, tuple(model.weights))
 
     def make():
+        remember_alone("toxicity", _judge.cache_clear)
         judge = _judge(*key)
         return lambda texts: [pa.array([judge.score(t) for t in texts], pa.float64())]
 
