@@ -323,7 +323,7 @@ REGISTRY["receivable_days_yoy_pct"] = lambda: (F.when(at("receivable_days", 2) !
 def _exempt():
     ratio = _cfo_pat()[0]
     backed = F.coalesce(at("order_book") >= 2 * at("revenue"), F.lit(False)) | F.coalesce(at("collections") >= at("pre_sales"), F.lit(False))
-    return (ratio < 0) & backed & (REGISTRY["receivable_days_yoy_pct"]()[0] < 15)
+    return F.when(ratio.isNotNull(), (ratio < 0) & backed & (REGISTRY["receivable_days_yoy_pct"]()[0] < 15))
 
 
 REGISTRY["contingent_liab_pct_networth"] = lambda: ratio_or_na(F.col("contingent_liabilities"), at("net_worth"), 100.0)

@@ -35,7 +35,7 @@ def issue_rules() -> dict[str, tuple[str, Column]]:
     some = lambda test: F.exists(p, lambda x: F.coalesce(test(x), F.lit(False)))
     sold = F.exists("sellers", lambda s: F.coalesce(s["shares_sold"] > s["pre_issue_shares"], F.lit(False)))
     share = lambda kinds: F.aggregate(F.filter("proceeds", lambda x: x["category"].isin(kinds)), F.lit(0.0), lambda a, x: a + F.coalesce(x["amount"], F.lit(0.0))) / F.col("fresh_issue") * 100
-    percents = [F.col(c) for c in ("promoter_pre_pct", "promoter_post_pct", "promoter_pledge_pct", "rpt_pct_revenue")]
+    percents = [F.col(c) for c in ("promoter_pre_pct", "promoter_post_disclosed", "promoter_pledge_pct", "rpt_pct_revenue")]
     return {
         "DUPLICATE_PERIOD": ("ERROR", F.size(F.array_distinct(F.transform(p, lambda x: x["fy"]))) < F.size(p)),
         "TOO_FEW_PERIODS": ("ERROR", F.size(p) < 3),
