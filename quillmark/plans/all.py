@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from quillmark.plans import backtest, market, registry, screening, text  # noqa: F401
+from quillmark.plans import backtest, market, registry, reports, screening, text  # noqa: F401
