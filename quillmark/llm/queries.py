@@ -54,5 +54,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_secrets": op1_secrets, "op2_bpe": op2_bpe, "op3_lm": op3_lm, "op4_quality": op4_quality, "op5_fingerprint": op5_fingerprint, "op6_licenses": op6_licenses, "op7_minhash": op7_minhash, "op8_langid": op8_langid, "op9_decontam": op9_decontam, "op10_toxicity": op10_toxicity}
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    out = f"lower(coalesce({text}, ''))"
+    for pattern, replacement in licenses.STEPS:
+        out = f"regexp_replace({out}, {_literal(pattern)}, {_literal(replacement.replace('$', chr(92)))}, 'g')"
+    return f"trim({out})"
+
+
+LICENSES_SQL = rf"""
+WITH known AS (SELECT {_canonical_sql('t')} AS form, min(id) AS license_id FROM (VALUES {', '.join(f"({_literal(i)}, {_literal(t)})" for i, t in licenses.KNOWN)}) k(id, t) GROUP BY 1),
+parts AS (SELECT doc_id, list_concat([coalesce(text, '')], string_split(coalesce(text, ''), chr(10)), regexp_split_to_array(coalesce(text, ''), '\n\s*\n')) AS l FROM documents),
+units AS (SELECT doc_id, i = 1 AS whole, l[i] AS part FROM parts, unnest(range(1, len(l) + 1)) u(i)),
+forms AS (SELECT doc_id, whole, {_canonical_sql('part')} AS form FROM units)
+SELECT doc_id, license_id, count(*) AS n_parts, bool_or(whole) AS whole FROM forms JOIN known USING (form) GROUP BY 1, 2"""
+
+#: Lower-cased words, their shingles of four, pairs that share any, and the least id that links reach.
+NEAR_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(2, len(w) - 2)), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+classes AS (SELECT list_sort(s) AS s, min(doc_id) AS rep FROM sets WHERE len(s) > 0 GROUP BY 1),
+shingles AS (SELECT rep, len(s) AS n, unnest(s) AS g FROM classes),
+links AS (SELECT a.rep AS a, b.rep AS b FROM shingles a JOIN shingles b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT rep AS id, rep AS seen FROM classes UNION SELECT r.id, e.b FROM reach r JOIN edges e ON r.seen = e.a),
+lowest AS (SELECT id AS rep, min(seen) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM sets LEFT JOIN classes ON list_sort(sets.s) = classes.s LEFT JOIN lowest USING (rep)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express: exact near-duplicates and licence look-up."""
+    return {"op6_licenses": LICENSES_SQL, "op7_minhash": NEAR_SQL}
