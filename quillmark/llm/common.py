@@ -99,11 +99,13 @@ def map_texts(
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints: the one that the cluster names in
-    spark.checkpoint.dir or, where that is unset, as in tests, a temporary one."""
+    spark.checkpoint.dir or, on a local master where that is unset, as in tests, a temporary one."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = context.getConf().get("spark.checkpoint.dir")
         if not named:
+            if not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="quillmark-checkpoint-")
