@@ -30,7 +30,7 @@ from quillmark.llm.common import map_texts, remember_alone
 #: Marks a word's end inside the automaton; no byte symbol uses it.
 END = "\x00"
 #: Words (and token pairs) that a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Where these occur, the two regular-expression engines may differ about letters,
 #: numbers or white space; elsewhere the faster one splits.
 UNUSUAL = re.compile("[\x1c-\x1f\x85\u00b2\u00b3\u00b9\u00bc-\u00be\u0250-\U0010ffff]")
@@ -120,7 +120,7 @@ class Vocabulary:
                 key = before[0] << 32 | token
                 fits = known.get(key)
                 if fits is None:
-                    if len(known) > 4 * REMEMBERED:
+                    if len(known) > REMEMBERED:
                         known.clear()
                     fits = known[key] = self.compatible(before[0], token)
                 if not fits:

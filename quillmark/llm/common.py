@@ -35,6 +35,7 @@ def remember_alone(operator: str, forget: Callable[[], None]) -> None:
     as Spark uses a worker process for the tasks of all of them."""
     for name in [n for n in _remembered if n != operator]:
         _remembered.pop(name)()
+        pa.default_memory_pool().release_unused()
     _remembered[operator] = forget
 
 
@@ -52,7 +53,7 @@ def remainder(doc_id, modulus: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
 
 
-def blocks(batch: pa.RecordBatch, text: int, budget: int = 4 << 20, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def blocks(batch: pa.RecordBatch, text: int, budget: int = 2 << 20, rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `budget` bytes of text each, so that what a
     worker holds doesn't depend on the batch size that Spark was given."""
     column, start, held = batch.column(text), 0, 0
