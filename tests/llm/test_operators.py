@@ -114,6 +114,20 @@ def test_lm_scores(spark, odd, none):
     assert lm.lm_scores(odd).count() == odd.count() and lm.lm_scores(none).count() == 0
 
 
+def test_lm_counts_pairs_after_rare_words(spark):
+    """Each of 600 contexts is 1/1200 of the tokens and tells the next word, which no share of all tokens does."""
+    rare = [f"{a}{b}{c}" for a in "bcdfgklmnp" for b in "aeiou" for c in "bcdfgklmnprs"]
+    rows = [(i, " ".join(f"{w} {w}after" for w in random.Random(i).sample(rare, 60))) for i in range(120)]
+    got = lm.lm_scores(table(spark, rows)).where("held_out").collect()
+    assert got and all(r["score"] - r["base_score"] > 0.4 * r["n_tokens"] for r in got)
+
+
+def test_lm_scores_do_not_depend_on_blocks(spark):
+    docs = table(spark, [(i, prose(i, 80)) for i in range(60)])
+    whole, parted = ({r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in lm.log_scores(docs, F.col("doc_id") % 7 == 2, block_bytes=size).collect()} for size in (1 << 20, 2000))
+    assert all(whole[i] == pytest.approx(parted[i]) for i in whole) and len(whole) == 60
+
+
 def test_mixture_prefers_the_better_estimate():
     import pandas as pd
 
