@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Short licence notices and texts, as their licensors word them.
+from quillmark.llm.license_digests import FULL
+
+#: Short licence notices, and texts of MIT and ISC, as their licensors word them. The full texts of
+#: these and other licences are known by the digests in `FULL`.
 KNOWN = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
@@ -47,10 +50,12 @@ def canonical(text: Column) -> Column:
     return F.trim(out)
 
 
-def known(spark: SparkSession, texts: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(license_id, digest, size) of licence texts; of equal digests the least id stays."""
+def known(spark: SparkSession, texts: list[tuple[str, str]] = KNOWN, full: list[tuple[str, str, int]] = FULL) -> DataFrame:
+    """(license_id, digest, size) of licence texts and of full texts that are given by digest and size; of equal digests the least id stays."""
     made = spark.createDataFrame(texts, "license_id string, text string").select("license_id", canonical(F.col("text")).alias("form"))
-    return made.where("form <> ''").groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"), F.first(F.length("form")).alias("size"))
+    made = made.where("form <> ''").select("license_id", F.sha2("form", 256).alias("digest"), F.length("form").alias("size"))
+    made = made.unionByName(spark.createDataFrame(full, "license_id string, digest string, size int"))
+    return made.groupBy("digest").agg(F.min("license_id").alias("license_id"), F.first("size").alias("size"))
 
 
 def scan(docs: DataFrame, licenses: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,8 +3,10 @@
 import hashlib
 import math
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,6 +202,20 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(none, licenses.known(spark)).count() == 0 and licenses.scan(odd, licenses.known(spark)).count() == 0
 
 
+def test_licenses_full_texts(spark):
+    """Full texts, with and without titles, however their lines are cut; a part of one isn't it."""
+    mit = next(t for i, t in licenses.KNOWN if i == "MIT" and len(t) > 100).removeprefix("MIT License ")
+    texts = [("MIT", f"The MIT License (MIT)\n\nCopyright (c) 2020 Someone\n\n{mit}"), ("MIT", f"Copyright (c) 2020 Someone\n\n{textwrap.fill(mit, 72)}"), (None, mit[:-20])]
+    for name, lid in (("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("BSD", "BSD-3-Clause"), ("CC0-1.0", "CC0-1.0")):
+        path = Path("/usr/share/common-licenses") / name
+        if path.exists():
+            texts += [(lid, path.read_text()), (None, path.read_text()[:-300])]
+            if lid == "Apache-2.0":
+                texts.append((lid, path.read_text().partition("www.apache.org/licenses/\n")[2]))
+    got = licenses.scan(table(spark, [(i, t) for i, (_, t) in enumerate(texts)]), licenses.known(spark)).where("whole").collect()
+    assert {r["doc_id"]: r["license_id"] for r in got} == {i: lid for i, (lid, _) in enumerate(texts) if lid}
+
+
 # op7
 
 
