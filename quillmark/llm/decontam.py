@@ -10,17 +10,32 @@ some run of `window` tokens agrees in `percent` hundredths of its places.
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import SPACE, SPACE_CLASS, without
 
-#: 1: the token at this place of the window is hashed. All masks are as long.
-MASKS = ("11010011", "11101001")
+#: 1: the token at this place of the window is hashed. All masks are as long. By enumeration these leave no
+#: overlap of 8 or more tokens unseen that has 10 of 12 places alike (of fewer than 12 tokens: 80 hundredths).
+MASKS = ("11010011", "11101001", "01011101", "10011110")
 #: Most seeds that are broadcast (about 40 MB with their items' tokens).
 BROADCAST_SEEDS = 200_000
 
 
+def short_masks(size: int, window: int, percent: int) -> list[str]:
+    """Masks for an item of so many tokens, one of which keeps clear of any replacements that the verification lets pass.
+
+    If k may be replaced, the places are parted into k + 2 runs, and each mask leaves out k of them.
+    """
+    spare = size - math.ceil(min(window, size) * percent / 100)
+    runs = min(size, spare + 2)
+    run = [place * runs // size for place in range(size)]
+    return ["".join("01"[r not in gone] for r in run) for gone in combinations(range(runs), spare)]
+
+
 def tokens(text: Column) -> Column:
     """Hashes of the lower-cased words of a text, in order; none for null or blank."""
     bare = F.btrim(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(SPACE))
@@ -82,7 +97,7 @@ def overlaps(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: st
     start: the document's token at which the item would begin (negative if its
     start is cut off); agreeing of places tokens agree in the best run; of
     several overlaps the best and first is told. Items with fewer tokens than a
-    mask are looked for as a whole. Null, empty and blank texts overlap with
+    mask are looked for by masks of their length. Null, empty and blank texts overlap with
     nothing. Rows of one id, or without one, are one document, and likewise for
     items. Other columns aren't read. Empty tables give an empty one. A small
     benchmark is broadcast; a larger one is joined by shuffles.
@@ -92,7 +107,7 @@ def overlaps(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: st
     short = sorted(r[0] for r in items.select(F.size("item").alias("n")).where(F.col("n") < span).distinct().collect())
     own = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("own"))
 
-    every = [*masks, *("1" * n for n in short)]
+    every = [*masks, *(m for n in short for m in short_masks(n, window, percent))]
 
     def seeded(df: DataFrame, column: str, at: str, keep: list[str]) -> DataFrame:
         """A row for each window. The outer form adds no filter on the hashes' number, which would compute them anew."""
@@ -100,7 +115,7 @@ def overlaps(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: st
         place, length = window_place(F.col("at"), F.size(column), every)
         return made.select(*keep, column, "seed", place.alias(at), length.alias("length"))
 
-    # An item is looked for by the masks or, if it is too short for them, as a whole.
+    # An item is looked for by the masks or, if it is too short for them, by masks of its own length.
     seeds = seeded(items, "item", "item_at", ["item_id"]).where(F.col("length") == F.least(F.lit(span), F.size("item"))).drop("length")
     offset = F.col("doc_at") - F.col("item_at")
     found = agreement(F.col("own"), F.col("item"), F.col("offset"), window, percent)

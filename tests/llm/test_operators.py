@@ -6,6 +6,7 @@ import random
 import textwrap
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 from pathlib import Path
 
 import pytest
@@ -314,6 +315,26 @@ def test_languages(spark):
 # op9
 
 
+def test_decontamination_masks_miss_nothing(spark):
+    """Each way to replace as many tokens as the verification lets pass leaves some mask's places alone."""
+    for n in range(1, 13):
+        masks = decontam.MASKS if n >= len(decontam.MASKS[0]) else decontam.short_masks(n, 12, 80)
+        for gone in combinations(range(n), n - math.ceil(n * 80 / 100)):
+            assert any(all(c == "0" or at + k not in gone for k, c in enumerate(m)) for m in masks for at in range(n - len(m) + 1)), (n, gone)
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_decontamination_of_adjacent_and_short_replacements(spark, limit):
+    items = {n: [f"w{n}x{k}" for k in range(n)] for n in (5, 6, 7, 8, 12)}
+    texts, wanted = [], set()
+    for n, gone in [(12, (4, 5)), (8, (0,)), (8, (7,)), *((n, (k,)) for n in (5, 6, 7) for k in range(n))]:
+        wanted.add((len(texts), n))
+        texts.append((len(texts), "before it " + " ".join("other" if k in gone else w for k, w in enumerate(items[n])) + " after it"))
+    bench = spark.createDataFrame([(n, " ".join(words)) for n, words in items.items()], "item_id long, text string")
+    got = decontam.overlaps(table(spark, texts), bench, broadcast_seeds=limit).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == wanted
+
+
 @pytest.mark.parametrize("limit", [200_000, 0])
 def test_decontamination(spark, odd, none, limit):
     item, short = prose(500, 25), "zeta yotta xeno"
