@@ -4,7 +4,9 @@ A document's shingle hashes that lie under a fixed fraction of the hash range
 are its fingerprint. What two documents share under the threshold estimates what
 they share at all, whatever their sizes, and the fingerprint of joined documents
 is the union of theirs. Texts with few shingles would often have none under the
-threshold, so the least hash is always kept.
+threshold; their least hash is kept instead. It lies above the threshold, which
+tells it apart, and stands for a likeness only: containment and merging, which
+rest on the threshold, leave it out.
 """
 
 from __future__ import annotations
@@ -27,13 +29,17 @@ def word_hashes(text: Column) -> Column:
     return F.when(bare != "", F.transform(F.split(bare, SPACE_CLASS), lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<long>"))
 
 
+def threshold(scale: int) -> Column:
+    return F.lit(-(1 << 63) + ((1 << 64) // scale))
+
+
 def sketched(df: DataFrame, texts: dict[str, str], size: int = SIZE, scale: int = SCALE) -> DataFrame:
     """`df` with the fingerprint, named by the value, of each text column, the key of `texts`.
 
     Each step is a projection of its own: an expression that the next one uses
     more than once is then computed once.
     """
-    low = F.lit(-(1 << 63) + ((1 << 64) // scale))
+    low = threshold(scale)
     made = {text: (f"__words_{i}", f"__shingles_{i}", f"__kept_{i}") for i, text in enumerate(texts)}
     out = df.withColumns({w: word_hashes(F.col(f"`{t}`")) for t, (w, _, _) in made.items()})
 
@@ -48,9 +54,10 @@ def sketched(df: DataFrame, texts: dict[str, str], size: int = SIZE, scale: int
     return out.drop(*[c for names in made.values() for c in names])
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has; 1 for an empty a."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Estimated share of a's shingles that b has; 1 for an empty a, null if none of a's hashes is under the threshold, as nothing is known then."""
+    under = F.filter(a, lambda h: h < threshold(scale))
+    return F.when(F.size(a) == 0, 1.0).when(F.size(under) > 0, F.size(F.array_intersect(under, b)) / F.size(under))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -74,10 +81,11 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", si
     return sketched(df, {text: out}, size, scale)
 
 
-def merged(df: DataFrame, keys: list[str], column: str = "fingerprint") -> DataFrame:
-    """The fingerprint of all documents of a key together: the union of theirs."""
+def merged(df: DataFrame, keys: list[str], column: str = "fingerprint", scale: int = SCALE) -> DataFrame:
+    """The fingerprint of all documents of a key together: the union of theirs under the threshold or, if there is none, the least hash of all."""
     one = df.select(*keys, F.explode(column).alias("h")).distinct()
-    return one.groupBy(*keys).agg(F.array_sort(F.collect_list("h")).alias(column))
+    under = F.collect_list(F.when(F.col("h") < threshold(scale), F.col("h")))
+    return one.groupBy(*keys).agg(F.when(F.size(under) == 0, F.array(F.min("h"))).otherwise(F.array_sort(under)).alias(column))
 
 
 def with_next(docs: DataFrame, columns: list[str], per_bucket: int = 64, per_group: int = 4096) -> DataFrame:

@@ -183,6 +183,23 @@ def test_fingerprints(spark, odd, none):
     assert alone["near_next"] == 1.0
 
 
+def test_fingerprint_of_few_shingles_in_containment_and_merging(spark):
+    """Each short text is in the long one: 1 if a hash is under the threshold, unknown if none is, and its other hash isn't merged."""
+    rows = [(i, " ".join(prose(i, 8).split())) for i in range(40)]
+    long = " ".join(t for _, t in rows)
+    df = fingerprint.fingerprints(table(spark, [*rows, (99, long)])).select("doc_id", "fingerprint")
+    low = -(1 << 63) + (1 << 64) // fingerprint.SCALE
+    short, whole = df.where("doc_id < 99"), df.where("doc_id = 99").select(F.col("fingerprint").alias("of_long"))
+    got = short.crossJoin(whole).select("fingerprint", fingerprint.containment(F.col("fingerprint"), F.col("of_long")).alias("c")).collect()
+    known = [r["c"] for r in got if r["fingerprint"][0] < low]
+    assert 0 < len(known) < 40 and set(known) == {1.0} and {r["c"] for r in got if r["fingerprint"][0] >= low} == {None}
+    merged = fingerprint.merged(df.withColumn("k", F.lit(1)), ["k"]).first()["fingerprint"]
+    assert merged == df.where("doc_id = 99").first()["fingerprint"]
+    none_under = [r for r in got if r["fingerprint"][0] >= low]
+    least = fingerprint.merged(short.where(F.col("fingerprint")[0] >= low).withColumn("k", F.lit(1)), ["k"]).first()["fingerprint"]
+    assert least == [min(r["fingerprint"][0] for r in none_under)]
+
+
 def test_fingerprint_estimates_and_merges(spark):
     a, b = prose(1, 4000), prose(2, 4000)
     df = fingerprint.fingerprints(table(spark, [(1, a), (2, b), (3, a + " " + b)])).select("doc_id", "fingerprint")
