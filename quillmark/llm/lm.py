@@ -6,7 +6,10 @@ context too), and, for a token that wasn't seen, that something unseen comes.
 The mixture's weights depend on how often the context was seen, by powers of
 two; a context that was never seen has a bucket of its own. They are learnt by
 expectation-maximisation on the part of the training documents whose counts were
-left out of the estimates; the scores then use all counts.
+left out of the estimates; the scores then use all counts. For learning alone,
+left-out tokens are added up by their estimates, rounded to a tenth of a decade:
+what is learnt from is then a small table for each bucket at every size of the
+input. The scores use the estimates as they are.
 
 Documents are dealt into blocks of some tens of MB. A block counts its words and
 its pairs of neighbours and sends, for each range of keys, the sorted keys with
@@ -212,10 +215,13 @@ def log_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     size = given.where("part < 2").agg(F.sum(F.octet_length("text"))).first()[0] or 0
     number = max(1, size // block_bytes + 1)
     ranges = max(RANGES, number)
-    given = given.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(number)).cast("int"))
+    given = given.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(number)).cast("int"))
 
-    sent = given.select("block", "part", "text").groupBy("block").applyInArrow(lambda t: count(t, ranges), "block int, range int, words binary, pairs binary, left binary")
-    answers = stored(sent.groupBy("range").applyInArrow(answer, "block int, range int, words binary, pairs binary, left binary, nr long, n long, vr long, v long"))
+    # Each block and each range is a partition of its own: no task holds more than one, whatever the size of the input.
+    by_block = lambda df: df.repartitionById(number, F.col("block")).groupBy("block")
+    sent = by_block(given.select("block", "part", "text")).applyInArrow(lambda t: count(t, ranges), "block int, range int, words binary, pairs binary, left binary")
+    dealt = sent.withColumn("dealt", F.pmod("range", F.lit(ranges)).cast("int")).repartitionById(ranges, F.col("dealt"))
+    answers = stored(dealt.groupBy("dealt", "range").applyInArrow(answer, "block int, range int, words binary, pairs binary, left binary, nr long, n long, vr long, v long"))
     nr, n, vr, v = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("nr", "n", "vr", "v")]).first()
 
     def coarse(p: np.ndarray) -> np.ndarray:
@@ -230,7 +236,7 @@ def log_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
         made = pd.DataFrame({"bucket": level(of_word[before], start > 0).astype(np.int32), "p0": p0, "p1": coarse(p1), "p2": coarse(p2), "p3": p3, "n": d})
         return pa.Table.from_pandas(made.groupby(["bucket", "p0", "p1", "p2", "p3"], as_index=False)["n"].sum(), preserve_index=False)
 
-    left = answers.select("block", "range", "words", "pairs", "left").groupBy("block").applyInArrow(judge_left_out, "bucket int, p0 double, p1 double, p2 double, p3 double, n long")
+    left = by_block(answers.select("block", "range", "words", "pairs", "left")).applyInArrow(judge_left_out, "bucket int, p0 double, p1 double, p2 double, p3 double, n long")
     left = left.groupBy("bucket", "p0", "p1", "p2", "p3").agg(F.sum("n").alias("n"))
 
     def learn(rows):
@@ -261,7 +267,7 @@ def log_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
 
     kind = docs.schema[doc_id].dataType.simpleString()
     asked = answers.where("range >= 0").select("block", "range", "words", "pairs")
-    return given.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(add_up, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return by_block(given).cogroup(by_block(asked)).applyInArrow(add_up, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:

@@ -131,6 +131,69 @@ def test_lm_scores_do_not_depend_on_blocks(spark):
     assert all(whole[i] == pytest.approx(parted[i]) for i in whole) and len(whole) == 60
 
 
+def mixed_by_hand(tokens, held, left):
+    """log10 probability of each text by dictionaries: counts, buckets, expectation-maximisation, mixture."""
+
+    def counted(ids):
+        words, pairs = Counter(), Counter()
+        for i in ids:
+            words.update(tokens[i])
+            pairs.update(zip([None, *tokens[i]], tokens[i], strict=False))
+        # A text's start is as frequent as its end.
+        words[None] = words[b"\n"]
+        return words, pairs, sum(n for w, n in words.items() if w is not None), sum(1 for w, n in words.items() if n and w is not None)
+
+    def estimates(model, before, word):
+        words, pairs, n, types = model
+        return [1 / (types + 1), words[word] / n, pairs[before, word] / words[before] if words[before] else 0.0, 0.0 if words[word] else 1.0]
+
+    bucket = lambda model, before: 0 if before is None else 1 + model[0][before].bit_length()
+    rough = lambda p: 10 ** round(math.log10(p), 1) if p else 0.0
+    inner = counted([i for i in tokens if not held[i] and not left[i]])
+    seen = defaultdict(Counter)
+    for i in tokens:
+        if not held[i] and left[i]:
+            for before, word in zip([None, *tokens[i]], tokens[i], strict=False):
+                a, b, c, d = estimates(inner, before, word)
+                seen[bucket(inner, before)][a, rough(b), rough(c), d] += 1
+    weights = {}
+    for k, rows in seen.items():
+        w = [0.25] * 4
+        for _ in range(200):
+            new = [0.01] * 4
+            for p, n in rows.items():
+                total = sum(x * y for x, y in zip(p, w, strict=True))
+                for j in range(4):
+                    new[j] += n * p[j] * w[j] / total
+            new = [x / sum(new) for x in new]
+            moved, w = max(abs(x - y) for x, y in zip(new, w, strict=True)), new
+            if moved < 1e-9:
+                break
+        weights[k] = w
+    full = counted([i for i in tokens if not held[i]])
+
+    def score(i):
+        total = 0.0
+        for before, word in zip([None, *tokens[i]], tokens[i], strict=False):
+            w = weights[min(weights, key=lambda k: (abs(k - bucket(full, before)), k))]
+            total += math.log10(sum(x * y for x, y in zip(estimates(full, before, word), w, strict=True)))
+        return total
+
+    return {i: score(i) for i in tokens}
+
+
+def test_lm_scores_equal_brute_force(spark):
+    texts = {i: " ".join(random.Random(i).choices(WORDS[: 5 + i % 30], k=10 + i % 40)) for i in range(150)} | {900: "", 901: "never seen words"}
+    docs = table(spark, list(texts.items()))
+    left = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("left out")), F.lit(10)) == 0).collect()}
+    tokens = {i: [*t.encode().split(), b"\n"] for i, t in texts.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    want = mixed_by_hand(tokens, held, left)
+    for parts in (1, 24):
+        got = {r["doc_id"]: r["score"] for r in lm.lm_scores(docs.repartition(parts)).collect()}
+        assert got == {i: pytest.approx(x, rel=1e-9) for i, x in want.items()}
+
+
 def test_mixture_prefers_the_better_estimate():
     import pandas as pd
 
@@ -165,6 +228,39 @@ def test_toxicity_finds_held_out(spark, odd, none):
     assert toxicity.toxicity_scores(none, labels).count() == 0 and toxicity.toxicity_scores(odd, labels.where("false")).count() == odd.count()
 
 
+def test_toxicity_reads_whole_runs():
+    """Texts without spaces are told apart by a term anywhere in their one run; every letter of a long run is in some window."""
+    rng = random.Random(9)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 300)]
+    texts, labels = [], []
+    for i in range(300):
+        run = rng.choices(letters, k=150)
+        if i % 3 == 0:
+            run[rng.randrange(60, 148)] = "毒語"
+        texts.append("".join(run))
+        labels.append(int(i % 3 == 0))
+    model = toxicity.train([toxicity.windows(t) for t in texts[:200]], labels[:200])
+    judge = toxicity.Judge(model)
+    assert sum((judge.score(t) >= 0.7) == bool(y) for t, y in zip(texts[200:], labels[200:], strict=True)) >= 95
+    long = "".join(rng.choices("abcdefg", k=301))
+    assert {c for w in toxicity.windows(long[:100] + "x" + long[100:]) for c in w} == set("abcdefgx") and "x" in "".join(toxicity.windows(long + "x"))
+    assert max(len(toxicity.placed(w)) for w in toxicity.windows("ﷺ" * 100 + " " + "\U0001e900" * 90)) <= 256
+
+
+def test_labelled_rows_are_bounded_by_ids(spark):
+    """One labelled id that a great many rows bear is one row of the sample and of the threshold."""
+    many = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    few = spark.createDataFrame([(2, "other"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 1), (1, 0, 1), (2, 1, 0), (3, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = toxicity.labelled(many.unionByName(few), labels, "toxic", lambda i: F.lit(False), 10).collect()
+    assert sorted((r["doc_id"], r["label"], r["text"]) for r in got) == [(1, 1, "text 0"), (2, 0, "other"), (3, 0, "")]
+
+
+def test_quantile_of_worth(spark):
+    df = spark.createDataFrame([(w / 10, int(w >= 3)) for w in range(10)], "worth double, label int")
+    assert quality.quantile(df) == pytest.approx(0.25) and quality.quantile(df.where("label = 1")) == 0.0 == quality.quantile(df.where("false"))
+
+
 # op5
 
 
