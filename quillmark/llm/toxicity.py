@@ -1,17 +1,22 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text. The ordinary one holds
-the words that ordinary documents use most, and those that it would otherwise
-mistake; the toxic one holds the same and, nearest to the window, the words
-that toxic documents have far more often. A window is one distinct word of a
-text: how many bytes shorter it compresses with the toxic dictionary than with
-the ordinary one tells how much of it only toxic text explains. A document's
-score is a logistic function of its windows' differences, calibrated on the
-labelled rows.
-
-Inside windows and dictionaries each byte is followed by its place in the word,
-so that a match starts where the word does, and a fixed mark precedes a window,
-so that every frame has a compressed block and lengths compare.
+Two zstandard dictionaries are trained apart, one on ordinary and one on toxic
+labelled text. Either holds the windows that its own texts use most, and nearest
+to the window those that tell it from the other: for the ordinary one, windows
+that would else be mistaken; for the toxic one, those that its texts have far
+more often. How many bytes shorter a window compresses under the toxic
+dictionary than under the ordinary one tells how much of it only toxic text
+explains. The gain from which a window counts is calibrated on the windows of
+ordinary labelled texts, and a document's score, a logistic function of its
+windows' gains, on the labelled rows.
+
+A window is a distinct word of a text: where words aren't parted by spaces
+(Chinese, Japanese, Thai, Lao, Khmer, Burmese), each two and each four letters on
+end; and of a run of more than PIECE letters, pieces that overlap by half. So every letter of
+a text is in some window. Inside windows and dictionaries each byte is followed by
+its place in the window, so that a match starts where the window does, and a
+fixed mark precedes a window, so that every frame has a compressed block and
+lengths compare.
 """
 
 from __future__ import annotations
@@ -31,20 +36,39 @@ from pyspark.sql import types as T
 
 from quillmark.llm.common import map_texts, remainder, remember_alone
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Scripts without spaces between words: Thai, Lao, Burmese, Khmer, Kana, and Han.
+_JOINED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+RUNS = re.compile(rf"([{_JOINED}]+)|[^\W\d_{_JOINED}]+")
+#: Letters of a piece of a long run (128 bytes at most), and of the windows of joined script.
+PIECE, JOINED = 32, (2, 4)
 MARK = b"~{^}~{^}" * 3
 _PLACES = bytes(range(128, 256))
 #: Differences that a worker remembers before it starts afresh.
 REMEMBERED = 400_000
 
 
-def words(text: str) -> set[str]:
-    return set(LETTERS.findall(text.lower()))
+def pieces(run: str, size: int, step: int) -> list[str]:
+    return [run[i : i + size] for i in range(0, max(1, len(run) - size + step), step)]
 
 
-def placed(word: str) -> bytes:
-    """The word's first 128 bytes in UTF-8, each followed by its place."""
-    raw = word.encode("utf-8", "replace")[:128]
+def windows(text: str) -> set[str]:
+    """The distinct windows of a whole text."""
+    found: set[str] = set()
+    for m in RUNS.finditer(text.lower()):
+        run = m.group()
+        if m.group(1):
+            for size in JOINED:
+                found.update(pieces(run, size, 1))
+        elif len(run) <= PIECE:
+            found.add(run)
+        else:
+            found.update(pieces(run, PIECE, PIECE // 2))
+    return found
+
+
+def placed(window: str) -> bytes:
+    """The window in UTF-8, each byte followed by its place."""
+    raw = window.encode("utf-8", "replace")
     out = bytearray(2 * len(raw))
     out[::2], out[1::2] = raw, _PLACES[: len(raw)]
     return bytes(out)
@@ -62,10 +86,11 @@ def _compressor(content: bytes) -> zstd.ZstdCompressor:
 
 @dataclass
 class Model:
-    """The dictionaries' contents and the calibrated weights of `features`."""
+    """The dictionaries' contents, the gain from which a window counts, and the calibrated weights of `features`."""
 
     ordinary: bytes
     toxic: bytes
+    least: int = 3
     weights: list[float] = field(default_factory=list)
 
 
@@ -73,35 +98,34 @@ class Judge:
     """Compares window lengths under a model's two dictionaries."""
 
     def __init__(self, model: Model):
-        self.weights = np.array(model.weights)
-        self.ordinary, self.toxic = _compressor(model.ordinary + MARK), _compressor(model.ordinary + model.toxic + MARK)
+        self.weights, self.least = np.array(model.weights), model.least
+        self.ordinary, self.toxic = _compressor(model.ordinary + MARK), _compressor(model.toxic + MARK)
         self.known: dict[str, int] = {}
 
-    def gain(self, word: str) -> int:
+    def gain(self, window: str) -> int:
         """Bytes that the toxic dictionary saves on a window, against the ordinary one."""
-        found = self.known.get(word)
+        found = self.known.get(window)
         if found is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            window = MARK + placed(word)
-            found = self.known[word] = len(self.ordinary.compress(window)) - len(self.toxic.compress(window))
+            raw = MARK + placed(window)
+            found = self.known[window] = len(self.ordinary.compress(raw)) - len(self.toxic.compress(raw))
         return found
 
-    def features(self, text: str) -> list[float]:
-        """Bias, the two largest gains, how many windows gain 3 bytes (by the root of all, by all), log of all."""
-        own = words(text)
+    def features(self, own: set[str]) -> list[float]:
+        """Bias, the two largest gains, how many windows gain enough (by the root of all, by all), log of all."""
         gains = sorted(map(self.gain, own), reverse=True) or [0]
-        n, hits = len(gains), sum(g >= 3 for g in gains)
-        return [1.0, gains[0], gains[1] if n > 1 else 0, hits / math.sqrt(n), hits / n, math.log1p(n)]
+        n, hits = len(gains), sum(g >= self.least for g in gains)
+        return [1.0, max(gains[0], 0), max(gains[1], 0) if n > 1 else 0, hits / math.sqrt(n), hits / n, math.log1p(n)]
 
     def score(self, text: str) -> float:
-        x = float(np.dot(self.features(text), self.weights))
+        x = float(np.dot(self.features(windows(text)), self.weights))
         return 1 / (1 + math.exp(-min(max(x, -40.0), 40.0)))
 
 
 @lru_cache(maxsize=2)
-def _judge(ordinary: bytes, toxic: bytes, weights: tuple[float, ...]) -> Judge:
-    return Judge(Model(ordinary, toxic, list(weights)))
+def _judge(ordinary: bytes, toxic: bytes, least: int, weights: tuple[float, ...]) -> Judge:
+    return Judge(Model(ordinary, toxic, least, list(weights)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60) -> np.ndarray:
@@ -123,15 +147,16 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60) ->
     return w
 
 
-def train(texts: list[str], labels: list[int], least: int = 3, ratio: float = 20.0, size: int = 6000, rounds: int = 2) -> Model:
-    """A model of labelled texts (1: toxic).
+def train(sets: list[set[str]], labels: list[int], least: int = 3, ratio: float = 20.0, size: int = 6000, rounds: int = 2, mistaken_share: float = 1e-3) -> Model:
+    """A model of the windows of labelled texts (1: toxic).
 
-    least, ratio: a toxic word occurs in so many toxic texts, and so many times
-    more often there than in ordinary ones. size: words of the ordinary
-    dictionary, to which each of `rounds` adds as many mistaken ones at most.
-    Without texts of both labels the score is the share of toxic ones, smoothed.
+    least, ratio: what tells toxic text is in so many toxic texts (and in a
+    hundredth of them), and so many times more often than in ordinary ones.
+    size: windows of the ordinary dictionary, to which each of `rounds` adds as
+    many mistaken ones at most; the toxic one holds a fifth of that.
+    mistaken_share: of ordinary windows, that may gain what counts. Without
+    texts of both labels the score is the share of toxic ones, smoothed.
     """
-    sets = [words(t) for t in texts]
     y = np.array(labels, dtype=float)
     bad, good = Counter(), Counter()
     for own, label in zip(sets, labels, strict=True):
@@ -139,35 +164,36 @@ def train(texts: list[str], labels: list[int], least: int = 3, ratio: float = 20
     n_bad, n_good = int(y.sum()), len(y) - int(y.sum())
     if not n_bad or not n_good:
         share = (n_bad + 0.5) / (len(y) + 1)
-        return Model(b"", b"", [math.log(share / (1 - share)), 0, 0, 0, 0, 0])
+        return Model(b"", b"", weights=[math.log(share / (1 - share)), 0, 0, 0, 0, 0])
     odds = {w: (c / n_bad) / ((good[w] + 0.5) / n_good) for w, c in bad.items()}
     least = max(least, math.ceil(n_bad / 100))
-    toxic = b"".join(placed(w) for w in sorted((w for w, c in bad.items() if c >= least and odds[w] >= ratio), key=lambda w: (bad[w], w)))
-    usual = sorted(good, key=lambda w: (-good[w], w))[:size][::-1]
+    # Nearest to the window stands what comes last, so windows go from rare to frequent.
+    usual = lambda counts, n: sorted(counts, key=lambda w: (-counts[w], w))[:n][::-1]
+    telling = sorted((w for w, c in bad.items() if c >= least and odds[w] >= ratio), key=lambda w: (bad[w], w))
+    toxic = b"".join(map(placed, [*(w for w in usual(bad, size // 5) if odds[w] < ratio), *telling]))
     mistaken: Counter = Counter()
     for k in range(rounds + 1):
-        extra = sorted(mistaken, key=lambda w: (-mistaken[w], w))[:size][::-1]
-        model = Model(b"".join(placed(w) for w in extra + usual), toxic)
-        judge = Judge(model)
+        judge = Judge(Model(b"".join(map(placed, usual(mistaken, size) + usual(good, size))), toxic))
         if k < rounds:
             for own, label in zip(sets, labels, strict=True):
                 if not label:
                     mistaken.update(w for w in own if judge.gain(w) >= 3 and odds.get(w, 0) < 4)
-    x = np.array([judge.features(t) for t in texts])
-    model.weights = logistic(x, y).tolist()
-    return model
+    gains = Counter(judge.gain(w) for own, label in zip(sets, labels, strict=True) if not label for w in own)
+    total = sum(gains.values())
+    judge.least = next(g for g in range(2, 1 << 10) if sum(n for x, n in gains.items() if x >= g) <= mistaken_share * total)
+    weights = logistic(np.array([judge.features(own) for own in sets]), y)
+    return Model(b"".join(map(placed, usual(mistaken, size) + usual(good, size))), toxic, judge.least, weights.tolist())
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out, rows: int) -> tuple[list[str], list[int]]:
-    """Texts and labels of up to `rows` documents of either label, whose ids hash lowest; rows for which `held_out` holds are left out."""
-    picked = []
-    for value in (0, 1):
-        ids = labels.where((F.col(label) == value) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).alias("label"))
-        picked.append(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    ids = picked[0].unionByName(picked[1])
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return [r["text"] or "" for r in found], [r["label"] for r in found]
+def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out, rows: int) -> DataFrame:
+    """(doc_id, label, text) of up to `rows` documents of either label, whose ids hash lowest; rows for which `held_out` holds are left out.
+
+    One row an id, however often it occurs: the least label and the least text. A null text is empty.
+    """
+    ids = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).alias("label"))
+    picked = [ids.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for value in (0, 1)]
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
@@ -177,7 +203,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "toxicity"
     alone. Equal texts score alike. All rows and columns are kept; a column
     named as the output is replaced; an empty table gives an empty one.
     """
-    key = (model.ordinary, model.toxic, tuple(model.weights))
+    key = (model.ordinary, model.toxic, model.least, tuple(model.weights))
 
     def make():
         remember_alone("toxicity", _judge.cache_clear)
@@ -192,7 +218,12 @@ def held_out(doc_id):
 
 
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = 2500) -> Model:
-    return train(*labelled(docs, labels, "toxic", held_out, rows))
+    """A model of up to `rows` documents of either label; their distinct windows are what the driver is sent."""
+    found = labelled(docs, labels, "toxic", held_out, rows)
+    apply = lambda texts: [pa.array([sorted(windows(t)) for t in texts], pa.list_(pa.string()))]
+    made = map_texts(found, lambda: apply, [T.StructField("windows", T.ArrayType(T.StringType()))]).select("doc_id", "label", "windows").collect()
+    made.sort(key=lambda r: r["doc_id"])
+    return train([set(r["windows"]) for r in made], [r["label"] for r in made])
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = 2500, least: float = 0.7) -> DataFrame:
