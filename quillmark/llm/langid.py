@@ -1,11 +1,15 @@
 """Language of web pages by Bayesian fusion of evidence.
 
-Four kinds of evidence are multiplied: how likely the text is under each
-language's character model; what the markup declares; the host's address
-suffix; and the languages of the host's other pages. What markup and suffix are
-worth is learnt from all pages, as labelled by their text alone, and so are the
-host's priors, which fall back step by step on its domain, its suffix and the
-whole table where pages are few. Counts are grouped aggregations.
+Four kinds of evidence are combined: how likely the text is under each language's
+character model; what the markup declares; the host's address suffix; and the
+languages of the host's other pages. What they are worth is learnt from the pages
+that have text, as labelled by their text alone; pages without text have no vote.
+The prior of a page is its host's share of languages, smoothed towards its
+domain's, that towards its suffix's, and that towards the whole table's, so the
+suffix counts once, as a level of the prior. A page's own vote is left out of its
+own prior and of what its markup is worth to it. A declared code that is a
+language's name counts for that language as a few pages do, so a declaration tells
+something before any page has confirmed it. Counts are grouped aggregations.
 """
 
 from __future__ import annotations
@@ -14,14 +18,15 @@ import html as entities
 import math
 import re
 from collections import Counter, defaultdict
+from functools import reduce
 from itertools import pairwise
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.common import map_texts, saved
+from quillmark.llm.common import blocks, map_texts, saved
 
 HIDDEN = re.compile(r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->|<title\b.*?</title\s*>|<nav\b.*?</nav\s*>")
 TAG = re.compile(r"(?s)<[^>]*>")
@@ -55,82 +60,112 @@ class Model:
                 self.logs.setdefault(pair, [0.0] * len(self.langs))[i] = math.log((counts[lang][pair] + smoothing) / (totals[pair[0]] + size))
         self.blank = [0.0] * len(self.langs)
 
-    def loglikelihoods(self, text: str, most: float = 60.0) -> list[float]:
-        """Of the text in each language, relative to the best; scaled so that the spread is `most` at most, as letters aren't independent."""
-        sums = list(self.blank)
+    def loglikelihoods(self, text: str, temper: float = 0.5) -> list[float]:
+        """Of the text in each language, relative to the best; tempered by a fixed factor, as letters aren't independent. Empty if the text has no known pair of letters."""
+        sums, known = list(self.blank), False
         for pair, n in Counter(bigrams(text)).items():
-            for i, x in enumerate(self.logs.get(pair, self.blank)):
-                sums[i] += n * x
+            if pair in self.logs:
+                known = True
+                for i, x in enumerate(self.logs[pair]):
+                    sums[i] += n * x
         top = max(sums, default=0.0)
-        spread = top - min(sums, default=0.0)
-        return [(x - top) * min(1.0, most / spread) if spread else 0.0 for x in sums]
+        return [(x - top) * temper for x in sums] if known else []
 
 
-def train(docs: DataFrame, rows: int = 300, langs: int = 64) -> Model:
-    """A model from the `rows` documents of each language whose ids hash lowest.
+def sampled(docs: DataFrame, rows: int) -> DataFrame:
+    """(lang, text) of about `rows` documents of each language (all, if fewer): those whose ids hash lowest. One row an id, of several the least text."""
+    known = docs.where("lang is not null and doc_id is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    shares = known.select("lang", "doc_id").distinct().groupBy("lang").agg((F.lit(float(rows)) / F.count(F.lit(1))).alias("share"))
+    return known.join(shares, "lang").where(place < F.col("share")).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
 
-    docs: doc_id, text, lang. The `langs` most frequent languages are learnt.
+
+def train(docs: DataFrame, rows: int = 300) -> Model:
+    """A model from about `rows` documents of each language there is (doc_id, text, lang), whose ids hash lowest.
+
+    The documents' pairs of letters are counted in the executors; what reaches
+    the driver is a count for each pair that occurs in a language's sample.
     """
-    known = docs.where("lang is not null and doc_id is not null")
-    top = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).select("lang").collect()
-    ids = None
-    for (lang,) in top:
-        own = known.where(F.col("lang") == lang).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        ids = own if ids is None else ids.unionByName(own)
-    counts: dict[str, Counter] = defaultdict(Counter)
-    if ids is not None:
-        for text, lang in known.join(F.broadcast(ids), "doc_id", "left_semi").select(F.col("text").cast("string"), "lang").collect():
-            counts[lang].update(bigrams(text or ""))
-    return Model(counts)
-
-
-def identify(pages: DataFrame, model: Model, page_id: str = "page_id", url: str = "url", html: str = "html", strength: float = 8.0) -> DataFrame:
+
+    def run(batches):
+        for batch in batches:
+            for block in blocks(batch, 1):
+                counts: Counter = Counter()
+                for lang, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
+                    counts.update((lang, a + b) for a, b in bigrams(text))
+                keys = list(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)] + [pa.array([counts[k] for k in keys], pa.int64())], names=["lang", "pair", "n"])
+
+    found: dict[str, Counter] = defaultdict(Counter)
+    for lang, pair, n in sampled(docs, rows).mapInArrow(run, "lang string, pair string, n long").groupBy("lang", "pair").agg(F.sum("n").alias("n")).collect():
+        found[lang][pair[0], pair[1]] += n
+    return Model(found)
+
+
+def identify(pages: DataFrame, model: Model, page_id: str = "page_id", url: str = "url", html: str = "html", strength: float = 8.0, trust: float = 4.0) -> DataFrame:
     """(page_id, lang, confidence, text_lang, declared, host) for each row of `pages`.
 
-    confidence: the posterior of lang; text_lang: the likeliest by text alone.
-    strength: pages that each level of the priors counts for at the next. A page
-    without text is decided by the other evidence, one without any by the
-    table's shares; of equals the first language by name is taken. A null url
-    has the host "", null markup declares "". Without languages in the model,
-    lang is null. Rows stay, repeated ones too; other columns aren't read.
+    confidence: the posterior of lang; text_lang: the likeliest by text alone,
+    null for a page without text (or in letters that no language of the model
+    has), which the other evidence then decides. strength: pages that each level
+    of the priors counts for at the next; trust: pages that a declared code
+    counts for by its name. Where several languages are equally likely, as for
+    a page without any evidence in a table without any, lang is null. A null
+    url has the host "", null markup declares "". Without languages in the
+    model, lang and confidence are null. A page's whole markup is read, however
+    long. Rows stay, repeated ones too (each votes); other columns aren't read;
+    an empty table gives an empty one.
     """
     n = len(model.langs)
     address = F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit("")))
     given = pages.select(F.col(page_id).alias("page_id"), address.alias("host"), F.lower(F.coalesce(F.regexp_extract(F.col(html), DECLARED, 1), F.lit(""))).alias("declared"), F.col(html).alias("html"))
+    if not n:
+        null = F.lit(None).cast("string")
+        return given.select("page_id", null.alias("lang"), F.lit(None).cast("double").alias("confidence"), null.alias("text_lang"), "declared", "host")
 
     def make():
         return lambda texts: [pa.array([model.loglikelihoods(visible(t)) for t in texts], pa.list_(pa.float64()))]
 
     rows = map_texts(given, make, [T.StructField("logs", T.ArrayType(T.DoubleType()))], "html").drop("html")
-    names = F.array(*[F.lit(x) for x in model.langs]) if n else F.array().cast("array<string>")
-    best = F.array_position(F.col("logs"), F.array_max("logs")).cast("int") - 1
+    names, every = F.array(*[F.lit(x) for x in model.langs]), F.sequence(F.lit(0), F.lit(n - 1))
     labels = F.split("host", r"\.")
-    rows = saved(rows.select("*", F.when(F.size("logs") > 0, F.get(names, best)).alias("text_lang"), F.element_at(labels, -1).alias("suffix"), F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), F.lit(2)), ".").alias("domain")))
-
-    def counts(*keys: str) -> DataFrame:
-        """Pages of each key in each language, as an array in the model's order."""
-        per = [F.count_if(F.col("text_lang") == x).cast("double") for x in model.langs]
-        return rows.groupBy(*keys).agg(F.array(*per).alias("n")) if n else rows.groupBy(*keys).agg(F.array().cast("array<double>").alias("n"))
-
-    def smoothed(own, prior):
-        total = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(own, prior, lambda x, p: (x + strength * p) / (total + strength))
-
-    shares = counts().select(smoothed(F.col("n"), F.array_repeat(F.lit(1.0 / max(n, 1)), n)).alias("p0")) if n else counts().select(F.col("n").alias("p0"))
-    total = shares.first()[0]
-    p0 = F.array(*[F.lit(float(x)) for x in total]) if n else F.array().cast("array<double>")
-    suffixes = counts("suffix").select("suffix", smoothed(F.col("n"), p0).alias("p1"))
-    domains = counts("suffix", "domain").join(suffixes, "suffix").select("domain", "suffix", smoothed(F.col("n"), F.col("p1")).alias("p2"))
-    hosts = counts("suffix", "domain", "host").join(domains, ["suffix", "domain"]).select("host", smoothed(F.col("n"), F.col("p2")).alias("prior"))
-    # P(evidence | language), for the markup and for the suffix.
-    markup = counts("declared").select("declared", F.zip_with("n", p0, lambda x, p: F.log((x + p) / p)).alias("markup"))
-    place = counts("suffix").select("suffix", F.zip_with("n", p0, lambda x, p: F.log((x + p) / p)).alias("place"))
-    full = rows.join(hosts, "host").join(markup, "declared").join(place, "suffix")
-    logs = F.zip_with(F.zip_with("logs", "prior", lambda a, p: a + F.log(p)), F.zip_with("markup", "place", lambda a, b: a + b), lambda a, b: a + b)
-    judged = full.select("page_id", "text_lang", "declared", "host", logs.alias("sum"))
-    top = F.array_max("sum")
-    weight = F.aggregate(F.transform("sum", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
-    return judged.select("page_id", F.when(F.size("sum") > 0, F.get(names, F.array_position("sum", top).cast("int") - 1)).alias("lang"), F.round(F.when(weight > 0, 1.0 / weight), 6).alias("confidence"), "text_lang", "declared", "host")
+    # own: the language that the text votes for, by its place in the model; -1 for none.
+    own = F.when(F.size("logs") > 0, F.array_position("logs", F.array_max("logs")).cast("int") - 1).otherwise(-1)
+    rows = saved(rows.select("*", own.alias("own"), F.element_at(labels, -1).alias("suffix"), F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), F.lit(2)), ".").alias("domain")))
+
+    def votes(key: str) -> DataFrame:
+        """Votes that the pages of a key have for each language, by its place."""
+        each = rows.where("own >= 0").groupBy(key, "own").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        return each.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("own", "n"))).alias(f"of_{key}"))
+
+    keys = ["suffix", "domain", "host", "declared"]
+    full = reduce(lambda df, key: df.join(votes(key), key, "left"), keys, rows)
+    total = {r["own"]: float(r["n"]) for r in rows.where("own >= 0").groupBy("own").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def others(counts: Column) -> Column:
+        """Votes for each language, without the page's own."""
+        held = F.coalesce(counts, F.create_map().cast("map<int,double>"))
+        return F.transform(every, lambda i: F.coalesce(F.try_element_at(held, i), F.lit(0.0)) - F.when(i == F.col("own"), 1.0).otherwise(0.0))
+
+    def smoothed(counts: Column, prior: Column, weight: float = strength) -> Column:
+        held = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x) + weight
+        return F.zip_with(counts, prior, lambda x, p: (x + weight * p) / held)
+
+    whole = F.create_map(*[F.lit(x) for i, c in sorted(total.items()) for x in (i, c)]) if total else None
+    steps = full.withColumns({"n0": others(whole) if total else F.array_repeat(F.lit(0.0), n), **{f"n_{key}": others(F.col(f"of_{key}")) for key in keys}})
+    steps = steps.withColumn("p0", smoothed(F.col("n0"), F.array_repeat(F.lit(1.0 / n), n)))
+    for key, above in (("suffix", "p0"), ("domain", "p_suffix"), ("host", "p_domain")):
+        steps = steps.withColumn(f"p_{key}", smoothed(F.col(f"n_{key}"), F.col(above)))
+    # What a declaration is worth: the share of each language among the pages that declare it, against its share among all.
+    named = F.transform(every, lambda i: F.get(F.col("n_declared"), i) + F.when(F.get(names, i) == F.col("declared"), trust).otherwise(0.0))
+    steps = steps.withColumn("p_declared", smoothed(named, F.col("p0")))
+    logs = F.when(F.size("logs") > 0, F.col("logs")).otherwise(F.array_repeat(F.lit(0.0), n))
+    steps = steps.withColumn("sum", F.transform(every, lambda i: F.get(logs, i) + F.log(F.get(F.col("p_host"), i)) + F.log(F.get(F.col("p_declared"), i)) - F.log(F.get(F.col("p0"), i))))
+    steps = steps.withColumn("top", F.array_max("sum"))
+    weight = F.aggregate(F.transform("sum", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
+    tied = F.size(F.filter("sum", lambda x: x > F.col("top") - 1e-9)) > 1
+    text_lang = F.when(F.col("own") >= 0, F.get(names, F.col("own")))
+    return steps.select("page_id", F.when(~tied, F.get(names, F.array_position("sum", F.col("top")).cast("int") - 1)).alias("lang"), F.round(1.0 / weight, 6).alias("confidence"), text_lang.alias("text_lang"), "declared", "host")
 
 
 def page_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:

@@ -425,6 +425,57 @@ def test_languages(spark):
     assert {r["lang"] for r in langid.page_languages(df, docs.where("false")).collect()} == {None}
 
 
+def fused_by_hand(pages, model, strength=8.0, trust=4.0):
+    """The posterior's best language and its share, page by page, from counts of all other pages."""
+    langs, rows = model.langs, []
+    for url, declared, text in pages:
+        host = (url or "").partition("://")[2].partition("/")[0]
+        logs = model.loglikelihoods(text)
+        rows.append((host.rpartition(".")[2], ".".join(host.split(".")[-2:]), host, declared, logs, langs[logs.index(max(logs))] if logs else None))
+    out = []
+    for k, row in enumerate(rows):
+        others = [r for j, r in enumerate(rows) if j != k and r[5]]
+        counts = lambda at: Counter(r[5] for r in others if at is None or r[at] == row[at])  # noqa: B023, E731
+        p0 = {x: (counts(None)[x] + strength / len(langs)) / (len(others) + strength) for x in langs}
+        p = p0
+        for level in (0, 1, 2):
+            c = counts(level)
+            p = {x: (c[x] + strength * p[x]) / (sum(c.values()) + strength) for x in langs}
+        c = counts(3)
+        if row[3] in langs:
+            c[row[3]] += trust
+        d = {x: (c[x] + strength * p0[x]) / (sum(c.values()) + strength) for x in langs}
+        sums = {x: (row[4][i] if row[4] else 0.0) + math.log(p[x]) + math.log(d[x]) - math.log(p0[x]) for i, x in enumerate(langs)}
+        top = max(sums.values())
+        best = [x for x in langs if sums[x] > top - 1e-9]
+        out.append((best[0] if len(best) == 1 else None, 1 / sum(math.exp(x - top) for x in sums.values())))
+    return out
+
+
+def test_languages_equal_brute_force(spark):
+    """Mixed pages, of which many have no text: those have no vote, and hosts, suffixes and declarations decide them."""
+    words = {"de": "der und nicht haus".split(), "en": "the and with house".split(), "nl": "het een niet huis".split()}
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words[g], k=40)), g) for i in range(60) for g in [list(words)[i % 3]]] + [(7, "zzz", "en")] * 50, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    pages = []
+    for i in range(80):
+        g = rng.choice(list(words))
+        pages.append((f"http://{rng.choice('ab')}.site{rng.randrange(3)}.{'nl' if g == 'nl' else 'org'}/p", rng.choice(["", "", g, "en"]), " ".join(rng.choices(words[g], k=rng.choice([0, 0, 2, 5])))))
+    df = spark.createDataFrame([(i, u, f'<html lang="{d}"><p>{t}</p></html>') for i, (u, d, t) in enumerate(pages)], "page_id long, url string, html string")
+    got = [(r["lang"], r["confidence"]) for r in langid.identify(df, model).orderBy("page_id").collect()]
+    for mine, want in zip(got, fused_by_hand(pages, model), strict=True):
+        assert mine == (want[0], pytest.approx(want[1], abs=2e-6))
+
+
+def test_languages_of_pages_without_text(spark):
+    """Pages without any evidence stay undecided, whatever their number; a declaration decides the page that bears it, whatever the order of names."""
+    docs = spark.createDataFrame([(1, "the and with house", "en"), (2, "der und nicht haus", "de")], "doc_id long, text string, lang string")
+    pages = [(i, None, "<img src=a>") for i in range(50)] + [(60, None, '<html lang="en"><img></html>'), (61, None, '<html lang="fr"><img></html>')]
+    got = {r["page_id"]: r for r in langid.page_languages(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect()}
+    assert {got[i]["lang"] for i in range(50)} == {None} == {got[61]["lang"]} and got[60]["lang"] == "en" and {r["text_lang"] for r in got.values()} == {None}
+
+
 # op9
 
 
