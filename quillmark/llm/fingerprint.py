@@ -11,6 +11,8 @@ rest on the threshold, leave it out.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,36 +90,64 @@ def merged(df: DataFrame, keys: list[str], column: str = "fingerprint", scale: i
     return one.groupBy(*keys).agg(F.when(F.size(under) == 0, F.array(F.min("h"))).otherwise(F.array_sort(under)).alias(column))
 
 
-def with_next(docs: DataFrame, columns: list[str], per_bucket: int = 64, per_group: int = 4096) -> DataFrame:
+def ranged(docs: DataFrame, columns: list[str], per_bucket: int, bands: int) -> Column:
+    """Column: the range of a row's doc_id, in ascending order of ids, negative for rows without one.
+
+    Ids are cut at their approximate quantiles into up to `bands` bands of like
+    numbers of rows, and each band into ranges of equal width, of about
+    `per_bucket` rows; so an id far from all others widens the ranges of its own
+    band alone. Rows without an id are dealt into ranges by a hash.
+    """
+    n, known = docs.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    parts = max(1, min(bands, known // (per_bucket * 16)))
+    number = F.col("doc_id").cast("double")
+    cuts = sorted(set(docs.select(number.alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 1e-4))) if parts > 1 else []
+    # Cuts in rows of `step`: a row's band is found by two short searches.
+    step = max(1, math.isqrt(len(cuts)))
+    rows = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+
+    def below(values: list[float]) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(x) for x in values]), lambda x: x <= number)) if values else F.lit(0)
+
+    row = below([r[0] for r in rows[1:]])
+    held = F.array(*[F.array(*[F.lit(x) for x in r]) for r in rows]) if rows else None
+    band = (row * step + F.size(F.filter(F.get(held, row), lambda x: x <= number)) if rows else F.lit(0)).cast("long")
+    spans = docs.where("doc_id is not null").groupBy(band.alias("band")).agg(F.min(number).alias("lo"), F.max(number).alias("hi"), F.count(F.lit(1)).alias("n")).collect()
+    low, width = [0.0] * (len(cuts) + 1), [1.0] * (len(cuts) + 1)
+    for r in spans:
+        low[r["band"]] = r["lo"]
+        width[r["band"]] = max((r["hi"] - r["lo"] + 1.0) * per_bucket / r["n"], 1.0)
+    at = lambda values: F.get(F.array(*[F.lit(x) for x in values]), band.cast("int"))
+    cell = F.floor((number - at(low)) / at(width)).cast("long")
+    return F.coalesce(band * (1 << 40) + cell, -1 - F.shiftrightunsigned(F.xxhash64(*columns), 54))
+
+
+def with_next(docs: DataFrame, columns: list[str], per_bucket: int = 64, per_group: int = 4096, bands: int = 1024) -> DataFrame:
     """`docs` (doc_id and `columns`) with next_<column> of the next row by descending doc_id; after the last comes the first.
 
-    Ids are cut into ranges of about `per_bucket` rows. A row's next is in its
-    range, but for the last of each, to which the first of the next range is
-    copied. So every row is moved once and no task sees all rows; only the
-    ranges' ends, one row for `per_bucket`, are looked at by groups, and the
-    groups' ends together. Rows of one id follow one another in the order of
-    `columns`; rows without an id come last. A single row is its own next.
+    Ids are cut into ranges of about `per_bucket` rows (see `ranged`). A row's
+    next is in its range, but for the last of each, to which the first of the
+    next range is copied. So every row is moved once and no task sees all rows;
+    only the ranges' ends, one row for `per_bucket`, are looked at by groups,
+    and the groups' ends together. Rows of one id follow one another in the
+    order of `columns`; rows without an id come last, in an order of their own
+    that depends on their columns alone. A single row is its own next.
     """
-    ends = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    low = float(ends["lo"] or 0)
-    width = max((float(ends["hi"] or 0) - low + 1.0) * per_bucket / max(ends["n"], 1), 1.0)
-    bucket = F.coalesce(F.floor((F.col("doc_id").cast("double") - low) / width).cast("long"), F.lit(-1))
-    given = docs.select("doc_id", *columns, bucket.alias("bucket"))
-    # Which range comes before each one: within bands of ranges, then from band to band.
-    ranges = given.select("bucket").distinct().withColumn("band", F.floor(F.col("bucket") / per_group))
-    bands = ranges.groupBy("band").agg(F.min("bucket").alias("last"))
-    bands = bands.select("band", F.lag("last").over(Window.orderBy(F.desc("band"))).alias("above"), F.min("last").over(Window.partitionBy()).alias("final"))
+    given = docs.select("doc_id", *columns, ranged(docs, columns, per_bucket, bands).alias("bucket"))
+    # Which range comes before each one: within groups of neighbouring ranges (by rank in their band of ids), then from group to group.
+    counted = given.groupBy("bucket").agg(F.max("doc_id").alias("doc_id"))
+    ranges = counted.withColumn("band", F.floor(F.col("bucket") / per_group))
+    ends = ranges.groupBy("band").agg(F.min("bucket").alias("last"))
+    ends = ends.select("band", F.lag("last").over(Window.orderBy(F.desc("band"))).alias("above"), F.min("last").over(Window.partitionBy()).alias("final"))
     before = F.lag("bucket").over(Window.partitionBy("band").orderBy(F.desc("bucket")))
-    lenders = ranges.withColumn("same", before).join(bands, "band").select("bucket", F.coalesce("same", "above", "final").alias("to"))
+    lenders = ranges.withColumn("same", before).join(ends, "band").select("bucket", "doc_id", F.coalesce("same", "above", "final").alias("to"))
     # The first row of each range is lent to the range before it, where it comes last.
-    order = [F.desc_nulls_last("doc_id"), *columns]
-    heads = given.groupBy("bucket").agg(F.max("doc_id").alias("doc_id"))
-    if ends["n"] // per_bucket <= BROADCAST_ROWS:
-        heads = F.broadcast(heads)
-    lent = given.join(heads, (given["bucket"] == heads["bucket"]) & given["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi").join(lenders, "bucket")
-    lent = lent.select("doc_id", *columns, F.col("to").alias("bucket"), F.lit(True).alias("lent"))
+    if docs.count() // per_bucket <= BROADCAST_ROWS:
+        lenders = F.broadcast(lenders)
+    heads = given.join(lenders, (given["bucket"] == lenders["bucket"]) & given["doc_id"].eqNullSafe(lenders["doc_id"])).groupBy(lenders["to"].alias("bucket"), given["doc_id"])
+    lent = heads.agg(F.min(F.struct(*columns)).alias("row")).select("doc_id", *[F.col(f"row.{c}").alias(c) for c in columns], "bucket", F.lit(True).alias("lent"))
     every = given.select("doc_id", *columns, "bucket", F.lit(False).alias("lent")).unionByName(lent)
-    ordered = Window.partitionBy("bucket").orderBy("lent", *order)
+    ordered = Window.partitionBy("bucket").orderBy("lent", F.desc_nulls_last("doc_id"), *columns)
     return every.select("lent", "doc_id", *columns, *[F.lead(c).over(ordered).alias(f"next_{c}") for c in columns]).where("not lent").drop("lent")
 
 
@@ -129,11 +159,13 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def fingerprint_digests(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text and its edited text, and their likeness to one another and to the next document's."""
+    """Fingerprints of each text and its edited text, their likeness to one another and to the next document's,
+    and the share of the text's shingles that either contains (null where the fingerprint tells nothing of it)."""
     texts = with_next(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")), ["text"])
     changed = texts.withColumn("edited", edited(F.col("text"), F.col("next_text")))
     made = sketched(changed, {"text": "own", "edited": "other", "next_text": "next"})
     return made.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), written(F.col("own")).alias("fingerprint"), written(F.col("other")).alias("edited_fingerprint"),
         F.round(likeness(F.col("own"), F.col("other")), 6).alias("near_edited"), F.round(likeness(F.col("own"), F.col("next")), 6).alias("near_next"),
+        F.round(containment(F.col("own"), F.col("other")), 6).alias("in_edited"), F.round(containment(F.col("own"), F.col("next")), 6).alias("in_next"),
     )

@@ -279,6 +279,45 @@ def test_fingerprints(spark, odd, none):
     assert alone["near_next"] == 1.0
 
 
+def test_next_rows_in_balanced_ranges(spark):
+    """An id far away leaves the ranges of the others as they are; gaps, repeated ids and rows without one are in order."""
+    rng = random.Random(8)
+    ids = [*range(20_000), 1 << 60, -(1 << 61), *(rng.randrange(1 << 40) for _ in range(3000)), 5, 5]
+    df = spark.createDataFrame([(i, f"t{i}x{k}") for k, i in enumerate(ids)] + [(None, f"n{k}") for k in range(50)], "doc_id long, text string")
+    given = df.select(fingerprint.ranged(df, ["text"], 64, 1024).alias("bucket"))
+    assert given.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 2000
+    got = {r["text"]: r["next_text"] for r in fingerprint.with_next(df, ["text"]).collect()}
+    order = sorted(((i, f"t{i}x{k}") for k, i in enumerate(ids)), key=lambda x: (-x[0], x[1]))
+    assert all(got[a[1]] == b[1] for a, b in zip(order, order[1:], strict=False)) and got[order[-1][1]][0] == "n"
+    at, seen = order[0][1], 0
+    while seen == 0 or at != order[0][1]:
+        at, seen = got[at], seen + 1
+    assert seen == len(got) == len(ids) + 50
+
+
+def test_fingerprints_equal_brute_force(spark):
+    """Fingerprints as sets by hand: hashes of all shingles under the threshold, or the least; likeness and containment from those."""
+    texts = {i: prose(i, [0, 3, 40, 400][i % 4]) + " " + prose(i // 3, 60) for i in range(40)}
+    texts[41] = ""
+    df = table(spark, list(texts.items()))
+    words = {r[0]: r[1] for r in df.select("doc_id", fingerprint.word_hashes(F.col("text"))).collect()}
+    rows = [(i, words[i][k : k + 5]) for i in words for k in range(max(1, len(words[i]) - 4)) if words[i]]
+    hashed = spark.createDataFrame([(i, *w, *[None] * (5 - len(w))) for i, w in rows], "i long, a long, b long, c long, d long, e long").select("i", F.xxhash64("a", "b", "c", "d", "e"))
+    sets = defaultdict(set)
+    for i, h in hashed.collect():
+        sets[i].add(h)
+    low = -(1 << 63) + (1 << 64) // fingerprint.SCALE
+    kept = {i: {h for h in sets[i] if h < low} or {min(sets[i])} if sets[i] else set() for i in texts}
+    ids = sorted(texts, reverse=True)
+    got = {r["doc_id"]: r for r in fingerprint.fingerprint_digests(df).collect()}
+    for a, b in zip(ids, ids[1:] + ids[:1], strict=True):
+        assert got[a]["fingerprint"] == ",".join(f"{h % (1 << 64):x}" for h in sorted(kept[a]))
+        both, either = kept[a] & kept[b], kept[a] | kept[b]
+        assert got[a]["near_next"] == pytest.approx(len(both) / len(either) if either else 1.0, abs=1e-6)
+        under = {h for h in kept[a] if h < low}
+        assert got[a]["in_next"] == (1.0 if not kept[a] else pytest.approx(len(under & kept[b]) / len(under), abs=1e-6) if under else None)
+
+
 def test_fingerprint_of_few_shingles_in_containment_and_merging(spark):
     """Each short text is in the long one: 1 if a hash is under the threshold, unknown if none is, and its other hash isn't merged."""
     rows = [(i, " ".join(prose(i, 8).split())) for i in range(40)]
