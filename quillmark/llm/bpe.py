@@ -29,14 +29,23 @@ from quillmark.llm.common import map_texts, remember_alone
 
 #: Marks a word's end inside the automaton; no byte symbol uses it.
 END = "\x00"
-#: Words (and token pairs) that a worker remembers before it starts afresh.
-REMEMBERED = 150_000
+#: Words (and token pairs) of a generation that a worker remembers; it has two.
+REMEMBERED = 200_000
+#: Letters of the Unicode version after that of Python's tables which the library lowers, as (first, last, distance).
+LOWERED_SINCE = [(0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B)]
+_LOWERED = {i: i + far for first, last, far in LOWERED_SINCE for i in range(first, last + 1)}
 #: Where these occur, the two regular-expression engines may differ about letters,
 #: numbers or white space; elsewhere the faster one splits.
 UNUSUAL = re.compile("[\x1c-\x1f\x85\u00b2\u00b3\u00b9\u00bc-\u00be\u0250-\U0010ffff]")
 #: The vocabulary file's pattern, and what it means to the faster engine.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Code points that the pattern's engine calls letters or numbers and the library's (of an older Unicode version) doesn't.
+SINCE = "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10d40-10d49 10ec5-10ec7 10ed9-10eee 116d0-116e3 11b0a 11bf0-11bf9 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16130-16139 16d70-16d79 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1ccf0-1ccf9 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e5f1-1e5fa 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
+_SINCE = "".join("-".join(rf"\U{int(x, 16):08x}" for x in r.split("-")) for r in SINCE.split())
+#: The pattern without them.
+EARLIER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}--[SINCE]]+|[\p{N}--[SINCE]]|(?:[^\s\p{L}\p{N}]|[SINCE])+".replace("SINCE", _SINCE)
 FASTER = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+RARE = re.compile(f"[{_SINCE}{''.join(map(chr, _LOWERED))}]")
 
 
 def byte_symbols() -> list[str]:
@@ -77,6 +86,7 @@ class Vocabulary:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
         self.faster = FASTER if pattern == PATTERN else self.words
+        self.earlier = regex.compile(EARLIER, regex.V1) if pattern == PATTERN else self.words
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.known: dict[int, bool] = {}
 
@@ -139,36 +149,51 @@ class Vocabulary:
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")
+            if RARE.search(text):
+                text = text.translate(_LOWERED)
         return text.lower()
 
     def split(self, text: str) -> list[str]:
         text = self.normal(text)
-        return (self.words if UNUSUAL.search(text) else self.faster).findall(text)
+        if not UNUSUAL.search(text):
+            return self.faster.findall(text)
+        return (self.earlier if RARE.search(text) else self.words).findall(text)
 
 
-class _Words(dict):
-    """word -> packed ids, made when missing."""
+class _Recent(dict):
+    """What was made or asked for lately: a full generation becomes the old one, and what is asked for again goes back to the young one."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.old = vocabulary, {}
 
-    def __missing__(self, word: str) -> bytes:
-        packed = self[word] = b"".join([i.to_bytes(4, "little") for i in self.vocabulary.encode_word(word)])
-        return packed
+    def make(self, key):
+        raise NotImplementedError
 
+    def __missing__(self, key):
+        made = self.old.get(key)
+        if made is None:
+            made = self.make(key)
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[key] = made
+        return made
 
-class _Tokens(dict):
-    """packed ids of a word -> its token texts joined by spaces, in UTF-8."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.vocabulary = vocabulary
+class _Words(_Recent):
+    """word -> packed ids."""
+
+    def make(self, word: str) -> bytes:
+        return b"".join([i.to_bytes(4, "little") for i in self.vocabulary.encode_word(word)])
+
+
+class _Tokens(_Recent):
+    """packed ids of a word -> its token texts joined by spaces, in UTF-8."""
 
-    def __missing__(self, packed: bytes) -> bytes:
+    def make(self, packed: bytes) -> bytes:
         ids = memoryview(packed).cast("I")
-        text = self[packed] = " ".join([self.vocabulary.texts.get(i, "") for i in ids]).encode("utf-8")
-        return text
+        return " ".join([self.vocabulary.texts.get(i, "") for i in ids]).encode("utf-8")
 
 
 class Codec:
@@ -181,9 +206,6 @@ class Codec:
     def parts(self, text: str) -> list[bytes]:
         """Packed ids of each word and each special token of a text."""
         v = self.vocabulary
-        if len(self.encoded) > REMEMBERED:
-            self.encoded.clear()
-            self.decoded.clear()
         if v.cut and any(s in text for s in v.specials):
             out: list[bytes] = []
             for piece in v.cut.split(text):

@@ -39,6 +39,14 @@ def remember_alone(operator: str, forget: Callable[[], None]) -> None:
     _remembered[operator] = forget
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with underscores until no column of `df` has it in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def ascii_lower(text):
     """Column: A-Z lowered, every other character left alone."""
     return F.translate(text, UPPER, LOWER)
@@ -80,9 +88,7 @@ def map_texts(
     input column with an output's name is replaced; all others are kept.
     """
     names = {f.name.lower() for f in outputs}
-    source = "__source_text"
-    while source in df.columns:
-        source += "_"
+    source = fresh(df, "__source_text")
     kept = [c for c in df.columns if c.lower() not in names]
     given = df.select(F.col(f"`{text}`").cast("string").alias(source), *[F.col(f"`{c}`") for c in kept])
     schema = T.StructType([*[df.schema[c] for c in kept], *outputs])
@@ -105,7 +111,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         named = context.getConf().get("spark.checkpoint.dir")
         if not named:
-            if not context.master.startswith("local["):
+            if not (context.master == "local" or context.master.startswith("local[")):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             import tempfile
 

@@ -72,11 +72,16 @@ class Model:
         return [(x - top) * temper for x in sums] if known else []
 
 
-def sampled(docs: DataFrame, rows: int) -> DataFrame:
-    """(lang, text) of about `rows` documents of each language (all, if fewer): those whose ids hash lowest. One row an id, of several the least text."""
+def sampled(docs: DataFrame, rows: int, broadcast_langs: int = 100_000) -> DataFrame:
+    """(lang, text) of about `rows` documents of each language (all, if fewer): those whose ids hash lowest. One row an id, of several the least text.
+
+    Up to `broadcast_langs` languages are broadcast, so that only the sample's texts move; more are joined by a shuffle.
+    """
     known = docs.where("lang is not null and doc_id is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    shares = known.select("lang", "doc_id").distinct().groupBy("lang").agg((F.lit(float(rows)) / F.count(F.lit(1))).alias("share"))
+    shares = saved(known.groupBy("lang", "doc_id").agg(F.lit(1).alias("one")).groupBy("lang").agg((F.lit(float(rows)) / F.count(F.lit(1))).alias("share")))
+    if shares.count() <= broadcast_langs:
+        shares = F.broadcast(shares)
     return known.join(shares, "lang").where(place < F.col("share")).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
 
 

@@ -58,20 +58,88 @@ def test_markov_finds_keys_and_leaves_identifiers(spark):
     assert [[(s["kind"], s["start"], s["end"]) for s in r[0]] for r in got] == [[("markov", 2, 22)], [], [], []]
 
 
+def test_markov_on_planted_keys_and_ordinary_names(spark):
+    """Keys that no pattern knows, in prose, are found where they stand; class names, paths, slugs, dates and UUIDs aren't."""
+    rng, alphabets = random.Random(77), ["ABCDEFGHJKLMNPQRSTUVWXYZ23456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijkmnopqrstuvwxyz0123456789_-"]
+    keys = ["".join(rng.choices(rng.choice(alphabets), k=rng.randint(20, 40))) for _ in range(200)]
+    names = "ThisIsAVeryLongClassNameForTests com/example/project/module/File AbstractSingletonProxyFactoryBean a-very-long-url-slug-about-nothing-much get_user_by_id_and_name MAX_CONNECTIONS_PER_HOST 2024-01-05-build-number http/client/HTTPConnection konovelbalantismerdonprasequo".split()
+    rows = [(i, f"{prose(i, 20)} {v} {prose(-i, 20)}") for i, v in enumerate(keys + names)]
+    model = secrets.train(table(spark, [(1, prose(1, 500))]))
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["secret_spans"]] for r in secrets.find(table(spark, rows), model).collect()}
+    hit = [found[i] == [("markov", rows[i][1].index(v), rows[i][1].index(v) + len(v))] for i, v in enumerate(keys)]
+    assert sum(hit) >= 0.97 * len(keys) and model.recall > 0.95
+    assert not any(found[len(keys) + i] for i in range(len(names)))
+
+
+def test_secret_digests_equal_brute_force(spark):
+    """The query's base columns from patterns tried place by place."""
+    pieces = ['token = "', "password:", "Api_Key=", "abcDEF12/+_.=-", "0123456789ab", "AKIA", "ABCD1234", "deadbeef", " ", "x", "\n", "é", "secret: "]
+    rng = random.Random(6)
+    texts = {i: "".join(rng.choices(pieces, k=rng.randint(0, 30))) for i in range(300)}
+
+    def runs(text, at, chars):
+        end = at
+        while end < len(text) and text[end] in chars:
+            end += 1
+        return end
+
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = {
+        "access": (lambda t, i: runs(t, i + 4, low.upper() + digits) if t.startswith("AKIA", i) and len(t) > i + 4 and t[i + 4] in low.upper() + digits else None, 18),
+        "hex": (lambda t, i: runs(t, i, "abcdef" + digits) if t[i] in "abcdef" + digits else None, 16),
+    }
+
+    def assigned(t, i):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if t[i : i + len(word)].lower() == word:
+                for quote in ((1, 0) if t[i + len(word) : i + len(word) + 1] in "\"'" and t[i + len(word) :] else (0,)):
+                    at = runs(t, i + len(word) + quote, " ")
+                    if t[at : at + 1] in (":", "="):
+                        at = runs(t, at + 1, " ")
+                        value = at + 1 if t[at : at + 1] in ('"', "'") else at
+                        end = runs(t, value, low + low.upper() + digits + "+/_.=-")
+                        if end > value:
+                            return value, end
+        return None
+
+    def spans(t):
+        out = []
+        i = 0
+        while i < len(t):
+            found = assigned(t, i)
+            if found and found[1] - found[0] >= 12:
+                out.append((i, 0, "assign", found[1]))
+            i = found[1] if found else i + 1
+        for order, (kind, (end_of, least)) in enumerate(kinds.items(), 1):
+            i = 0
+            while i < len(t):
+                end = end_of(t, i)
+                if end and end - i >= least:
+                    out.append((i, order, kind, end))
+                i = end or i + 1
+        return sorted(out)
+
+    got = {r["doc_id"]: r for r in secrets.secret_digests(table(spark, list(texts.items()))).collect()}
+    for i, t in texts.items():
+        want = spans(t)
+        assert [got[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(s[2] == k for s in want) for k in ("assign", "access", "hex")], t
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, k, e in want).encode()).hexdigest()
+
+
 def test_secrets_on_odd_rows(odd, none):
     model = secrets.train(odd)
     found = secrets.find(odd, model).select("doc_id", "text", "source", "secret_spans").collect()
     assert len(found) == odd.count()
     by = {r["doc_id"]: r["secret_spans"] for r in found}
     assert by[1] == by[2] == by[3] == [] and by[5][0]["kind"] == "assign"
-    assert secrets.find(none, model).count() == 0 and secrets.train(none).shape == (secrets.STATES, secrets.STATES)
-    cleaned = secrets.find(odd, model).where("doc_id = 5").select(secrets.redacted(F.col("text"), F.col("secret_spans"))).first()[0]
-    assert cleaned == "[SECRET]"
+    assert secrets.find(none, model).count() == 0 and secrets.train(none).ratios.shape == (secrets.STATES, secrets.STATES)
+    cleaned = {r["doc_id"]: r["redacted"] for r in secrets.redact(odd, model, out="redacted").collect()}
+    assert cleaned[5] == "[SECRET]" and cleaned[1] is None and cleaned[2] == "" and cleaned[7] == "Ünïcödé «tëxt» 漢字 😀"
 
 
 def test_redaction_of_overlaps(spark):
     df = table(spark, [(1, 'a token = "0123456789abcdef0123" b 0123456789abcdef c')])
-    out = secrets.find(df, secrets.train(df)).select(secrets.redacted(F.col("text"), F.col("secret_spans"))).first()[0]
+    out = secrets.redact(df, secrets.train(df), out="redacted").first()["redacted"]
     assert out == 'a [SECRET]" b [SECRET] c'
 
 
@@ -89,6 +157,9 @@ def test_bpe_equals_library(spark, odd, none):
     for text, row, e in zip(texts, got, library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert list(memoryview(bytes(row[0])).cast("I")) == e.ids, text
         assert row[1] == library.decode(e.ids, skip_special_tokens=False)
+    codec, points = bpe.codec(bpe.vocabulary_path()), [f"a{chr(i)}1b" for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for text, e in zip(points, library.encode_batch(points, add_special_tokens=False), strict=True):
+        assert list(memoryview(b"".join(codec.parts(text))).cast("I")) == e.ids, ascii(text)
     made = bpe.encode(odd)
     assert made.count() == odd.count() and bpe.encode(none).count() == 0
     assert {(r["doc_id"], r["decoded_text"]) for r in made.where("doc_id < 4").collect()} == {(1, ""), (2, ""), (3, "")}
