@@ -9,41 +9,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import bpe, decontam, minhash, secrets, toxicity
-from quillmark.llm.common import shared_folder, table
+from quillmark.llm.common import fresh, shared_folder, table
 
 #: Documents with this toxicity or more go.
 TOXIC = 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the toxicity model, fitted on the labelled ones, doesn't reject."""
-    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="__toxicity").where(F.col("__toxicity") < TOXIC).select(*docs.columns)
+    """The documents that the toxicity model, fitted on the labelled ones, doesn't reject.
+
+    Null, empty and very long texts are scored like any other. Equal texts go or
+    stay together, repeated rows too. An empty table gives an empty one.
+    Further columns, whatever their names, stay as they are.
+    """
+    model, out = toxicity.fitted(docs, table(spark, sf_dir, "labels")), fresh(docs, "__toxicity")
+    return toxicity.score(docs, model, out=out).where(F.col(out) < TOXIC).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, a likeness of 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, a likeness of 0.8 or more.
+
+    The least id stays, of rows that repeat an id the one with the least text.
+    Null, empty and blank texts, and rows without an id, are duplicates of
+    nothing. An empty table gives an empty one; further columns stay.
+    """
     return minhash.deduplicated(docs, size=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that overlap no benchmark item."""
+    """The documents that overlap no benchmark item.
+
+    Rows of one id, or without one, are judged together and go or stay together.
+    Null, empty and blank texts overlap nothing. An empty table, of documents or
+    of items, gives back what is there; further columns stay.
+    """
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark and n_chars told anew where text changed."""
-    found = secrets.find(docs, secrets.train(secrets.sampled(docs, 4000)), out="__spans")
-    text, spans = secrets.redacted(F.col("text"), F.col("__spans")), F.col("__spans")
-    clean = found.withColumn("__text", text)
-    changed = F.size(spans) > 0
-    return clean.withColumn("text", F.col("__text")).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """All documents, with secrets replaced by a mark and n_chars told anew where text changed.
+
+    Null texts stay null, repeated rows stay equal, texts of any length are read
+    as a whole. An empty table gives an empty one; further columns stay.
+    """
+    out = fresh(docs, "__redacted")
+    found = secrets.redact(docs, secrets.train(secrets.sampled(docs, 4000)), out=out)
+    changed = ~F.col(out).eqNullSafe(F.col("text"))
+    told = F.when(changed, F.length(F.col(out)).cast("long")).otherwise(F.col("n_chars"))
+    own = {"text": F.col(out), "n_chars": told}
+    return found.select(*[own[c].alias(c) if c in own else F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (packed, 32-bit little-endian) of every text, and how many, instead of the text."""
-    made = bpe.encode(docs)
-    return made.select("doc_id", "lang", "source", "n_chars", bpe.n_tokens(F.col("token_ids")).alias("n_tokens"), "token_ids", F.sha2("decoded_text", 256).alias("decoded_sha256"))
+    """Token ids (packed, 32-bit little-endian) of every text, and how many, instead of the text.
+
+    A null text is encoded as the empty one, to no ids. All rows and all other
+    columns stay; one named as an output is replaced.
+    """
+    outputs = ("text", "n_tokens", "token_ids", "decoded_sha256")
+    kept = [c for c in docs.columns if c.lower() not in outputs]
+    decoded = fresh(docs, "__decoded")
+    made = bpe.encode(docs.select(*[F.col(f"`{c}`") for c in kept], "text"), decoded=decoded)
+    return made.select(*[F.col(f"`{c}`") for c in kept], bpe.n_tokens(F.col("token_ids")).alias("n_tokens"), "token_ids", F.sha2(decoded, 256).alias("decoded_sha256"))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -55,7 +82,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("bpe", encode_tokens),
 ]
 
-#: The toxicity model, shingle hashes and BPE have no SQL; tests hold run() against brute-force versions.
+#: The toxicity model, secret models and BPE have no SQL. Tests hold run() against a version by hand: exact
+#: likeness of shingle sets, every window against every item, and the library's own encoding.
 ORACLE_SQL = None
 
 
