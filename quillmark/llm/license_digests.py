@@ -1,930 +1,131 @@
-"""Canonical digests of full licence texts: (license_id, SHA-256 of the canonical form, its length).
+"""Canonical digests of full licence texts.
 
-Fixed values, made with `licenses.canonical`: texts as published and with each
-paragraph on one line, with and without title lines and closing appendices; the
-short ones (BSD, ISC, MIT, Unlicense) with lines of 50 to 100 characters, as a line
-that begins with "copyright" leaves the form.
+Fixed values, made with `licenses.canonical` of the texts as published, with and
+without title lines, preambles and closing appendices: (license_id, SHA-256 of the
+canonical form, its length, its first 32 letters, whether it is the core that the
+licence's other forms hold).
 """
 
 FULL = [
-    ("Apache-2.0", "183b24ed028d88900367b356b804abca549acfeb584784d55722dc578b8a6098", 8507),
-    ("Apache-2.0", "b243e3ac730d412daa3f4b24bd7c49642bcac2ca84e661c62fa8b5a65752a7b0", 8535),
-    ("Apache-2.0", "567ce9974ae6914b0a51936b14cec50b196dca45adc466e31df59a9e3132d0cf", 8563),
-    ("Apache-2.0", "daf3ea2d447d0e8bbe973de58bee1cdacec38192e1b9b18d64e661129b5b59c5", 8579),
-    ("Apache-2.0", "1e6be31f8cb8c16a559d988ccd077f4e1143def5f71e7f86765b9aa065e14760", 8591),
-    ("Apache-2.0", "0280682249963f6035b16c93596f3668acc1864dd51f76666d36e49bc57ff2f1", 8607),
-    ("Apache-2.0", "3b9c16ea51a641b403d7e4e9e0b9db2b54d5dd473209204fb6e59d3906b594e5", 8635),
-    ("Apache-2.0", "19c65429b4ed4adc57ee166173fb85cde96fd0e45135ff4a7dbdf15cf6c6a71b", 8663),
-    ("Apache-2.0", "ce33a1140db6dee0e1b30af14c66af1d7c8d9a33de62d962731a97995d039ba5", 9538),
-    ("Apache-2.0", "c0c0b95f5abe529a4d12bee63dcddc61ee7cc98f2ee2b9bfbc6b14d6224ca94b", 9594),
-    ("Apache-2.0", "de47d12bdd35da464652867b840a907f923573fe5655de7dfd4eef4d074cc659", 9610),
-    ("Apache-2.0", "db6599304f3baa7756981551caf4baa75f2d121687ec4981c0f044e5d14bb153", 9666),
-    ("BSD-2-Clause", "486c5a79f9c9e1d3c9fd02148242f01a0e06d3c87129e40ca1c6c973609cc929", 1037),
-    ("BSD-2-Clause", "047f7f3b6d6f2d1ca18c906698805b140db8ed4f5e2d8e21c9e61d3ccbf5ee7d", 1044),
-    ("BSD-2-Clause", "495c75a67a96ebc37cde1bb7e3bf893aa7489ba849d1371f73aa567066eba7b1", 1057),
-    ("BSD-2-Clause", "3adc887b03a4b313f08b9042652e9e5a1032a18c662b479927143e2452e572c8", 1058),
-    ("BSD-2-Clause", "efaf14e8ae43a9d76e97043b10910c93d0b5caaf220913c14c12f349fb817fb2", 1062),
-    ("BSD-2-Clause", "66620cb7b17d58762e14cd245150deb250497c2400947ca73a5259384989f247", 1064),
-    ("BSD-2-Clause", "ded5cf7c91017e1b58fd3b1adbcfc7c3879ee27ff1cfcb02eec3aec1df8b7a5e", 1065),
-    ("BSD-2-Clause", "43822845fe776750b248eaf81e4f553bf3186f25995be83e84a27e2bc2f79e47", 1069),
-    ("BSD-2-Clause", "2e26e021711b5d9631c88f8c0aafdb208594c8f804ab6bc051861d0ed78ad2ef", 1071),
-    ("BSD-2-Clause", "2a5ec32b1a1dbaea1abfc1e6634bd672adf53b76d75e91ef6a7f5b5ce9888a38", 1074),
-    ("BSD-2-Clause", "aa6caadee42683703ad530c6e2ed6877849bcb16c8d2d34958831589f2b2f3e0", 1075),
-    ("BSD-2-Clause", "6aa31f447e64b02386f400a5ae760c12249b1d2d46c5cb5a5823cbd6d42b3cbc", 1078),
-    ("BSD-2-Clause", "d25da49f065ee99b012bc3069ac83c6df49c58683899972f88e61f0175c79b73", 1078),
-    ("BSD-2-Clause", "e37e3fc9f1f585052e6d1c5d92cc34caaafc76281396cb112ed48bf015df8ec2", 1079),
-    ("BSD-2-Clause", "1c0f29f577dd0a264bfcb782f525a4337ed6e7b082da7ce7e204d9d1bdf3a5fc", 1080),
-    ("BSD-2-Clause", "193c6fd67c82b8b28265d7d75bb7e8546790070300c56a7dd1cc1f10b0a89d17", 1082),
-    ("BSD-2-Clause", "152df053ae636c8ba6ef842145f9d990aae26a3fb29e8da1278aecc4c11992ff", 1085),
-    ("BSD-2-Clause", "08d8793da27e4d85c6c284322e0b9bb667258d392b28a6a690ff4f5bc1e4331f", 1089),
-    ("BSD-2-Clause", "6a87f9aa76e24e5e3c53520d84bd7a7696f71745fa526f7f08857d89f7c9ede9", 1090),
-    ("BSD-2-Clause", "6b8cf338d34ea9e04053404e93983362dd67ebe00ed3ae1057d75e33c72b000f", 1091),
-    ("BSD-2-Clause", "42c64f58611cbe8c07c45a7f259c96df5a1e403368e54c19a765720aeeec959b", 1092),
-    ("BSD-2-Clause", "d79c88c2992d7bd5657aaf16ec0313aada67de1ccf916755110eee6253aeb17b", 1094),
-    ("BSD-2-Clause", "dc1275bfb226b807cfd6335e5fc2cf540481b4c0e50a7d8d9d7ac8b058023548", 1094),
-    ("BSD-2-Clause", "834bb7ff9a78edec0c43053372cc3cc915e0bd62db28603318e9e91486ffa3d8", 1095),
-    ("BSD-2-Clause", "8dac0394a6f484bce39926a431445a0b3a1189f62fde4d528cde48fbdf0e3867", 1095),
-    ("BSD-2-Clause", "e6aa59660db36f4d70d04887b38e3eb781b2331bd6abe9d2521b2e31c03a33c1", 1095),
-    ("BSD-2-Clause", "4987478bb92b6e85a414a80e733094a42e01c4416c8c0798dbebf6d8d4c1a255", 1096),
-    ("BSD-2-Clause", "e4baef52fde379abb0acd793f811c80e9125e6338e1e75819481eaed28b0f4a0", 1096),
-    ("BSD-2-Clause", "2cdbd19e6cce863a8c4d3f9d772e9031a973b4c15532f1d54d1f5e8dcbabcdf3", 1097),
-    ("BSD-2-Clause", "3d3b1bfcc6d83147ae629d3a6d87008df7c3ac55d9e5c7de9cf0eb169ad33a84", 1098),
-    ("BSD-2-Clause", "529a212c262afe066889ef08ef0122e1dbf74c59a5279f9098edbcb7e79152f5", 1098),
-    ("BSD-2-Clause", "2c6bd6b96aceb50702b7b863d454d258d55497bef961d9a9ae9b8b804b87fab4", 1099),
-    ("BSD-2-Clause", "509f666858f5159edd9cb773b09bf6b481ae791faeb7d7789ad359e5ffc80752", 1099),
-    ("BSD-2-Clause", "57e0cbe42c009b911925ea5edbd8324587e569fb9d93fc7860b25c25b26a6a53", 1099),
-    ("BSD-2-Clause", "d05b764a85100d2cabe8035a2ee483a58e3d4da8595345609bbda6e1295ec8ec", 1099),
-    ("BSD-2-Clause", "24fec97a045adf3f654bbf8d2925d096207c632172bb4e6635deb0678704bb89", 1100),
-    ("BSD-2-Clause", "737440156313382fc9d150f5fe2f7169fcd4e4b3b985c8ac722c8303771f7d85", 1100),
-    ("BSD-2-Clause", "fba0c63606fc3748d94b0734e3a234e159b649e571554696f02e46aba2d7596b", 1100),
-    ("BSD-2-Clause", "02ba455f3f46bdc8ecf0f812120e246703dd476fcd0bb6e768d4504e517c68e5", 1101),
-    ("BSD-2-Clause", "0bf14fbef913b055a754cb60511fc8de984f8aaa3d08315a8abf9463385534bd", 1103),
-    ("BSD-2-Clause", "846841864df57168733893a7faa3cc417c278dee48fa8478d1845c903f0cdca5", 1104),
-    ("BSD-2-Clause", "cd17ca05a9fd280cca4a1b5ad83ed46324f31da615f613bfeeac565f1362d4b1", 1105),
-    ("BSD-2-Clause", "ff422dec13bf86fa71167ad5d8df05bf613d41cfdd8777b6717794b85ca0fdb3", 1107),
-    ("BSD-2-Clause", "d144ba470291fcbea192122ee87942726e8f3ce940fc2a2ef07eff68686d2ee8", 1110),
-    ("BSD-2-Clause", "6a0639b4ef31ee33b84bbe2cd784ad68ef3558ce5c08285bbafd459fa1e0fa34", 1111),
-    ("BSD-2-Clause", "f2d1e1e0a375553c64bc8ae7ff2280be75707044af28710ecec469fd1430b7f2", 1111),
-    ("BSD-2-Clause", "b1419ee6326dbb88506f4aa0781bc778378016660a4e19bbf55ca1e3ab3ca612", 1112),
-    ("BSD-2-Clause", "57a172b31798e30e8afdea698f266079f332f5959da73a3278d2407dc1c4fa7c", 1114),
-    ("BSD-2-Clause", "6489df8f3bfbf96af1b8b3f85b7278336b86b01d24a5af50b7ef5ad1c7c451bc", 1115),
-    ("BSD-2-Clause", "7ccf284bd8e799fa563a2f39038b1cb528487170ae5a09ed8bf3e5f410f2a97a", 1115),
-    ("BSD-2-Clause", "b8ea8c13c504fc0885fc5e56248e599348b96aca7e149f9184d870a2cc4cd40a", 1115),
-    ("BSD-2-Clause", "d184b5e3d78ddb4d077c5a3671bdb120ac86213b7af2d60e933e586c86a95b27", 1115),
-    ("BSD-2-Clause", "5d818069ec731e9c3b1b77ba24f53b18eac4eee63b6cee9b447c021ac95ccf2b", 1116),
-    ("BSD-2-Clause", "5f6d4fbde7735ba93de49b5da7bb79b615108698109b636ad69a8b7cf9018ba1", 1116),
-    ("BSD-2-Clause", "b0163446c3049dcaf982cdef9887d5dd9efd271eedd20c5b462f28e638e1ee22", 1116),
-    ("BSD-2-Clause", "80a6fa8d39d949408ee60b9b2cf720c6978e79d7771cc757a2a5cd7831df3fac", 1117),
-    ("BSD-2-Clause", "0daf699c76af85574d0b15fa4aa367e9eef563ffa245766eefa89d533fa2d91e", 1118),
-    ("BSD-2-Clause", "4b0224be8ab95933bacbafb86a9496373165c44566f7c8dd153861af92a153bb", 1118),
-    ("BSD-2-Clause", "1fe39939e31b062996d713af63c179c8c60f1f8ad97ba0a4868eea6800ebe993", 1119),
-    ("BSD-2-Clause", "89f74def23361fecb34e312214b24c14cc39f0431347493485e683ad4ca6c134", 1119),
-    ("BSD-2-Clause", "9eddd73ad7630d3685308d8c0f585c4b202de00eff0aaec87cc6b3544127ee84", 1119),
-    ("BSD-2-Clause", "a0be988917d26df54f327f77a9f3a624c6ab26d4f37ea0904bb5143ca7758554", 1119),
-    ("BSD-2-Clause", "fc5ed711c23c415b4781cb4c22e318d308d1f574b9fc4338d6bc84a7950f8fd3", 1119),
-    ("BSD-2-Clause", "8c4d325a445ce396c2e3fbcfb4b6b55746f07e9d0757372b47c8841dd761c7e8", 1120),
-    ("BSD-2-Clause", "b7a97a4cd183d9206b68e49fd6b6f14b58190e75f5e822f6ef83d8d851d7bd4d", 1120),
-    ("BSD-2-Clause", "b8e47ce080cfa01977fe32e2754cc0f0f1fe482f7bd51f2e10b6860f5864c63d", 1120),
-    ("BSD-2-Clause", "f8e058ab5f69a7b216225f78aeea70cb4e472d549fb308429ea414789909cdf7", 1120),
-    ("BSD-2-Clause", "d29c5574460ff1817df029a8b11577a82b7da42009ad23bd69beb40b1468cb49", 1121),
-    ("BSD-2-Clause", "f4ec44b04caa59ac99454454ada7126774370ed8f94b2b3cd4c646751deb5ec4", 1122),
-    ("BSD-2-Clause", "34eed97d11c363a98cb6e2ddd5aebf6b25b44fabe292e3627d88af96ef506b5c", 1123),
-    ("BSD-2-Clause", "47491b43348a408593b1fa485ca181754ae0383f0f781f778329ee3d3ed69a0d", 1123),
-    ("BSD-2-Clause", "142db4ff97fc8fde6968104acea75da31dd21028af10d0af1c4939bd90fd6c26", 1124),
-    ("BSD-2-Clause", "ac172d515f864e2d1dc73f56084dba45363e0fc361809ebc9dde77b67516af85", 1124),
-    ("BSD-2-Clause", "0bcda3f33f9923f742fd553bc0336d05105a412fa8304cb5342222e6266ca068", 1125),
-    ("BSD-2-Clause", "3ff743c3aedb9858eec3d4cc7581f9c7ae9acc51c27ace3e4e52a321358729bd", 1126),
-    ("BSD-2-Clause", "1f0ed2efe2254ff6b1475ff0f6c26914b8ac2b05be8ceb4ec69d7fac62adff7d", 1127),
-    ("BSD-2-Clause", "6a609591c79cc6521ad57679022e1bdd6477731e6a89588281afff18174230ad", 1128),
-    ("BSD-2-Clause", "302281c371585c8eb34cabb723fb40185a3efeb5bbb0c46f7e1728918ab5380e", 1130),
-    ("BSD-2-Clause", "3706935d61ecd3d3a9d26a2a0438b26861d25023aa4a01645befd9887dcf978c", 1131),
-    ("BSD-2-Clause", "400c67a5224787355342361fe00103c116f0ccee903ff16fbf8f81ec669ef9c2", 1131),
-    ("BSD-2-Clause", "468d578876d510bf793ec74334f01a242bc315542daf954cca31dca4f50aa37d", 1132),
-    ("BSD-2-Clause", "815cf339ff84a016846e25ed94ea028a2e124884c0049952e9dd96388bc91dd4", 1132),
-    ("BSD-2-Clause", "bf4f7cfed9298c09d396078993d3bdeadded0c0c189b5f157436a5eb6a53af38", 1133),
-    ("BSD-2-Clause", "aba277afc643dbf1494368bf6762217a15117b2e5ce234f1971e64a05cd252f8", 1134),
-    ("BSD-2-Clause", "075f78b428d2aa19844f88708810a11495002fc82ad4e489d36523c361fc0d16", 1135),
-    ("BSD-2-Clause", "2706e9b3775808debd0605442aa932bb7c1796cc264c5a6c26a920df0ced3b11", 1135),
-    ("BSD-2-Clause", "7ea5ea5c1901236f217af42ce12a3491c74efef8c60b374d3a8065db5b54b7e5", 1135),
-    ("BSD-2-Clause", "67edf633eed2193671ce24d8e644d54a81b98a54ea7fbccda237ddb60294de7b", 1136),
-    ("BSD-2-Clause", "cb9107748b848060717a78eb022452880c85198fce4173ba0fd3ba4a379ce63b", 1136),
-    ("BSD-2-Clause", "06f8ee44eb71c61888169d785a096adc17e49e8f7d9ab472126b65f462cab7b5", 1137),
-    ("BSD-2-Clause", "349168cc5c9f16306ca3cdbf3442914dcedb3b7a169a9d26e3859408c4197859", 1138),
-    ("BSD-2-Clause", "a902e483b29c262ee7e4bedd9aedc11d06cfe76a6a0456df6ebc6830985d29ac", 1138),
-    ("BSD-2-Clause", "3548782100fc635d09336fcdcab757774fab9a0747311426418e06cc6f4ca7d8", 1139),
-    ("BSD-2-Clause", "cdb99df9ea8da9489334b2edd13211b6829440f19a418993bb1d70eed1d62c56", 1139),
-    ("BSD-2-Clause", "89f0d27f6b6b7c8343edc3162f68af665d034bbe8da93c3a7d126941c6c7f9f9", 1140),
-    ("BSD-2-Clause", "f1055e15a2e7a51c7ebacb23a476509e7019856a81cafd884f61202844b45fc3", 1140),
-    ("BSD-2-Clause", "91aba45964147b0014ef75689b3a3b9a21da6f2f6123d3d401a1fe259ae21a8e", 1142),
-    ("BSD-2-Clause", "64edcc6038c34dbd1bebeaa6c084b9c10358a83e7577fcd0a8be2003d547350d", 1143),
-    ("BSD-2-Clause", "737bfe17aee64e861530bc6d63130191372703333e574d170ca0f7c6c3a45638", 1143),
-    ("BSD-2-Clause", "4c7945a8f6b0855132615e05b82b0d12d48b02e931f189f4dcd8380d3bb7994f", 1144),
-    ("BSD-2-Clause", "55743a818205dd9161550be5e49b949853fd6e8310cbc392984b49b3bb2d0b4c", 1144),
-    ("BSD-2-Clause", "25dd2fcfbb2db79c8fe35837f895f8e11a24312b7579ebab226f3c6e3637a560", 1146),
-    ("BSD-2-Clause", "a3662323f889ddeb47b7480e468db50af3282aad57bb828f3a920b853244244b", 1147),
-    ("BSD-2-Clause", "d56940a417adfcfe468ff1a10ae3836d780ce8be1f88984420c43cc351ff3944", 1147),
-    ("BSD-2-Clause", "78b971b09d2204d56e781cba410351d7ed95153e8bbec17e6288c2975109026d", 1148),
-    ("BSD-2-Clause", "7f320d5eca2e8d853020eea912fa3794c9b45da5365822f81fa40d90ccaa2efd", 1148),
-    ("BSD-2-Clause", "6c614af5bc88e1ff899c8942fc3099635fb16dafb37a951a0803b019fa82844a", 1150),
-    ("BSD-2-Clause", "4c3fc9f21890ed2d0da044d07847a55f1c155df0673e7efb7886a28f9c46f25f", 1151),
-    ("BSD-2-Clause", "a4b94ecd45e0eefa1288cfb97c181d83533f4b59f047f52905ed098793c7af7b", 1151),
-    ("BSD-2-Clause", "338ff14838bce0d3fb66c4cab051ba7ed2c482883648a536b4f5e056ac0a0619", 1152),
-    ("BSD-2-Clause", "67809568d679dd748fa3d6cfafedfa8d3cb56101c0c3bdf49647e9f4b80ecd38", 1152),
-    ("BSD-2-Clause", "1127bada214e14268a36b27dd6ad53577e404eefc579c4d2e3c1fbff72ab6e6b", 1153),
-    ("BSD-2-Clause", "42406bd2032d0ef843d41c2b92d3dca8dd6a2331861200e8654b7a22f9f77924", 1154),
-    ("BSD-2-Clause", "9dfe123024fd9daa6425975fb792aa7a91a2ba400852b26644b4309fd1c9c489", 1154),
-    ("BSD-2-Clause", "5e3773d0812205162b4bbe7dbf238f8eb7cc98cdc3f34bd0764df6c76ac2977b", 1155),
-    ("BSD-2-Clause", "ababa3c4e7300b4bec117c0937b99a6251bb34cadcbd0178eec9122cc5db4241", 1155),
-    ("BSD-2-Clause", "d19f5c423617b16640885e4f1deab7dce1392b24e32e3589efdd80ae65558fb8", 1155),
-    ("BSD-2-Clause", "091b7f555b14c4f29dd58deb693dee271efec9352ca241f5508360d1cb110762", 1156),
-    ("BSD-2-Clause", "41bc1786b148439fd2643a26a4fa2f6a32fc38897ceef8f1cbab27eea6cf52b7", 1156),
-    ("BSD-2-Clause", "635563309e7f03d2204403d6041f8a5cd1a55c1a1dae85a81df67a9597115933", 1157),
-    ("BSD-2-Clause", "02ae0ae97a76028664256c46c7ea980bb1cf23bc4b73cbc9ff80111ea15a65f3", 1158),
-    ("BSD-2-Clause", "58bdf186ce81cd3729c04ed5675a8963b9cd0ff20cde1ab890ec347fdc3ccdeb", 1158),
-    ("BSD-2-Clause", "e1c9ee22a78b1ae2d95519f1959556f9ca0809f223339573ed7258b89f3d03cf", 1158),
-    ("BSD-2-Clause", "564b161c057027eba2949bbc2e717f2ed5c66dfb4ea7319e692c553c93521a6f", 1159),
-    ("BSD-2-Clause", "b2c17352411726f6843e41644a29441d9bdaae69ff4557617f43bdde125bb1be", 1159),
-    ("BSD-2-Clause", "39fe576e9854674e76af2000fec05fb36ff68bdfacab295d229a4f29c9f75be5", 1160),
-    ("BSD-2-Clause", "7419f017766c07c16c569e2b22029a50097580529a62fec1de2be2f76d6ba618", 1162),
-    ("BSD-2-Clause", "14104ab1e098fe66ee896a73865e24a1cf8e46a00ac5760e7405ad4dee378243", 1163),
-    ("BSD-2-Clause", "37506a22130c10c4a82ca9bd3fe7b591ba2803179450b36e74c88b153eba3640", 1163),
-    ("BSD-2-Clause", "055e0ade47cdb74415c761f49ed5501927df0e4455ca595f8bfc7b55f147ff70", 1164),
-    ("BSD-2-Clause", "a0b6a81472c1c55c8cf4c6607c1597061630e1ef5e4455eb670d84dd4871f7da", 1164),
-    ("BSD-2-Clause", "aa12c48301d3a4ef48fe312047af933da5495abc817f033acc50c7834c5585c3", 1165),
-    ("BSD-2-Clause", "15d0a7d3bb4311215a9c84e8b3f7ba8abc962ec138ea315146ad75c7bd69e227", 1167),
-    ("BSD-2-Clause", "9fe478a5ace4c3beff68f62c70ce1c5acf55a7da2fbae456504c4b675ef85ee2", 1167),
-    ("BSD-2-Clause", "91a7da600793cb147e7b9890d7432a7713e16626f1778e604a0a640e5e4f087e", 1168),
-    ("BSD-2-Clause", "b56cca54c736ae05576a5d5303f40c8230d9e4a9eac95c551d301ebdc8d5f951", 1168),
-    ("BSD-2-Clause", "d1e97412b013c279851d4dd4ddacf49e1653e590906af4408af5a7e8446bc31f", 1168),
-    ("BSD-2-Clause", "29cd40ffa6ca1b7caecfc54303ef6902f10099361437053e8caea07b1395e897", 1169),
-    ("BSD-2-Clause", "cd8b4d5c1a95eaea5f28ff3a7510450e65328337165f42cd79ebcc6ea5435f93", 1169),
-    ("BSD-2-Clause", "33d9432d1014e56df4e116e666728ec7cf5dc730b3394c6515999b35fe57c086", 1171),
-    ("BSD-2-Clause", "7108f81b99348fe6f9cfd8a2d1678ab4dac0dac3efb87a57083c00f7b0bf4d15", 1171),
-    ("BSD-2-Clause", "dc1822d7f35d374fe29fe90c6694649ce499cc4f31d4de8067558b8d1cb97477", 1172),
-    ("BSD-2-Clause", "4d4de188172bdafd1dc59ca1d468143a357430fb9f16f09ff3ad12c6def756e2", 1173),
-    ("BSD-2-Clause", "adae9194fafe71ef6cb7c2c07828bbaaaca9d8ecf02f6a33a74e64553dce526b", 1174),
-    ("BSD-2-Clause", "af511b6eee8a55ccf22ec18939131e3377a18d0e9fc1edb06369192f6fad102e", 1175),
-    ("BSD-2-Clause", "fa520f0c6f816ddfe9e45eb360e4b10ab02f10ff6ad93d00e7d0cf6189efc5e7", 1175),
-    ("BSD-2-Clause", "6436fc5f9650870c48851880613e1beeaf6062c9d0f961dc718d65ac96028993", 1176),
-    ("BSD-2-Clause", "6dc31fdeb4c667adc6686d6525cb32b351bced941e1d5eb9fdfda5979cfca469", 1178),
-    ("BSD-2-Clause", "764d36b3b3cfce500725994abf42ff81dd267ef6dc086c63fb5e2547051ecf0d", 1178),
-    ("BSD-2-Clause", "2133407a91fb2f7432fde337a2f94c237fffb30c5ecf239e45fcd192ec20197c", 1179),
-    ("BSD-2-Clause", "7737f0abd6c04536f78c4aa21a82a11776fa2bad8ed68bb7fd6f0fc65498751d", 1179),
-    ("BSD-2-Clause", "3b4a31e9abd5b7807e82d58d78c8cb2e1f3558f94b3abf4f8debb9a135b881a3", 1180),
-    ("BSD-2-Clause", "d0f417748423c8b2d3f832b090ca5642c3cd966f4f1201127f9bb3d61b112d73", 1182),
-    ("BSD-2-Clause", "13a05493754687adb11de7d607104b77c71a1c2851594eeb786aef4a3f16eeae", 1183),
-    ("BSD-2-Clause", "7fe89fab3f4b27809690bfc2422d855defdb6be2cad1b8186e50030d2ddb29bd", 1184),
-    ("BSD-2-Clause", "d6069e4b670b6f044817a4eb33cb950212dfc7f4d9957f800fa45eb56a1df55e", 1185),
-    ("BSD-2-Clause", "15b75c2cfce3030d72196c61fcc721272fe2bcf3c841266d76b9c4401bdff832", 1188),
-    ("BSD-2-Clause", "20464c0637b18e4740d4abdcf1c032614256485925729ff8ff1996c12cf14460", 1188),
-    ("BSD-2-Clause", "25ed073b06b1d79a48ce921770f52c900d673df3a398b20d5ce3b1f9aebf4f77", 1189),
-    ("BSD-2-Clause", "7cbb991d0f33edad1387f047651363a9c6c60b5addd5ec58a8b65324e24ecf8e", 1189),
-    ("BSD-2-Clause", "4a2aa2848c2a5c8e6b9b0c87b6a94198c68643a9f3479878cadf078a2263ed45", 1192),
-    ("BSD-2-Clause", "7be8178e4e9d0dea6ff4b04bd52bd086d7ea8386a5a6e09760df916bae5d42d2", 1192),
-    ("BSD-2-Clause", "986c3c3199a93b916c8f2e0aeed57819bcbdcb2cd9d99902dcc9d74b53f93a74", 1193),
-    ("BSD-2-Clause", "a39907d36ea6860a3a08dc66fd77e0334d288d362a499d2d02a6bfcd3c846f8d", 1193),
-    ("BSD-2-Clause", "5151319f99abfc15f9a1aab05c799faf3b0e5715fac5a5812b9d3566ae984374", 1196),
-    ("BSD-2-Clause", "a56fee4b2f66331ed54da4950ef9c9391453fd1490b4d8ea202bc29683bcbd30", 1197),
-    ("BSD-2-Clause", "9c47a682ef64c4e02c50c208384916c7f80087d4e4395b2b06e65a4c4b08b152", 1212),
-    ("BSD-2-Clause", "6a5d49c15e02e9e94957d78177d86e8631be9a19549a7cfd2e8c3be2699f00b9", 1213),
-    ("BSD-2-Clause", "957c3854a3d72e069e7f5e48857ad9ab76135f14c70d60fa9ec6ef9a928d45dd", 1213),
-    ("BSD-2-Clause", "23d7258e25bd67982ccec4b5bfc05631a20f8ee5bd5fe7eb70694c100aae88d2", 1214),
-    ("BSD-2-Clause", "68f54bd97d77aa7c6d7a3706ff20555e202ff9393a9e5eaf4f0ebede2ff51a1f", 1216),
-    ("BSD-2-Clause", "117fa84a7ffb2cb3a2ba7d18dd284e7283b034d6fb6c6419721ee4e28b5306fe", 1217),
-    ("BSD-2-Clause", "85c46767b6234227cebe127f5c22b9ede02ee48dda5f148ccefe8432c4d93221", 1217),
-    ("BSD-2-Clause", "eda2ad636e738f6a26a2fea902bb734ee48c789a5b40035b8db3659bd951e5bc", 1217),
-    ("BSD-2-Clause", "447686a56472ea2e9713ca89034ee666e6646bd1a33eba38690cb875708663e2", 1218),
-    ("BSD-2-Clause", "e90608a663ae638023eb95a6ae359f7b6b865e6237fa832c48500c4e1af035b9", 1218),
-    ("BSD-2-Clause", "239190ee903aca2851ccd5099cd7954d026d60f9b9f98e391ca652499c6aaae1", 1221),
-    ("BSD-2-Clause", "f9c0de945db946a0b06e8587a80b1b35b3f3e48a0f63cb64860eb4e433d32c7b", 1222),
-    ("BSD-2-Clause", "63151a500234e07ef3e50814b0d1d07db92c9481191003b577fbf42336ed40a0", 1233),
-    ("BSD-2-Clause", "a11471bc40750a21bd4508891b5626642657a09eaa0ef1ec576be7d37fe5ada8", 1234),
-    ("BSD-2-Clause", "759fbc88d1a61bf63640c42d23a213634de667f3d7ae64bc844d566a6cb7dd57", 1237),
-    ("BSD-2-Clause", "ef3c818b28792f48774a4d16b461004c5e21338f9f74f2664f41f86803c30d60", 1237),
-    ("BSD-2-Clause", "b9578a124b7f83b06b28da656e009d5188b5c664c402b7c018c56cfaeb24b00a", 1238),
-    ("BSD-2-Clause", "f4befedc01589c90d5effeae5f64453726c8fded8e4b6fe6c36f99d303581f1f", 1238),
-    ("BSD-2-Clause", "b27ae1244cfe7ac22545c64d69df9d6f21fefc643e67fffab979dcb62c1df56b", 1241),
-    ("BSD-2-Clause", "218f5b650f149e23f159537f8b1ab16d0ff44722e0038a34bb90a58b3442864a", 1242),
-    ("BSD-3-Clause", "f0e69cf9466249e57159286143d66dbff170f22de0fa57866076ff98c231bc46", 1214),
-    ("BSD-3-Clause", "d092dcd0b8a2173f9776b36536a50abe7c0d0d7eeaccc5b9366772937f3ae04d", 1221),
-    ("BSD-3-Clause", "1249477861e89f1bd043cbb1b6cc7a7884c27e8bccfd495fe072e417421f4e22", 1224),
-    ("BSD-3-Clause", "9f71d1987f0befb0d9414d930ec453e3c61b70b2fa7c1b526d11d37d7a7ae0ee", 1225),
-    ("BSD-3-Clause", "348fc5c18ce0607a313b28b17a24347c69ef0e86bbbc1cfdf63dd82357cf76c5", 1231),
-    ("BSD-3-Clause", "7e274b6d2a95b49a73f09d0a1b14809915f7a347c1c00d39ae209357caab194c", 1232),
-    ("BSD-3-Clause", "9727935a654d6d5380fc2ea9ee987878d2a68c8080d559968eada71b12c4d286", 1234),
-    ("BSD-3-Clause", "ae2230a76ed8d1e742bfe92cd99f3c588be8a8c0c27f7e02a2182b6128a15742", 1235),
-    ("BSD-3-Clause", "ae81d1c0e74d1b4546e43cd3608823816f34b3107e350224e0f8598f84e01988", 1239),
-    ("BSD-3-Clause", "06f2a1843dbd2c9e85bca2fb6c69c93020f668fd5b83821aab5826778db16987", 1241),
-    ("BSD-3-Clause", "3caaa40161048eb2eb755a2db18ed80af8071d6fa6f38e095a3ccdb04ae4c1cd", 1242),
-    ("BSD-3-Clause", "e517ef9b91f5d32ac2dc7b445dcce551b9f542f6af681bb29f525ad4014d7dff", 1243),
-    ("BSD-3-Clause", "95aa9d8ecdf1d6d8577e48d482d1b37af7e9c534c51b0421e5d86c5c0a632a5b", 1244),
-    ("BSD-3-Clause", "4d4e4cc35e297f61b4b915d94c006499c4220465962eb3c687e18f95fc780c09", 1245),
-    ("BSD-3-Clause", "de5d5e6e49fbc6a5d64ac6f1fee5c344b4438d881b4afc14dd131489414d4f7c", 1245),
-    ("BSD-3-Clause", "53e9de2734ea4ea3adb1c5abf4bf96e2bb7674714da02eda6f4ba9f94a9ff914", 1246),
-    ("BSD-3-Clause", "ed44348c53176d2f844813d2dc0d71893c523060c5365073c8761426f85693bc", 1246),
-    ("BSD-3-Clause", "907eb854f396f4eea57a28f2a3eecdc5030547a710f38704a673ac0c98ef1c0c", 1249),
-    ("BSD-3-Clause", "25a4e0eff93fd01755ff1e08be55dc52b20ed9aa9892d72e71866950ab5300bc", 1250),
-    ("BSD-3-Clause", "c14a3df5d9d44e072ec4b5de38d1a1821836bf243a6753b1ce8da50baf0638dd", 1250),
-    ("BSD-3-Clause", "d1237bb28b8ff7ba3a50e4d7015ad59cab993d1d1069c14452a528c490476b66", 1251),
-    ("BSD-3-Clause", "e0221e82a92d5013bcf95f4e08bf5b1a52bf16ce283e8e41e3e6440f311740bf", 1251),
-    ("BSD-3-Clause", "9ed2dd2789c1887a5ebb9d6c332ef207f9076ee1eb959de0a82e79cb1e52d603", 1252),
-    ("BSD-3-Clause", "aae08a1a56472c60d58d93554f8fac210e745ed1dfdd7f73c129508dd68608b6", 1252),
-    ("BSD-3-Clause", "ced8fdd941f44459d18f765ef3236b57f825475357f434d01ebe7c53d069f0a8", 1252),
-    ("BSD-3-Clause", "7422e79ac2f92aab27d97dfb4e67ca8058d52e5ae2b6519e4f0502da54e6e98f", 1253),
-    ("BSD-3-Clause", "8571b8b5f12d550b3d274e61283b01b93c2a868a4a3f7bb3638ebd9f11701616", 1255),
-    ("BSD-3-Clause", "c48b2aa966a8a939722382966eded1dd8bc61b76d9ae69ff06ae1b120d1aa006", 1256),
-    ("BSD-3-Clause", "39fbdeaf383018e45286f88ad3dc977232211e1b6da8f5003358b95bd21f859f", 1257),
-    ("BSD-3-Clause", "af7d9d3386b6f647cf401ca35860d666df62501de9eccc7c32d2a0df95ebf796", 1257),
-    ("BSD-3-Clause", "4c29f2c20e35096a29477995ba59d016a27782bd61b2815a0012f5ef41987d67", 1258),
-    ("BSD-3-Clause", "2828acdd9e19a8087ef78c90a78da4e02f57ce53b61029b7bd7cff821a60acad", 1259),
-    ("BSD-3-Clause", "eb85b78a4175e06ff22724327d3ffb948501b82e129e862d0268900d34d0f9a1", 1259),
-    ("BSD-3-Clause", "47febcbcb6fd7914a4a37e79bea027d29f87cf44332f8368f67e02528e96a187", 1260),
-    ("BSD-3-Clause", "3f739658d099c8939eea7c28198f60965d1136233da12d606b1254180a638524", 1261),
-    ("BSD-3-Clause", "cd3c4791a66a756dabafee8f95b056a63013cd257664813be85dfb5bb7ec21b6", 1261),
-    ("BSD-3-Clause", "02518b1a59eb75bc5e093c1bda078bbdac5f97d1bc5004511bb818447a07d6eb", 1262),
-    ("BSD-3-Clause", "3ff0aab0c8eda8455de83fe07680908a0ed41d3818a8c4bcdbe3c173dc16960d", 1262),
-    ("BSD-3-Clause", "980c5bb6cb6663aa7d54d9faef9ae9d6763610451e00d636147c4ad6e969fa06", 1262),
-    ("BSD-3-Clause", "41dc728823402f7eb04af788198973b86b8992dbadf4445f6242cbe32f58fe6b", 1263),
-    ("BSD-3-Clause", "7df86d45d7a34d3c2ea83caa63c76a02b29d0fcc099d2d2077215a2acbd55498", 1263),
-    ("BSD-3-Clause", "b7796aa7ed2c611e15d1f925152491cf6e9756718348b58219a5390bef9c725b", 1263),
-    ("BSD-3-Clause", "a2568c7c93a0f27957d5d77ca20c97f40aebaac97ac637bd0719addf53cad41f", 1265),
-    ("BSD-3-Clause", "35f50bd3196e5ed9750f7ce4e961aaf3abf488a56767bf945505dd9b5354de65", 1266),
-    ("BSD-3-Clause", "f95223ec1d8c8760c85f1bfd4a44611f737490d95553de168211242aba1cd14a", 1266),
-    ("BSD-3-Clause", "f15b5367a5b21500ad61ac988d561f114dfba954728747ca5557f30477109012", 1267),
-    ("BSD-3-Clause", "5baa507b43a9f02824b950207604acfd92a7f185f1a6c23ecf9f01a3d0c704c1", 1268),
-    ("BSD-3-Clause", "a9fb4347cd2ffd75fcd0b1ab478c8dd05f57c4218b39ae3e05f0d01e28c7cff2", 1268),
-    ("BSD-3-Clause", "0ea004333ed308f8e11851cf969fd5db88803f566239812f9fb73d196adab222", 1269),
-    ("BSD-3-Clause", "118cfb4b1d3a104e92946b054a19438d965600d11ffa5a89d96b668cec328123", 1269),
-    ("BSD-3-Clause", "a49c6a53d0c35bb8d958544a7b143839f37db7aca0eb14899d0205bc311bed3e", 1269),
-    ("BSD-3-Clause", "cdd8c2f1b2541838cea0d2cf77d5608f044244b3acb9444b34ae6684a5e24e4f", 1269),
-    ("BSD-3-Clause", "a128989f4fc87d4eb3fe25451872020213fabcbc1f245ad9925efb9b73bae7e7", 1270),
-    ("BSD-3-Clause", "c7e3d14ee922e12165ff329cf53c907e9b788856d258c377ada8a87e22c05df9", 1270),
-    ("BSD-3-Clause", "d04dc6cc02d4275cab359c6d92f72b046cc8a24018662169083eb2cd56ceb827", 1270),
-    ("BSD-3-Clause", "559f8be6d716d48446355be19a1d13283967e988764b1f471051088178975b48", 1271),
-    ("BSD-3-Clause", "ac4d0daaa813be0c0fec33494556b20d41f44577192fcd6ce6e66ae263ede13d", 1271),
-    ("BSD-3-Clause", "b056f2b4339c1da489f3de36c3f4578031d6633567fd07ad6b38447ec9e5787e", 1271),
-    ("BSD-3-Clause", "3d055b5407520e3327bd3ffe8cff3d5e9be274e2ca163cffc7dc90dec54f679a", 1272),
-    ("BSD-3-Clause", "4619308a5f0b2860bed8458c04a0ef2a815bdecc31668c4850fde04da141d15c", 1272),
-    ("BSD-3-Clause", "7d00890a6ad2a959ef374fc0836ebcb7d3da7d8fc6aa8b23f1340f9b9512dca5", 1272),
-    ("BSD-3-Clause", "83d0c3f3455cf91bd67c8b4168a3d9579142d772ba936c5f3aa8b781208eaeb8", 1272),
-    ("BSD-3-Clause", "29d4dc0b7ccd6ad31ec84d8e1b6cadcb004be6d771d2167be5baba6d75d2d6d8", 1273),
-    ("BSD-3-Clause", "a0c7f75d7bdfbcdd9145f9dcc8dfde82b7ba2056104359f8898737a31e186683", 1273),
-    ("BSD-3-Clause", "7b2762775417ff3e28da538b9f52366d2422a3b32d0b5a1fe883423635413311", 1275),
-    ("BSD-3-Clause", "18a134db23afac77ed101bec2403f6a6f8b1f24197a4531a8496720e4a239719", 1276),
-    ("BSD-3-Clause", "acf1e2d4cf498f7a6a40f5938fe5a9241e391d441d05f42d214edeea3251255b", 1276),
-    ("BSD-3-Clause", "fe587c9dd70d806677cfb48794fedca322e9e81eac09cdda2e6bd379eae64397", 1276),
-    ("BSD-3-Clause", "52738fe7b8cdf8063f9aab792781219bf39c86616cab8a277dd315cc5ffbe3b1", 1277),
-    ("BSD-3-Clause", "53992b9aedf51637e7ad0b80c9a19e3b1101e60af646789bf07ad1534bf8d1d7", 1277),
-    ("BSD-3-Clause", "7f4dff61e43b750ca694962ddfb2137bb5ca6d5f3869b37b9559164d2b982ae5", 1277),
-    ("BSD-3-Clause", "cc5a2d2b29096e73c3fbdb79f4023ef9e942599bf14483853115dbbfbf060735", 1277),
-    ("BSD-3-Clause", "81628acd14d76c34723bedc49619ddc343d96b57ab2c0dd65bee9854988af20f", 1278),
-    ("BSD-3-Clause", "cf7d1e3f9db9b9eae21cf589dc8cba5787f7a7905d83e715a3f114b9ce9de6c7", 1278),
-    ("BSD-3-Clause", "d87521ff7ab8c4aa70ffae833907b6fb030baf79eef1477ef46cdac8d445fd25", 1278),
-    ("BSD-3-Clause", "66a189ad6d10fbb59dde11c7d5c9678db30687bd43ec350dd5e48c049347b53e", 1279),
-    ("BSD-3-Clause", "b28cdaf07d395fb45621cc61686ac15b6dcabb32784e463bc1d6b17e917da0a9", 1279),
-    ("BSD-3-Clause", "ebaca73b7e3f616f367b19b01f8a743e0e33b4225102c90169b7ad8092d337fb", 1279),
-    ("BSD-3-Clause", "313ba051924fc7e9ad0799e0697f1c421ea897fcbc1083a5598230491ed364e4", 1280),
-    ("BSD-3-Clause", "4c062f88ddf0c2d6c92759d51564ed845679b8b1ad2a1a7d0c944c16747eae32", 1280),
-    ("BSD-3-Clause", "610fadabc8c838459c7e203080059e43b178f598b26ec35d2ea497c14a07e0a9", 1280),
-    ("BSD-3-Clause", "4a1ab8837372cea90cb2a723ef42180f32b303dc981fdcf5ad3c8f5b47c30f6f", 1281),
-    ("BSD-3-Clause", "4fb496f642ea94cc1359198689d079a5d4631caab15bc2f3f1e3e976eddf4c16", 1281),
-    ("BSD-3-Clause", "8bd7094b27edcf5dffd338d8a1d8d93ea997eba41282c3c46c1c3bb63397d7e6", 1281),
-    ("BSD-3-Clause", "d624ab80a55136ce0092a14f6661b066b8f40c45f60f6cc7dd77e87dbe14b18c", 1281),
-    ("BSD-3-Clause", "197dfca79e412fc0a520f296b8c065090824f500db565488d3bb737e78e444ea", 1282),
-    ("BSD-3-Clause", "31edb6cb8cd8ffc629116c422153088e49a8fc14d294cac5f7bc22d81570f05b", 1282),
-    ("BSD-3-Clause", "3d1469689c6b10d74c74a31c2fa3d70967c4256add0ba9ff44a791ceef453b69", 1282),
-    ("BSD-3-Clause", "6d4504d52dbe0a205902e304260e8257d956886bf22eb4de38a5566e3a771e45", 1282),
-    ("BSD-3-Clause", "b62cae29262c36fa4ef6dbb6cfafe5ac6e6d960fb8e0924e2820f7f4a5f3c51d", 1282),
-    ("BSD-3-Clause", "dc8d9e7444cfe3350584b8878b17bd3d727785c6aaf6c5304a977e4a2c691692", 1282),
-    ("BSD-3-Clause", "ee218ba111491c71429c9a437d9fe8fe71a8fe4c3cc936dcc2a14df097fec715", 1282),
-    ("BSD-3-Clause", "0cfd6ab6cb8d1caa97c21234d17adf428438854e024739125f95d3c50a895193", 1283),
-    ("BSD-3-Clause", "1789604e2d48fa9a7d76ce014fda6af06c0b0ea882342cc3203266e0cb32d609", 1283),
-    ("BSD-3-Clause", "41132d7dab96264c34f36a08a88cb3a3cb37c71a908a85503bdde700bedd7ead", 1283),
-    ("BSD-3-Clause", "813584efb5c17951497f379a818de372c73976c2b361bd0faf0363c15be5aa37", 1283),
-    ("BSD-3-Clause", "b1bb056d3a934bf616c459892d8234ec31ae0745d05271228d7b574c8fb0381a", 1283),
-    ("BSD-3-Clause", "b5c263aec10658dd41db3363140e32874e2ff17d4c258907b85d517a31629ec8", 1283),
-    ("BSD-3-Clause", "6b8a9f6c5da8a1793bcbc105aa118876addf482a7114e3c92bfaa9842cb25249", 1284),
-    ("BSD-3-Clause", "6f60455c0ac253f3c3c9d6fa4a345abde22b1ed00c5f160627e9ff941d1f495d", 1284),
-    ("BSD-3-Clause", "e486b8225c3d2ad1b1fb6863a09d6cce3e3afb4d094440f1e0d90ba13ab22f35", 1284),
-    ("BSD-3-Clause", "3f4c37391f7e427049dd3169b08b0c9da24d79a9f88b50d8950b8873ab8895c4", 1285),
-    ("BSD-3-Clause", "04156088d7e5244203d5e700fed188b4bfb1e35bfafb4b1cb9750340e2be001e", 1286),
-    ("BSD-3-Clause", "1a79b81edf7b585e9f615fabd0c84b6c42cce59bff56a696adf14884a45b1327", 1286),
-    ("BSD-3-Clause", "9e838bb2fae605584860e7f7a5a5e0be4db70b116f235e1d8825936efe476329", 1286),
-    ("BSD-3-Clause", "8979c01134a5b771fada7b6c8fbbd2d554f55225b4d19641a2d76fca980d5591", 1287),
-    ("BSD-3-Clause", "95f5acc969b6d63540458f8e37cf5b16d09cbfc5906866b86270e90a849ce936", 1287),
-    ("BSD-3-Clause", "a947f6f60fe5c3206e63deddf0ceb577560a5d49d20006ec105398de88fdd56f", 1287),
-    ("BSD-3-Clause", "e0af29a6330a5a7abe2317d902122739eb2451591c36cdd1dd4df63de98d5960", 1287),
-    ("BSD-3-Clause", "e1723d2dbf64cd117cd972ad821695d54492ecd865191e5fca1614eb36de26fd", 1287),
-    ("BSD-3-Clause", "a1acfb6fbcdcccae82f1912e7fbe07e14031ea9b53a8fd322bf47bc2dce4d94d", 1288),
-    ("BSD-3-Clause", "b82e64c7ecace8cd8dd67d11ac476ad94f81cbcf6d28f57b7303d9dbcd138a3c", 1288),
-    ("BSD-3-Clause", "c64ce17f4341cce03584e1e95429301adc46fadb93ffad62636a7864f77d410b", 1288),
-    ("BSD-3-Clause", "d64255c14e9b8d646d5b4c525cc3fc37d1d32d1d11836fc2b741497cf9219647", 1288),
-    ("BSD-3-Clause", "e7c724412b3cc0a385bd6ecfa8441ae92a639cf126835cf01ff183445750dbf8", 1288),
-    ("BSD-3-Clause", "ef551918c3393a317d8119b7a6b5e755156ab1cf56536e9c0b59745b29b7c3d8", 1288),
-    ("BSD-3-Clause", "1a7a05ffe47e0ed863db3df9d686214b7841b1a74cf7af84e4bef744be6b75f1", 1289),
-    ("BSD-3-Clause", "58c6cc53203552dc46606536313adde0500d6793a6882ce9324e342e1d11a29b", 1289),
-    ("BSD-3-Clause", "af21c712aedf88490c3cf54e0f8653d488bed03e53917f6d5d963b7deb547579", 1289),
-    ("BSD-3-Clause", "b3c75a86ef9bd60550ac083f27e8eb2a61218f1c9be4214bb45a6fba43b65dda", 1289),
-    ("BSD-3-Clause", "ddf7d19bd97224a5ebe6ed2034d44d9c12d4d31e184cff81557a0f778e529555", 1289),
-    ("BSD-3-Clause", "e702572ff344d5d23c672a63d8355902d79d4350d1989ad94410bc866633c28d", 1289),
-    ("BSD-3-Clause", "1ec444ca902cf530f70587cceba38955b6e95c642219c5ea29c7b4d200d027c0", 1290),
-    ("BSD-3-Clause", "20458881a5da30180c4480205fbeac449bbabd103ce34600aa1df1f446aee2ba", 1290),
-    ("BSD-3-Clause", "2227c0770f9927bc6a6560735b5a32333d401292268e4b7bf99e5f5813c2873a", 1290),
-    ("BSD-3-Clause", "2b67d24344a67848360e62ce7e420f4f0f53188fa6cd59ac27753cc767de3615", 1290),
-    ("BSD-3-Clause", "98d7a070b8c4911ff1543a65cafbc39353c5b0b5d533640a9d6932fb19ba5239", 1290),
-    ("BSD-3-Clause", "60d11ae737455509344debeb3cf5267c37ee37c1aa055051f67d415ff2ad30e4", 1291),
-    ("BSD-3-Clause", "76a44f4123350d9c716144d6987a59eb9e15377e9776b401baf2563c0c6f4811", 1291),
-    ("BSD-3-Clause", "a178ed10f409ce61a15295d515c6ee7de17b13ea11a2e07a8eac904314a97a47", 1291),
-    ("BSD-3-Clause", "2eb89ff5011be4d4d7fe8b9ff2958c3a8eb4d45a4cdb3e50bdc0337dd7789b25", 1292),
-    ("BSD-3-Clause", "44ce5e7eaf6ccc8c3a75ddae6a143fe4fd2490968f6b117b917e36ef5d15c0b5", 1292),
-    ("BSD-3-Clause", "95c47bf6cf611d23fde530861453df3397e5c58a4706f577418bd04a3f212313", 1292),
-    ("BSD-3-Clause", "ed8f5bdb659af7e5763c73d480d1c0c87b2709b15f6fc6152e8331af634cd9ab", 1292),
-    ("BSD-3-Clause", "0b708566b8e6af0eb8ee28bf693b8fccbf721f2ecb1ec51e2fcfba1a7ffb1235", 1293),
-    ("BSD-3-Clause", "11343070dfd6982279a75bea651a0a9d553dd420370d4102f730c74bf64ad601", 1293),
-    ("BSD-3-Clause", "28e2a07865894170d4cc3391aca011a79ffa65776619c062685c6057f576251d", 1293),
-    ("BSD-3-Clause", "66bc67212d6f390fd503d0c1ecc1975cd9f55adc62a796301ed761177d3a5230", 1293),
-    ("BSD-3-Clause", "241cc2ed8bd9dfa469477b218b96931e1b822fe81862250e7b95ac115aed0a14", 1294),
-    ("BSD-3-Clause", "2ff8b8deb86902e1bbffccd67d7c8b883d38977cf5f2d3db242b40daaa725a1e", 1294),
-    ("BSD-3-Clause", "a6876dc25cea40d5a795590505e409357874eb6cfdabde943d5e8f2f2433bdba", 1294),
-    ("BSD-3-Clause", "eed5065be43efb59450b57af84f4f23be990e20a564b4e9a6fbae8a6548b6196", 1294),
-    ("BSD-3-Clause", "2c9f0f833243789f3389afe4d9c3810cdb4116443a35a6b0a96571f381bde962", 1295),
-    ("BSD-3-Clause", "45b910d9d2bee6f3bf8470b2bd463dd5766f0e5297da6b121ec277025ad47cb7", 1295),
-    ("BSD-3-Clause", "e16a89cff302c403efc59c7c6805ce9504fb0222c6cc328317ffb6f2157f4044", 1295),
-    ("BSD-3-Clause", "0d0bee8ffc929a0ddacc556ad42a2124481c1144aca6c3fc8fe7794d4b737403", 1296),
-    ("BSD-3-Clause", "364d1e5976f2e955610e1acecccac5e1c97831fe92f16cfa5d7d4f5c0ba17638", 1296),
-    ("BSD-3-Clause", "628dc3b5999d07e485bc7f3bc88d441734beb8894d7379ff5714de2eafd3b1b8", 1296),
-    ("BSD-3-Clause", "594e382a15325d3eb402b4c96e76aa77c99757dc5de24de46ec9d25e2d19919d", 1297),
-    ("BSD-3-Clause", "b0b8564bd5943a7e8277bd78d43cfcbcdeeb6ef9241feb0504153a21c0bf3595", 1297),
-    ("BSD-3-Clause", "d05c3c740f8e3bd06548c019bbcc0412dfe5243dfc8c4058597ddb5e5652e8ad", 1297),
-    ("BSD-3-Clause", "d4dd750c784645fbb232f9efa1e424a11c596141aa89d9f4332307159be63fd4", 1297),
-    ("BSD-3-Clause", "519830b10cef265eeec5cbfece680e01a1b4f69b2672d47ea6a50f14a58de351", 1298),
-    ("BSD-3-Clause", "5e49b23b45e26a7bfcfb18a550c3519f1089000e49d759660e504c2010f97ada", 1298),
-    ("BSD-3-Clause", "7d849a2b6c89afb4f773573b7794b5b2d2ceaea3e49c71b92e697a39289f9e16", 1298),
-    ("BSD-3-Clause", "11679ac2ffe966ae9fc7913c0c15a6ba3d3442c9afaa67750b8e643410233693", 1299),
-    ("BSD-3-Clause", "73e02dd1a628124240938fe211aaa1675578b8dc9d3e9bf580c4023cc4188d61", 1299),
-    ("BSD-3-Clause", "d37cba8a8a0f811f205ee246ed3b9a58523a53ee4508ecbfc8692b53ef691a9d", 1299),
-    ("BSD-3-Clause", "8566c10c4554dd5bad2d35aa10afbe86690fa7cf211fc6a77fe449f6045a357c", 1300),
-    ("BSD-3-Clause", "ac3b6055ee400589c3df9408e6e259a34f6008d32712e60ef28f8b6c883746b9", 1300),
-    ("BSD-3-Clause", "d4f23d8986712b81a5e56be0756ce85e06436be0d57af2b7a29e0050cce933f0", 1300),
-    ("BSD-3-Clause", "dcf3414e70154f179777a911482b9aeea8e639c448327d6acd5981334523a129", 1300),
-    ("BSD-3-Clause", "2efed25c6a354daabb55069de71abdeeef3365baa5113f66ababcf355485c873", 1301),
-    ("BSD-3-Clause", "6c3acdf79d88e397177a37c64c3b74ad9ebff3f040a8c09fe68dd1648ba60912", 1301),
-    ("BSD-3-Clause", "90d84284246dbc3771b98d1c09bc0751373ff884751f29972b4b7301f9e4ad9a", 1301),
-    ("BSD-3-Clause", "9b8cd3d22ee9082a66f2d411e37585517cb490d66cfec1efa99f34bc303e3b0d", 1301),
-    ("BSD-3-Clause", "fdb592794f85ad30b8eb7c4fed59bb2c80b50f93990776599ddd6422328dfcca", 1301),
-    ("BSD-3-Clause", "1a82d1513171282de445a27951ce9cb5262b7d1764a128363f807d52e809ff86", 1302),
-    ("BSD-3-Clause", "1ae610c6223ee0376e7e06b67e132f2296306bed988a1d54beff2d88fa8c6571", 1302),
-    ("BSD-3-Clause", "36a34abe5650cbc187b161d17fae93481d88685006423ad722c406ccb745d60e", 1302),
-    ("BSD-3-Clause", "4aa3fd1040a6ee8a8598aa2d305c307fe35f8097f9feb9a53e163569c4c0b5d4", 1302),
-    ("BSD-3-Clause", "6e1f213e21761d100dfc4f166dc90afb44688dc7f3ba35ef32143b4ca452d102", 1302),
-    ("BSD-3-Clause", "8d323d82ee2da4e103f3637b282efc5c3692284551803329608752237c8ad88b", 1302),
-    ("BSD-3-Clause", "dc7762138c246510c061fec740a56a9b8f7d0e1ca6d6f0d29e005dc2794e44b4", 1302),
-    ("BSD-3-Clause", "f739db28f7f3166a6a0d8af708a75c105fc7ccd51b2a1c9c48814069cee1b17d", 1302),
-    ("BSD-3-Clause", "61c25bb951109e1e5751c198cbcc0c3479f8a068f3b22340592cb3075c28b7ae", 1303),
-    ("BSD-3-Clause", "69cb385f6fb18295ebb9b79e5539e885c810dfc437e52547f1695bb091d75171", 1303),
-    ("BSD-3-Clause", "8798ffdc825320c066ebcb579804a2ab1d426556dbca692095477282e31c267d", 1303),
-    ("BSD-3-Clause", "9f8f517ee323edae75132701c95f8a435a138c1c6fc153c0b8071bb3da1d5f56", 1303),
-    ("BSD-3-Clause", "e1d9b6aa014aa61698eb5cb5271cbaf284a0955d77941ccc2dd8f3f2c502147b", 1303),
-    ("BSD-3-Clause", "f05eaa381daf40de143ac143ae89df5cae9ded80c0ecdd580ad0d5a39b5de832", 1303),
-    ("BSD-3-Clause", "f23467a9cd7444325b93530f2342ab6a225d03ca4f4532bc4a6783e3b9e1145e", 1303),
-    ("BSD-3-Clause", "f893456caf88d7ce0b88d38bd8fd732f32436338c186c6a1e36d6243d36d7297", 1303),
-    ("BSD-3-Clause", "3c71acc2b7d92a720b078eb8d5c460e73451a36a1779a6374c90c098a296f0f5", 1304),
-    ("BSD-3-Clause", "82cceb54c0862a191bef29651ec3726c16b41394fe1a855f89516abf564a9db9", 1304),
-    ("BSD-3-Clause", "992dceb67fb0485c2f501ae7dc2e29d145e27dce4744edba612d17641d3b91c8", 1304),
-    ("BSD-3-Clause", "9a293d62acf80f3a7d6fa64d783cb0e9d411049ce696dd373d47b5f7455a3a8a", 1304),
-    ("BSD-3-Clause", "e8cf972f30365bd171b238ab710a20e05b328d15c022d75ebc289f8de64d719f", 1304),
-    ("BSD-3-Clause", "583c2c90f3810c80d6cf545e6b55c91a9b426ddecce722a42ae462670feaf0af", 1305),
-    ("BSD-3-Clause", "7aef853012f5d3376807a4dcdefbf5880905186030adb21ef1782b9751ac50ad", 1305),
-    ("BSD-3-Clause", "d0b2e4e5f0aca71c8089ca7e3c9f11b34a4446b6c46546f4dde4fb9d78eaaf51", 1305),
-    ("BSD-3-Clause", "7a1a627d2064907d3daf3c753685f56c08244b0b9183556902e22aa7c8f4609c", 1306),
-    ("BSD-3-Clause", "7c640d7abb1ac1ff5d47a89eb13585031136362e4dbb13bf8c046ca008836c66", 1306),
-    ("BSD-3-Clause", "9e22d1fee184df1f20b1db5147ff3ed060e84b759de5e3f6ccc53b505236c3d6", 1306),
-    ("BSD-3-Clause", "de41b6f5dee6fe7aa346a656365005cedef266bb362e3d2652ddb7349c4474e7", 1306),
-    ("BSD-3-Clause", "19d77c6ecc025d372c6cac77bef7ce9dc00266de9604a9e969d1e8e3d06fb9cb", 1307),
-    ("BSD-3-Clause", "1ee25f9f45ed56cbd75ed13262f1aef6429c929a1b308e3d9cec28dc850baeb2", 1307),
-    ("BSD-3-Clause", "29254194d570da3df6afc0b3c009c32b3bf294c6784ee3472d6d2a9912cf0f08", 1307),
-    ("BSD-3-Clause", "41962deb6ce4a127940e74f225ff338a4fe3b02976cf9b7579507b245ec48e20", 1307),
-    ("BSD-3-Clause", "496d1780d3484501fbe7e9017d447584eeda04cdae5babb5d07df4a440136fb8", 1307),
-    ("BSD-3-Clause", "99d85b82b49b7852c8b204d96ae99a740748f80fe087debd81d50095e795f4df", 1307),
-    ("BSD-3-Clause", "e3073db154a505214f7a3a7f8eaceb3e895c241caa4c87770fef1d49d45e96b0", 1307),
-    ("BSD-3-Clause", "08c6c4ffea721839fc1a91d05c105e840e5d657b102b2461c33465c77cf14b3c", 1308),
-    ("BSD-3-Clause", "452f2669e098b5d1ae70916dce820e887bbc4441c0528226c8dca9598833d0b0", 1308),
-    ("BSD-3-Clause", "4899268c07b167a1358793955ef5ddd00c0bc938ea8ab10ff9290f1f43bae701", 1308),
-    ("BSD-3-Clause", "608c3678c1b5959509cbc1d7a187d1e63874a66519a6e9670384d598b749add3", 1308),
-    ("BSD-3-Clause", "9d929e17601d2ff1fc42ad4739093664f0431e24bbafe7aba12b90af41efaed6", 1308),
-    ("BSD-3-Clause", "b36abcd436f6e1a5611c9045db06d22fa19a564112ee3c403fcf731039319a9b", 1308),
-    ("BSD-3-Clause", "fc91a63ef20e10d9ca7368b7cfccfc48c11634c860d53b7394f307fafbd557be", 1308),
-    ("BSD-3-Clause", "0e7067c867411c9c4780ea1af4ebd8b2c37c0f5b2552e49ec18ccffe9b653442", 1309),
-    ("BSD-3-Clause", "36467816280aaf031fe51783ef3f6991caccac496334d05a6a415a0fa48e6e24", 1309),
-    ("BSD-3-Clause", "652054ceded1739d8a427398ff31b7a127a2eb3fde19bce51adc30608a9c1275", 1309),
-    ("BSD-3-Clause", "9e4c5667e941fc6e3efc969135c958becdaf93c5131f513a3b3625467da01de0", 1309),
-    ("BSD-3-Clause", "ade85ac69c70d6d6db92f62078df78ae1bbeea78cc88a4b5b256289dd325bc05", 1309),
-    ("BSD-3-Clause", "b595e0a1863f9a6e3a7584f4d217133293bfff2a4128c9054ebefc8e97f91698", 1309),
-    ("BSD-3-Clause", "ff3863f7d6f46261169bb1cf6ee91815c6371972422776756517ec26147ec784", 1309),
-    ("BSD-3-Clause", "02606625ea35e708c1be0a70f5edc9a594a42dc010611f0dfbae7d64ef2b5395", 1310),
-    ("BSD-3-Clause", "2a69334be2c9d34c52abdeef716a66403fa3a818a4cc95b6dec6f7c395661756", 1310),
-    ("BSD-3-Clause", "9b4a1e1df15b91a3137ce117df99dbe9ddaf4e71d87d7b804d6d930e0b4c4be2", 1310),
-    ("BSD-3-Clause", "b5c4bd20abd9f7929e8ba1ad33119c0cf8334655cb9127d9292b08c4a5130421", 1310),
-    ("BSD-3-Clause", "bdde6b3fba8e9e890817ed5d4510e2310e679028a8289fd883db055ce78823e4", 1310),
-    ("BSD-3-Clause", "eaa314f3dbaadef1ec7c930fb0779e73391db337efb0c93ce656929bc9b0e4ca", 1310),
-    ("BSD-3-Clause", "1838aa7ffd85b1a1001704e5a6dbf3944a7e920bc40a3acaf860eb1bd65d37b4", 1311),
-    ("BSD-3-Clause", "83e8aed3439f348d18a169f040f4d994fae0cd7c2a27d2201e5a9f8fa360c2dd", 1311),
-    ("BSD-3-Clause", "a81bc41d24d43216a672271bcccf3bb7827334868a5086236b597159e43f18e4", 1311),
-    ("BSD-3-Clause", "e2a1217c1684ea23b9f0930e96eccd3b4e2231ecb446add4fe13952069903b6e", 1311),
-    ("BSD-3-Clause", "36ac7efeaa83e9b1645a0481b683a4e5a39a9b9ed4160bea4c9f97e0578d1b47", 1312),
-    ("BSD-3-Clause", "5bf0dda17edf43378c98d753ce84f9a9c71748418d4bdd9d0b1bb6093775838f", 1312),
-    ("BSD-3-Clause", "8b1cf7b73c2d277a11e430f935b8b463188d994bb3522edc030343cfe31e4586", 1312),
-    ("BSD-3-Clause", "af783609c0b29399f6f98fd91d1c961832fb36ee5e052304a3f84312bab4577c", 1312),
-    ("BSD-3-Clause", "b0430025d720bc8ddf719fd7453349a15b749011f08f8d40c0b8a720de28e9a0", 1312),
-    ("BSD-3-Clause", "fa963251f30272bd9bef6a709ac19b5ad01ba04542b4e0d28b205b8758b498fd", 1312),
-    ("BSD-3-Clause", "147566c2db1a8b9e4f40551ab4b0f07a4c814370c3ac0632d38c038a3c6d44fc", 1313),
-    ("BSD-3-Clause", "86d44c8a21a7621d1478e40c5920b4e04bda8cf1708008179403cc0da60ea67b", 1313),
-    ("BSD-3-Clause", "bb0befeee493b45dc787f07382dd616220abf25110c0155628a9f03e9919185c", 1313),
-    ("BSD-3-Clause", "da18340af4d7f5badc9000bd6e0c74de23db27dea0f218909d4f610935170c9e", 1313),
-    ("BSD-3-Clause", "ea87ed33132aabad45e0456dcbbc30164956ac132280cc317fe63ee30fdcaa38", 1313),
-    ("BSD-3-Clause", "fecd074c5a3c2d79a6eadc653935eed9c60ae80b7f9a72aa52ffeb5d5648193b", 1313),
-    ("BSD-3-Clause", "011add5cd3e1d15402bccd6c841ae1c6149eca84c60ad7eb0b3f5b225b42b8e4", 1314),
-    ("BSD-3-Clause", "0c0a2e0d33858811ad2fdea525c9ff77638c2e80c304eb18ef81d192d7d7afc2", 1314),
-    ("BSD-3-Clause", "6a4185525cf43cb03772c36a5fa7e45ed73f0b0a1069608ed3dea18c5a1f1ecb", 1314),
-    ("BSD-3-Clause", "895dc1ecd649ad13ac1d8a2989258020c61f296243e496fab2d7b0a78bc0cb9a", 1314),
-    ("BSD-3-Clause", "ba07fbb40ffca5b60b3e0c75267ec33172e8ed60785582f9d7d13abb7680ca92", 1314),
-    ("BSD-3-Clause", "f9b63ddcac634a26aaca5b6e39b3da8beec4277d82a4a74277b4be9ac4cf59a5", 1314),
-    ("BSD-3-Clause", "2454296c6355b607bf2055fb69412e3ef6ff68edd159dc83649c7bc875c79094", 1315),
-    ("BSD-3-Clause", "5bff7539b14e43112d37644b9d582eccc50046abcf56025d221344b32eadb241", 1315),
-    ("BSD-3-Clause", "87dd79db8b2ae5888844b43212dd6873daf31fcbefb054711e02e58fa89cb1ee", 1315),
-    ("BSD-3-Clause", "bf17977770a5cddc137a98ac52a93f54ab78fc0a0d06fe503a516fa243ec4ae1", 1315),
-    ("BSD-3-Clause", "0d30fedc8b79ff1a6f32725bf37a01fbf4a66f1d747b7f8fccbefcf95fa50e9b", 1316),
-    ("BSD-3-Clause", "28ac66df82b0a84135c081e477c624c3de83ad3bf93d7e8792ae6e35ac1dfd20", 1316),
-    ("BSD-3-Clause", "28dcc0489d2ac7ee938955eb1dcaa5c0a376f3ef0c172986e71d9a5c6177bcb3", 1316),
-    ("BSD-3-Clause", "102b71f4e721f095bed59c9a7cab31618b26c99adb69280d1a39b9b05f79198e", 1317),
-    ("BSD-3-Clause", "1beac0bac13651e4a24149c13a8ef67a6c07966e22ea8cf11dc115150fcc1339", 1317),
-    ("BSD-3-Clause", "bc4e97b7d83db93172d384e5d6524b21e7e40b7413aff2b6a058246bfa2d2c4d", 1317),
-    ("BSD-3-Clause", "5f543fb538025ef447e4423857594d644fa52473ae0610758a812546d9d5c554", 1318),
-    ("BSD-3-Clause", "4ecf9617bca3289347696b4358989cfdcfa9cec3dafccb27805d47d8ba1b8dc9", 1319),
-    ("BSD-3-Clause", "6e270274d23bcd95895a3c209606ac787176731f132a7213721173ec4e596e42", 1319),
-    ("BSD-3-Clause", "be5d963bbb7d40f40e2c150ee03cea1312972c0b9fec02daf94ff70efae00a54", 1319),
-    ("BSD-3-Clause", "0b82da0b12bf7e635712c8df6f106ca03150b98897dd91d8ded1e19f7e1eb17b", 1320),
-    ("BSD-3-Clause", "2a9b92ac5ccc06dfef140866adf30df9c138751833898fb7e27685147d44306d", 1320),
-    ("BSD-3-Clause", "5096d926dd1224a4ab19ac9fbe7887db457c5bf2b0254806f675c9baa5011fee", 1320),
-    ("BSD-3-Clause", "7fb16bbe2051b661216e41c7b7f2a6d02af31fbce7a47de8a01304b0e5e9a0a2", 1320),
-    ("BSD-3-Clause", "be10818ff4c666d0d8e33f42ad06f55f865023a5b074b9ce85833bf1a6244d70", 1320),
-    ("BSD-3-Clause", "d3d66b9a0a1100d362e0eaf04f0e3d7a292f30b077762464a30eedf716d99d50", 1320),
-    ("BSD-3-Clause", "31f35a6161da8451a3f5efb84d9c6c28e247535cd9c50692759198f25233af9c", 1321),
-    ("BSD-3-Clause", "45a44130cce18d29384d213945b52cca4bb82679aa057c829dea43f4c6c05f7f", 1321),
-    ("BSD-3-Clause", "5d71c5ad9ef813e9ab35f244d33498f854f1d48f39c891330462b13815ce4c29", 1321),
-    ("BSD-3-Clause", "7c6ec8e813fb8ce370dc5e1971ce5ddcc4d7d5e5e26c32e0cb3638f6cec2b455", 1321),
-    ("BSD-3-Clause", "8251756c8f5c27199c0304587815429e30b3411f145342b8279ecafd12969afb", 1321),
-    ("BSD-3-Clause", "a0c6d226e9ff5a08ca18ef0d8cea0b4d46c8f8ff638945669c950b97d778f26f", 1321),
-    ("BSD-3-Clause", "b45c8e26c8bdc571fbbb501a2bffbdfbe0507bcac256429356a41b90542b5837", 1321),
-    ("BSD-3-Clause", "3f2310aca6fa04bc54180dde72c8ec0f0df865ee0abfd9e583a8c864a91ff261", 1322),
-    ("BSD-3-Clause", "4b45ec10024ddb9c6b5d149eeec77b1059f8704ea0c4e8ae4e8673032588c95d", 1322),
-    ("BSD-3-Clause", "678f95334e125619434d3077100d7f255a3c29f1877049ae062d6610e6f42715", 1322),
-    ("BSD-3-Clause", "af5395342e2ff9c58786bc0d657582f685000a860fa64537b8b90d9262058396", 1322),
-    ("BSD-3-Clause", "d4fd3521ddf2795c9a80ae1bb14257bb4a2d54e1a08988a2cd4f59f46be9d050", 1322),
-    ("BSD-3-Clause", "f6ff1fa4722b7849b8c8b83f1e982953fd93af1ae96673494b50b668f45b3dae", 1322),
-    ("BSD-3-Clause", "296105974c851ed8a9f01405d608379cda09ab106d25df28108090eab0b9ef17", 1323),
-    ("BSD-3-Clause", "32778315364f85edfdcf6b0a94dbfb1aba2c84cce0886f084ad3babf62acab1f", 1323),
-    ("BSD-3-Clause", "35be8ea373a95730413227936e32e19e9eb3e3b54d61e581ddaf258cc8f8a849", 1323),
-    ("BSD-3-Clause", "4daefb23f738eb1d024cc97633eabd724856f898619ee08d790910ce00c8b844", 1323),
-    ("BSD-3-Clause", "52b522f5c2dc09eef75c416b938e0109bf540f5abea2149117594ad1f33be08f", 1323),
-    ("BSD-3-Clause", "02794ef9617501183bec9fc0421f7d7a3b1aa6d7ea4cc9d7015ec2a55d634174", 1324),
-    ("BSD-3-Clause", "d1773e3d86db15d7c32f55892c42edb7bb214f35b8821399d13225213a5f9f42", 1324),
-    ("BSD-3-Clause", "dfdf644cdf7da27fb6ae1f0f174e7b40256b1f89ed4058200c3d9aa4be26b7d5", 1324),
-    ("BSD-3-Clause", "2ac3ed56053ef5baa213aa9eac5e52b835a1141b3d6b66b3e760024957e05178", 1325),
-    ("BSD-3-Clause", "899b5070cf88adf6e0ae9b798e6d64d21c73f7cfb767fdd7736b65725f71bfd2", 1325),
-    ("BSD-3-Clause", "db14f3c56365bedefff6d8d02f4bbf6838ac4abfe6fc387f48ba2b0c7e55c11a", 1325),
-    ("BSD-3-Clause", "0dbee7da51f4825baab1f275ab44138b7ffa736c74370f94a0796b88edb2bb39", 1326),
-    ("BSD-3-Clause", "766e30ce9e3b22ff1480523258b2ceab561319006aa6c90a0a863d23ff59399a", 1326),
-    ("BSD-3-Clause", "ed61b01b02a2f8eb558dae6d2fa58735178da70e88d2656a7dacac6721e1c20b", 1326),
-    ("BSD-3-Clause", "f6cddd66068891b8996a38d53f23f5aa602c2901d977e2153d74429f172ffdfc", 1326),
-    ("BSD-3-Clause", "4331a855da15fba6cf668eddb8071af9122d2ec86f07b85c49ee1ff9007b581d", 1327),
-    ("BSD-3-Clause", "acb384afc50863f3836ff01cf8d4eaac677fe794526608eca7ee3caa11f87f84", 1327),
-    ("BSD-3-Clause", "baefdfafa46e0bde1b948b9a8a0ade15fcf862fb9b05f694a2ad07adc059dd59", 1327),
-    ("BSD-3-Clause", "c32ae679d66221f3ac819c26b2bd1bf237324a7fc11f4579076053660ea15a2d", 1327),
-    ("BSD-3-Clause", "c6cfb8042459d84c590e0632ce21bf20ab32dea3ae91c420f1b160d19c5ae461", 1327),
-    ("BSD-3-Clause", "e2bf8c766fe6a0596538658e86b3fe2b67f8960144f643fe96818cc5564d8059", 1327),
-    ("BSD-3-Clause", "143d22474569cef9be8651acee9c193c6889e9ed8270bfc62a6f4e79dde7c47f", 1328),
-    ("BSD-3-Clause", "2ee847bab9bb9ce72aed1c9741c5d041a323485a14d028425e335be4e70ce8e5", 1328),
-    ("BSD-3-Clause", "70e08f6e3dea9fdf506b70d13c831a8202bd3dd29561fe298f71f6622a1442d9", 1328),
-    ("BSD-3-Clause", "98cab776824943cf0e3b2ef0433ec07503231ad8fcf71327814c20e188b93b1c", 1328),
-    ("BSD-3-Clause", "c8d24e2cfc1b5c8aded47dc032c24cb312a9969114f8f236189cfe1bae6aaafd", 1328),
-    ("BSD-3-Clause", "1d9879b4ef8dc3bfc8a78a14d1d7d81957b7c4db328bf0c2364779ee46dddae3", 1329),
-    ("BSD-3-Clause", "513aee2ecb69cf5b4a3d4281af13064f4645538241b5e89bdb67fe628a4e3d4e", 1329),
-    ("BSD-3-Clause", "6c2feb8c9bee9fe6b7cd4ef2bf9d96de14063023dcfd00d7eb0029fbd986d07e", 1329),
-    ("BSD-3-Clause", "8909c0b31489994a82ae9f26f023df0ef204b68dabc899bd3d5840079a7884a5", 1329),
-    ("BSD-3-Clause", "33ea1877793166c1193510aa153fadf134bb4d654f9f1a7d542922b910eacd7e", 1330),
-    ("BSD-3-Clause", "8907a50bb85261b25dd0d8e16577ec57435ff3e862157f0cc101adc03bca6d5f", 1330),
-    ("BSD-3-Clause", "d91b4438633cab42b2536b546211207bc0e2f36bdab26c7c9e444a7432bf81b5", 1330),
-    ("BSD-3-Clause", "dc3f07077658db54f6b7ca7d906ae32d3a9e342cc4a75846b9e98a2ad5b91347", 1330),
-    ("BSD-3-Clause", "157a038b1aed95f13ccc5682ba9fd949e3f3846815993e6de845dc1856c9f63a", 1331),
-    ("BSD-3-Clause", "1a6cc65efcf1388fe586639c7fb2b73ddb623d4f9bbb14eb8a0670f81c7ee304", 1331),
-    ("BSD-3-Clause", "44a96e91bf8236c6887c51bbdb8a1a159c6cf770f60ae2d0dab4ac77613a1a5d", 1331),
-    ("BSD-3-Clause", "6242df5fc4b99183a899efac4794b80ea2828b098feab41b40244a2b5447a86f", 1331),
-    ("BSD-3-Clause", "8c8a21b22f00031349aceef55b9493a72d3567d0f99fa657c9bcd03955aeb241", 1331),
-    ("BSD-3-Clause", "bda2fbd2a02bfe5d0a4369422ad31e65cefdbf41aedc3f41df7ccff77a62bacf", 1331),
-    ("BSD-3-Clause", "14ff6139724fd30234f95344b77dac524f092462550b1bf709d3a1cde71f623e", 1332),
-    ("BSD-3-Clause", "70ef27e043484efc1db95dac9003966f77afe8397800a61eba88b25d47278654", 1332),
-    ("BSD-3-Clause", "7d4057583c9d8c38aadc6c91e5458271fabc24f7b80e868c7a6252b141b196fb", 1332),
-    ("BSD-3-Clause", "9c18f3883e04e8fa6326070181211cf31da1dc5f8860e063dc0202b1ef09b883", 1332),
-    ("BSD-3-Clause", "aba7e355fa085b859e7e7d1b1f072893e089c22695c61c004253f776443e53a7", 1332),
-    ("BSD-3-Clause", "e87c1c16ad5a797320d56e787c7838605253c2e394990f2c083b693b6ebdcbfd", 1332),
-    ("BSD-3-Clause", "62602d662c4c3d993355b2b270f69ea47596bcbc4baa03c0b7d226b5318c7357", 1333),
-    ("BSD-3-Clause", "7d5b421054035509daaf933791e34f1d59792ac4fa8371ad56e715da07769c1e", 1333),
-    ("BSD-3-Clause", "b8818b29966b2a3b2f921c256348b2a9096963a4487d3d9abf18cb1100aae5b6", 1333),
-    ("BSD-3-Clause", "ca84b44f20986adda21043c67ebffa78fe04ad3ddebf9905c794c12d21e9c76b", 1333),
-    ("BSD-3-Clause", "5b902033a5812b56ef390454afc7ea74cba41ca9e8a6b497e6c9991caf02602b", 1334),
-    ("BSD-3-Clause", "6f4ce5fd799cd6c1bf533f90976156bff0afff221716b0a98c1a0fec5ad96667", 1334),
-    ("BSD-3-Clause", "b0845f304abfd652dbd6962a68de095a683b2c36431e11ed979848559f325040", 1334),
-    ("BSD-3-Clause", "f54ba242e7035deb6595f652972f7e35b738557b747f33b7b5e0f85ea228903b", 1334),
-    ("BSD-3-Clause", "4d7a33765f48606ec79e77b86df7cdcbc4df9e4b25a17ad7656a8e795f8a1c66", 1335),
-    ("BSD-3-Clause", "63625662122859331d605ede6e24afc81d0076f47f2fd808202cdf764a2412a9", 1335),
-    ("BSD-3-Clause", "93342811ea32ef9c5bc11bce74e08d141b93cd5504ec87d55b8f8feabfd03e67", 1335),
-    ("BSD-3-Clause", "d687758007825f9613c11668da0a791e23ae3845a877e17feee3017317fd0d63", 1335),
-    ("BSD-3-Clause", "69cd4ceae29a7c8dca753cd46563c9b1b5d07fa848f116c627447ff8d30ec7ee", 1336),
-    ("BSD-3-Clause", "8eadedf93461dc18e540b6ff7c1475ef11579f876c783e25bda27273045bf9db", 1336),
-    ("BSD-3-Clause", "9fd8b65a5e9f0e54eca3f9fc6f4b6c31d39ea6b28244bd79a65afbe11c0a1df8", 1336),
-    ("BSD-3-Clause", "d2314cbaaad429d45ab4561772e21ce076303d47eacda544ab2c3f04f260634f", 1336),
-    ("BSD-3-Clause", "7e959f8d51dbf5883b5fbc1b08533bfbfcbc08879e8f81c7a7c1ba086611da1b", 1337),
-    ("BSD-3-Clause", "93668357ad387c6e726b5c98d4c250b6911304b8a6200905b1b641c547787e21", 1337),
-    ("BSD-3-Clause", "b4c3a041eed418110d2b4df0dfa519a2c8abc5f444ca23435c5d1e93f11daded", 1337),
-    ("BSD-3-Clause", "e1c41f3f97a3663153b644261f3efe0531c6dd48687db88942f6915b46bfb008", 1337),
-    ("BSD-3-Clause", "e510f51d4357ee1a53883e6fd672bf32b0381cbf5e2ae4b60f0cb3351a4989c5", 1337),
-    ("BSD-3-Clause", "6f9babc01ce28f669dd24cc8b404354c5269513e89fe86b21248c1452f68eedf", 1338),
-    ("BSD-3-Clause", "8ba9e647f0eeda1538ba42d151353f00e93778d0e8bf7db8fc0ca95c4d4099da", 1338),
-    ("BSD-3-Clause", "b5ea48455aefaaa94c80ca0f5dbbdd85ddf45722e71c9e8f184875885d267949", 1338),
-    ("BSD-3-Clause", "493aca900c25d3610ae6cc791055d7709595903ac66901df7b5aabe836eb26bf", 1339),
-    ("BSD-3-Clause", "6bdeb43c588383f00506e470c7ab1064d4ee4c0716dd9d7e26633586d88da414", 1339),
-    ("BSD-3-Clause", "7f34d9e314bff2a9d763cc6aba0e9bb399361d04ce0504c38360dc844b251e4e", 1339),
-    ("BSD-3-Clause", "149ac276f1925fb630359887dd549f676ce482841f674385e81bc6fec35616c5", 1340),
-    ("BSD-3-Clause", "6ba4e34939c8093f8ac4ba6f84e885e68fa6e27431ef137c3244262e0e7a018d", 1340),
-    ("BSD-3-Clause", "6c2e3b06cbbf236ef266406387226a6702d87b06e53e3696e0d2a6dcd1538f16", 1340),
-    ("BSD-3-Clause", "c389363b751c4c81328f115b3f8d85cede6acf435519f2030b61fc21ba20704d", 1340),
-    ("BSD-3-Clause", "cea627f2453e88f39f78de6d98320cfb7f8a8f0fb2d7cee51db8c27a0ce2e58c", 1340),
-    ("BSD-3-Clause", "1dd2167d33e6abb12bd24f83a8aa47152fb67b33c41d0d13b5fb882f9207e603", 1341),
-    ("BSD-3-Clause", "34eaf65063ece2c486f2b7ecf4ca1b56362e805223930084573cf24583918ec7", 1341),
-    ("BSD-3-Clause", "671294819dd7125c4389f4adc810b5f54c8c1258e63f6a4d2a705e6309ef8d0c", 1341),
-    ("BSD-3-Clause", "76b8b5ed1e7cdd853f381df742e295ae96dbc4f834e95342966ec7fa7eba8f7d", 1341),
-    ("BSD-3-Clause", "800b30a751c958639dc3fb4e470a90476947a5d7292c9a0e9567870f65b721e6", 1341),
-    ("BSD-3-Clause", "d2c018f42b007858392605cabf860dbc1089138f7b59b1aa523e4c0183d41d26", 1341),
-    ("BSD-3-Clause", "d87af98b46b8a6eddcd45f438ea142c83f1cb05e69391081d1e6dd7b7f572629", 1341),
-    ("BSD-3-Clause", "fa88f81d878713df6841c6bd43a47a8d46114c3c0a0e696bde89e25b56f61860", 1341),
-    ("BSD-3-Clause", "07650cd4cb5188454abe0907d0db72b5679ffc8a392a295bba7c147b2889735e", 1342),
-    ("BSD-3-Clause", "0c5f7a390ddb4d22e3c894df5aa56200b63843879296caaa04a1dacbf4e498db", 1342),
-    ("BSD-3-Clause", "3b890ee5521ce3484a46b17fcbf164f5ac1cf22b8861a2db1dcfe7a241f5c4d1", 1342),
-    ("BSD-3-Clause", "3d0546d2b3e7050ec6c3b870f135291cb4cee03992b5cd6774523a85a9582c96", 1342),
-    ("BSD-3-Clause", "700066acdb21239684672e12c375b9abd098b5e2b30dd5038481206ace13bc28", 1342),
-    ("BSD-3-Clause", "7a144a0858bd42be8f345aebce89bc9c0cf27e1ec3941c94cfa2aba191d38b7c", 1342),
-    ("BSD-3-Clause", "a44b3bea5c840a5b1249736e2644261e528c70d7f37eda741daa2d3979a26edd", 1342),
-    ("BSD-3-Clause", "440d6b6766a25eec3220a1b0316d45c8bd1bb1fe66eab0839a01bd225ba3dd63", 1343),
-    ("BSD-3-Clause", "aa70a3bf411224d0d48abf4b206eb83a1b110b0fa99eea8594a629b3adfb26ea", 1343),
-    ("BSD-3-Clause", "e28a7a345b6cae92147912ac852691d2c9d4e58e836e218f08725662e860a1ff", 1343),
-    ("BSD-3-Clause", "35b1040aa56d198d48f31cfdfd8ab0b2b72d3362e9d48b398fc2b46a5f1578a9", 1344),
-    ("BSD-3-Clause", "501653d027dff7ddfcd4dd52691fae2bf8fc4c5437504303ab58851be3a8db4c", 1344),
-    ("BSD-3-Clause", "97a45569fd5e15696c0793dee3741bf6e42adb807d8e4a753f4b559177f3106c", 1344),
-    ("BSD-3-Clause", "5b391da2af79145f9888f1f547fb15b1afc5267134171f70e51a7624b46e2139", 1345),
-    ("BSD-3-Clause", "7384de3c4c94b83ca9c7371b2e680bb2a3db1e38d5673df3899994856514eb9d", 1345),
-    ("BSD-3-Clause", "a076d363a350cde057179386a87f09dba2c18e26ff8899c801d94e2de1c44124", 1345),
-    ("BSD-3-Clause", "f3fef62bf737ffbcc934bf34c83ea11949c7a6e3dcca3c3abced339e57ef89d6", 1345),
-    ("BSD-3-Clause", "28c44d6e3bfbff17b3106b3072619d3030627c04f5e0fa1e3168dc8b0229c702", 1346),
-    ("BSD-3-Clause", "5abf3e9232e874d76e27d9f75e69006cdc6f6b25eb2934a94c6a06ec76d7552a", 1346),
-    ("BSD-3-Clause", "c80565f89e0eaddf05998c7154ca80cecc4e7af4d487f41f1714b271c43d456d", 1346),
-    ("BSD-3-Clause", "f82ef210aaa22764fdfe6d1b68d8ffce1648dfa8d3e1b7c3128e6cdd5d240f36", 1346),
-    ("BSD-3-Clause", "fefe95e87cf7c2c0ac0164481f6cd2bec2f3c1fd509062565d8d0f0c4581db1d", 1346),
-    ("BSD-3-Clause", "fff965acaee81851e2df713924bc1c7b5f61a6611cb9f6ffbd9f45fb0d5330c6", 1346),
-    ("BSD-3-Clause", "09be957cc6899aeb649c2d6262edc3a0d4393f2d996f1be822884d75718e8fb2", 1347),
-    ("BSD-3-Clause", "58b321138434c08af2fbd866b39209242ce58c50d0b11ce721935c6a02eecb21", 1347),
-    ("BSD-3-Clause", "5a0e00b9636a5e64a889967e10c36f067b0cf350055666e9ea7b34468f57c038", 1347),
-    ("BSD-3-Clause", "7fb43a0e158c4791eafa62ff3a955e72d457c2c71c7f47537cb8ff777ac50217", 1347),
-    ("BSD-3-Clause", "a96808039b535a3a1fa47b57147cade6aba3ad2667d93e3bead847382bda5dcc", 1347),
-    ("BSD-3-Clause", "c4cf787dca58d0e21ae40b877c8d5b398b7dd5eb3f595d86158bc3aa1138164e", 1347),
-    ("BSD-3-Clause", "de1f189e38dcdbda76ad5509b1e3af9031f0f26e0fb8d06b241a30f7e3d8764b", 1347),
-    ("BSD-3-Clause", "1f56e03a0af29f4a51488b3049370426b11c8b8d2dd3bde0f7ff17a956d7a971", 1348),
-    ("BSD-3-Clause", "2209f5dcee0ba33b3741cae35800be0afd4b9c74413c46de59c2386da7af80d6", 1348),
-    ("BSD-3-Clause", "416dc47a5052df0a0f2dab6a5b7ec2036921926c71babe0972075ac9608b5eb3", 1348),
-    ("BSD-3-Clause", "663baaeb51a6cc946aa8d03a17c61551eecd16bc037466dd846f9da8aaca2bda", 1348),
-    ("BSD-3-Clause", "8284cab237a3455c6076b3b28755dc2ee011abc61ff1256c99ad3297eafb05e9", 1348),
-    ("BSD-3-Clause", "e3ff3e736a9ec7780e870f478331c2eeb6c61d7ee75ee263e0d238765ff073be", 1348),
-    ("BSD-3-Clause", "1bfbda43665b7bc8678ae3441f82d94347474f69baf4b69ab9749dcb2055655f", 1349),
-    ("BSD-3-Clause", "a4019dc4844ae1a54f46e3a8975e101f6ea4631b54552b73844533bd7bc73574", 1350),
-    ("BSD-3-Clause", "d35956b1872e21dd9bcc8d26e8fc15aa653cc85e2f89b0f9e7b06caffd390f45", 1350),
-    ("BSD-3-Clause", "0587d743f0d6170b3d72aee6d0ca18d28ed35ab99cf500517f4a3ac76a252abf", 1351),
-    ("BSD-3-Clause", "191cba32b1a4eb79cf48c7b33825c3de9854c3dd5bf1ad48c6adc9781b976834", 1351),
-    ("BSD-3-Clause", "2280dfddcf432adebd08f8ae3493517d547c3bd0ca08eaf634f805b1cdb60ce6", 1351),
-    ("BSD-3-Clause", "7d7b0ab27bd68c8e9179920326a33abd47556117335a07c693a4ca3d35c6a029", 1351),
-    ("BSD-3-Clause", "87f90ac797d2f48f5099bfe98cb15ea432ad5fd9d21db9ad10f1acf469d2f45b", 1351),
-    ("BSD-3-Clause", "b3e0f63e7539017180f857c77f044a459b07923fb7eac8b13d25efc711ec85b0", 1351),
-    ("BSD-3-Clause", "051f6710832072a50ff013bd561a7aac7250835ad49f3034282f5500f7787630", 1352),
-    ("BSD-3-Clause", "279e1bc63b1f9f5604d13aa4903579bcbfa18d22d155cb8cfc007a6e667a9a07", 1352),
-    ("BSD-3-Clause", "3dee49ce55475b615df352b99d0cd4b5823b3e5d238c9fd9242815ca3e4bb424", 1352),
-    ("BSD-3-Clause", "5de1be109a8ed69a719d90780b3e1303014d6a041b44e43030226806e7b36c1c", 1352),
-    ("BSD-3-Clause", "e9be743a87990797f02153e5e07b9abad6c3758fca661423b9066001b7b95dad", 1352),
-    ("BSD-3-Clause", "ea846a05ee9170bbf0b797573d9595cfc11d8eb25d4b255ce8009a42db3c643a", 1352),
-    ("BSD-3-Clause", "f9bf0a650322a22d77fe60ff2944f8f39513727064f6d3e4d49b0626aa373f30", 1352),
-    ("BSD-3-Clause", "0d1025a2dfd3bb8cee121e153fde23d8b3420dbe34f081224df1be59ef52ba2e", 1353),
-    ("BSD-3-Clause", "233375435039a4996d88e0aa92abae065cc0d51af56387ebcbe5c54df5fb0b58", 1353),
-    ("BSD-3-Clause", "a83eca0f3cf7213777ddbb2846974aac3b47f280a194496fa1addcda05870dd9", 1353),
-    ("BSD-3-Clause", "5216566a385fd4afb2ff237bfe5096b627189780330407fae6b98c8f21ce26c4", 1354),
-    ("BSD-3-Clause", "8e8330796db4a8b8177030bbafafe5462c89b6cf184a17abf3a5fbf37c6201c6", 1354),
-    ("BSD-3-Clause", "2e5f0b79848f6842af2732bf7f4e9c412e82a7359ea1eb8a902440eb7de74cf7", 1355),
-    ("BSD-3-Clause", "51f0c431f0b89798db945d43929e14e302a08848fdc4457ea5490fc66a2d4673", 1355),
-    ("BSD-3-Clause", "f125f57e2543f499440f32701cee06b5034b3ebe191ad9b563abedbfc4df824c", 1355),
-    ("BSD-3-Clause", "3a7f4f679fbbc79853c8c445e1d0bcd3b9814af9146e823adb6240440127a1e1", 1356),
-    ("BSD-3-Clause", "550bb8c54a93fa91343acb49baa8d8f9d0eb257e23f6eed2d7200c37d1766378", 1356),
-    ("BSD-3-Clause", "72667e7e1d66307ceacfce0aecacfe1ecb5b413a095b00e56bbd3cda73a6ba35", 1356),
-    ("BSD-3-Clause", "dc2fd374e43553e492b58c7645152e8ca2bba5f965ced34ac608dc7d7698939c", 1356),
-    ("BSD-3-Clause", "12626cd9b62012f2b3ec556f0297c39df3b48fdb2dc4d9d6a505cbc058a1f73f", 1357),
-    ("BSD-3-Clause", "4f3fca740564791498aa2cc8616740df1db16390343bc90d4270414468ef166f", 1357),
-    ("BSD-3-Clause", "e132524ea7d504e73e65cde2410b942980fbd2d8f3f4c3e3eef7e0ea3ff1cae2", 1357),
-    ("BSD-3-Clause", "e6f188bfe1086f81d6a35c1a9de62f244797095f6df37cea8c0cb2c84ff36639", 1357),
-    ("BSD-3-Clause", "f051d6b1abb25ee7bc06459502a28a2a94a3f160b96a49f1418b149ea9627a23", 1357),
-    ("BSD-3-Clause", "fbd852b7105393aa357d9351dd2f9bed5c6c98c35b18bb014e9d8c06bae1548f", 1357),
-    ("BSD-3-Clause", "1362da42e97a2f2457a8e4817f46a7da5c3340e1aec13cf275f1a8a5da5b2ec8", 1358),
-    ("BSD-3-Clause", "32c505d7c6c6fe46def196c9b2dc556fbafe4dd6606f085c67a176a8041e0d6b", 1358),
-    ("BSD-3-Clause", "7dc1d4a6cda837b343cc569e35f7e667f2dd2ccff9d41511043f98e37a4d7fe6", 1358),
-    ("BSD-3-Clause", "f46c941bbd1021cd7b25927382061db7ab9487a4c8a8efa411b6cb665a25e948", 1358),
-    ("BSD-3-Clause", "f48a1f43698ee3f6b9f970db964f1eb0102adbcbf6c803b2d6ad3ce40f2ed837", 1358),
-    ("BSD-3-Clause", "3e456a55a41de674228db808aa60ebf37c26bb389101989fc640218760493a20", 1359),
-    ("BSD-3-Clause", "f7ae7917408445fe76aa660b1fa2f9bb0059f06b9820161f2c0d467e917b5fb0", 1359),
-    ("BSD-3-Clause", "55d494ad3cad4db13560d8b59a198430ec8019a4538330406209d38c91450feb", 1360),
-    ("BSD-3-Clause", "033c3332bee7ad5b2d518ac8935cfb24e360461627e7d8a5841215f87568de7d", 1361),
-    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651", 1361),
-    ("BSD-3-Clause", "2cf20d4eb035bf9979ffb17670448426318292cd163d2dcea31b558c63e46585", 1361),
-    ("BSD-3-Clause", "650c6eb8cfbf9c29935f90b86a987359881fe572b6f157cc1bc575b2052ba6a6", 1361),
-    ("BSD-3-Clause", "73ac505d3b638e98c5d5833da30f4f228fb3e64bcde8fc267035c0d5c20a18bc", 1361),
-    ("BSD-3-Clause", "f87d15f97a71d27c36af43d1e3368c0146b3951bbdc240bdb8375a7e02879679", 1361),
-    ("BSD-3-Clause", "560f6e0a2cf613dc9235f956ed1ff2362fcc7c7e72e6098369dbd7a16d0ed9c0", 1362),
-    ("BSD-3-Clause", "671c4e35fb4fb62a0351dd189ef7ae6c8bf5c9ceea4a92ec979b98f98e871afb", 1362),
-    ("BSD-3-Clause", "768ac3a51feee93f4f7472189e096d88c2c02f0e459d2baea1870668a91e7f2b", 1362),
-    ("BSD-3-Clause", "bc437ba53879fa5a146b070c0d732402d1d3dcd082f98c12fc397e2cf42a27bf", 1362),
-    ("BSD-3-Clause", "e0a3c937b357ca295c5008bdc80d7549b1301720ab5458e5ed6364bf4da9e7ad", 1362),
-    ("BSD-3-Clause", "fb2bf1eedc8e83893ace839498cb65555ad8ed9c934568a562392d2caa9c5604", 1362),
-    ("BSD-3-Clause", "7052855ca43a4ee27c6d197a2176ccf0cbe1ae07376f6d024c416d8bff7e00dd", 1363),
-    ("BSD-3-Clause", "daa30998c1d0b9dd765c90bb780bfba3940ac56fd4399b4f825e0183ab368a83", 1363),
-    ("BSD-3-Clause", "de87151bd1c2129fc05c50f7fe5767f7505526200c106aba9dad75567276b246", 1363),
-    ("BSD-3-Clause", "041ad6b55195d652a6631dac3789ed7440384844a1d3c73bf36218f9aeed34ff", 1364),
-    ("BSD-3-Clause", "0eddd863f64daded3acf6c1124431629ae86aa34e8616f4937a80a3b8f8d5fe6", 1364),
-    ("BSD-3-Clause", "0cebfbad97c21af0605e33cdcc08e357e8bdb158cc94235a0dd07de5fd324637", 1365),
-    ("BSD-3-Clause", "4f219dcfc5c0ca13fcac03d3c0b7738f86762261aa7a6212c1ea3b8dbb10b9bd", 1365),
-    ("BSD-3-Clause", "bed42a76f6085ef202e8220a5c39681628697234f9a14688ca7e8cfd325053ad", 1365),
-    ("BSD-3-Clause", "221cdff0fd87b2bd82cd67ef0fced7f088c95c326fa103f5a7478ea320b9d9e2", 1366),
-    ("BSD-3-Clause", "34d2c9f7c2f6c6888fcc6e67fccbe090bca56e1cb000244c4c8057cd1310aca5", 1366),
-    ("BSD-3-Clause", "d9465f112bacdd904cc3145fe95b6439797675babb2c55cdd98e1c60fd93531f", 1366),
-    ("BSD-3-Clause", "4f5363f42539da1a8a2ac5e5c1511d0f3188135dea796e26ff15e3d390148546", 1367),
-    ("BSD-3-Clause", "51401287c54110e32b758511d740311a14b2604b5dfb055d5b034de3cf5da155", 1367),
-    ("BSD-3-Clause", "6b17884219145515b942955d471f2113e3bfea78f4d2dc5be06627e048c24c45", 1367),
-    ("BSD-3-Clause", "fda317dc50b880ebccdfce28707fafe9f787bfdc88ac5aeae9a652bdd220d689", 1367),
-    ("BSD-3-Clause", "2a75341ee69df7c4187e001ad41b8950b718e7784af0c26d495f238980614ba4", 1368),
-    ("BSD-3-Clause", "479345494aa085a4a09faf48ab7b38a9f193f1b39f601ffc16ff459c741c8b6f", 1368),
-    ("BSD-3-Clause", "51193d71a7208e6f26e3649c48467065b5974385b3b09bbb9a0c5224c8bb93de", 1368),
-    ("BSD-3-Clause", "9614cdb15e44c7b96a12b1ab638ff466343d8845fb00ca2fbe2e2824d61adcf7", 1368),
-    ("BSD-3-Clause", "0e11f80aeaa7dd62e2297a9e7e108a1c64d8185c926484c035ebe8f41690ef8e", 1369),
-    ("BSD-3-Clause", "334239264ef811f8c689bbf963dc1324d2da10b588bf2be3d8d44b93626fa39c", 1369),
-    ("BSD-3-Clause", "bb9673c5222873ae20b44ed8adee0126945a8168f2e943b5cf751ffd142f5f76", 1370),
-    ("BSD-3-Clause", "1b8628653643619997bba3a65087f05771dcf1ca344c8dc328d94b3aaec3e8d5", 1371),
-    ("BSD-3-Clause", "610c28d81b5161f3aa2e8ba96f5076b6c6bdfc739feeb91c893958b1c1df340b", 1371),
-    ("BSD-3-Clause", "a6f4648ff148a1023b7eddce2970bc521ea9080bc11b1dc92b062e003eddeb2d", 1371),
-    ("BSD-3-Clause", "37a200a0c99e7b38213ac4830fffb146b6557ef034ed9856f1418ca647603e40", 1372),
-    ("BSD-3-Clause", "66d934eb44a29d3862163936b1c9c57535a5c499ce4d26d90a162d24a6d86e49", 1372),
-    ("BSD-3-Clause", "a3d813e7f409a266269959c0ef3e056c2ac3a84fbfe9e0aade604f83bd5ce78b", 1372),
-    ("BSD-3-Clause", "d92080613fc27eabd6b483a5759023361c3226695cf5e249a773464f4c858eb5", 1372),
-    ("BSD-3-Clause", "fdf4e065249e27f3594b4970dddc06874eba436d02ff8377f7d234c0d5d550bc", 1372),
-    ("BSD-3-Clause", "69a4ca6f09a04c4366d45ba03020c8c31a65e050ab438cb95e6d3c819e6b7ac2", 1373),
-    ("BSD-3-Clause", "8f67bd23c8d130e4518c391d11dcc0b942d6644625f1898e956bb15846a58e05", 1373),
-    ("BSD-3-Clause", "24559c41d4da979b2aa6d4ed31713a90afe4218cf58d1adce5cc335483390db2", 1375),
-    ("BSD-3-Clause", "dc4d5134c964e004931f093e62245e46181f326f13bb71cd54b9555b835fe7b4", 1375),
-    ("BSD-3-Clause", "2c4f4ad18c4ccda20319f923a809e635ee73873fee48848fd87aa9bd6e0c5a40", 1376),
-    ("BSD-3-Clause", "439b47ad2badc685d1f839d73c108dd2fc0f485a8fa1d8f722dc90570de9a0a9", 1376),
-    ("BSD-3-Clause", "f7841ce6494381d5a3788b202c38974900c9d79e71d502494a433bf4be13b122", 1376),
-    ("BSD-3-Clause", "0b5f48ccbe9efabf3b5bbd3b70f51c648bba11503d042eefe0220863f78661ee", 1377),
-    ("BSD-3-Clause", "11ea0522e7b7bcaa4ca7bee202a8298514d4b3ef13472e64a4a49944b6262445", 1377),
-    ("BSD-3-Clause", "1f5d411f314cccb921ff11b0e37494c52109ca4642c9d0a29fbe4562ac03d991", 1378),
-    ("BSD-3-Clause", "49c12221fdc645eacdf5a1333d959ae8a4b1e0667f2f49711af2914b6b680f99", 1378),
-    ("BSD-3-Clause", "aeb6894155850dd6dd3ad4067625e4ef2af56e9a0f0cf59d0ee63c3e1ab631e7", 1379),
-    ("BSD-3-Clause", "b6ab7953b6c80a72261014244324a70663f1807fa212f52461b24c95eb16b4a9", 1379),
-    ("BSD-3-Clause", "53075742228962c7ea381b8242c64602fa32e7b8f52facb6d13ee4f9c596ddfa", 1380),
-    ("BSD-3-Clause", "6cded2d64ede823606e0ad912d43ef7cf641160926310fa31217c3749fa32aee", 1380),
-    ("BSD-3-Clause", "2862502b8c0b9e2898bddc193550da25efbe12dcc633cf5c250c8acd75d2fcfc", 1381),
-    ("BSD-3-Clause", "3d151449461c0c776e892a4dc41cac0d251eb00c9fc49d2d48802d9bed818fe9", 1381),
-    ("BSD-3-Clause", "3ee0fe8f85699995d6f33ed3364c0310fccb94d10753eb37769e5030e408cff3", 1381),
-    ("BSD-3-Clause", "90560d19e54d630bb6e9e0d6f59242691ef80916c8f583609f066df4d066087a", 1382),
-    ("BSD-3-Clause", "bd0b4ccddd1c3a5215cc7959c10893938fa35140083166652b5ed280ecb23134", 1382),
-    ("BSD-3-Clause", "d561caacddf0479a28e42f7e10b245364e3681d41aba538a53acd126c35a7bd6", 1383),
-    ("BSD-3-Clause", "cc3432eb2f19bb6fe96706bad75b6fce1039db64fb70486899bf6425dea4d9cb", 1385),
-    ("BSD-3-Clause", "9b83d3dee0616d07b82a272dd9bf5134a9f402b750f5ee6188458073b0a32ff2", 1386),
-    ("BSD-3-Clause", "d4542b2c750ddc48ef799c19992beedb965469683f3ad3c4ecfee120fcf832c5", 1386),
-    ("BSD-3-Clause", "e60143686f94bbff438ca8d1ec28b93f48dab068c458d943110c425586e89f38", 1387),
-    ("BSD-3-Clause", "3b0a78fc5ae179cc03e1b8b04dd778e68e6c3681ac57a6aa8a968bab4dd72f5a", 1389),
-    ("BSD-3-Clause", "3558940b39dab78a471fb340f6a46d9c8ab5a19df8f738e5c348b2d5f130d23d", 1390),
-    ("BSD-3-Clause", "85e6883ea72af3943bc37780c84ecc17cd39acd62e2adb278b2f8dbc209cc735", 1390),
-    ("BSD-3-Clause", "9ac2a8d687f8f027199caeb75375c6df77a9682afac572cb60e9731941c458f2", 1391),
-    ("BSD-3-Clause", "d8e6c805d983d78be03b040fd27b637d000d749ef8133d58acb67d17c14cbf2f", 1394),
-    ("BSD-3-Clause", "50292c16dd94e50af59f3486a35f112c8973abbe468faa4b17503f1e7dc59d0c", 1395),
-    ("BSD-3-Clause", "6a794051fca3bb53638164340f6c2263e652d548fea0d01b009536b223272ba1", 1395),
-    ("BSD-3-Clause", "0bb4b4733a3cfaa66449b54a6bf7cfc08a34deb9d05b255b85958518e3bff849", 1396),
-    ("BSD-3-Clause", "f797d8bcfec14f42f9eb6fe202623e1ffcbe267e5f375ebc41152fa6035935fd", 1396),
-    ("BSD-3-Clause", "44d5f2122976da667c376147638bbb5901091365c00f6f5710982f5b3f67d59c", 1397),
-    ("BSD-3-Clause", "6fc618780b44cdca4b29e5e2df831e67dfee9bade4a4996c59b815c2bfdb566c", 1399),
-    ("BSD-3-Clause", "007fde9b266f35183b511c8c01994581175bfdaa48438967e905c31fb50ba523", 1400),
-    ("BSD-3-Clause", "0fbd7c43c4bb3e398d262b8e39f58ee0a8709a2b3b6b4bee4e033b3d5755f58d", 1400),
-    ("BSD-3-Clause", "598a67411ed0f51ebe0e82984ca16b4bdc02f9f6373f41d0ba5cc8c3d9f6bd00", 1400),
-    ("BSD-3-Clause", "e989b2fa4a8515f8b29a0f0274aac18a81c6b26b8de0b98c8fdec021c03e34fd", 1400),
-    ("BSD-3-Clause", "491f49d0415b993dc6768897df5e7883078940c54392a8dbf118987091d73c49", 1401),
-    ("BSD-3-Clause", "bd7d910c4d2db198970b03aa0712c2453834c2245727445d4d1552208efbd9be", 1401),
-    ("BSD-3-Clause", "ef8ac24af610d366eb6782dc350def12860ed20c0ccb8441d3fd0d3899373ed7", 1401),
-    ("BSD-3-Clause", "f94931e221f919e6cec5ca99e0ea7da1912b2c7d805cdaee8baf508c248bc1af", 1401),
-    ("BSD-3-Clause", "496a88fb77f7cf55994de8bd2b87ac0e9302e2dc1b11f567dd0447f8f0648ab1", 1402),
-    ("BSD-3-Clause", "2197427e156dd704210ae726a3807f7deae35bc31d7243168c575348f6a5419b", 1404),
-    ("BSD-3-Clause", "326c317935b3409d9750fd4ad5326ce15c9b75d313b4baf2cb9ff54accf8d903", 1405),
-    ("BSD-3-Clause", "8ade638323b06be3951b2c6a8ac27489a02d9bce0b9baa223586a0136cc01098", 1405),
-    ("BSD-3-Clause", "e327b35e2b01d84b108447cf1bd62958a3a0431b96631ab4f225c0b10e274f1f", 1405),
-    ("BSD-3-Clause", "5b425c7def920919df8ee92a47fd3fdd131c5a31d01b1f550700681b8af315f1", 1406),
-    ("BSD-3-Clause", "69083549410d2f63af7724cabe9383c3da756a9875b71a13bdf06f218d41d7cc", 1406),
-    ("BSD-3-Clause", "94a0a44b170114affb7b3975c6987906dca819b6cbd93510aa70be57345a1e3f", 1406),
-    ("BSD-3-Clause", "eabe215ff5a2cf5b1c090915b7cabdf511f70fc79fb8fde85247ebe3038a9658", 1406),
-    ("BSD-3-Clause", "4af3efd27cc12d2146661de254afc90bde9fc2c708eddbfe69013f2c8cf24654", 1407),
-    ("BSD-3-Clause", "cc65957a28f15bbcef5b0c23770aae3bd8462cb25904250f77a812ab3b2efe15", 1407),
-    ("BSD-3-Clause", "e7e4fb63adbcac46bad9c18e3c6baa663738c178b7651bd3dc45515b3fa0ae9c", 1407),
-    ("BSD-3-Clause", "7668aff13b074ee8ff72fe4d1e7a5866b755b8fc00cd0239e4e80aec12f32127", 1408),
-    ("BSD-3-Clause", "52c8e1f1387429e4ac2e46a159e2b2d17320de20b05dce03cbd7a7cf9be73702", 1410),
-    ("BSD-3-Clause", "c8012ecdc98567ec54e2b030074e432895d7623fb2d59c3d2c05dec47887e809", 1410),
-    ("BSD-3-Clause", "73a15ef51d0f74bce7fc4d1287b8d8a639c37581de7f63863957aea115dca7da", 1411),
-    ("BSD-3-Clause", "8a69b3ae3c37b6cf9ce330b5e5e3050e29100621d05ba8c828ff817e2e6556ef", 1411),
-    ("BSD-3-Clause", "a29ace37fb31210264d486c1b044ccf0f4742a554de7720ac5708b4f3f0850fc", 1411),
-    ("BSD-3-Clause", "d82109ca031904db888330a0ab8c8987685e71f8dbff7393792df6d32b4ae712", 1412),
-    ("BSD-3-Clause", "117486ce9f9f2dfbea3859a0a62815b6306d8e9467d7ef1ab352a209f7813c26", 1414),
-    ("BSD-3-Clause", "327c5e5dbdcb38c74f897ed3425771a235fa5ee6ea207d96a7a95bf80740ce3f", 1415),
-    ("BSD-3-Clause", "a3027a49a3a3b421dcc74cac1b19ee96aab1ccb2212aa9ab817443a60f9a856d", 1416),
-    ("BSD-3-Clause", "35991cc02bec8e2d37cc7c74941246b4fd136823bffa72417e29a4ba648e25e1", 1417),
-    ("BSD-3-Clause", "5c6054e89f76c085070bf14dee3beff656492c2db78564162aa39da6b083cf29", 1420),
-    ("BSD-3-Clause", "f2f49b468edc6b1259a03d37c9635c3525e11ce7388ab69d63d77cf3755741f2", 1420),
-    ("BSD-3-Clause", "1238550805feaeec7ac6f60c2a1b7b3828c3fb1e9d9d52c718c3b75c7b5ff98e", 1421),
-    ("BSD-3-Clause", "ef197951cf761f46373e5a59f3deb30defb205740b4e88bf9b566a06abb0f003", 1421),
-    ("BSD-3-Clause", "fd6f933ea400df745b007217b1fe081c0915d890b3376cb976c145afa4da433a", 1421),
-    ("BSD-3-Clause", "88b15678873be432c85a65aba7f6e3c7e1be78e34de2f53f78c3e18d9e589b7e", 1422),
-    ("BSD-3-Clause", "aff44d9f03d145272cb59e063b396ac9a551dcde6719d47a519325add9919133", 1424),
-    ("BSD-3-Clause", "78bc60ad3b19f3f03be6f4865a4cc2f9d0d1a95f8608482b4670210e08b79387", 1425),
-    ("BSD-3-Clause", "da336ff5d6bbb6a30ad59a0dd798c7e6e1e57d719bbb6300725786c3648c658d", 1425),
-    ("BSD-3-Clause", "4bfb244e03bb8ff80f6efb1a78cded6cfd77aefc484bcea2baaf4096ac8e1f60", 1426),
-    ("BSD-3-Clause", "fc9d58c8af07b9a6ba35f540ddd88c2047588738f644216a3e7682344718beb9", 1426),
-    ("BSD-3-Clause", "a2873b453183add3e99dd4198a65a1e0ff9944a934623fba2891c17994e7da8b", 1427),
-    ("BSD-3-Clause", "cf77ee3d20f4076cecdb58fc53aa7204c9f5c0651621abbc85e028f5b2ffa6b4", 1427),
-    ("BSD-3-Clause", "dabdbdcb25e5432de092766dfc0f247a3cf5e5f05bbe52cadeee2cd33cf171b9", 1428),
-    ("BSD-3-Clause", "5e1ecd488a751b906a60c3a8a118848440c2b9de21f254acc7a7bad0d8cea70f", 1430),
-    ("BSD-3-Clause", "07002ede2e559c6e97a5ba89a53d7ded83eda46c54cea64eb39745675c2aabfc", 1431),
-    ("BSD-3-Clause", "566414393171255b64d311606c5bdb34afaacdcb147d1ee12aef747968128f7c", 1431),
-    ("BSD-3-Clause", "51217464054513d69ac6654b877b23cd1bd0ede566a5316ae2c0c42f63b5762a", 1432),
-    ("CC0-1.0", "733ea47325d39787200488ad62db17d814ad643c1a66afd805b1c6ae9b6982f3", 6173),
-    ("CC0-1.0", "af078be23a79bc0f0c0b2268b1cdc885abe97f6a1146407a884c557371d43c96", 6174),
-    ("CC0-1.0", "05b3bcc44ee2f1002633adda0f20da7af4406beaa02c8f0c09b4dd5ce7c88533", 6637),
-    ("CC0-1.0", "4607400a6bb6594d8c6cded5e8b3971949530a56d0898cd38ee1f93e71b8226a", 6638),
-    ("CC0-1.0", "522b61a60f6fe281ac45b2344340abe34ffaf9bd78ecf1523b5099cb198abee7", 6655),
-    ("CC0-1.0", "5af3e546f7b748cdfb5e09c589f8f5c96104455635398ed64fc546fac799529e", 6656),
-    ("CC0-1.0", "ad7daece03dd72e1033b6bf568034dc56b5e4e28bce5f46e4f5d60271d0f4dd3", 6683),
-    ("CC0-1.0", "1815b1711bbecf90bd98e97f2ff2a61169506a4a1ebecf48acdffee888c3c49c", 6684),
-    ("GFDL-1.2", "0f86d702b67c481caf16d85d4906af14a49350639ee6d1cf41c21393db6abe36", 18809),
-    ("GFDL-1.2", "190e85260e8e72f9076cb4986da1165e0332ba4c0809d1c39334eda9cfbc7fb8", 18858),
-    ("GFDL-1.2", "5625a52f80d33352792af77eb36cf9f63769e71ff7e23c92ed7d7f323a3b0184", 18926),
-    ("GFDL-1.2", "854842d2d29671d4102fc0b6f4d09d6e6044856a849416b419c1819b8f2d4d0b", 19099),
-    ("GFDL-1.2", "c28892587614599cbc6691d950887af037d188c78545aa7daf420ad041857eca", 19216),
-    ("GFDL-1.2", "5bd045df5080fd59a28ab7debbfda1e7e189c8ac97e5e3ff423ccb54025418f7", 19317),
-    ("GFDL-1.3", "111ff62c6572c4f998409a8b84b7b2c670ef3fcd7516d72b177f8dfeda69bc07", 21265),
-    ("GFDL-1.3", "71cb1c7ffd13904f6b8a49b1244b8862a51ea6eddb3fe077a7699f135208d88c", 21316),
-    ("GFDL-1.3", "1dd13702ba97ae96f315dff2a9e34e97e36850273731b84198d89c2dad54f8e3", 21382),
-    ("GFDL-1.3", "9b0350db989727fcba0a91428455af906a7593e40ac0bb61593615cd3c6448a1", 21488),
-    ("GFDL-1.3", "8cb5d1a6947a1ac02839c7c123d6eb48211a5e21efb95cff4f667c72a8492ddd", 21605),
-    ("GFDL-1.3", "d7389c2dfce6ebb64725a9c52fd17accfaa949906c2ae8ca76b39f5780a2cc64", 21664),
-    ("GPL-1.0", "e0686bd520183f319e20e462697b0dcfbc5966da1624ae22b590f797a1051d03", 9139),
-    ("GPL-1.0", "fab9daec7fcad56e21bc82a43abd14f55298d9301d8eee89905f16f7074dc4f1", 9256),
-    ("GPL-1.0", "dd19604a342ce2e9f336cb10dc001521ab919b4158c8b62ad92a43ba9d084721", 9299),
-    ("GPL-1.0", "7aca3d14eb6d46b5bf6c0279c2ed5a8c2a2ed56f132c1ff4e272f8f6f2fcf158", 9351),
-    ("GPL-1.0", "aa91013161476a45060041bbee5b244abbf0f79044caa9d31514db91cf0a8173", 11410),
-    ("GPL-1.0", "b72a2d1c4d13f538a693c11e70c5a07ca354e14ba36e35ba327a3dc1864240b1", 11505),
-    ("GPL-1.0", "446c629909f72e4614daa3d18105f123c5d18a3ca4453eb1307b719cc4f7b887", 11527),
-    ("GPL-1.0", "5bea2de4c0c4d1cdf936f27f6e1d87c0a97b335d63bd555c7f23da61e4fbc4d9", 11622),
-    ("GPL-1.0", "9cd13176ad8f8dba88b6d7a59750c91db450da9d6463cbb0c506af8db0d082ce", 11622),
-    ("GPL-1.0", "e08e484a7f98b2df01e25348f54e8854c9a41f5a7273cb016104b9d0e8d996d7", 11665),
-    ("GPL-2.0", "09f104e070f94146df79e071f8747e4c0051de401b2fea3c32c21089c81de3e4", 14143),
-    ("GPL-2.0", "09fdb98ec8cccd7bceabfe2a376b85233431035469aaa8c7f8dc7b62eb795f22", 14207),
-    ("GPL-2.0", "cdbbd20c2721957134f8ec37abed854941e2af089405ef957f7709f109f83a94", 14246),
-    ("GPL-2.0", "b6b9c15d64b89ff0247a8f9fd92701ba532535a5817306b51d0cd9b5d648ffa0", 14260),
-    ("GPL-2.0", "442ee5005e172ff9eec0e862900559a7ac99b1a814b803d999b4fb5a038640a7", 14324),
-    ("GPL-2.0", "615a02f59e61adaeb81138516157c9d6885121fc1a0ac2e1cd6761a6fda08a2e", 14355),
-    ("GPL-2.0", "801fe7bfce7e80e9b35f5fef3b140c05e1f3f492436be73c88b91fd71a62337e", 16761),
-    ("GPL-2.0", "e5885ee0ca1a7df40c9ffd78e8444d75337fb8dde7e0c096ce0b859fd126b198", 16857),
-    ("GPL-2.0", "8e7b27adcdf48463109fbb621f659f8a4d3a4722e71ea4c0727a2b8b05eebc28", 16878),
-    ("GPL-2.0", "9b59df8674211c27ee2a755eda7d39e7ed9bec4048e601b01c8c3faa9b808083", 16896),
-    ("GPL-2.0", "8137ac0d95b3d1ffb941cebe9e81b24c534a66b364464991461132bfdb8c8ce4", 16973),
-    ("GPL-2.0", "fcc9db2cc10bfe81e769572370ef33fa54362bb9059879cd00a223249f6b15a2", 16974),
-    ("GPL-3.0", "6146815c9a8b8a8884109b0a4fa6bf92ef7488ba12156ca12e8a2b3c545379fa", 30495),
-    ("GPL-3.0", "ba9ee56999e1378a1b697ff87b938eab1eccd44e1a961e2edefddde05cbfcf80", 30593),
-    ("GPL-3.0", "79ce77f7c764cbdbffefccaa4786d7719697f78acfcec69b5647e52f37f38654", 30612),
-    ("GPL-3.0", "149b327fb63f0a5bb8e30e4293fdf4ad5e6784e2a1036fe53c7c5aa0b0969f7a", 30635),
-    ("GPL-3.0", "baa6dc93fed5c22326c164e3f64b3a8d8b63c62cbd12aba43f0384978855fcfd", 30654),
-    ("GPL-3.0", "df075d8efd25f4076387c6984b0b01d7b5dfe02af356aa7446346b4974159a4f", 30710),
-    ("GPL-3.0", "5d160e1991b7f1a2e556701176a285c5595c7b409bdbf95278497591d3fe9d13", 32910),
-    ("GPL-3.0", "e2f88e34750786347f369c47a72a574d60456f8e2ff2e91ada03d46f7d8a97a1", 33027),
-    ("GPL-3.0", "30ff6acb95ac3a3ad9220c36dc7fd8cfd0842ed86347d93c81284d0e1c9c98ee", 33040),
-    ("GPL-3.0", "1c3e58d483c45d7c6169c52017308c8ed139599c81b10760fbc43f8ab7fd1a5e", 33069),
-    ("GPL-3.0", "4b36192fc11f1144303af4e6a6734eb3b9de0831134bdc8dbd918546946cdb99", 33082),
-    ("GPL-3.0", "d27497708597a12e094e37091522e9c83b0f96da011c436af4d25f459f6a0e63", 33157),
-    ("ISC", "6e9dc1cd727a12354f4cef293d9d285ed81ed312d597842774d1120ac62a6dc6", 614),
-    ("ISC", "94b4e9f723d13830ec6a47b422738caee264943af1673fa32782cefd730ffc82", 626),
-    ("ISC", "55ae9c763977ad2fcd16c676fc054a71226e901fd7429c926521cfb847222e90", 628),
-    ("ISC", "e00f31f158e77a60e7375307e014eeb17754967f6d6757d019567221315db4e1", 630),
-    ("ISC", "fc550982f835fcd771007f5438b0506fd5954a16435c1ce28c6aefe58415dd6c", 630),
-    ("ISC", "736a4af67e4ca90c57557bc51657e492901fb0056654a751f8156e3412673270", 640),
-    ("ISC", "2b65e91ae7a110d9f570ee8b2dc6c4e0551226983c7bd7d6b015dfd30493ecee", 644),
-    ("ISC", "2b6b03b4fd6214f2060ff6e1a53d677339bef869a2ab20cd7544b41ad49857e5", 644),
-    ("ISC", "217da0747cec63a2e734185db11cbaa819bcd9e5b83cd12f812128fffe66e26a", 679),
-    ("ISC", "f172f90a892d869d5d840d5f4363218a9b21bdb1bd3925ba9c752d1660134fee", 691),
-    ("ISC", "23651ce8a73abaa8fad9143faad3fca843b5de6baf345008f65c453ea5685fb1", 695),
-    ("ISC", "40e6eb51c3b409d93549806b55b249c261dab149d19b56cc163624f39a08b1db", 695),
-    ("LGPL-2.0", "03db7084355ef58e17ddc4c935c0d838a7b3ee79944fcc12084f8fb1ed97ee66", 21646),
-    ("LGPL-2.0", "5c40e5604156cb54759639f7605f85a6b28fe7f91a7b85fe47ee7230096ec43e", 21839),
-    ("LGPL-2.0", "aa523da7974a37f849da35174524bc91115412e3228cdb6600da25f605e13f74", 21869),
-    ("LGPL-2.0", "fc7be821eb9ec95dec404b2816c84a9a090ce3eae02734dd9cadb694eac2ffc2", 21972),
-    ("LGPL-2.0", "19307100d6eb06aa416a6831e623007c37fc8d34152ae2a974893430d5cca5be", 21992),
-    ("LGPL-2.0", "9343103020c85c3891cda52107be27908aa52a8f65daa654bc10b5d36992647b", 22062),
-    ("LGPL-2.0", "620e37beec9156e3bb1d0dd6a241b147374330e81758ebb2cc038d1a498150a8", 23428),
-    ("LGPL-2.0", "e3a0ab998d6c32785186a72dd8fdf2073b52bfb8df5a64c040fb97053c32c0cc", 23651),
-    ("LGPL-2.0", "02bf0e9478c6316b96ca1621c2d34f144e5a387c3a2682769954b05eb33b4463", 23716),
-    ("LGPL-2.0", "a4850e06d254e0ff1e1f0030ff644a31a3684ced13955becdebc3d78b4c23f0a", 23754),
-    ("LGPL-2.0", "5575ab6b46dbbb42e3995fd72a049f9789fcc63557c70a72759ef83c4304ddea", 23869),
-    ("LGPL-2.0", "0d4711c1ea1f5c535bcea8d67b77d6fde9bbbc5a0f1d53baf7a44ef07355c57f", 23939),
-    ("LGPL-2.1", "23e14ceefafa01c17157197b393540b9cfdc0e8a099b200692fba67f986ab508", 22653),
-    ("LGPL-2.1", "126bc33955088b3fe7b2f49f1788a849a913e423d84cb683f90707a6bbd4eb88", 22846),
-    ("LGPL-2.1", "c9ebbb7f7b54eb0b893ef545f19b37c2db109d76b74dcfaa2e253bcecd16b999", 22904),
-    ("LGPL-2.1", "bc0840be7cc15bba4b3abd9b5b28342592f82ce12d3d303f223f5351537fa945", 23012),
-    ("LGPL-2.1", "44c505c630db1a9ded902847aed65529071b505b6f0f8603e5cd6fa19a1e08e2", 23032),
-    ("LGPL-2.1", "7ec66d907d7c17750f37be7a77a4d5db8c920370652599fa072f8859685ca690", 23097),
-    ("LGPL-2.1", "70aea9aac7e54c14409670e8391381d58b265751b28f7d201b7a5d6dcef16514", 24434),
-    ("LGPL-2.1", "594d07fe7c3907873786fa48877cc5062db0dfbdbce936fdc4bd2cb77846198d", 24685),
-    ("LGPL-2.1", "19a64986a025752b2f8530ef33381e1635d8e56aea85d758d0a14249b5bbe078", 24722),
-    ("LGPL-2.1", "489b76116d0960343275b5605d56c5d64ed71cd150a02336aac224cd526fc004", 24793),
-    ("LGPL-2.1", "359fac456d8f6f444bd4467c1ffe6a76a4af36338f3ba0c86d12f08539873005", 24908),
-    ("LGPL-2.1", "43d1a409146c072f7c24d1a99768a488217f94679fd7ee4b3b6671c9eb4cd657", 24973),
-    ("LGPL-3.0", "f940bc24b05085d27216df4b90ca5f4090d758b459d47cc4fbdc8b4e050772d0", 6778),
-    ("LGPL-3.0", "dae341322d9a136e341ae0973fa1bf0f5813cc478c84965cc7a0f4c63367032a", 6802),
-    ("LGPL-3.0", "db461fe98a89a36a7fa09be0f54d570ae245ea7b8bbe00700681ec8fe7af5361", 6827),
-    ("LGPL-3.0", "0a0115d3bb09b50ab02aa27969cf0e4054588a2188453598cf645eb51ca28589", 6895),
-    ("LGPL-3.0", "3fc11ccd0891b76a8a2998f10586e0fc31f7a8d1c8e2d0e13d16992cf546a0a8", 6919),
-    ("LGPL-3.0", "6d64b4203d151b83c7324025432960be34df125c8b1712f060de9fc1a573fa8e", 6968),
-    ("MIT", "e6ca3cdafe7a31609682cbe23fdbdb1e5ab3f2ce74ed47febde2b734108e3724", 908),
-    ("MIT", "c6ad8e2d3c4b04b0c8e25afb5297d47ee7aa24eb5b7464ad26423d0d8f9a96cc", 911),
-    ("MIT", "8ce14f0a25c4f5bd8f64dc7c23b76a49753d55b1f48c5f489768f95f099479f1", 920),
-    ("MIT", "e0ec1133ffbb2b3ca539cd8d8bbc6938fd001480f955360a7068e62c83bf1782", 923),
-    ("MIT", "cc6b5157cbaf73ddd55d4ce52f74e3013e5f2cadcf0685ef12edf6fefbffeae7", 924),
-    ("MIT", "94dc2756aa068347d32bc82ecd9f7f309e2a0b433f62b5d2ea960fa9d4ded8fb", 927),
-    ("MIT", "1674f9ff70210bc824f330ace1cff45c4642b977b843c0615f68f137c853b844", 928),
-    ("MIT", "d1f09d859fef0adbc5bd2ee7c5591c76e3b5eb789b490f2f9e81d67fde977143", 929),
-    ("MIT", "5d01a1651a4c284dfbbf1500c7a5c7abb115387c003fbedd1e4624fe9b90b141", 931),
-    ("MIT", "8af706f4520370b37521646ffa75702dc8924b89c5109cf5700067afdc727e14", 938),
-    ("MIT", "dbeb98bc1b52f75b36c50c47125a7df442beb1e3ffd78827b170c9c8652c8b12", 941),
-    ("MIT", "c34fe21a323cbce8af51fc99095db2ec6f28c105d7fc1a499fa7e3f87c5e2eb1", 945),
-    ("MIT", "cac66bac0e5f8f2bfab569dac33a5a76eaf695c630e7615e972455456ebe1ec5", 949),
-    ("MIT", "01a911b1eef72e358f3dd353205e71743912e10ec1e9aa7d097d292377c775ce", 950),
-    ("MIT", "0787bd9f80b5ca5dcbbfef07687572e9da9381c484ef027984d064771dc0c8a1", 954),
-    ("MIT", "bdd513df17ca64b3df02ab4fb97af8e25b54d51872b6739c746df4adad44c79a", 958),
-    ("MIT", "0cf21bdfd1964a97a8615e128534845826afbc887edc95aa5c925cbf64386b5c", 988),
-    ("MIT", "35a446201226de6b27cfb7106d0f6c697f63bfeac2913dcf89024911e66ef164", 1000),
-    ("MIT", "6ad3654379e72bbdf8478d5c90fb1e2525aba033fbe675e0ef2248aac67c0f6f", 1004),
-    ("MIT", "6c833965e9ca4cf8095655005226f24fe8bf7b1605dbe513204837a7371fa127", 1008),
-    ("MPL-1.1", "7a96188e788752092e5bc660dedbf63c12f64fa725408fb6488340a1cf2a6cb7", 20190),
-    ("MPL-1.1", "b5a7124b24e43199dd1570fc379395ba3dca52e717ed26bd7dda334d61b24845", 20217),
-    ("MPL-1.1", "cfe299aa2a5b54f5cfef04dab678e240223a2a523d842097c74adc597dc21258", 20649),
-    ("MPL-1.1", "312d42b7ecda13d6461409b3f4695f720fb8243c667cb7f39aa58229937571ec", 20676),
-    ("MPL-1.1", "4c56747d4a1a65ae14b9137468b6acdcd1cf9fd99b514329f2e10cb9a78a8278", 21608),
-    ("MPL-1.1", "02f1c90ad48cad0669d38da48998f13b7f443c025e9536de4b466285317817a8", 21635),
-    ("MPL-1.1", "5c05267169cecbcf6718c6cae479355ba15eaef5d3179cf73bf3d1aed5086210", 22067),
-    ("MPL-1.1", "51278b9083f0763be28fd33a911cea3c5a517d95dd81ec045fb8bd1a0a90957e", 22094),
-    ("MPL-2.0", "9feb5f2353b49efcc116f0603489a9a6be6d3feb5424a386a1ce20e1b960738d", 461),
-    ("MPL-2.0", "9b8015cd98be6acaafc13c4e6c92e558ea4e2c28f2ce3ff49803d9681c3f96f7", 488),
-    ("MPL-2.0", "b49d697a7057e2a3631fca7a80eff16ba7d6f068953160e3cdeb4a67c42f7572", 14113),
-    ("MPL-2.0", "18cb0ff071164c9f9722f1576290676afdbaa592ad1435b0f03359ec918ef269", 14140),
-    ("MPL-2.0", "1f0255277830547a62b0fa4bdd3cc80baa0124ff5a908bcae379199cd9e4dfc3", 14147),
-    ("MPL-2.0", "d75538cc34bc40dbdfeac928004f7c6dd7e6647666655780b5c5fa1ec4834cb3", 14174),
-    ("Unlicense", "d7949b372468a4529d7ca1e482c810dc2d492374a7c0de5e34abd7ea05d58be7", 1059),
-    ("Unlicense", "f5a1e03e0e9ec093cd6e4b752f1d3d36b808b4b2ceed9163370f47a2a6c49943", 1066),
-    ("Unlicense", "0d3092c906f53339bc7a503f1ed3d12cdc2d1a2af13c27d55123cd1bf62b5b6d", 1069),
-    ("Unlicense", "201a44c7111bc449dfd75ee7f9ff3ea6d612e49f2cdfedb6c3f91afa00f30da3", 1073),
-    ("Unlicense", "b0136eb66464bfb04c43eb18a5bf23ffc0cc8652c0acb59b51f98ba2a184846f", 1076),
-    ("Unlicense", "0c79d1fd06c8936dd2dacfad53eda1efed965d7c825ab9f0969d0a000422f141", 1080),
-    ("Unlicense", "7832628dcb9e848c328416575d9d189668fa84f514804c0b99bf8ce7496e9984", 1101),
-    ("Unlicense", "9914101b8a8c1a8065583e5ba917c48ae66112e593bdcd8797582292fdbf8954", 1110),
-    ("Unlicense", "8a71c9015b479a5c78054671768de30f8af03b91e99e174443d8568838d9447e", 1111),
-    ("Unlicense", "2f1611509afc00b8eccc5a36f204f90e315270ed5d03cc8ab1f34a5dfa158962", 1115),
-    ("Unlicense", "e6e60d2037efe58841d698b341a609d8a738effceaadb12ac721e54f8e0bf7db", 1115),
-    ("Unlicense", "a21977739ebf4113441f4dc8ae109bdc9031184db06874ce6994eaf26c9602ff", 1117),
-    ("Unlicense", "98837a69b0f5fdfdc0d77fe54555046cc4e6e640ead1d73d67583c6fcfa9c39e", 1120),
-    ("Unlicense", "2e257ade911c7da37084da840e0650ecd7a9db1e0e734ef8c92be1a8f08e4426", 1124),
-    ("Unlicense", "d5c59598465a8119e960a42b8f463f542ca3466b187c4d7597c853a682fd82c6", 1125),
-    ("Unlicense", "bddec7af9c5c15234c44ad3e41085de2eaffbb093053ce7d79614140d67c9a0f", 1127),
-    ("Unlicense", "9137ac0fab84d2bbd40d528074283e83bc514a40cae572819c6a647f087f1480", 1129),
-    ("Unlicense", "9167151f891cd759047b1bd98ab556e945b0b708c467fcdbbd081f11cc96946a", 1131),
-    ("Unlicense", "2df421b3911957f3a12b2dea60345f373ced19b593213f8424d10d48f04d5c88", 1152),
-    ("Unlicense", "00b27a3646440c281382a67e50a8f40af20b0b213cada3e2a3dd0b7903aa653e", 1162),
-    ("Unlicense", "788cc8843bf483eb3ea3b5f6c317b95502da6e7105963f7c57c872ceb263fd49", 1166),
-    ("Unlicense", "de198120afe1367b97e0781f89006a56ece4446182670c66c0eff12e0a3bd302", 1166),
-    ("Unlicense", "61b8df3bf9be4edfff511c78ed1de9707b89da1c7f1b3cebb25b04ad5f8f5f70", 1176),
-    ("Unlicense", "809968f4241982f99b42b6e6876998f75b4d56ee4ab4ede1b86be793a0e87ef2", 1180),
+    ("0BSD", "0a3c6d8cba4008f8f77f9523dfd7dd4abe732b42587979e10d17dde7e8a38e99", 590, "permission to use copy modify an", True),
+    ("0BSD", "73dd41a4b4752165792ec1c2b5c700f114053545ead2443a9599eb883e52b83b", 606, "zero clause bsd permission to us", False),
+    ("0BSD", "59365598e3c06093a62c91ea2efd18b81980f22fc64c9affc985d3ef18d3ef92", 614, "bsd zero clause license permissi", False),
+    ("Apache-2.0", "eb5530041b6ea17d477f6852abf71a41c900ceab5a78d9f98709db07fac68143", 8117, "1 definitions license shall mean", True),
+    ("Apache-2.0", "1a9d5dc25b3937c10040abbf2ced955e40e9830cd2d8b129b6dd6f1f4d8176c8", 8176, "terms and conditions for use rep", False),
+    ("Apache-2.0", "f3b0e478d916e7d669319cb1d5f041e69ff23b577aa852fbe29a7b5439908890", 8232, "apache license 2 0 january 2004 ", False),
+    ("Apache-2.0", "9e71813646a49e037b3488cc918418ec07ed765b607532c64cfb1fe087625488", 8729, "1 definitions license shall mean", False),
+    ("Apache-2.0", "2a22abde2e3cce5f233acd8ccbd2aedf471badfad4b6015f024c4bffcdb37327", 8788, "terms and conditions for use rep", False),
+    ("Apache-2.0", "f9a8e6983f1dc4ced6c35ea39547337799ffc71efc34667b60c23ee2f7051372", 8844, "apache license 2 0 january 2004 ", False),
+    ("Apache-2.0", "680d2f4624144c01e259aaf5cf21549e0eb580a7397818808d8713171452c882", 9732, "1 definitions license shall mean", False),
+    ("Apache-2.0", "33fe867b2a72bb13615bb58d1df6ea5b2ac6ba463ddb89c622841418916c7f37", 9791, "terms and conditions for use rep", False),
+    ("Apache-2.0", "85c255147d02a1e41dc2dced07a6cf527f58c3480fa9510015bbc41b019a6df1", 9847, "apache license 2 0 january 2004 ", False),
+    ("BSD-2-Clause", "af5280fe5290abff6c81496b2430fa3ae4506a40df2cd4b45e8d5729e5615ac1", 1139, "redistribution and use in source", True),
+    ("BSD-2-Clause", "cb73dcd9637076ab7be4e429967783087c5b3f1b376918533697a5142839a8d9", 1143, "redistribution and use in source", True),
+    ("BSD-2-Clause", "6e4b41ef83676398278c1d8b470269fa29740f5b87af72a01c7f1617be67a798", 1151, "bsd license redistribution and u", False),
+    ("BSD-2-Clause", "984f86e4fbcd2b6fbc3d956ed92c2420141123674cc7d1ed75c28536524ad849", 1155, "bsd license redistribution and u", False),
+    ("BSD-2-Clause", "5c176d7d235de8d6e4247af6382b33c2c620fa1f81255b4c59cbadfd094b5c8e", 1160, "bsd 2 clause license redistribut", False),
+    ("BSD-2-Clause", "bf51618b53f2270d04bbfb43b2a1ec9f09ee6548b7c77f612d7fbc0bfa078ca4", 1164, "the bsd 2 clause license redistr", False),
+    ("BSD-2-Clause", "2218eed096db71f1538862718852e8beca4abfaee61128a0e1678005d31bb9de", 1164, "bsd 2 clause license redistribut", False),
+    ("BSD-2-Clause", "cbb5bf64374a5f606db3255dd54f0fe9fcfeaff34fab6af9a70d561b62fe4570", 1166, "simplified bsd license redistrib", False),
+    ("BSD-2-Clause", "f4b593d5bc03b46b65d8fac4dc7a9b2f38d3a484e70b15160bce1c823e6fe0f7", 1168, "the bsd 2 clause license redistr", False),
+    ("BSD-2-Clause", "19111d6a47bc463c3b6ce30beb05621917e59c9532aa87c1b63843e21f128ab3", 1168, "the 2 clause bsd license redistr", False),
+    ("BSD-3-Clause", "56019f5f5c0d604e8bf4a9a27846d8e414fce4864a7b43ac848ee4452b97957f", 1316, "redistribution and use in source", True),
+    ("BSD-3-Clause", "1db6dd384613154fa62fd0477f795222008b7063196d6ceb94d390f9df7abb4c", 1322, "redistribution and use in source", True),
+    ("BSD-3-Clause", "b825864bb476bbd3a60c6c8bf1c5bdcbffaff9f3db8bb2cb42ad8dbd2dab395a", 1328, "bsd license redistribution and u", False),
+    ("BSD-3-Clause", "74ea59c7493ec7c075dd0057e42b0f7747912955b49947b741d19bfe2db400cd", 1332, "new bsd license redistribution a", False),
+    ("BSD-3-Clause", "de8216564cb3f293315a992e3d5da29e55c688bd9fc3144fc20745264cac262e", 1334, "bsd license redistribution and u", False),
+    ("BSD-3-Clause", "cda6be28edb0d4f65dd1eabad98af9d3b4e0ca8da39c73edb50c0cb4319cfa50", 1337, "bsd 3 clause license redistribut", False),
+    ("BSD-3-Clause", "38a3c1839fe5b7e0c47b194e259741c0160d73a0e4769dc0a039f84243813a8c", 1338, "new bsd license redistribution a", False),
+    ("BSD-3-Clause", "87971b70f196bb74c2485f4f879b7b53754d054ab08b9d1fcd34cc58966206f4", 1341, "the bsd 3 clause license redistr", False),
+    ("BSD-3-Clause", "989c1252a668c03e4e608e579d20bc2ef966e3235d921136f1be97a0b1e89a4e", 1343, "bsd 3 clause license redistribut", False),
+    ("BSD-3-Clause", "5ef180def7d2073672d30bd79140c8051748c35b84a7f6c660ee918d8f206ee9", 1347, "the bsd 3 clause license redistr", False),
+    ("BSD-3-Clause", "787f2e50bca31e729074e4060f7eca9597ca918cbfe1f1aa3d196a1e62e44204", 1347, "the 3 clause bsd license redistr", False),
+    ("BSL-1.0", "ca1a8e0c8181fe6bfe94d2186c3b3f3619c8a8bb04b6857014ff5d0d7eec87fb", 1194, "permission is hereby granted fre", True),
+    ("BSL-1.0", "ff53c86cc09aa5dcb914e68faa627eed58adeabdda6c3573838a6d525c5bdab5", 1238, "boost software license 1 0 augus", False),
+    ("CC0-1.0", "af078be23a79bc0f0c0b2268b1cdc885abe97f6a1146407a884c557371d43c96", 6174, "statement of purpose the laws of", True),
+    ("CC0-1.0", "1815b1711bbecf90bd98e97f2ff2a61169506a4a1ebecf48acdffee888c3c49c", 6684, "creative commons legal code cc0 ", False),
+    ("GFDL-1.2", "327ff9f3e63e719cc45899ef05080eafb12108bce472a46ebddb166b461a8818", 17969, "preamble the purpose of this lic", True),
+    ("GFDL-1.2", "ea0b6c51e5f4795435334b41b0c75fafb75fc99097fa3281d9b7339dd872cefb", 18189, "gnu free documentation license 1", False),
+    ("GFDL-1.2", "7252bd7bccc03b015f3d30bedfd032bf71c373f4a4dfe79399cf0c0c9e9c603d", 19150, "preamble the purpose of this lic", False),
+    ("GFDL-1.2", "ed4ad8e387d520ed5925efb355fefc7a73b86146a9ca19d381743ac6381bc5ca", 19370, "gnu free documentation license 1", False),
+    ("GFDL-1.3", "da4b2133a5dff7f92634263ca693cfee66e3c91c6447b5f7ad342c4470fc89e2", 20425, "preamble the purpose of this lic", True),
+    ("GFDL-1.3", "229642975f5d60890cc4f8acb9eae97717488cea3c7c0b8c2ebe27c05889b17e", 20603, "gnu free documentation license 1", False),
+    ("GFDL-1.3", "082693eaf0b65961c412f43dd8d1fb58181467fa641711bb42d54445c80d31db", 21606, "preamble the purpose of this lic", False),
+    ("GFDL-1.3", "ec42336af2285add31479057c21a0a4b783f8d4ca5d50bee8067c1afeac88b76", 21784, "gnu free documentation license 1", False),
+    ("GPL-1.0", "7659ea3b3d6e0f6701bbe141b6dcea283566d00068afed5064afdff9c04c128a", 7069, "this license agreement applies t", True),
+    ("GPL-1.0", "bb4d855a4c3ee172ad89333b53904dc8fb6a0d6816a801621b7a4de1761d96c8", 7097, "this license agreement applies t", False),
+    ("GPL-1.0", "caafce074c2f1252073f4353068b2a04e294067e34d307032d0ec7e4d86f437d", 9111, "preamble the license agreements ", False),
+    ("GPL-1.0", "e0686bd520183f319e20e462697b0dcfbc5966da1624ae22b590f797a1051d03", 9139, "preamble the license agreements ", False),
+    ("GPL-1.0", "81da11ca411d9d6436124dfe3156dde613b606f7a78772a7b1b2250d665186bb", 9323, "gnu general public license 1 feb", False),
+    ("GPL-1.0", "7aca3d14eb6d46b5bf6c0279c2ed5a8c2a2ed56f132c1ff4e272f8f6f2fcf158", 9351, "gnu general public license 1 feb", False),
+    ("GPL-1.0", "b2b121a9cf7a4af973c5309cce17ea2e86728afd543d27d9413a2b817a9bdd6c", 9431, "this license agreement applies t", False),
+    ("GPL-1.0", "8a13748640fca5c91ef25388e7cf9880b2e24edc1619be11555f8e06041bf302", 11473, "preamble the license agreements ", False),
+    ("GPL-1.0", "0e3a6e6ec3574e464befa1da7e02619e6d39551648d59a3ae3b15214354a6cf1", 11685, "gnu general public license 1 feb", False),
+    ("GPL-2.0", "a10c3170bbe899421da4e5b1e639ed1c7a8dec78457ffa496be49f8e146a78cc", 11644, "this license applies to any prog", True),
+    ("GPL-2.0", "0aad2ad9200354a0c47c1c732b29c822b0cbc3fb4a540d1b9636e9a35e05c8df", 11672, "this license applies to any prog", False),
+    ("GPL-2.0", "fe7901a936bf664f9b5dd0be8a703a744b5aa0f454c822ad286c143c792d33c0", 14179, "preamble the licenses for most s", False),
+    ("GPL-2.0", "09fdb98ec8cccd7bceabfe2a376b85233431035469aaa8c7f8dc7b62eb795f22", 14207, "preamble the licenses for most s", False),
+    ("GPL-2.0", "592f0aa19767ea8adf184cefaadbe2905c0698a423b9b3847b40621661c6a9ba", 14290, "this license applies to any prog", False),
+    ("GPL-2.0", "1ec867849dd33f66635d85d213fc117d482d7ee31ea577b95cbb9c80a5003519", 14391, "gnu general public license 2 jun", False),
+    ("GPL-2.0", "c6a6a8752257b86c1691e9e7f3e86d4d696bbfaaa3f585be877c82f2291f2c66", 14419, "gnu general public license 2 jun", False),
+    ("GPL-2.0", "efa5abacd37322c2020f736b202ac5d4cb177ca8d7a7da2b8cb91fc24ba6ce3b", 16825, "preamble the licenses for most s", False),
+    ("GPL-2.0", "9c8439f8efcf5accf81009202bc986cd815f684f7c120466fe2807ed6b9791eb", 17037, "gnu general public license 2 jun", False),
+    ("GPL-3.0", "3cd4f55f53f72c7288d3d9ab8be8e6b069811c4c459b8ca4fb9ae7b978fab182", 27458, "definitions this license refers ", True),
+    ("GPL-3.0", "b34353b2b8d4ab4419c5ae53b9bce51070f6b600a415d127ce7620c892778911", 27486, "definitions this license refers ", False),
+    ("GPL-3.0", "3e690dde4155e9876075eb2d4186510d2f3bc2869d1338a1f077119deb9169dc", 29901, "definitions this license refers ", False),
+    ("GPL-3.0", "6c8225151b45f012135050a5d75c5a8efe00c6bb8a9258d7f225ab367efd6c9f", 30669, "preamble the gnu general public ", False),
+    ("GPL-3.0", "2c0415031c1032b610bcccade8e8205085757b35f6087dadbc46500238ea3ff1", 30697, "preamble the gnu general public ", False),
+    ("GPL-3.0", "c5f344c04e43271d5daaf1dfbf10b58f93cee25af214cb5f4298940d47d45001", 30828, "gnu general public license 3 29 ", False),
+    ("GPL-3.0", "15c07cd4ab89ca5795965e02e8dc5b5cc8c5677132e6fd3061056a82701432d0", 30856, "gnu general public license 3 29 ", False),
+    ("GPL-3.0", "a9452e7df1af2369e94a21df02e50a6f1438541388e909279fbd7a1207a4db4c", 33112, "preamble the gnu general public ", False),
+    ("GPL-3.0", "53649bb2b9cc912eb496721fe8a1c91dbc32bf3c8cbad2d16161fd440c8c5181", 33271, "gnu general public license 3 29 ", False),
+    ("ISC", "0836ad9a214c5439e88de5061e128140b2d965cf75479e6b368f8782ce8d0e0a", 679, "permission to use copy modify an", True),
+    ("ISC", "a62954ccd76ca01f68871213bdb383bcbe7e2eaa13ea82cd724536e35bdda38c", 689, "permission to use copy modify an", True),
+    ("ISC", "b080c5721b3a3c7ce9371f16f4a118a6658ca5d0dcba04382b4ea74acb8f4096", 691, "isc license permission to use co", False),
+    ("ISC", "ad4194e34315617ed91812897603901a5a8931963fa1668f0a90211a44c88bc4", 695, "the isc license permission to us", False),
+    ("ISC", "502187a1a8b29776054a4121b2102da5e2c1ec765f2f06ab252f464c6ee568d3", 695, "isc license isc permission to us", False),
+    ("ISC", "510724a0bd15f45afd53821b777d369f9508292f8d2686e787bfb1b10ff07a90", 701, "isc license permission to use co", False),
+    ("ISC", "efe829e3ba7855f521338c1b3409d545e70008b2017427fa6ea15389423e45d1", 705, "the isc license permission to us", False),
+    ("ISC", "b7d2ff3a82a558623c6e443d0b44056b7f6f01a553838789e47cc9291d712730", 705, "isc license isc permission to us", False),
+    ("LGPL-2.0", "8a6f266e0a1100ebd9d645b247ef5804181996fca8fbf32e8f2e2a8b3e362770", 16997, "this license agreement applies t", True),
+    ("LGPL-2.0", "ae786ef3d5b4901cae00a2c8cfa534059c168a300aa0b89532198431ccd39d25", 17025, "this license agreement applies t", False),
+    ("LGPL-2.0", "f98ee680044289d29ba3be91a11cba3d757bc48d3bb17570fb29980c17e6a8d4", 18870, "this license agreement applies t", False),
+    ("LGPL-2.0", "2d6aa76699e661e45fa2baa48bb52d9c35c1e4c105fff2a21e69b85248e42df0", 21811, "preamble the licenses for most s", False),
+    ("LGPL-2.0", "5c40e5604156cb54759639f7605f85a6b28fe7f91a7b85fe47ee7230096ec43e", 21839, "preamble the licenses for most s", False),
+    ("LGPL-2.0", "d47a7e85077595a839b85c7a5bf502976caad2b230462db4ca9c21f0c9b4b85a", 22137, "gnu library general public licen", False),
+    ("LGPL-2.0", "c4d6372ccc3952ce4f8deba3ddf4c08ddcff16ab005bb771113acffe07ee898c", 22165, "gnu library general public licen", False),
+    ("LGPL-2.0", "f5737dbdf51af298af14203ce2ad3e0456036a1076ab945b0359419e6e9c51df", 23684, "preamble the licenses for most s", False),
+    ("LGPL-2.0", "0065a77033acc3b3003d60fdf01813c2c3822a31956ca79c0cdaa90676c66e98", 24010, "gnu library general public licen", False),
+    ("LGPL-2.1", "aa1533d66338f4a2a69cb793dbbd25fb7cfc38c903f5899f10be53142fe44680", 17436, "this license agreement applies t", True),
+    ("LGPL-2.1", "398fbd60a6fc73c4fa183807f2edbf5a7c27481f87ace7500420faeffa458bcf", 17464, "this license agreement applies t", False),
+    ("LGPL-2.1", "ead34e84f0367221d8d8a8c0116f552adcf957fb62da7d2e3a66104d222836ed", 19308, "this license agreement applies t", False),
+    ("LGPL-2.1", "676803e809489662fe9b2379373bc4a80d1ef7ae269f672dcc04afdb9a406a45", 22818, "preamble the licenses for most s", False),
+    ("LGPL-2.1", "126bc33955088b3fe7b2f49f1788a849a913e423d84cb683f90707a6bbd4eb88", 22846, "preamble the licenses for most s", False),
+    ("LGPL-2.1", "4ce8713cae454c2a5ae3969d2b78ad8fb5f7051c7957d5b17646378550d88dc5", 23177, "gnu lesser general public licens", False),
+    ("LGPL-2.1", "984e8fa993cc1edb72646090297a9bc7aac37856422bb6b045320b4afa2d4995", 23205, "gnu lesser general public licens", False),
+    ("LGPL-2.1", "709e9424ab33a53cf8d43f5a484643d8bc0fcab097e6d97dffee4b80808258ee", 24690, "preamble the licenses for most s", False),
+    ("LGPL-2.1", "7f1b786219dba7cf963a46aef0267e74a4234133c2ca17d54e08223cbb24b6ab", 25049, "gnu lesser general public licens", False),
+    ("LGPL-3.0", "f940bc24b05085d27216df4b90ca5f4090d758b459d47cc4fbdc8b4e050772d0", 6778, "this of the gnu lesser general p", True),
+    ("LGPL-3.0", "98e2fed4834af5ebe4794fbacccb4555efb8b9dd309d989a47c1d4ac3cf8bae1", 6944, "gnu lesser general public licens", False),
+    ("MIT", "1bbd3b61db28e5625db087de0418387040f9d337a205bf583de7e4e69783ef48", 966, "permission is hereby granted fre", True),
+    ("MIT", "be77903434baf13e539831c0c8e8b0c14f746633cbb91b49f953649b79285104", 970, "mit permission is hereby granted", False),
+    ("MIT", "a380a2d88898a0b21fd46403346b281fb073da29a617ac13e60704ac9b5b7be3", 978, "mit license permission is hereby", False),
+    ("MIT", "693e8006ff29df96b251ae7353c310e866d414c17fbc403d3fa127e20cab6629", 978, "license mit permission is hereby", False),
+    ("MIT", "6b48ef27439372cb46752d75ae62a6be3740e4c9c139db9197f4b1e70060622b", 982, "the mit license permission is he", False),
+    ("MIT", "a860374a14d18a7451b3f4aab3ef76dedb559bac763efa802d60ccb759a8215f", 986, "the mit license mit permission i", False),
+    ("MPL-1.1", "c81d25534d7ed7fc11fa2af71f861a35c17fdbcbe2471154308de82f66b5d92d", 20792, "definitions 1 0 1 commercial use", True),
+    ("MPL-1.1", "75dd9a6b352e6f492dae5dbd37cacffdc95441d986be9a032453134bfeb1e3eb", 20821, "mozilla public license 1 1 1 def", False),
+    ("MPL-1.1", "92d3cca9ee31a04fe188794353ecd666cfbe4e927181c96035bf57bd5dee4462", 22157, "definitions 1 0 1 commercial use", False),
+    ("MPL-1.1", "fd8b3cd6430575d58b7ce37cec42751cb270cdf37a447229c7c2c9eb4a7bdbc1", 22186, "mozilla public license 1 1 1 def", False),
+    ("MPL-2.0", "b1aad75516a74cc3ab1074e3993f00205ef46631dbaa0b8a048025267d4ada37", 13570, "definitions 1 1 contributor mean", True),
+    ("MPL-2.0", "7e5f7080533aed2362dabc38ac197b84b0c8fa3ef80a8303d427b4ab35ff4841", 13599, "mozilla public license 2 0 1 def", False),
+    ("MPL-2.0", "31d468d2ae255b5044bc2200cc0ba15d36c74c2cf44d0ff6745c4d7d5c424796", 14199, "definitions 1 1 contributor mean", False),
+    ("MPL-2.0", "c1dbb14123bd663b5ca7a38f281c59f7de35a045bc5523fe64b31a708ada5350", 14228, "mozilla public license 2 0 1 def", False),
+    ("Unlicense", "761a8706c5893d446d665605662541f6c8c4cfaf66050e7e117d2293149018a7", 1114, "this is free and unencumbered so", True),
+    ("Unlicense", "49d6fc33caecfc9fe20c47425ab4fa49e379e986e0f56b758566937adf8beb64", 1128, "the unlicense this is free and u", False),
+    ("Unlicense", "a167fb4fa9f9c998c858a3fd23d123b81125066bf3051239cb8d7190224bd59e", 1165, "this is free and unencumbered so", False),
+    ("Unlicense", "0dd29327d0d6edc23548daeb80dfa0e2d7601c213a028d676929c4338df63070", 1179, "the unlicense this is free and u", False),
+    ("Zlib", "1b8c5cd52eceb19ab0bc3cb40be110b1c0e7fa2671a3fe5866e59dd1502e69c7", 784, "this software is provided as is ", True),
+    ("Zlib", "99618428d879198d4ae824db7ad07a9d0f9214f15429de52839cbe667713f21a", 797, "zlib license this software is pr", False),
+    ("Zlib", "ee37bc3ccba61ff28a10c05f28bdabf7466db400a75d9a1890fb865cda23e145", 801, "the zlib license this software i", False),
 ]

@@ -65,12 +65,20 @@ def _canonical_sql(text: str) -> str:
     return f"trim({out})"
 
 
+_WORDED = " OR ".join(f"contains(lower({{}}), '{w}')" for w in licenses.WORDS)
+_FULL = ", ".join(f"('{i}', '{d}', {n}, '{h}', {c})" for i, d, n, h, c in licenses.FULL)
+#: Lines and paragraphs of several lines against the forms of notices; every place of a text's form where a full text begins, against its digest.
 LICENSES_SQL = rf"""
-WITH known AS (SELECT {_canonical_sql('t')} AS form, min(id) AS license_id FROM (VALUES {', '.join(f"({_literal(i)}, {_literal(t)})" for i, t in licenses.KNOWN)}) k(id, t) GROUP BY 1),
-parts AS (SELECT doc_id, list_concat([coalesce(text, '')], string_split(coalesce(text, ''), chr(10)), regexp_split_to_array(coalesce(text, ''), '\n\s*\n')) AS l FROM documents),
-units AS (SELECT doc_id, i = 1 AS whole, l[i] AS part FROM parts, unnest(range(1, len(l) + 1)) u(i)),
-forms AS (SELECT doc_id, whole, {_canonical_sql('part')} AS form FROM units)
-SELECT doc_id, license_id, count(*) AS n_parts, bool_or(whole) AS whole FROM forms JOIN known USING (form) GROUP BY 1, 2"""
+WITH notices AS (SELECT {_canonical_sql('t')} AS form, min(id) AS license_id FROM (VALUES {', '.join(f"({_literal(i)}, {_literal(t)})" for i, t in licenses.NOTICES)}) k(id, t) GROUP BY 1),
+fulls AS (SELECT * FROM (VALUES {_FULL}) f(license_id, digest, size, head, core)),
+docs AS (SELECT doc_id, text, {_canonical_sql('text')} AS form FROM documents WHERE {_WORDED.format(*['text'] * len(licenses.WORDS))}),
+parts AS (SELECT doc_id, form AS every, unnest(list_concat(string_split(text, chr(10)), list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda p: regexp_matches(p, '\S\s*\n\s*\S')))) AS part FROM docs),
+units AS (SELECT doc_id, every, {_canonical_sql('part')} AS form FROM parts),
+found AS (SELECT doc_id, license_id, 1 AS n, every = form AS whole FROM units JOIN notices USING (form)),
+places AS (SELECT doc_id, form, head, unnest(range(1, length(form) - 30)) AS pos FROM docs JOIN (SELECT DISTINCT head FROM fulls) h ON contains(form, head)),
+met AS (SELECT doc_id, license_id, CASE WHEN core THEN 1 ELSE 0 END AS n, length(form) = size AS whole FROM places p JOIN fulls f ON p.head = f.head AND substr(form, pos, 32) = f.head
+  WHERE (pos = 1 OR substr(form, pos - 1, 1) = ' ') AND sha256(substr(form, pos, size)) = digest)
+SELECT doc_id, license_id, CAST(sum(n) AS BIGINT) AS n_parts, bool_or(whole) AS whole FROM (SELECT * FROM found UNION ALL SELECT * FROM met) a GROUP BY 1, 2"""
 
 #: Lower-cased words, their shingles of four, pairs that share any, and the least id that links reach.
 NEAR_SQL = """

@@ -12,7 +12,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from quillmark.llm import bpe, decontam, fingerprint, graph, langid, licenses, lm, minhash, quality, secrets, toxicity
+from quillmark.llm import bpe, decontam, fingerprint, graph, langid, licenses, lm, minhash, quality, queries, secrets, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b for a in "ba ko ti ru se no".split() for b in "lan mer tis don pra vel quo".split()]
@@ -418,26 +418,57 @@ def test_fingerprint_estimates_and_merges(spark):
 # op6
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def wrapped(text, width):
+    return "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+
+
+LICENSED = [
+    (1, "Prose.\nReleased under the MIT Licence!\nMore."), (2, "The MIT License (MIT)\n\nCopyright (c) 2020 Someone\n\n" + MIT.upper().replace(",", " ;")), (3, "MIT is a place"), (4, None), (4, ""), (5, "Licensed under the Apache License, v. 2.0"),
+    (5, "x\n\nlicensed under CC BY-NC 4.0"), (6, f"Prose before.\n\n{wrapped(MIT, 60)}\n\nProse between. Copyright law.\n\nMIT License\n\n{wrapped(MIT, 77)}\n\nMore prose."), (7, MIT[:-20]), (8, wrapped(MIT, 40)), (9, "Permission is hereby granted, free of charge, to any person " * 50),
+    (10, "Released under the MIT License."), (10, "Two\nReleased under the MIT License.\nReleased under the MIT License."),
+]
+LICENSES = {(1, "MIT", 1, False), (2, "MIT", 1, True), (5, "CC-BY-NC-4.0", 1, False), (5, "Apache-2.0", 1, True), (6, "MIT", 2, False), (8, "MIT", 1, True), (10, "MIT", 3, True)}
+
+
 def test_licenses(spark, odd, none):
-    mit = next(t for i, t in licenses.KNOWN if i == "MIT" and len(t) > 100)
-    texts = [(1, "Prose.\nReleased under the MIT Licence!\nMore."), (2, "Copyright (c) 2020 Someone\n" + mit.upper().replace(",", " ;")), (3, "MIT is a place"), (4, None), (4, ""), (5, "Licensed under the Apache License, v. 2.0"), (5, "x\n\nlicensed under CC BY-NC 4.0")]
-    got = {(r["doc_id"], r["license_id"], r["whole"]) for r in licenses.scan(table(spark, texts), licenses.known(spark)).collect()}
-    assert got == {(1, "MIT", False), (2, "MIT", True), (5, "CC-BY-NC-4.0", False), (5, "Apache-2.0", True)}
-    assert licenses.scan(none, licenses.known(spark)).count() == 0 and licenses.scan(odd, licenses.known(spark)).count() == 0
+    got = {tuple(r) for r in licenses.scan(table(spark, LICENSED), licenses.known(spark)).collect()}
+    assert got == LICENSES
+    assert licenses.scan(none, licenses.known(spark)).count() == 0 == licenses.scan(odd, licenses.known(spark)).count() == licenses.scan(table(spark, LICENSED), licenses.known(spark, [], [])).count()
+    long = table(spark, [(1, prose(1, 40_000) + "\n\n" + MIT)])
+    assert [tuple(r) for r in licenses.scan(long, licenses.known(spark)).collect()] == [(1, "MIT", 1, False)]
+
+
+def test_licenses_sql(spark):
+    """The SQL, which tries every place of a text, finds the same full texts."""
+    import duckdb
+    import pandas as pd
+
+    db = duckdb.connect()
+    db.register("documents", pd.DataFrame(LICENSED, columns=["doc_id", "text"]))
+    assert {tuple(r) for r in db.execute(queries.LICENSES_SQL).fetchall()} == LICENSES
 
 
 def test_licenses_full_texts(spark):
     """Full texts, with and without titles, however their lines are cut; a part of one isn't it."""
-    mit = next(t for i, t in licenses.KNOWN if i == "MIT" and len(t) > 100).removeprefix("MIT License ")
-    texts = [("MIT", f"The MIT License (MIT)\n\nCopyright (c) 2020 Someone\n\n{mit}"), ("MIT", f"Copyright (c) 2020 Someone\n\n{textwrap.fill(mit, 72)}"), (None, mit[:-20])]
+    texts = []
     for name, lid in (("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("BSD", "BSD-3-Clause"), ("CC0-1.0", "CC0-1.0")):
         path = Path("/usr/share/common-licenses") / name
         if path.exists():
-            texts += [(lid, path.read_text()), (None, path.read_text()[:-300])]
+            own = path.read_text()
+            texts += [(lid, True, own), (lid, None, "\n\n".join(" ".join(p.split("\n")) for p in own.split("\n\n"))) if name != "BSD" else (lid, True, own.upper()), (lid, False, "Some prose.\n" + own + "\nMore."), (None, False, own[: len(own) // 2])]
             if lid == "Apache-2.0":
-                texts.append((lid, path.read_text().partition("www.apache.org/licenses/\n")[2]))
-    got = licenses.scan(table(spark, [(i, t) for i, (_, t) in enumerate(texts)]), licenses.known(spark)).where("whole").collect()
-    assert {r["doc_id"]: r["license_id"] for r in got} == {i: lid for i, (lid, _) in enumerate(texts) if lid}
+                texts.append((lid, True, own.partition("www.apache.org/licenses/\n")[2]))
+    rows = table(spark, [(i, t) for i, (_, _, t) in enumerate(texts)])
+    got = {r["doc_id"]: (r["license_id"], r["whole"]) for r in licenses.scan(rows, licenses.known(spark)).collect()}
+    assert got.keys() == {i for i, (lid, _, _) in enumerate(texts) if lid}
+    assert all(got[i][0] == lid and (got[i][1] if whole else whole is None or not got[i][1]) for i, (lid, whole, _) in enumerate(texts) if lid)
 
 
 # op7
