@@ -134,8 +134,8 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def among(df: DataFrame, column: str, ids: DataFrame, limit: int = 500_000) -> DataFrame:
-    """Rows of `df` whose `column` occurs in the one column of `ids` (distinct, non-null).
+def among(df: DataFrame, column: str, ids: DataFrame, limit: int = 500_000, null_safe: bool = False) -> DataFrame:
+    """Rows of `df` whose `column` occurs in the one column of `ids` (distinct); null counts as a value if null_safe, and is nowhere else.
 
     Up to `limit` ids (4 MB as longs) are broadcast, which spares moving the
     rows of `df`; more are joined by a shuffle.
@@ -143,7 +143,7 @@ def among(df: DataFrame, column: str, ids: DataFrame, limit: int = 500_000) -> D
     ids = ids.toDF("__wanted")
     if ids.limit(limit + 1).count() <= limit:
         ids = F.broadcast(ids)
-    return df.join(ids, df[column] == ids["__wanted"], "left_semi")
+    return df.join(ids, df[column].eqNullSafe(ids["__wanted"]) if null_safe else df[column] == ids["__wanted"], "left_semi")
 
 
 def without(df: DataFrame, column: str, ids: DataFrame, limit: int = 500_000) -> DataFrame:

@@ -3,9 +3,10 @@
 A mask keeps some positions of a window of tokens and ignores the others. The
 hash of the kept tokens, of every window of the benchmark and of the documents,
 is the join key, so a window still meets its source if tokens at ignored places
-were replaced. Each hit gives an item and its offset in the document; the two
-token sequences are then compared place by place, and the overlap counts if
-some run of `window` tokens agrees in `percent` hundredths of its places.
+were replaced. Each hit gives an item and its offset in the document. These are told
+once each, and for them alone the two token sequences are compared place by place:
+the overlap counts if some run of `window` tokens agrees in `percent` hundredths of
+its places.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import SPACE, SPACE_CLASS, without
+from quillmark.llm.common import SPACE, SPACE_CLASS, among, saved, without
 
 #: 1: the token at this place of the window is hashed. All masks are as long. By enumeration these leave no
 #: overlap of 8 or more tokens unseen that has 10 of 12 places alike (of fewer than 12 tokens: 80 hundredths).
@@ -97,36 +98,35 @@ def overlaps(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: st
     start: the document's token at which the item would begin (negative if its
     start is cut off); agreeing of places tokens agree in the best run; of
     several overlaps the best and first is told. Items with fewer tokens than a
-    mask are looked for by masks of their length. Null, empty and blank texts overlap with
-    nothing. Rows of one id, or without one, are one document, and likewise for
-    items. Other columns aren't read. Empty tables give an empty one. A small
-    benchmark is broadcast; a larger one is joined by shuffles.
+    mask are looked for by masks of their length, so an item of one word is in
+    every text with that word. Null, empty and blank texts overlap with nothing;
+    texts of any length are read as a whole. Rows of one id, or without one, are
+    one document, and likewise for items. Other columns aren't read. Empty
+    tables give an empty one. The seeds of a small benchmark are broadcast; a
+    larger one's are joined by a shuffle.
     """
     span = len(masks[0])
     items = bench.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("item")).distinct().where(F.size("item") > 0)
     short = sorted(r[0] for r in items.select(F.size("item").alias("n")).where(F.col("n") < span).distinct().collect())
-    own = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("own"))
-
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     every = [*masks, *(m for n in short for m in short_masks(n, window, percent))]
 
     def seeded(df: DataFrame, column: str, at: str, keep: list[str]) -> DataFrame:
         """A row for each window. The outer form adds no filter on the hashes' number, which would compute them anew."""
-        made = df.select(*keep, column, windows(F.col(column), every).alias("hashes")).select(*keep, column, F.posexplode_outer("hashes").alias("at", "seed"))
-        place, length = window_place(F.col("at"), F.size(column), every)
-        return made.select(*keep, column, "seed", place.alias(at), length.alias("length"))
+        made = df.select(*keep, F.size(column).alias("size"), windows(F.col(column), every).alias("hashes")).select(*keep, "size", F.posexplode_outer("hashes").alias("at", "seed"))
+        place, length = window_place(F.col("at"), F.col("size"), every)
+        return made.select(*keep, "size", "seed", place.alias(at), length.alias("length"))
 
     # An item is looked for by the masks or, if it is too short for them, by masks of its own length.
-    seeds = seeded(items, "item", "item_at", ["item_id"]).where(F.col("length") == F.least(F.lit(span), F.size("item"))).drop("length")
-    offset = F.col("doc_at") - F.col("item_at")
-    found = agreement(F.col("own"), F.col("item"), F.col("offset"), window, percent)
+    seeds = seeded(items, "item", "item_at", ["item_id"]).where(F.col("length") == F.least(F.lit(span), F.col("size"))).select("item_id", "seed", "item_at")
     if seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
-        hits = seeded(own, "own", "doc_at", ["doc_id"]).join(F.broadcast(seeds), "seed").withColumn("offset", offset)
-    else:
-        bare = seeded(own, "own", "doc_at", ["doc_id"]).select("doc_id", "seed", "doc_at")
-        met = bare.join(seeds.select("item_id", "seed", "item_at"), "seed").select("doc_id", "item_id", offset.alias("offset")).distinct()
-        with_items = met.join(items, met["item_id"].eqNullSafe(items["item_id"])).select("doc_id", met["item_id"], "offset", "item")
-        hits = with_items.join(own, with_items["doc_id"].eqNullSafe(own["doc_id"])).select(with_items["doc_id"], "item_id", "offset", "item", "own")
-    told = hits.select("doc_id", "item_id", "offset", F.least(F.lit(window), F.size("item")).alias("places"), found.alias("agreeing"))
+        seeds = F.broadcast(seeds)
+    asked = seeded(texts.select("doc_id", tokens(F.col("text")).alias("own")), "own", "doc_at", ["doc_id"]).select("doc_id", "seed", "doc_at")
+    met = saved(asked.join(seeds, "seed").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("offset")).distinct())
+    own = among(texts, "doc_id", met.select("doc_id").distinct(), null_safe=True).select("doc_id", tokens(F.col("text")).alias("own"))
+    hits = met.join(items, met["item_id"].eqNullSafe(items["item_id"])).select("doc_id", met["item_id"], "offset", "item")
+    both = hits.join(own, hits["doc_id"].eqNullSafe(own["doc_id"])).select(hits["doc_id"], "item_id", "offset", "item", "own")
+    told = both.select("doc_id", "item_id", "offset", F.least(F.lit(window), F.size("item")).alias("places"), agreement(F.col("own"), F.col("item"), F.col("offset"), window, percent).alias("agreeing"))
     best = F.max(F.when(F.col("agreeing").isNotNull(), F.struct("agreeing", (-F.col("offset")).alias("before"), "places")))
     return told.groupBy("doc_id", "item_id").agg(best.alias("best")).where("best is not null").select("doc_id", "item_id", (-F.col("best.before")).alias("start"), "best.agreeing", "best.places")
 

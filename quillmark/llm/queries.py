@@ -95,6 +95,21 @@ SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component_id,
 FROM sets LEFT JOIN classes ON list_sort(sets.s) = classes.s LEFT JOIN lowest USING (rep)"""
 
 
+_WORDS_SQL = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+#: Every token of every document against every token of every item: pairs of equal ones by the offset between them, and the best run of places at each offset.
+OVERLAPS_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS w FROM documents),
+items AS (SELECT row_number() OVER () AS i, * FROM (SELECT DISTINCT item_id, {_WORDS_SQL} AS w FROM benchmark) b WHERE len(w) > 0),
+own AS (SELECT r, len(w) AS n, unnest(w) AS t, unnest(range(len(w))) AS p FROM docs),
+other AS (SELECT i, item_id, len(w) AS n, least(12, len(w)) AS size, unnest(w) AS t, unnest(range(len(w))) AS p FROM items),
+met AS (SELECT r, i, any_value(item_id) AS item_id, any_value(size) AS size, o.p - x.p AS off, list(x.p) AS hits, greatest(0, -(o.p - x.p)) AS lo, least(any_value(x.n), any_value(o.n) - (o.p - x.p)) AS hi
+  FROM own o JOIN other x USING (t) GROUP BY r, i, o.p - x.p HAVING count(*) >= ceil(any_value(size) * 80 / 100.0)),
+best AS (SELECT r, item_id, size, off, list_max(list_transform(range(lo, hi - size + 1), lambda s: len(list_filter(hits, lambda p: p >= s AND p < s + size)))) AS agreeing FROM met WHERE hi - lo >= size),
+told AS (SELECT doc_id, item_id, off, agreeing, size FROM best JOIN docs USING (r) WHERE agreeing >= ceil(size * 80 / 100.0))
+SELECT doc_id, item_id, CAST(off AS INTEGER) AS start, CAST(agreeing AS INTEGER) AS agreeing, CAST(size AS INTEGER) AS places FROM told
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY agreeing DESC, off) = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL of the queries that it can express: exact near-duplicates and licence look-up."""
-    return {"op6_licenses": LICENSES_SQL, "op7_minhash": NEAR_SQL}
+    """SQL of the queries that it can express: licence look-up, exact near-duplicates, and overlaps of all windows."""
+    return {"op6_licenses": LICENSES_SQL, "op7_minhash": NEAR_SQL, "op9_decontam": OVERLAPS_SQL}
