@@ -185,28 +185,60 @@ def headed(buckets: DataFrame) -> DataFrame:
     return own.groupBy("id").agg((-F.max("head")["i"]).alias("b")).select(F.col("id").alias("a"), "b")
 
 
-def differing(x: Column, y: Column, longs: int) -> Column:
-    """How many bytes differ between two arrays of that many longs."""
+def differing(longs: int) -> Column:
+    """How many bytes differ between the sketches of x and y, in columns s0, s1, ..."""
     total = F.lit(0)
     for i in range(longs):
-        d = F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))
+        d = F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))
         for shift in (4, 2, 1):
             d = d.bitwiseOR(F.shiftrightunsigned(d, shift))
         total = total + F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
     return total
 
 
-def first_shared(key: Column, tables: int) -> Column:
-    """Whether the table of `key` is the first that x and y share: so a pair comes from one bucket only."""
-    i, j = (F.coalesce(*[F.when(F.get(F.col(f"x.{side}"), F.lit(k)) == F.get(F.col(f"y.{side}"), F.lit(k)), F.lit(k)) for k in range(tables)]) for side in ("left", "right"))
-    return key == F.xxhash64(i, j, F.get(F.col("x.left"), i), F.get(F.col("x.right"), j))
+def packed(keys: str, tables: int, name: str) -> list[Column]:
+    """The low halves of an array of half-keys, two to a long, as columns <name>0, <name>1, ..."""
+    low = lambda i: F.coalesce(F.get(keys, F.lit(i)), F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return [low(i).bitwiseOR(F.shiftleft(low(i + 1), 32)).alias(f"{name}{i // 2}") for i in range(0, tables, 2)]
+
+
+def shared_before(name: str, tables: int) -> Column:
+    """Whether x and y have a half-key in common that stands before the bucket's own (x.<name>_before has a bit for each such place).
+
+    Half-keys are compared by 32 bits; a pair is lost if others happen to agree, with a probability under 4e-9.
+    """
+    equal = F.lit(0).cast("long")
+    for i in range(0, tables, 2):
+        d = F.col(f"x.{name}{i // 2}").bitwiseXOR(F.col(f"y.{name}{i // 2}"))
+        for k, half in ((i, d.bitwiseAND(F.lit(0xFFFFFFFF))), (i + 1, F.shiftrightunsigned(d, 32))):
+            equal = equal.bitwiseOR(F.shiftleft(F.shiftrightunsigned(half - 1, 63), k))
+    return equal.bitwiseAND(F.col(f"x.{name}_before")) != 0
+
+
+#: Members of a bucket that one task holds against all others of it.
+SHARE = 2000
+
+
+def faced(members: DataFrame, keys: list[str], where: Column) -> DataFrame:
+    """Pairs (x, y) of rows with equal keys for which `where` holds, x among those that aren't inner.
+
+    members: with `inner`, and `n`, the number of rows of its keys. A large
+    group is dealt into shares of x, each of which meets all of y on its own, so
+    that no task sees a whole large group against itself.
+    """
+    shares = F.ceil(F.col("n") / SHARE).cast("int")
+    x = members.where("not inner").withColumn("share", F.pmod(F.xxhash64("id"), shares).cast("int")).alias("x")
+    y = members.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).alias("y")
+    alike = reduce(lambda a, b: a & b, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in [*keys, "share"]])
+    return x.join(y, alike & (F.col("x.part") != F.col("y.part")) & (F.col("y.inner") | (F.col("x.id") < F.col("y.id"))) & where)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, half: int = 2, tables: int = 8, most_differing: int = 17) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of `docs`.
 
     component_id is the least id that links reach, kept marks the row that is
-    it. Links join documents whose sets of word shingles have a Jaccard
+    it. Ids are whole numbers; one that can't be cast to such counts as none.
+    Links join documents whose sets of word shingles have a Jaccard
     likeness of `percent` hundredths or more. A null or empty text, or one of
     white space, is linked with nothing. Repeated rows give a row each and
     belong together; rows of one id with different texts are one document. A
@@ -224,7 +256,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     halves = classes.select("rep", F.posexplode("keys.left").alias("i", "l"), F.col("keys.right").alias("right"))
-    bands = halves.select("rep", "i", "l", F.posexplode("right").alias("j", "r")).select(F.xxhash64("i", "j", "l", "r").alias("key"), F.col("rep").alias("id"))
+    bands = halves.select("rep", "i", "l", F.posexplode("right").alias("j", "r")).select(F.xxhash64("i", "j", "l", "r").alias("key"), F.col("rep").alias("id"), (F.col("i") * tables + F.col("j")).cast("short").alias("place"))
     filled = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = saved(bands.join(filled, "key"))
 
@@ -241,25 +273,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = components(links)
 
     # What is left: pairs that share a bucket but not a component.
-    at = buckets.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
-    mixed_keys = at.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.mode("part", True).alias("main")).where("lo <> hi").select("key", "main")
+    at = buckets.join(parts, "id", "left").select("key", "id", "place", F.coalesce("component", "id").alias("part"))
+    mixed_keys = at.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.mode("part", True).alias("main"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "main", "n")
     near = rounds[0].where("added is not null").groupBy("a").agg(F.first("b").alias("head"), F.max("n_a").alias("size"), F.max("common").alias("common")).withColumnRenamed("a", "id")
-    sketches = classes.select(F.col("rep").alias("id"), "keys.sketch")
-    halves = classes.select(F.col("rep").alias("id"), "keys.left", "keys.right", "keys.sketch")
-    members = at.join(mixed_keys, "key").join(halves, "id").join(near, "id", "left").select("key", "id", "part", "left", "right", "sketch", "head", "size", "common", (F.col("part") == F.col("main")).alias("inner"))
-    x, y = members.where("not inner").alias("x"), members.alias("y")
+    # Plain columns, as each pair of a bucket is judged by them first.
+    own_sketch = [f"s{i}" for i in range(longs)]
+    sketches = classes.select(F.col("rep").alias("id"), *[F.coalesce(F.get("keys.sketch", F.lit(i)), F.lit(0)).alias(c) for i, c in enumerate(own_sketch)], *packed("keys.left", tables, "l"), *packed("keys.right", tables, "r"))
+    halves = [f"{side}{i}" for side in "lr" for i in range((tables + 1) // 2)]
+    before = [F.expr(f"shiftleft(1L, cast(place {op} {tables} as int)) - 1").alias(f"{side}_before") for side, op in (("l", "div"), ("r", "%"))]
+    members = at.join(mixed_keys, "key").join(sketches, "id").join(near, "id", "left").select("key", "n", "id", "part", *before, *halves, *own_sketch, *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("head", "size", "common")], F.col("head").isNotNull().alias("told"), (F.col("part") == F.col("main")).alias("inner"))
     most = F.least(F.col("x.common"), F.col("y.common"))
-    settled = (F.col("x.head") == F.col("y.head")) & (100 * most < percent * (F.col("x.size") + F.col("y.size") - most))
-    alike = differing(F.col("x.sketch"), F.col("y.sketch"), longs) <= most_differing
-    once = F.col("y.inner") | (F.col("x.id") < F.col("y.id"))
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & once & ~F.coalesce(settled, F.lit(False)) & alike & first_shared(F.col("x.key"), tables))
+    settled = F.col("x.told") & F.col("y.told") & (F.col("x.head") == F.col("y.head")) & (100 * most < percent * (F.col("x.size") + F.col("y.size") - most))
+    alike = differing(longs) <= most_differing
+    met = faced(members, ["key"], ~settled & alike & ~shared_before("l", tables) & ~shared_before("r", tables))
 
     added = rounds[0].where("added is not null").select(F.col("b").alias("head"), F.col("a").alias("id"), F.explode("added").alias("shingle"))
     added = added.join(parts, "id", "left").select("head", "shingle", "id", F.coalesce("component", "id").alias("part"))
-    several_parts = added.groupBy("head", "shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.mode("part", True).alias("main")).where("lo <> hi").select("head", "shingle", "main")
-    added = added.join(several_parts, ["head", "shingle"]).join(sketches, "id").select("head", "shingle", "id", "part", "sketch", (F.col("part") == F.col("main")).alias("inner"))
-    x, y = added.where("not inner").alias("x"), added.alias("y")
-    sharing = x.join(y, (F.col("x.head") == F.col("y.head")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") != F.col("y.part")) & once & alike)
+    several_parts = added.groupBy("head", "shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.mode("part", True).alias("main"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("head", "shingle", "main", "n")
+    added = added.join(several_parts, ["head", "shingle"]).join(sketches, "id").select("head", "shingle", "n", "id", "part", *own_sketch, (F.col("part") == F.col("main")).alias("inner"))
+    sharing = faced(added, ["head", "shingle"], alike)
 
     pair = (F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     pairs = met.select(*pair).unionByName(sharing.select(*pair)).distinct()

@@ -518,6 +518,20 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r["kept"] == (i == want[i]) for i, r in got.items())
 
 
+def test_near_duplicates_of_a_template(spark, monkeypatch):
+    """Thousands of documents that share a template but aren't alike enough, among them a few that are: buckets are large, and dealt into shares."""
+    monkeypatch.setattr(minhash, "SHARE", 50)
+    rng, base = random.Random(31), prose(300, 90).split()
+    own = lambda: [f"u{rng.randrange(1 << 40)}" for _ in range(22)]
+    texts = {i: " ".join(base + own()) for i in range(2000)}
+    for i in range(20):
+        w = texts[i].split()
+        w[90 + i] = "other"
+        texts[5000 + i] = " ".join(w)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(table(spark, list(texts.items()))).collect()}
+    assert got == {i: i - 5000 if i >= 5000 else i for i in texts}
+
+
 def test_near_duplicates_on_odd_rows(spark, odd, none):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()
