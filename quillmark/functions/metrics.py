@@ -25,9 +25,9 @@ PERIOD_FIELDS = (
 PERIOD_TYPE = "array<struct<fy:string,is_stub:boolean," + ",".join(f"{f}:double" for f in PERIOD_FIELDS) + ">>"
 #: Scalar columns of an issue, by type.
 SCALARS = {
-    "double": "fresh_issue ofs fresh_shares ofs_shares pre_issue_shares post_issue_shares post_issue_eps price_band_high market_cap promoter_pre_pct promoter_post_disclosed promoter_pledge_pct rpt_pct_revenue rpt_pct_of_revenue_growth industry_cagr top5_customer_pct top5_supplier_pct contingent_liabilities qib_quota_pct qib_x nii_x retail_x overall_x kmp_exits_2y crar_minimum_pct".split(),
+    "double": "fresh_issue ofs fresh_shares ofs_shares pre_issue_shares post_issue_shares post_issue_eps price_band_high market_cap promoter_pre_pct promoter_post_disclosed promoter_pledge_pct rpt_pct_revenue rpt_pct_of_revenue_growth industry_cagr top5_customer_pct operating_cash_flow_3yr net_income_3yr trade_receivables_days net_working_capital_pct_revenue promoter_pledged_shares_pct pre_issue_promoter_holding_pct top_customer_revenue_pct contingent_liabilities_pct_net_worth top5_supplier_pct contingent_liabilities qib_quota_pct qib_x nii_x retail_x overall_x kmp_exits_2y crar_minimum_pct".split(),
     "string": "auditor_opinion litigation_bucket eom_materiality industry_scope industry_forecast_period industry_source moat_rating visibility_rating anchor_quality gmp_trend market_trend open_date placement_coverage".split(),
-    "boolean": "promoter_lockin_in_place large_holders_unlocked_early auditor_changed_3y auditor_reputed repeated_eom board_independent_majority going_concern_uncertainty sebi_ed_action_active auditor_or_cfo_exit_2y regulatory_dependence contingent_liab_unquantified adjusted_metrics_unreconciled heavy_discounted_allotments_18m anchor_fresh subscription_fresh gmp_fresh regime_fresh".split(),
+    "boolean": "professionally_managed loss_making_segments_present material_regulatory_disputes_present promoter_lockin_in_place large_holders_unlocked_early auditor_changed_3y auditor_reputed repeated_eom board_independent_majority going_concern_uncertainty sebi_ed_action_active auditor_or_cfo_exit_2y regulatory_dependence contingent_liab_unquantified adjusted_metrics_unreconciled heavy_discounted_allotments_18m anchor_fresh subscription_fresh gmp_fresh regime_fresh".split(),
 }
 ARRAYS = {
     "periods": PERIOD_TYPE,
@@ -154,11 +154,12 @@ def _cfo_pat():
 
 @metric("leverage_bucket")
 def _leverage():
-    debt, interest = at("total_debt"), F.coalesce(at("interest_expense"), at("finance_cost"))
-    gearing = F.when(at("net_worth") > 0, debt / at("net_worth"))
-    cover = F.when(interest > 0, at("ebit") / interest)
-    calm = (debt == 0) & (F.coalesce(interest, F.lit(0.0)) == 0)
-    return F.when(calm, "strong").when(gearing < 0.5, F.when(cover.isNull(), F.lit(None)).when(cover > 5, "strong").otherwise("ok")).when(gearing < 1, "ok").when(gearing <= 2, "stretched").when(gearing > 2, "weak")
+    debt, equity, interest = at("total_debt"), at("net_worth"), at("interest_expense")
+    gearing = F.when(equity > 0, debt / equity)
+    cover = F.when(interest > 0, F.coalesce(at("ebit"), at("ebitda")) / interest)
+    # Below 0.5 the interest cover decides, and without it nothing does; only a debt-free year has none to cover.
+    low = F.when((interest == 0) & (debt == 0), "strong").when(cover > 5, "strong").when(cover <= 5, "ok")
+    return F.when(gearing < 0.5, low).when(gearing < 1, "ok").when(gearing <= 2, "stretched").when(gearing > 2, "weak")
 
 
 def shares_after() -> Column:
@@ -230,34 +231,50 @@ REGISTRY["ofs_share_pct"] = lambda: ratio_or_na(F.col("ofs"), F.col("fresh_issue
 REGISTRY["pure_ofs"] = lambda: F.col("fresh_issue") == 0
 
 
-def _sold(kind: Callable[[Column], Column]) -> Column:
-    return summed(F.transform(F.filter("sellers", lambda s: kind(s["type"])), lambda s: s["shares_sold"]))
+#: Sellers that count as promoters.
+PROMOTERS = ("promoter", "promoter_group")
+
+
+def _sellers(kinds: tuple[str, ...]) -> Column:
+    return F.filter(F.coalesce("sellers", F.array().cast(ARRAYS["sellers"])), lambda s: s["type"].isin(*kinds))
+
+
+def _shares(own: Column, field: str) -> Column:
+    """Sum of a field of sellers; what isn't told adds nothing."""
+    return summed(F.transform(own, lambda s: F.coalesce(s[field], F.lit(0.0))))
+
+
+def sellers_known() -> Column:
+    """An empty list of sellers tells something only where nothing is offered for sale."""
+    return (F.coalesce(F.size("sellers"), F.lit(0)) > 0) | F.coalesce(F.col("ofs") == 0, F.lit(False))
 
 
 @metric("ofs_seller_bucket")
 def _seller():
-    total = _sold(lambda t: F.lit(True))
-    venture = F.try_divide(_sold(lambda t: t == "pe_vc"), total)
-    known = F.col("sellers").isNotNull() & ~((F.size("sellers") == 0) & (F.coalesce("ofs", F.lit(0.0)) > 0))
-    return F.when(known, F.when(_sold(lambda t: t == "promoter") > 0, "promoter_selling").when(venture >= 0.25, "pe_vc_exit").otherwise("none_or_small"))
+    leaving = F.exists(_sellers(("pe_vc",)), lambda s: F.coalesce((s["pre_issue_shares"] > 0) & (s["shares_sold"] >= 0.25 * s["pre_issue_shares"]), F.lit(False)))
+    return F.when(sellers_known(), F.when(_shares(_sellers(PROMOTERS), "shares_sold") > 0, "promoter_selling").when(leaving, "pe_vc_exit").otherwise("none_or_small"))
 
 
-def _sold_share(kinds: list[str]) -> Column:
-    own = F.filter("sellers", lambda s: s["type"].isin(kinds))
-    held = summed(F.transform(own, lambda s: s["pre_issue_shares"]))
-    return F.when(F.col("sellers").isNotNull(), F.when(F.size(own) == 0, 0.0).otherwise(F.try_divide(_sold(lambda t: t.isin(kinds)) * 100.0, held)))
+def _sold_share(kinds: tuple[str, ...]) -> Column:
+    own = _sellers(kinds)
+    held = _shares(own, "pre_issue_shares")
+    return F.when(sellers_known(), F.when(F.size(own) == 0, 0.0).when(held > 0, _shares(own, "shares_sold") / held * 100.0))
 
 
-REGISTRY["promoter_ofs_pct_of_holding"] = lambda: _sold_share(["promoter"])
-REGISTRY["pe_promoter_sold_pct_combined"] = lambda: _sold_share(["promoter", "pe_vc"])
+REGISTRY["promoter_ofs_pct_of_holding"] = lambda: _sold_share(PROMOTERS)
+REGISTRY["pe_promoter_sold_pct_combined"] = lambda: _sold_share((*PROMOTERS, "pe_vc"))
 
 
 def promoter_after() -> Column:
-    return F.coalesce(F.col("promoter_post_disclosed"), F.try_divide(F.col("promoter_pre_pct") * F.col("pre_issue_shares") - _sold(lambda t: t == "promoter") * 100.0, shares_after()))
+    """Disclosed, or what was held before less what is sold, if every part is told and no more is sold than was held."""
+    own = _sellers(PROMOTERS)
+    left = F.col("promoter_pre_pct") / 100.0 * F.col("pre_issue_shares") - _shares(own, "shares_sold")
+    told = F.forall(own, lambda s: s["shares_sold"].isNotNull() & ~F.coalesce((s["pre_issue_shares"] >= 0) & (s["shares_sold"] > s["pre_issue_shares"] + 1e-6), F.lit(False)))
+    return F.coalesce(F.col("promoter_post_disclosed"), F.when(sellers_known() & told & (F.col("pre_issue_shares") > 0) & (shares_after() > 0) & (left >= 0), left / shares_after() * 100.0))
 
 
 REGISTRY["promoter_post_pct"] = promoter_after
-REGISTRY["promoter_full_exit"] = lambda: promoter_after() == 0
+REGISTRY["promoter_full_exit"] = lambda: F.col("promoter_post_disclosed") == 0
 REGISTRY["dilution_pct"] = lambda: F.when(shares_after() > 0, F.col("fresh_shares") / shares_after() * 100.0)
 
 
@@ -268,10 +285,12 @@ def _amount(test: Callable[[Column], Column]) -> Column:
 @metric("use_of_proceeds_bucket")
 def _use():
     fresh = F.col("fresh_issue")
-    part = lambda kinds: _amount(lambda c: c.isin(kinds)) / fresh * 100.0
-    spent = _amount(lambda c: F.lit(True)) / fresh * 100.0
-    bucket = F.when(part(["gcp", "unidentified_acquisition"]) > 20, "blind_heavy").when(part(["debt_repayment"]) > 50, "debt_heavy").when(part(["capex", "r_and_d"]) >= 75, "growth").otherwise("mixed_ok")
-    return F.when((fresh > 0) & (spent <= 100.1), bucket), fresh == 0
+    # A category with an untold amount is null; one that the schedule doesn't list is nil, as a schedule lists all.
+    part = lambda kind: _amount(lambda c: c == kind) / fresh * 100.0
+    blind, debt, growth = part("gcp") + part("acquisition_unidentified"), part("debt_repayment"), part("growth_capex") + part("rnd")
+    settled = F.when(blind <= 20, F.when(debt > 50, "debt_heavy").when(debt <= 50, F.when(growth >= 75, "growth").when(growth < 75, "mixed_ok")))
+    over = F.coalesce(_amount(lambda c: F.lit(True)) > fresh * 1.001, F.lit(False))
+    return F.when((fresh > 0) & (F.size("proceeds") > 0) & ~over, F.when(blind > 20, "blind_heavy").otherwise(settled)), fresh == 0
 
 
 REGISTRY["dilution_ok"] = lambda: (REGISTRY["dilution_pct"]() < 25) | (_use()[0] == "growth")
@@ -281,11 +300,14 @@ REGISTRY["gcp_legal_max"] = lambda: F.col("fresh_issue") * 0.25
 
 @metric("pre_ipo_placement_bucket")
 def _placement():
-    opened = F.to_date("open_date")
-    near = F.filter("placements", lambda p: F.to_date(p["date"]).between(F.date_sub(opened, 365), opened))
-    price = F.col("price_band_high")
-    known = F.col("placements").isNotNull() & opened.isNotNull() & price.isNotNull() & F.forall(near, lambda p: p["price"].isNotNull()) & (F.coalesce("placement_coverage", F.lit("complete")) == "complete")
-    return F.when(known, F.when(F.exists(near, lambda p: p["price"] < 0.75 * price), "deep_discount_12m").when(F.forall(near, lambda p: p["price"] >= 0.9 * price), "none_or_near_ipo").otherwise("in_between"))
+    opened, price = F.to_date("open_date"), F.col("price_band_high")
+    given = F.coalesce("placements", F.array().cast(ARRAYS["placements"]))
+    near = F.filter(given, lambda p: F.coalesce(F.to_date(p["date"]).between(F.date_sub(opened, 365), opened), F.lit(False)))
+    # An empty list is a nil that was read, unless the coverage says that it wasn't.
+    nil = F.coalesce(F.col("placement_coverage").isin("VERIFIED_NIL", "DISCLOSED"), F.lit(True))
+    known = opened.isNotNull() & price.isNotNull() & F.forall(near, lambda p: p["price"].isNotNull())
+    judged = F.when(F.exists(near, lambda p: p["price"] < 0.75 * price), "deep_discount_12m").when(F.forall(near, lambda p: p["price"] >= 0.9 * price), "none_or_near_ipo").otherwise("in_between")
+    return F.when(F.size(given) == 0, F.when(nil, "none_or_near_ipo")).when(known, judged)
 
 
 REGISTRY["lockin_bucket"] = lambda: F.when(F.col("promoter_lockin_in_place").isNotNull() & F.col("large_holders_unlocked_early").isNotNull(), F.when(F.col("promoter_lockin_in_place") & ~F.col("large_holders_unlocked_early"), "intact").otherwise("weak"))
@@ -293,9 +315,10 @@ REGISTRY["lockin_bucket"] = lambda: F.when(F.col("promoter_lockin_in_place").isN
 
 @metric("auditor_bucket")
 def _auditor():
-    bad = F.lower("auditor_opinion").isin("qualified", "adverse", "disclaimer")
-    unstable, clean = F.col("auditor_changed_3y") | F.col("repeated_eom"), F.col("auditor_reputed")
-    return F.when(~bad & unstable.isNotNull(), F.when(unstable, "unstable_or_repeated_eom").when(clean & (F.lower("auditor_opinion") == "unqualified"), "clean_reputed").otherwise("eom_only")), F.coalesce(bad, F.lit(False))
+    opinion, changed, reputed = F.col("auditor_opinion"), F.col("auditor_changed_3y"), F.col("auditor_reputed")
+    calm = F.when((opinion == "unqualified") & reputed, "clean_reputed").when((opinion == "emphasis_of_matter") | ((opinion == "unqualified") & reputed.isNotNull()), "eom_only")
+    bad = opinion.isin("qualified", "adverse", "disclaimer")
+    return F.when(~bad & changed.isNotNull(), F.when(changed | F.coalesce("repeated_eom", F.lit(False)), "unstable_or_repeated_eom").otherwise(calm)), F.coalesce(bad, F.lit(False))
 
 
 REGISTRY["board_kmp_bucket"] = lambda: F.when(F.col("kmp_exits_2y") >= 2, "high_churn").when((F.col("kmp_exits_2y") == 0) & F.col("board_independent_majority"), "independent_stable").when(F.col("kmp_exits_2y").isNotNull() & F.col("board_independent_majority").isNotNull(), "other")
@@ -303,17 +326,18 @@ REGISTRY["industry_cagr_pct"] = lambda: F.when(F.col("industry_scope").isNotNull
 REGISTRY["top5_concentration_pct"] = lambda: F.greatest("top5_customer_pct", "top5_supplier_pct")
 REGISTRY["market_regime_variant"] = lambda: F.when(F.size(F.filter(F.slice(F.coalesce("listing_gains", F.array().cast("array<double>")), F.greatest(F.lit(1), F.size(F.coalesce("listing_gains", F.array().cast("array<double>"))) - 4), F.lit(5)), lambda g: g > 20)) >= 3, "hot").otherwise("normal")
 REGISTRY["retail_or_nii_below_1x"] = lambda: F.when(F.col("retail_x").isNotNull() & F.col("nii_x").isNotNull() & F.col("subscription_fresh"), (F.col("retail_x") < 1) | (F.col("nii_x") < 1))
-for _name, _field, _fresh in (("anchor_bucket", "anchor_quality", "anchor_fresh"), ("qib_x_fresh", "qib_x", "subscription_fresh"), ("nii_x_fresh", "nii_x", "subscription_fresh"), ("overall_x_fresh", "overall_x", "subscription_fresh"), ("gmp_bucket", "gmp_trend", "gmp_fresh"), ("market_regime_bucket", "market_trend", "regime_fresh")):
+for _name, _field, _fresh in (("anchor_bucket", "anchor_quality", "anchor_fresh"), ("qib_x", "qib_x", "subscription_fresh"), ("nii_x", "nii_x", "subscription_fresh"), ("overall_x", "overall_x", "subscription_fresh"), ("gmp_bucket", "gmp_trend", "gmp_fresh"), ("market_regime_bucket", "market_trend", "regime_fresh")):
     REGISTRY[_name] = lambda f=_field, g=_fresh: F.when(F.col(g), F.col(f))
 
 
-REGISTRY["profit_declining"] = lambda: (at("pat") < at("pat", 2)) | (_cagr("pat", 2)[0] < 0)
+REGISTRY["profit_declining"] = lambda: (at("pat") < at("pat", 2)) | F.when(at("pat").isNotNull() & at("pat", 2).isNotNull(), F.coalesce(_cagr("pat", 2)[0] < 0, F.lit(False)))
 
 
 @metric("margin_spike_pre_ipo")
 def _spike():
-    margin = lambda b: F.when(at("revenue", b) != 0, at("ebitda", b) / at("revenue", b) * 100.0)
-    return (margin(1) - margin(2)) * 100 > 500
+    margins = F.transform(full_years(), lambda p: F.when(p["revenue"] != 0, p["ebitda"] / p["revenue"] * 100.0))
+    last = F.slice(deltas(margins), -2, 2)
+    return F.when((F.size(margins) >= 3) & all_known(margins), F.exists(last, lambda d: d * 100 > 500))
 
 
 REGISTRY["receivable_days_yoy_pct"] = lambda: (F.when(at("receivable_days", 2) != 0, (at("receivable_days") / at("receivable_days", 2) - 1) * 100.0), at("receivable_days", 2) == 0)
@@ -321,9 +345,9 @@ REGISTRY["receivable_days_yoy_pct"] = lambda: (F.when(at("receivable_days", 2) !
 
 @metric("cfo_exempt")
 def _exempt():
-    ratio = _cfo_pat()[0]
-    backed = F.coalesce(at("order_book") >= 2 * at("revenue"), F.lit(False)) | F.coalesce(at("collections") >= at("pre_sales"), F.lit(False))
-    return F.when(ratio.isNotNull(), (ratio < 0) & backed & (REGISTRY["receivable_days_yoy_pct"]()[0] < 15))
+    ratio, days = _cfo_pat()[0], REGISTRY["receivable_days_yoy_pct"]()[0]
+    backed = F.coalesce((at("revenue") > 0) & (at("order_book") >= 2 * at("revenue")), F.lit(False)) | F.coalesce(at("collections") >= at("pre_sales"), F.lit(False))
+    return F.when(ratio >= 0, False).when((ratio < 0) & days.isNotNull(), backed & (days < 15))
 
 
 REGISTRY["contingent_liab_pct_networth"] = lambda: ratio_or_na(F.col("contingent_liabilities"), at("net_worth"), 100.0)
@@ -331,52 +355,90 @@ REGISTRY["contingent_liab_pct_networth"] = lambda: ratio_or_na(F.col("contingent
 
 @metric("nim_cost_income_bucket")
 def _nim():
-    nim, cost = at("nim_pct") - at("nim_pct", 2), at("cost_to_income_pct") - at("cost_to_income_pct", 2)
-    return F.when((nim > 0) & (cost < 0), "improving").when((nim < 0) & (cost > 0), "deteriorating").when(nim.isNotNull() & cost.isNotNull(), "mixed")
+    nim, cost = F.signum(at("nim_pct") - at("nim_pct", 2)), F.signum(at("cost_to_income_pct") - at("cost_to_income_pct", 2))
+    known = (F.size(full_years()) >= 2) & all_known(series("nim_pct")) & all_known(series("cost_to_income_pct"))
+    return F.when(known, F.when((nim > 0) & (cost < 0), "improving").when((nim < 0) & (cost > 0), "deteriorating").when(nim == cost, "stable").otherwise("mixed"))
 
 
 @metric("roa_roe_peer_quartile")
 def _returns():
-    def place(field: str) -> Column:
-        known = F.filter(F.transform("peers", lambda p: p[field]), lambda v: v.isNotNull())
-        return F.when(F.size(known) >= 2, F.when(at(field) >= F.array_max(known), 3).when(at(field) >= median(known), 2).when(at(field) >= F.array_min(known), 1).when(at(field).isNotNull(), 0))
-
-    both = F.least(place("roa_pct"), place("roe_pct"))
-    return F.when(place("roa_pct").isNotNull() & place("roe_pct").isNotNull(), F.when(both == 3, "top").when(both == 2, "above_median").when(both == 1, "below_median").otherwise("bottom"))
+    roe = F.coalesce(at("roe_pct"), F.when(at("net_worth") > 0, at("pat") / at("net_worth") * 100.0))
+    known = F.filter(F.transform("peers", lambda p: p["roe_pct"]), lambda v: v.isNotNull())
+    low, mid, high = F.array_min(known), median(known), F.array_max(known)
+    return F.when((F.size(known) >= 2) & roe.isNotNull(), F.when((roe >= mid) & (roe >= high - (high - mid) / 2), "top_quartile").when(roe >= low, "median").otherwise("bottom_half"))
 
 
 @metric("asset_quality_bucket")
 def _assets():
     now, before = at("gnpa_pct"), at("gnpa_pct", 2)
-    return F.when(now > 1.1 * before, F.when(now > 5, "stressed").otherwise("deteriorating")).when((now <= 1.1 * before) & at("provision_coverage_pct").isNotNull(), F.when(at("provision_coverage_pct") >= 70, "strong").otherwise("stable"))
+    kept = F.coalesce(at("provision_coverage_pct"), F.lit(0.0)) >= F.coalesce(at("provision_coverage_pct", 2), F.lit(0.0))
+    known = (F.size(full_years()) >= 2) & all_known(series("gnpa_pct"))
+    return F.when(known, F.when(now > 1.1 * before, F.when(now > 5, "stressed").otherwise("deteriorating")).when((now < before) & kept, "improving_strong").otherwise("stable"))
 
 
 REGISTRY["crar_buffer_pts"] = lambda: F.coalesce(at("crar_pct"), at("tier1_pct")) - F.coalesce("crar_minimum_pct", F.lit(15.0))
-REGISTRY["cash_runway_months"] = lambda: (F.when(at("cfo") < 0, (at("cash_and_equivalents") + F.col("fresh_issue")) / (-at("cfo") / 12)), at("cfo") >= 0)
+REGISTRY["cash_runway_months"] = lambda: (F.when(at("cfo") < 0, (at("cash_and_equivalents") + F.coalesce("fresh_issue", F.lit(0.0))) / (-at("cfo") / 12)), at("cash_and_equivalents").isNotNull() & (at("cfo") >= 0))
 
 
 @metric("net_debt_bucket")
 def _net_debt():
-    level = lambda b: F.when(at("ebitda", b) > 0, (at("total_debt", b) - at("cash_and_equivalents", b)) / at("ebitda", b))
-    better = F.coalesce(level(1) < level(2), F.lit(False))
-    return F.when(level(1) <= 0.5, "strong").when(level(1) <= 1, "ok").when(level(1) <= 2, F.when(better, "ok").otherwise("stretched")).when(level(1).isNotNull(), F.when(better, "ok").otherwise("weak"))
-
-
-def _direction(field: str, good: str, bad: str, rising: bool) -> Column:
-    d = deltas(series(field, 3))
-    up, down = F.forall(d, lambda x: x > 0), F.forall(d, lambda x: x < 0)
-    return F.when((F.size(full_years()) >= 3) & all_known(series(field, 3)), F.when(up if rising else down, good).when(down if rising else up, bad).otherwise("mixed"))
-
-
-REGISTRY["contribution_bucket"] = lambda: _direction("contribution_margin_pct", "improving", "declining", True)
-REGISTRY["loss_narrowing_bucket"] = lambda: _direction("operating_loss_pct_revenue", "narrowing", "widening", False)
-REGISTRY["cash_quality_weak"] = lambda: _cfo_pat()[0] < 0.5
-REGISTRY["dso_bucket"] = lambda: F.when(at("trade_receivables").isNotNull() & (at("revenue") > 0), F.when(at("trade_receivables") / at("revenue") * 365 > 120, "critical").when(at("trade_receivables") / at("revenue") * 365 > 90, "high").when(at("trade_receivables") / at("revenue") * 365 > 60, "watch").otherwise("normal"))
-REGISTRY["nwc_bucket"] = lambda: F.when(at("revenue") > 0, F.when((at("trade_receivables") + at("inventory")) / at("revenue") * 100 > 50, "critical").when((at("trade_receivables") + at("inventory")) / at("revenue") * 100 > 35, "high").when((at("trade_receivables") + at("inventory")) / at("revenue") * 100 > 20, "watch").when((at("trade_receivables") + at("inventory")).isNotNull(), "normal"))
-REGISTRY["pledge_band"] = lambda: F.when(F.col("promoter_pledge_pct") > 50, "critical").when(F.col("promoter_pledge_pct") > 25, "high").when(F.col("promoter_pledge_pct") > 0, "watch").when(F.col("promoter_pledge_pct") == 0, "none")
-REGISTRY["low_promoter_holding"] = lambda: promoter_after() < 20
-REGISTRY["customer_band"] = lambda: F.when(F.col("top5_customer_pct") > 50, "high").when(F.col("top5_customer_pct") >= 25, "watch").when(F.col("top5_customer_pct").isNotNull(), "normal")
-REGISTRY["contingent_band"] = lambda: F.when(REGISTRY["contingent_liab_pct_networth"]()[0] > 25, "high").when(REGISTRY["contingent_liab_pct_networth"]()[0] >= 10, "watch").when(REGISTRY["contingent_liab_pct_networth"]()[0].isNotNull(), "normal")
+    level = lambda b: F.when(at("net_worth", b) > 0, (at("total_debt", b) - at("cash_and_equivalents", b)) / at("net_worth", b))
+    now, better = level(1), F.coalesce(level(1) < level(2), F.lit(False))
+    return F.when(F.size(full_years()) >= 2, F.when(now < 0.5, "strong").when((now < 1) | better, "ok").when(now <= 2, "stretched").when(now > 2, "weak"))
+
+
+def _last_three(field: str, judge: Callable[[Column, Column, Column], Column]) -> Column:
+    a, b, c = at(field, 3), at(field, 2), at(field)
+    return F.when(a.isNotNull() & b.isNotNull() & c.isNotNull(), judge(a, b, c))
+
+
+REGISTRY["contribution_bucket"] = lambda: _last_three("contribution_margin_pct", lambda a, b, c: F.when(c <= 0, "negative").when((c - b > 3) & (b - a > 3), "expanding_2y_gt300bps").when(c > b, "positive_improving").otherwise("positive_flat_or_falling"))
+REGISTRY["loss_narrowing_bucket"] = lambda: _last_three("operating_loss_pct_revenue", lambda a, b, c: F.when((c < b) & (b < a), "two_years").when(c < b, "one_year").otherwise("widening"))
+
+
+def _band(name: str, source: str, low: float, high: float | None = None) -> None:
+    """A flag for a share above `low` (exclusive), up to `high` (inclusive)."""
+    REGISTRY[name] = lambda: (F.col(source) > low) & (F.lit(True) if high is None else F.col(source) <= high)
+
+
+# Extensions: flags on what an issuer states itself.
+REGISTRY["cash_flow_quality_below_50pct"] = lambda: (F.when(F.col("net_income_3yr") > 0, F.col("operating_cash_flow_3yr") / F.col("net_income_3yr") < 0.5), F.col("operating_cash_flow_3yr").isNotNull() & (F.col("net_income_3yr") <= 0))
+_band("dso_above_60", "trade_receivables_days", 60)
+_band("dso_above_90", "trade_receivables_days", 90)
+REGISTRY["dso_above_120_or_spike"] = lambda: F.when(F.col("trade_receivables_days").isNotNull(), (F.col("trade_receivables_days") > 120) | F.coalesce((at("receivable_days", 2) > 0) & (at("receivable_days") / at("receivable_days", 2) > 1.25), F.lit(False)))
+for _low in (20, 35, 50):
+    _band(f"working_capital_above_{_low}", "net_working_capital_pct_revenue", _low)
+_band("promoter_pledge_upto_25", "promoter_pledged_shares_pct", 0, 25)
+_band("promoter_pledge_25_to_50", "promoter_pledged_shares_pct", 25, 50)
+_band("promoter_pledge_above_50", "promoter_pledged_shares_pct", 50)
+REGISTRY["low_pre_issue_promoter_holding"] = lambda: F.when(F.col("pre_issue_promoter_holding_pct").isNotNull(), (F.col("pre_issue_promoter_holding_pct") < 20) & ~F.coalesce("professionally_managed", F.lit(False)))
+_band("top_customer_concentration_25_to_50", "top_customer_revenue_pct", 25, 50)
+_band("top_customer_concentration_above_50", "top_customer_revenue_pct", 50)
+_passed("loss_making_segments_present")
+_band("contingent_liabilities_10_to_25", "contingent_liabilities_pct_net_worth", 10, 25)
+_band("contingent_liabilities_above_25", "contingent_liabilities_pct_net_worth", 25)
+_passed("material_regulatory_disputes_present")
+
+#: What categorical metrics can tell, by which policies map them to points.
+DOMAINS = {
+    "margin_trend": ("expanding", "stable", "volatile", "declining_or_loss"),
+    "margin_trend_5y_avg": ("expanding", "stable", "volatile", "declining_or_loss"),
+    "leverage_bucket": ("strong", "ok", "stretched", "weak"),
+    "sector_ipo_relative": ("cheaper", "in_line", "richer"),
+    "ofs_seller_bucket": ("none_or_small", "pe_vc_exit", "promoter_selling"),
+    "use_of_proceeds_bucket": ("growth", "mixed_ok", "debt_heavy", "blind_heavy"),
+    "pre_ipo_placement_bucket": ("none_or_near_ipo", "in_between", "deep_discount_12m"),
+    "lockin_bucket": ("intact", "weak"),
+    "auditor_bucket": ("clean_reputed", "eom_only", "unstable_or_repeated_eom"),
+    "board_kmp_bucket": ("independent_stable", "other", "high_churn"),
+    "market_regime_variant": ("hot", "normal"),
+    "nim_cost_income_bucket": ("improving", "stable", "mixed", "deteriorating"),
+    "roa_roe_peer_quartile": ("top_quartile", "median", "bottom_half"),
+    "asset_quality_bucket": ("improving_strong", "stable", "deteriorating", "stressed"),
+    "net_debt_bucket": ("strong", "ok", "stretched", "weak"),
+    "contribution_bucket": ("expanding_2y_gt300bps", "positive_improving", "positive_flat_or_falling", "negative"),
+    "loss_narrowing_bucket": ("two_years", "one_year", "widening"),
+}
 
 
 def derive(issues: DataFrame, names: list[str] | None = None, overrides: dict[str, Column] | None = None, layer: int = 12) -> DataFrame:

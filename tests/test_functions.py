@@ -85,7 +85,7 @@ def test_metrics(spark):
     names = ["revenue_cagr_2y_from_3fy", "revenue_cagr_3y_from_4fy", "margin_trend", "margin_trend_5y_avg", "roce_latest", "cfo_pat_cumulative", "leverage_bucket", "pe_used", "pe_premium_pct", "fresh_share_pct", "ofs_seller_bucket", "use_of_proceeds_bucket", "promoter_post_pct", "market_regime_variant", "lockin_bucket", "peg", "cash_runway_months"]
     got = derive(
         spark, names, years=years, price_band_high=100.0, pre_issue_shares=8e6, fresh_shares=2e6, fresh_issue=20.0, ofs=5.0, sellers=[{"type": "promoter", "pre_issue_shares": 6e6, "shares_sold": 5e5}],
-        promoter_pre_pct=75.0, proceeds=[{"category": "capex", "amount": 16.0}], peers=[{f: v for f in ("pe", "ev_ebitda", "pb", "ps", "roe_pct", "roa_pct")} for v in (8.0, 10.0)],
+        promoter_pre_pct=75.0, proceeds=[{"category": "growth_capex", "amount": 16.0}], peers=[{f: v for f in ("pe", "ev_ebitda", "pb", "ps", "roe_pct", "roa_pct")} for v in (8.0, 10.0)],
     )
     assert got["revenue_cagr_2y_from_3fy"][1] == pytest.approx(20.0) and got["revenue_cagr_3y_from_4fy"] == ("UNKNOWN", None)
     assert got["margin_trend"] == ("VALUE", "expanding") and got["margin_trend_5y_avg"][0] == "UNKNOWN"
@@ -98,7 +98,7 @@ def test_metrics(spark):
 
 def test_every_metric_of_an_empty_issue_is_unknown(spark):
     got = derive(spark, list(metrics.REGISTRY))
-    assert {n for n, (s, _) in got.items() if s != "UNKNOWN"} == {"market_regime_variant"}
+    assert {n for n, (s, _) in got.items() if s != "UNKNOWN"} == {"market_regime_variant", "pre_ipo_placement_bucket"}
 
 
 def test_returns(spark):
