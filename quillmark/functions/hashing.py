@@ -8,7 +8,7 @@ import math
 import unicodedata
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,3 +71,31 @@ def flattened(schema: T.StructType) -> list[Column]:
 def unproven(present: Column, proven: Column) -> Column:
     """Paths of values for which there is no evidence."""
     return F.array_sort(F.array_except(present, proven))
+
+
+def told_paths(df: DataFrame, record: str) -> Column:
+    """Dotted names of the leaves of a struct column that hold a value, in its fields' order."""
+    leaves = paths(df.schema[record].dataType)
+    return F.filter(F.array(*[F.when(F.col(f"{record}.{p}").isNotNull(), F.lit(p)) for p in leaves]), lambda p: p.isNotNull())
+
+
+def merged(df: DataFrame, records: list[str]) -> Column:
+    """Struct columns of one type merged leaf by leaf: the first of `records` that tells a leaf wins."""
+
+    def level(schema: T.StructType, prefix: str) -> Column:
+        made = []
+        for f in schema.fields:
+            at = f"{prefix}.{f.name}"
+            made.append((level(f.dataType, at) if isinstance(f.dataType, T.StructType) else F.coalesce(*[F.col(f"{r}{at}") for r in records])).alias(f.name))
+        return F.struct(*made)
+
+    return level(df.schema[records[0]].dataType, "")
+
+
+#: What a snapshot's digest leaves out, as it changes from reading to reading.
+AGES = ("age_hours", "age_days")
+
+
+def payload_digest(snapshot: Column) -> Column:
+    """Digest of a snapshot's canonical form without its ages."""
+    return json_digest(F.to_json(snapshot.dropFields(*AGES)), wrapped=False)

@@ -24,13 +24,28 @@ def amount(text: Column) -> Column:
     return F.when(~F.coalesce(undisclosed(text), F.lit(True)), F.when(negative, -number).otherwise(number))
 
 
+#: Units by their words.
+UNIT_WORDS = {"lakh": "INR_LAKHS", "crore": "INR_CRORES", "million": "INR_MILLIONS", "billion": "INR_BILLIONS", "thousand": "INR_THOUSANDS"}
+_WORDS = "lakhs?|crores?|millions?|billions?|thousands?"
+
+
 def unit(text: Column) -> Column:
-    """The money unit that a heading names, by the first that matches."""
+    """The money unit that a heading declares; null if none.
+
+    A statement ("amounts are stated in Rs. lakhs") wins over a bracket ("(₹ in
+    crore)"), and that over any "in lakhs", "₹ in lakhs", "amount in lakhs", for
+    which lakhs come before crores, millions, billions and thousands.
+    """
     low = F.lower(text)
-    return (
-        F.when(low.rlike(r"\b(crores?|cr\.?)\b"), "INR_CRORES").when(low.rlike(r"\b(lakhs?|lacs?)\b"), "INR_LAKHS").when(low.rlike(r"\b(millions?|mn)\b"), "INR_MILLIONS")
-        .when(low.rlike(r"\b(billions?|bn)\b"), "INR_BILLIONS").when(low.rlike(r"\bthousands?\b"), "INR_THOUSANDS")
-    )
+    stated = F.regexp_extract(low, rf"\b(?:amounts?|figures?|sums?)\s*(?:are\s*|is\s*)?(?:stated\s*|expressed\s*|presented\s*)?in\s+(?:inr|rs\.?|₹)?\s*({_WORDS})\b", 1)
+    bracket = F.regexp_extract(low, rf"\(\s*(?:in\s+)?(?:inr|rs\.?|₹)\s*(?:in\s*)?({_WORDS})\s*\)", 1)
+    named = F.create_map(*[F.lit(x) for kv in UNIT_WORDS.items() for x in kv])
+    of = lambda word: F.try_element_at(named, F.regexp_replace(word, "s$", ""))
+    loose = F.lit(None).cast("string")
+    for word, name in reversed(UNIT_WORDS.items()):
+        sign = r"|\bin\s+₹\s+millions?\b|₹\s+millions?\b" if word == "million" else r"|\brs\.?\s*in\s*" + word + r"s?\b" if word in ("lakh", "crore") else ""
+        loose = F.when(low.rlike(rf"\bin\s+{word}s?\b{sign}"), name).otherwise(loose)
+    return F.coalesce(of(F.nullif(stated, F.lit(""))), of(F.nullif(bracket, F.lit(""))), loose)
 
 
 #: How many crore a unit is.
@@ -65,16 +80,28 @@ def is_revenue(category: Column) -> Column:
     return category.startswith("sale_of_")
 
 
-def bare_markup(html: Column) -> Column:
-    """Text of a page: scripts, styles, comments and tags gone, white space single."""
-    out = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    out = F.regexp_replace(F.regexp_replace(out, r"(?s)<!--.*?-->", " "), r"<[^>]*>", " ")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+#: The entities that pages use.
+ENTITIES = {"&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&rsquo;": "’", "&lsquo;": "‘", "&ndash;": "–", "&mdash;": "—", "&bull;": "•", "&hellip;": "…", "&copy;": "©", "&reg;": "®", "&euro;": "€", "&pound;": "£", "&#8377;": "₹", "&amp;": "&"}
+
+
+def page_text(html: Column) -> Column:
+    """Lines of a page: scripts and styles gone, a line break for each tag, entities told, white space single, no empty lines."""
+    out = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
+    out = F.regexp_replace(out, r"<[^>]+>", "\n")
+    for entity, char in ENTITIES.items():
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    lines = F.transform(F.split(out, r"\r\n|[\n\r\x0B\f]"), lambda x: F.btrim(F.regexp_replace(x, r"[\s\u00a0]+", " ")))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
+#: Other names of benchmarks.
+BENCHMARKS = {"NIFTY50_TRI": "NIFTY_50_TRI", "NIFTY50": "NIFTY_50", "^NSEI": "NIFTY_50", "NIFTY_50_INDEX": "NIFTY_50"}
 
 
 def benchmark_symbol(symbol: Column) -> Column:
-    """Upper case, single blanks for dashes and underscores."""
-    return F.trim(F.regexp_replace(F.upper(F.trim(symbol)), r"[\s_-]+", " "))
+    """Upper case, an underscore for each blank, other names of a benchmark made one."""
+    bare = F.replace(F.upper(F.trim(symbol)), F.lit(" "), F.lit("_"))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in BENCHMARKS.items() for x in kv]), bare), bare)
 
 
 def is_benchmark(symbol: Column) -> Column:
@@ -86,9 +113,75 @@ def evaluation_id(ipo_id: Column, mode: Column, moment: Column, digest: Column)
 
 
 def issuer_key(name: Column) -> Column:
-    """A company's name without its legal form, letters and digits only."""
-    low = F.regexp_replace(F.lower(name), r"\b(private|pvt|limited|ltd|the)\b\.?", " ")
-    return F.trim(F.regexp_replace(low, r"[^a-z0-9]+", " "))
+    """A company's name without a closing Limited or Ltd, in capital letters and digits only."""
+    return F.regexp_replace(F.upper(F.regexp_replace(F.trim(name), r"(?i)\b(?:limited|ltd\.?)\s*$", "")), "[^A-Z0-9]", "")
+
+
+def is_issuer_heading(text: Column, company: Column) -> Column:
+    """Whether a heading is the company's own "<name> IPO ..."."""
+    before = F.element_at(F.split(text, r"(?i)\s+IPO\b", 2), 1)
+    return text.rlike(r"(?i)\s+IPO\b") & (issuer_key(before) == issuer_key(company))
+
+
+#: Sections of a filing by their headings, in order of precedence.
+SECTIONS = [
+    ("the_offer", r"\bTHE\s+OFFER\b"),
+    ("capital_structure", r"\bCAPITAL\s+STRUCTURE\b"),
+    ("objects_of_the_offer", r"\bOBJECTS\s+OF\s+(?:THE\s+)?(?:OFFER|ISSUE)\b"),
+    ("basis_for_offer_price", r"\bBASIS\s+(?:FOR|OF)\s+(?:THE\s+)?(?:OFFER|ISSUE)\s+PRICE\b"),
+    ("industry_overview", r"\bINDUSTRY\s+OVERVIEW\b"),
+    ("our_business", r"\bOUR\s+BUSINESS\b"),
+    ("our_management", r"\b(?:OUR|THE)\s+MANAGEMENT\b"),
+    ("promoters", r"\bOUR\s+PROMOTER(?:S|\s+AND\s+PROMOTER\s+GROUP)?\b"),
+    ("restated_financials", r"\b(?:RESTATED\s+(?:CONSOLIDATED\s+)?FINANCIAL\s+INFORMATION|(?:RESTATED\s+)?(?:CONSOLIDATED\s+)?FINANCIAL\s+STATEMENTS)\b"),
+    ("financial_indebtedness", r"\b(?:FINANCIAL\s+INDEBTEDNESS|CAPITALISATION\s+STATEMENT)\b"),
+    ("litigation", r"\bOUTSTANDING\s+LITIGATION\b"),
+    ("contingent_liabilities", r"\bSUMMARY\s+OF\s+CONTINGENT\s+LIABILITIES\b"),
+    ("related_party", r"\bSUMMARY\s+OF\s+RELATED\s+PARTY\b"),
+    ("offer_structure", r"\bOFFER\s+STRUCTURE\b"),
+]
+
+
+def section(heading: Column) -> Column:
+    """The section that a heading opens, by the first pattern that fits; null if none does."""
+    found = F.lit(None).cast("string")
+    for name, pattern in reversed(SECTIONS):
+        found = F.when(heading.rlike("(?i)" + pattern), name).otherwise(found)
+    return found
+
+
+#: What leaves a board, and the words for it in order of precedence.
+EXITS = ("resignation", "cessation", "retirement", "term_expiry")
+BOARD_EVENTS = [
+    ("resignation", "resign"),
+    ("retirement", "retire|superannuat"),
+    ("term_expiry", r"term\s+(?:of\s+(?:his|her|their)\s+office\s+)?(?:expired|expiry)|expiry\s+of\s+(?:the\s+|his\s+|her\s+)?term|completion\s+of\s+(?:his|her|their)\s+term|termination\s+of\s+(?:the\s+|his\s+|her\s+)?term|end\s+of\s+(?:the\s+|his\s+|her\s+)?term"),
+    ("cessation", "cessation|ceased"),
+    ("appointment", "appoint|regularis|regulariz|designat|induct|elevat"),
+]
+
+
+def board_event(reason: Column) -> Column:
+    """What a filed reason tells of a board member; the most specific statement wins, `other` if none."""
+    found = F.lit("other")
+    for name, pattern in reversed(BOARD_EVENTS):
+        found = F.when(F.lower(F.coalesce(reason, F.lit(""))).rlike(pattern), name).otherwise(found)
+    return found
+
+
+def is_exit(event: Column) -> Column:
+    return F.coalesce(event.isin(*EXITS), F.lit(False))
+
+
+def displayed_premium(shown: Column, sign: str = "₹") -> Column:
+    """(state, amount) of a displayed grey-market value: MISSING (null or "Not quoted yet"), ZERO, AMOUNT or MALFORMED."""
+    bare = F.trim(shown)
+    mark = r"\s*%" if sign == "%" else ""
+    front = r"(?:₹\s*)?" if sign != "%" else ""
+    fits = bare.rlike(rf"^[+-]?\s*{front}[+-]?\s*\d+(?:,\d+)*(?:\.\d+)?{mark}$") & ~bare.rlike(r"[+-].*[+-]")
+    value = F.regexp_replace(bare, r"[₹,%\s+]", "").try_cast("double")
+    state = F.when(shown.isNull() | (bare == "Not quoted yet"), "MISSING").when(~fits | value.isNull(), "MALFORMED").when(value == 0, "ZERO").otherwise("AMOUNT")
+    return F.struct(state.alias("state"), F.when(state.isin("ZERO", "AMOUNT"), value).alias("amount"))
 
 
 def redacted_header(text: Column) -> Column:

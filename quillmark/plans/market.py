@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmark.functions import freshness, returns
-from quillmark.operators import asof, dataset, versions
+from quillmark.operators import asof, dataset, observe, versions
 from quillmark.plans.base import EVALUATIONS, OBSERVATIONS, PRICES, evaluations, observations, places, prices
 from quillmark.plans.registry import query
 from quillmark.sources.tables import table
 
 LISTINGS = f"""WITH {PRICES.strip()},
-days AS (SELECT DISTINCT day FROM prices WHERE day % 1 IS NOT NULL OR TRUE),
+days AS (SELECT DISTINCT day FROM prices),
 listings AS (SELECT symbol, min(day) AS listed FROM prices GROUP BY 1),
 targets AS (SELECT symbol, listed, h.horizon, listed + h.days AS target FROM listings, (VALUES ('1W', 7), ('1M', 30), ('6M', 180)) h(horizon, days))"""
-LISTINGS = LISTINGS.replace(" WHERE day % 1 IS NOT NULL OR TRUE", "")
-SPARSE = "(dayofmonth({d}) % 3 = 0)"
 
 
 def targets(spark, sf_dir):
@@ -23,10 +21,9 @@ def targets(spark, sf_dir):
     return listed.select("symbol", "listed", F.explode(F.array(*[F.lit(h) for h in returns.HORIZONS])).alias("horizon")).withColumn("target", returns.target_date(F.col("listed"), F.col("horizon")))
 
 
-@query("j3_asof_dates", LISTINGS + f""", d AS (SELECT day FROM days WHERE {SPARSE.format(d='day')})
-SELECT t.symbol, t.horizon, t.target, max(d.day) AS observed FROM targets t LEFT JOIN d ON d.day <= t.target AND d.day >= t.target - 29 GROUP BY 1, 2, 3""")
+@query("j3_asof_dates", LISTINGS + """ SELECT t.symbol, t.horizon, t.target, max(d.day) AS observed FROM targets t LEFT JOIN days d ON d.day <= t.target AND d.day >= t.target - 29 GROUP BY 1, 2, 3""")
 def j3_asof_dates(spark, sf_dir):
-    days = prices(spark, sf_dir).select("day").where(F.dayofmonth("day") % 3 == 0)
+    days = prices(spark, sf_dir).select("day")
     return asof.resolve_dates(targets(spark, sf_dir), days, "target", "day", "observed").select("symbol", "horizon", "target", "observed")
 
 
@@ -42,32 +39,34 @@ def j4_weekday_fallback(spark, sf_dir):
     return targets(spark, sf_dir).select("symbol", "horizon", returns.last_weekday(F.col("target")).alias("observed"))
 
 
-R14 = LISTINGS + """, d AS (SELECT t.symbol, t.horizon, t.listed, t.target, max(d.day) AS observed FROM targets t LEFT JOIN days d ON d.day <= t.target AND d.day >= t.target - 29 GROUP BY ALL),
-bench AS (SELECT day, (sum(CAST(round(close * 10000) AS BIGINT)) // count(*)) / 10000.0 AS level FROM prices GROUP BY 1),
-o AS (SELECT d.*, l.close AS first_close, p.close AS last_close, b0.level AS first_level, b1.level AS last_level FROM d
-  LEFT JOIN prices l ON l.symbol = d.symbol AND l.day = d.listed LEFT JOIN prices p ON p.symbol = d.symbol AND p.day = d.observed
-  LEFT JOIN bench b0 ON b0.day = d.listed LEFT JOIN bench b1 ON b1.day = d.observed),
-r AS (SELECT symbol, horizon, target, observed, CASE WHEN first_close > 0 THEN round((last_close - first_close) / first_close * 100, 6) END AS absolute_return,
-  CASE WHEN first_level > 0 THEN round((last_level - first_level) / first_level * 100, 6) END AS benchmark_return FROM o)
-SELECT *, round(absolute_return - benchmark_return, 6) AS excess_return, CASE WHEN absolute_return IS NULL THEN 'INCOMPLETE' ELSE 'VERIFIED' END AS status FROM r"""
+R14 = LISTINGS + """, opens AS (SELECT l_partkey AS symbol, CAST(l_shipdate AS DATE) AS day, max(floor(l_extendedprice / l_quantity * 10000 + 0.5) / 10000) AS open FROM lineitem GROUP BY 1, 2),
+quotes AS (SELECT p.symbol, p.day, CASE WHEN p.symbol % 9 <> 4 THEN o.open END AS open, p.close, CASE WHEN p.symbol % 11 = 0 THEN 0.5 ELSE 1.0 END AS factor FROM prices p JOIN opens o USING (symbol, day)),
+plain AS (SELECT day, (sum(CAST(round(close * 10000) AS BIGINT)) // count(*)) / 10000.0 AS level FROM prices GROUP BY 1),
+levels AS (SELECT 'NIFTY_50' AS symbol, day, level FROM plain UNION ALL SELECT 'NIFTY_50_TRI', day, level + 7 FROM plain WHERE dayofmonth(day) <= 15),
+d AS (SELECT t.symbol, t.horizon, t.listed, t.target, max(d.day) AS observed FROM targets t LEFT JOIN days d ON d.day <= t.target AND d.day >= t.target - 29 GROUP BY ALL),
+e AS (SELECT d.*, p_retailprice AS issue_price, CASE WHEN symbol % 13 = 0 THEN 2.0 ELSE 1.0 END AS given, symbol % 17 = 0 AS unverified FROM d JOIN part ON p_partkey = symbol),
+o AS (SELECT e.*, f.open AS listing_open, l.close AS raw_close, CASE WHEN coalesce(l.factor, 1) <> 1 AND given = 1 THEN l.factor ELSE given END AS factor, CASE WHEN t.level IS NULL AND n.level IS NOT NULL THEN 'NIFTY_50' ELSE 'NIFTY_50_TRI' END AS benchmark, coalesce(t.level, n.level) AS listing_level
+  FROM e LEFT JOIN quotes f ON f.symbol = e.symbol AND f.day = e.listed LEFT JOIN quotes l ON l.symbol = e.symbol AND l.day = e.observed
+  LEFT JOIN levels t ON t.symbol = 'NIFTY_50_TRI' AND t.day = e.listed LEFT JOIN levels n ON n.symbol = 'NIFTY_50' AND n.day = e.listed),
+a AS (SELECT o.*, z.level AS observed_level, round(raw_close * factor, 6) AS adjusted_close FROM o LEFT JOIN levels z ON z.symbol = o.benchmark AND z.day = o.observed),
+r AS (SELECT symbol, horizon, target, observed, benchmark, round((listing_open - issue_price) / issue_price * 100, 6) AS listing_gain, round((adjusted_close - issue_price) / issue_price * 100, 6) AS absolute_return,
+  CASE WHEN listing_open > 0 THEN round((adjusted_close - listing_open) / listing_open * 100, 6) END AS secondary_return, CASE WHEN listing_level > 0 THEN round((observed_level - listing_level) / listing_level * 100, 6) END AS benchmark_return,
+  CASE WHEN unverified THEN 'UNVERIFIED' WHEN factor <> 1 THEN 'VERIFIED' ELSE 'UNADJUSTED' END AS verification_status, CASE WHEN raw_close IS NULL THEN 'INCOMPLETE' WHEN unverified THEN 'UNVERIFIED' ELSE 'VERIFIED' END AS observation_status FROM a)
+SELECT *, round(absolute_return - benchmark_return, 6) AS excess_return FROM r"""
 
 
 @query("r14_observations", R14)
 def r14_observations(spark, sf_dir):
-    """Returns from the listing day to each horizon's observed day, beside the market's."""
+    """Returns from the issue price to each horizon's observed day, beside a total-return benchmark with gaps and its fallback."""
     p = prices(spark, sf_dir)
-    bench = p.groupBy("day").agg((F.floor(F.sum(F.round(F.col("close") * 10000).cast("long")) / F.count(F.lit(1))) / 10000.0).alias("level"))
-    days = p.select("day")
-    obs = asof.resolve_dates(targets(spark, sf_dir), days, "target", "day", "observed")
-    obs = asof.observed(obs, p, "symbol", F.col("listed"), "close", "first_close")
-    obs = asof.observed(obs, p, "symbol", F.col("observed"), "close", "last_close")
-    for name, day in (("first_level", "listed"), ("last_level", "observed")):
-        level = bench.select(F.col("day").alias("__d"), F.col("level").alias(name))
-        obs = obs.join(level, obs[day] == level["__d"], "left").drop("__d")
-    absolute = returns.simple_return(F.col("last_close"), F.col("first_close"))
-    market = returns.simple_return(F.col("last_level"), F.col("first_level"))
-    out = obs.select("symbol", "horizon", "target", "observed", absolute.alias("absolute_return"), market.alias("benchmark_return"))
-    return out.withColumn("excess_return", returns.excess(F.col("absolute_return"), F.col("benchmark_return"))).withColumn("status", F.when(F.col("absolute_return").isNull(), "INCOMPLETE").otherwise("VERIFIED"))
+    opens = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("symbol"), F.to_date("l_shipdate").alias("day")).agg(F.max(places(F.col("l_extendedprice") / F.col("l_quantity"), 4)).alias("open"))
+    quotes = p.join(opens, ["symbol", "day"]).select("symbol", "day", F.when(F.col("symbol") % 9 != 4, F.col("open")).alias("open"), "close", F.when(F.col("symbol") % 11 == 0, 0.5).otherwise(1.0).alias("factor"))
+    plain = p.groupBy("day").agg((F.floor(F.sum(F.round(F.col("close") * 10000).cast("long")) / F.count(F.lit(1))) / 10000.0).alias("level"))
+    levels = plain.select(F.lit("NIFTY_50").alias("symbol"), "day", "level").unionByName(plain.where(F.dayofmonth("day") <= 15).select(F.lit("NIFTY_50_TRI").alias("symbol"), "day", (F.col("level") + 7).alias("level")))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol"), F.col("p_retailprice").alias("issue_price"))
+    listings = targets(spark, sf_dir).drop("target").join(part, "symbol").select("symbol", "horizon", "listed", "issue_price", F.when(F.col("symbol") % 13 == 0, 2.0).otherwise(1.0).alias("factor"), (F.col("symbol") % 17 == 0).alias("unverified"), F.lit("NIFTY_50_TRI").alias("benchmark"))
+    made = observe.build(listings, quotes, levels)
+    return made.select("symbol", "horizon", "target", "observed", "benchmark", "listing_gain", "absolute_return", "secondary_return", "benchmark_return", "excess_return", "verification_status", "observation_status")
 
 
 @query("w10_price_conflicts", """SELECT l_partkey AS symbol, CAST(l_shipdate AS DATE) AS day, round(max(floor(l_extendedprice / l_quantity * 10000 + 0.5) / 10000) - min(floor(l_extendedprice / l_quantity * 10000 + 0.5) / 10000), 4) AS spread, count(*) AS rows FROM lineitem GROUP BY 1, 2 HAVING max(floor(l_extendedprice / l_quantity * 10000 + 0.5) / 10000) - min(floor(l_extendedprice / l_quantity * 10000 + 0.5) / 10000) > 1e-6""")
@@ -109,20 +108,20 @@ def p21_horizon_pivot(spark, sf_dir):
     return dataset.by_horizon(now, "evaluation_id", "return_pct")
 
 
-@query("j6_linkage", OBS + """, p AS (SELECT o_orderkey AS evaluation_id, o_orderkey % 7 AS digest FROM orders WHERE o_orderkey % 5 <> 0), c AS (SELECT observation_id, evaluation_id, CASE WHEN version = 2 THEN -1 ELSE evaluation_id % 7 END AS digest FROM observations)
+@query("j6_linkage", OBS + """, p AS (SELECT o_orderkey AS evaluation_id, o_orderkey % 7 AS digest FROM orders WHERE o_orderstatus <> 'P'), c AS (SELECT observation_id, evaluation_id, CASE WHEN version = 2 THEN -1 ELSE evaluation_id % 7 END AS digest FROM observations)
 SELECT CASE WHEN p.evaluation_id IS NULL THEN 'ORPHAN' WHEN p.digest = c.digest THEN 'OK' ELSE 'MISMATCH' END AS link, count(*) AS n FROM c LEFT JOIN p USING (evaluation_id) GROUP BY 1""")
 def j6_linkage(spark, sf_dir):
-    parents = table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("evaluation_id"), (F.col("o_orderkey") % 7).alias("digest"))
+    parents = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("evaluation_id"), (F.col("o_orderkey") % 7).alias("digest"))
     children = observations(spark, sf_dir).select("observation_id", "evaluation_id", F.when(F.col("version") == 2, -1).otherwise(F.col("evaluation_id") % 7).alias("digest"))
     return dataset.linkage(children, parents, "evaluation_id", "digest").groupBy("link").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j11_config_diff", """WITH a AS (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_partkey % 3 <> 0), b AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 0 THEN p_size + 1 ELSE p_size END AS v FROM part WHERE p_partkey % 4 <> 0)
+@query("j11_config_diff", """WITH a AS (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_size > 10), b AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 0 THEN p_size + 1 ELSE p_size END AS v FROM part WHERE p_size < 45)
 SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'ADDED' WHEN b.k IS NULL THEN 'REMOVED' WHEN a.v = b.v THEN 'SAME' ELSE 'CHANGED' END AS change FROM a FULL JOIN b ON a.k = b.k""")
 def j11_config_diff(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("v"))
-    changed = part.where("k % 4 <> 0").select("k", F.when(F.col("k") % 10 == 0, F.col("v") + 1).otherwise(F.col("v")).alias("v"))
-    return dataset.full_difference(part.where("k % 3 <> 0"), changed, "k", "v")
+    changed = part.where("v < 45").select("k", F.when(F.col("k") % 10 == 0, F.col("v") + 1).otherwise(F.col("v")).alias("v"))
+    return dataset.full_difference(part.where("v > 10"), changed, "k", "v")
 
 
 @query("a21_latest_per_ipo", f"WITH {EVALUATIONS.strip()} SELECT ipo_id, evaluation_id, stamp, verdict FROM evaluations QUALIFY row_number() OVER (PARTITION BY ipo_id ORDER BY evaluated_at DESC, evaluation_id DESC) = 1")
@@ -200,11 +199,6 @@ def r10_first_known(spark, sf_dir):
     return m.select("user_id", value.alias("value"), source.alias("source"))
 
 
-@query("h5_event_props", """SELECT event_type, CAST(json_extract(props, '$.k') AS INT) % 10 AS digit, count(*) AS n FROM events GROUP BY 1, 2""")
-def h5_event_props(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type", (F.get_json_object("props", "$.k").cast("int") % 10).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("a23_trailing_exits", """SELECT c.o_custkey AS ipo_id, count(*) FILTER (o.o_orderdate BETWEEN c.anchor - INTERVAL 24 MONTH AND c.anchor) AS exits FROM (SELECT o_custkey, max(CAST(o_orderdate AS DATE)) AS anchor FROM orders GROUP BY 1) c JOIN orders o USING (o_custkey) GROUP BY 1""")
 def a23_trailing_exits(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ipo_id"), F.to_date("o_orderdate").alias("day"))

@@ -140,7 +140,8 @@ def test_amounts(spark, given, want):
 
 
 def test_unknown_units_are_errors(spark):
-    assert one(spark, text.unit(F.lit("in thousands"))) == "INR_THOUSANDS"
+    assert one(spark, text.unit(F.lit("in thousands"))) == "INR_THOUSANDS" and one(spark, text.unit(F.lit("thousands of trees"))) is None
+    assert one(spark, text.unit(F.lit("Amounts are in crores (₹ in lakhs)"))) == "INR_CRORES"
     with pytest.raises(Exception, match="unknown unit"):
         one(spark, text.in_crore(F.lit(1.0), F.lit("INR_THOUSANDS")))
 
