@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.operators.shared import checkpointed
+
 
 def in_force(rows: DataFrame, row_id: str, supersedes: str) -> DataFrame:
     """Rows that no other row supersedes."""
@@ -39,11 +41,21 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFr
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
-def out_of_order(rows: DataFrame, ordinal: str, order: list[str], group: str | None = None) -> DataFrame:
-    """Rows that come before their predecessor's place in `order`, by their ordinal."""
-    w = Window.partitionBy(*([group] if group else [])).orderBy(ordinal)
-    now, before = F.struct(*order), F.lag(F.struct(*order)).over(w)
-    return rows.withColumn("__bad", before > now).where("__bad").drop("__bad")
+def out_of_order(rows: DataFrame, ordinal: str, order: list[str], group: str | None = None, width: int = 10_000) -> DataFrame:
+    """Rows that come before their predecessor's place in `order`, by their ordinal, within a group or in all.
+
+    ordinal: a whole number. Rows are looked at in ranges of `width` ordinals;
+    the last row of each range is compared with the first of the next that has
+    any, so that no task sees all rows.
+    """
+    keys = [group] if group else []
+    there = rows.withColumns({"__r": F.floor(F.col(ordinal) / width), "__now": F.struct(*order)})
+    inner = Window.partitionBy(*keys, "__r").orderBy(ordinal)
+    ends = there.groupBy(*keys, "__r").agg(F.max_by("__now", ordinal).alias("__last"))
+    above = ends.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__r").alias("__q"), F.lag("__last").over(Window.partitionBy(*keys).orderBy("__r")).alias("__before"))
+    told = there.withColumn("__own", F.lag("__now").over(inner))
+    met = told.join(above, [*[told[k].eqNullSafe(F.col(f"__{k}")) for k in keys], F.col("__r") == F.col("__q")])
+    return met.where(F.coalesce("__own", "__before") > F.col("__now")).select(*rows.columns)
 
 
 def lifecycle(events: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -55,11 +67,19 @@ def lifecycle(events: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return events.withColumn("state", F.when(n == 1, "ACTIVE").otherwise("SUPERSEDED"))
 
 
-def in_circle(edges: DataFrame, child: str, parent: str, depth: int = 64) -> DataFrame:
-    """Ids of supersession edges that lead back to themselves within `depth` steps (a recursive query)."""
-    spark = edges.sparkSession
-    edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).createOrReplaceTempView("__edges")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(start, at, steps) AS (
-          SELECT c, p, 1 FROM __edges UNION ALL SELECT w.start, e.p, w.steps + 1 FROM walk w JOIN __edges e ON w.at = e.c WHERE w.steps < {depth} AND w.at <> w.start
-        ) SELECT DISTINCT start AS id FROM walk WHERE at = start""")
+def in_circle(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """(id) of the rows whose line of parents leads back to themselves, however long the way.
+
+    Each child has one parent at most (more are an error). The parent's parent is
+    taken in every round, so a way of n steps takes log2(n) rounds; where all
+    rows are by then that still have one is on a circle. Rounds are cut by
+    checkpoints.
+    """
+    pairs = checkpointed(edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c is not null and p is not null").distinct())
+    if not pairs.groupBy("c").count().where("count > 1").isEmpty():
+        raise ValueError("a row has several parents")
+    steps, most = 1, pairs.count()
+    while steps < most:
+        after = pairs.select(F.col("c").alias("b"), F.col("p").alias("q"))
+        pairs, steps = checkpointed(pairs.join(after, pairs["p"] == after["b"]).select("c", F.col("q").alias("p"))), 2 * steps
+    return pairs.select(F.col("p").alias("id")).distinct()

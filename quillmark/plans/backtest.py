@@ -146,16 +146,18 @@ def w3_floor_deciles(spark, sf_dir):
 
 def _quantiles(spark, sf_dir, n):
     order = [F.col(c) for c in ("final_score", "evaluated_at", "ipo_id", "evaluation_id")]
-    rows = stats.floor_quantiles(backtest(spark, sf_dir), ["verdict"], order, n)
-    return rows.groupBy("verdict", "bucket").agg(
+    rows = stats.floor_quantiles(backtest(spark, sf_dir), ["verdict"], order, n, "final_score")
+    told = rows.groupBy("verdict", "bucket").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.min("final_score"), 2).alias("low"), F.round(F.max("final_score"), 2).alias("high"), F.round(F.avg("return_1w"), 6).alias("mean_1w"),
-        stats.upper_median(F.collect_list("return_1w")).alias("median_1w"), F.round(F.try_divide(100.0 * F.count_if(F.col("return_1w") > 0), F.count("return_1w")), 6).alias("hit_rate"),
+        F.round(F.try_divide(100.0 * F.count_if(F.col("return_1w") > 0), F.count("return_1w")), 6).alias("hit_rate"),
     )
+    medians = stats.upper_medians(rows, ["verdict", "bucket"], "return_1w", "median_1w").withColumnsRenamed({"verdict": "__v", "bucket": "__b"})
+    return told.join(medians, F.col("verdict").eqNullSafe(F.col("__v")) & F.col("bucket").eqNullSafe(F.col("__b")), "left").drop("__v", "__b")
 
 
 @query("w1_average_rank", BACKTEST + " SELECT evaluation_id, verdict, " + RANKED.format(k="verdict", c="module_a") + " AS rank FROM backtest WHERE module_a IS NOT NULL")
 def w1_average_rank(spark, sf_dir):
-    return backtest(spark, sf_dir).where("module_a is not null").select("evaluation_id", "verdict", stats.average_rank(F.col("module_a"), "verdict").alias("rank"))
+    return stats.average_ranks(backtest(spark, sf_dir), ["verdict"], "module_a").select("evaluation_id", "verdict", "rank")
 
 
 @query("m12_maturity", BACKTEST + """ SELECT verdict, split_part(stamp, '-', 1) AS vintage, count(*) AS n, CASE WHEN count(*) < 30 THEN 'DESCRIPTIVE_ONLY' WHEN count(*) < 100 THEN 'EXPLORATORY' ELSE 'STATISTICALLY_ACTIONABLE_FOR_DIAGNOSTICS' END AS maturity FROM backtest GROUP BY 1, 2""")

@@ -150,12 +150,13 @@ def r22_lifecycle(spark, sf_dir):
     return versions.lifecycle(events, ["ipo_id", "mode"], [F.desc("evaluated_at"), F.desc("evaluation_id")]).select("evaluation_id", "state")
 
 
-@query("r22_circles", """WITH RECURSIVE e AS (SELECT p_partkey AS c, CASE WHEN p_partkey % 5 = 0 AND p_partkey % 3 <> 0 THEN p_partkey + 4 ELSE p_partkey - 1 END AS p FROM part WHERE p_partkey > 0),
-walk AS (SELECT c AS start, p AS spot, 1 AS steps FROM e UNION ALL SELECT w.start, e.p, w.steps + 1 FROM walk w JOIN e ON w.spot = e.c WHERE w.steps < 8 AND w.spot <> w.start) SELECT DISTINCT start AS id FROM walk WHERE spot = start""")
+@query("r22_circles", """WITH RECURSIVE e AS (SELECT p_partkey AS c, CASE WHEN p_partkey % 40 = 0 AND p_partkey % 3 <> 0 THEN p_partkey + 39 ELSE p_partkey - 1 END AS p FROM part),
+walk AS (SELECT c AS start, p AS spot FROM e UNION SELECT w.start, e.p FROM walk w JOIN e ON w.spot = e.c) SELECT DISTINCT start AS id FROM walk WHERE spot = start""")
 def r22_circles(spark, sf_dir):
+    """Circles of forty parts, and long lines that lead nowhere or into one."""
     k = F.col("p_partkey")
-    edges = table(spark, sf_dir, "part").where("p_partkey > 0").select(k.alias("c"), F.when((k % 5 == 0) & (k % 3 != 0), k + 4).otherwise(k - 1).alias("p"))
-    return versions.in_circle(edges, "c", "p", depth=8)
+    edges = table(spark, sf_dir, "part").select(k.alias("c"), F.when((k % 40 == 0) & (k % 3 != 0), k + 39).otherwise(k - 1).alias("p"))
+    return versions.in_circle(edges, "c", "p")
 
 
 MOMENT = "TIMESTAMP '2024-01-20 00:00:00'"

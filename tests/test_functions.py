@@ -16,7 +16,7 @@ def one(spark, column):
 
 def test_average_ranks_and_flat_correlations(spark):
     df = spark.createDataFrame([("a", 10.0, 1.0), ("a", 20.0, 2.0), ("a", 20.0, 3.0), ("a", 30.0, 4.0), ("b", 1.0, 5.0), ("b", 1.0, 6.0), ("b", 1.0, 7.0), ("c", 1.0, 1.0), ("c", None, 2.0)], "k string, x double, y double")
-    ranks = [r[0] for r in df.where("k = 'a'").select(stats.average_rank(F.col("x"), "k").alias("r")).orderBy("r").collect()]
+    ranks = [r[0] for r in stats.average_ranks(df.where("k = 'a'"), ["k"], "x").select("rank").orderBy("rank").collect()]
     assert ranks == [1.0, 2.5, 2.5, 4.0]
     got = {r["k"]: (r["n"], r["value"], r["status"]) for r in stats.rank_correlation(df, ["k"], "x", "y").collect()}
     assert got["a"][1] == pytest.approx(0.948683) and got["b"] == (3, 0.0, "UNDEFINED_ZERO_VARIANCE") and got["c"] == (1, None, "INSUFFICIENT_DATA")
@@ -24,10 +24,43 @@ def test_average_ranks_and_flat_correlations(spark):
 
 @pytest.mark.parametrize(("n", "buckets", "sizes"), [(13, 5, [2, 3, 2, 3, 3]), (10, 10, [1] * 10), (4, 5, [])])
 def test_floor_quantiles(spark, n, buckets, sizes):
-    df = stats.floor_quantiles(spark.range(n).withColumn("p", F.lit(1)), ["p"], [F.col("id")], buckets)
+    df = stats.floor_quantiles(spark.range(n).withColumn("p", F.lit(1)), ["p"], [F.col("id")], buckets, "id")
     assert [r["count"] for r in df.where("bucket is not null").groupBy("bucket").count().orderBy("bucket").collect()] == sizes
 
 
+def test_ranks_and_quantiles_of_odd_values(spark):
+    """Negative, huge, tiny and repeated values, and a population without a key."""
+    import random
+
+    rng = random.Random(3)
+    values = [rng.choice([-1e9, -2.5, -1e-7, 0.0, 1e-12, 0.1, 3.0, 1e6]) * rng.randint(1, 40) for _ in range(800)]
+    df = spark.createDataFrame([(None if i % 3 else "k", float(v), i) for i, v in enumerate(values)], "k string, v double, i int")
+    got = {r["i"]: r["rank"] for r in stats.average_ranks(df, ["k"], "v").collect()}
+    for own in (range(0, 800, 3), [i for i in range(800) if i % 3]):
+        rounded = {i: round(values[i], 12) for i in own}
+        for i in own:
+            less, same = sum(rounded[j] < rounded[i] for j in own), sum(rounded[j] == rounded[i] for j in own)
+            assert got[i] == less + (same + 1) / 2
+    buckets = {r["i"]: r["bucket"] for r in stats.floor_quantiles(df.withColumn("p", F.lit(1)), ["p"], [F.col("v"), F.col("i")], 7, "v").collect()}
+    order = sorted(range(800), key=lambda i: (values[i], i))
+    assert all(buckets[i] == (7 * (n + 1) - 1) // 800 + 1 for n, i in enumerate(order))
+
+
+def test_order_checks_over_ranges(spark):
+    rows = [(i, (i * 7919) % 97) for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, v int")
+    want = [b[0] for a, b in zip(rows, rows[1:], strict=False) if a[1] > b[1]]
+    assert sorted(r["i"] for r in versions.out_of_order(df, "i", ["v"], width=16).collect()) == want
+
+
+def test_circles_of_any_length(spark):
+    edges = [(i, (i + 1) % 150) for i in range(150)] + [(1000 + i, 999 + i) for i in range(200)] + [(5000, 5000), (6000, 5)]
+    got = {r["id"] for r in versions.in_circle(spark.createDataFrame(edges, "c int, p int"), "c", "p").collect()}
+    assert got == {*range(150), 5000}
+    with pytest.raises(ValueError, match="several parents"):
+        versions.in_circle(spark.createDataFrame([(1, 2), (1, 3)], "c int, p int"), "c", "p")
+
+
 def test_described_of_one_value(spark):
     r = stats.described(spark.createDataFrame([("a", 3.0), ("a", None)], "k string, v double"), ["k"], "v").first()
     assert (r["n"], r["std"], r["q1"], r["q3"]) == (1, 0.0, 3.0, 3.0)
