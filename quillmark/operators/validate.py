@@ -47,6 +47,6 @@ def issue_rules() -> dict[str, tuple[str, Column]]:
         "OVERSOLD": ("ERROR", sold),
         "PERCENT_RANGE": ("ERROR", reduce(lambda a, b: a | b, [F.coalesce((c < 0) | (c > 100), F.lit(False)) for c in percents])),
         "GCP_LIMIT": ("ERROR", share(["gcp"]) > 25),
-        "UNIDENTIFIED_LIMIT": ("ERROR", share(["unidentified_acquisition"]) > 25),
-        "COMBINED_LIMIT": ("ERROR", share(["gcp", "unidentified_acquisition"]) > 35),
+        "UNIDENTIFIED_LIMIT": ("ERROR", share(["acquisition_unidentified"]) > 25),
+        "COMBINED_LIMIT": ("ERROR", share(["gcp", "acquisition_unidentified"]) > 35),
     }

@@ -83,3 +83,11 @@ def anchors(payloads: DataFrame, key: str, payload: str = "payload") -> DataFram
 
 def digest_of_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("digest"))
+
+
+def exchange_rows(payloads: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, company, series, is_open, price_low, price_high) of each entry of captured exchange lists ("data", "payload" text column)."""
+    entry = "struct<companyName:string,series:string,status:string,issuePrice:string>"
+    rows = payloads.select(*keep, F.explode(F.from_json("payload", f"struct<data:array<{entry}>>")["data"]).alias("x"))
+    numbers = F.transform(F.regexp_extract_all("x.issuePrice", F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)), lambda v: v.cast("double"))
+    return rows.select(*keep, F.trim("x.companyName").alias("company"), F.upper("x.series").alias("series"), (F.lower("x.status") == "active").alias("is_open"), F.array_min(numbers).alias("price_low"), F.array_max(numbers).alias("price_high"))
