@@ -169,7 +169,7 @@ def knockouts(df: DataFrame, policy: Mapping[str, Any]) -> Column:
         fires = truth(rule["when"], df.columns)
         known = reduce(operator.and_, [F.col(m).isNotNull() if m in df.columns else F.lit(False) for m in rule.get("required", [])], F.lit(True))
         made.append(F.struct(F.lit(rule["id"]).alias("id"), F.when(fires, "TRIGGERED").when(fires.isNull() | ~known, "UNVERIFIED").otherwise("CLEAR").alias("status")))
-    return F.array(*made)
+    return F.array(*made) if made else F.array().cast("array<struct<id:string,status:string>>")
 
 
 def overall(status: Column) -> Column:
@@ -226,6 +226,48 @@ def overlaid(policy: Mapping[str, Any], overlays: Sequence[Mapping[str, Any]]) -
     return out
 
 
+def resolved_plan(df: DataFrame, policy: Mapping[str, Any], requested: Column | None = None) -> DataFrame:
+    """`df` with profile, structures (names of the structure overlays that apply) and untold (of those whose trigger can't be told, which don't).
+
+    The requested profile (STANDARD, unless told) gives way to the first automatic
+    rule that holds and doesn't except it.
+    """
+    start = F.lit("STANDARD") if requested is None else requested
+    profile = start
+    for rule in reversed((policy.get("profile_resolution") or {}).get("auto_rules", [])):
+        kept = start.isin(list(rule.get("unless_profile", []))) if rule.get("unless_profile") else F.lit(False)
+        profile = F.when(two_valued(rule["when"], df.columns) & ~kept, rule["profile"]).otherwise(profile)
+    structures = [(n, o["when"]) for n, o in (policy.get("structure_overlays") or {}).items() if "when" in o]
+    some = lambda test: F.filter(F.array(*[F.when(test(t), n) for n, t in structures]).cast("array<string>"), lambda x: x.isNotNull())
+    holds = lambda t: two_valued(t, df.columns)
+    return df.withColumns({"profile": profile, "structures": some(holds), "untold": some(lambda t: ~holds(t) & any_unknown(t, df.columns))})
+
+
+def evaluate_planned(df: DataFrame, key: str, policy: Mapping[str, Any], requested: Column | None = None, mode: str = "final", total: float | None = None) -> DataFrame:
+    """`evaluate` with the overlays that each row's profile and structures ask for, and these beside it.
+
+    Plans are the distinct combinations, a few for any number of rows; each is
+    compiled once. A profile without an overlay is an error, and so is a plan
+    whose maxima don't add up to `total`, where that is told.
+    """
+    rows = resolved_plan(df, policy, requested)
+    out = None
+    for profile, structures in sorted(((r[0], tuple(r[1])) for r in rows.select("profile", "structures").distinct().collect())):
+        chosen = []
+        if profile != "STANDARD":
+            if profile not in (policy.get("sector_overlays") or {}):
+                raise ValueError(f"OVERLAY_SELECTED_BUT_NOT_IMPLEMENTED: {profile}")
+            chosen.append(policy["sector_overlays"][profile])
+        plan = overlaid(policy, [*chosen, *[policy["structure_overlays"][n] for n in structures]])
+        held = sum(m["max"] for m in plan["modules"]) if chosen or structures else None
+        if total is not None and held is not None and abs(held - total) > 1e-9:
+            raise ValueError(f"the plan of {profile} with {structures} adds up to {held}, not {total}")
+        own = rows.where((F.col("profile") == profile) & (F.col("structures") == F.array(*[F.lit(n) for n in structures]).cast("array<string>")))
+        made = evaluate(own, key, plan, mode).withColumns({"profile": F.lit(profile), "structures": F.lit(",".join(structures))})
+        out = made if out is None else out.unionByName(made)
+    return out if out is not None else evaluate(rows, key, policy, mode).withColumns({"profile": F.lit("STANDARD"), "structures": F.lit("")})
+
+
 def domain_gaps(domain: Sequence[str], mapped: Sequence[str]) -> tuple[list[str], list[str]]:
     """Categories without a score, and scores without a category."""
     return sorted(set(domain) - set(mapped)), sorted(set(mapped) - set(domain))

@@ -60,6 +60,19 @@ def excess_6m(returned: Column, index: Column) -> Column:
     return F.round(returned - index, 6)
 
 
+def backtest(evaluations: DataFrame) -> DataFrame:
+    """Final evaluations with their six months' return, the index's, and the excess, to 6 places."""
+    six = F.try_element_at(F.filter("observations", lambda h: h["horizon"] == "6M"), F.lit(1))
+    rows = evaluations.where(F.upper("mode") == "FINAL")
+    return rows.select(*KEY, "final_score", "verdict", six["absolute_return"].alias("return_6m"), six["benchmark_return"].alias("index_6m"), excess_6m(six["absolute_return"], six["benchmark_return"]).alias("excess_6m"))
+
+
+def criteria_detail(evaluations: DataFrame) -> DataFrame:
+    """One row for each criterion of each module of each evaluation."""
+    rows = evaluations.select(*KEY, F.explode("modules").alias("m"))
+    return rows.select(*KEY, F.col("m.module").alias("module"), F.explode("m.criteria").alias("c")).select(*KEY, "module", "c.*")
+
+
 def config_versions(evaluations: DataFrame) -> DataFrame:
     return evaluations.groupBy("config_version").agg(F.min("evaluated_at").alias("first_used"), F.max("evaluated_at").alias("last_used"), F.count(F.lit(1)).alias("evaluations"))
 
@@ -87,6 +100,6 @@ def workbook(evaluations: DataFrame, sources: DataFrame) -> dict[str, DataFrame]
     flat = evaluations.select(*[c for c, t in evaluations.dtypes if not t.startswith("array")])
     made = [
         master(evaluations), flat, exploded(evaluations, "modules"), exploded(evaluations, "criteria"), exploded(evaluations, "knockouts"), exploded(evaluations, "penalties"), missing(evaluations), evidence(evaluations, sources),
-        exploded(evaluations, "blocks"), exploded(evaluations, "peers"), post_listing(evaluations), exploded(evaluations, "observations"), config_versions(evaluations), evaluations.select(*KEY, "evaluated_at", "mode"),
+        exploded(evaluations, "blocks"), exploded(evaluations, "peers"), post_listing(evaluations), backtest(evaluations), config_versions(evaluations), evaluations.select(*KEY, "evaluated_at", "mode"),
     ]
     return dict(zip(NAMES, made, strict=True))

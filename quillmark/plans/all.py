@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from quillmark.plans import backtest, market, measures, registry, reports, screening, text, workflow  # noqa: F401
+from quillmark.plans import backtest, market, measures, registry, reports, screening, sheets, text, workflow  # noqa: F401

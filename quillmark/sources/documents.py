@@ -91,3 +91,25 @@ def exchange_rows(payloads: DataFrame, keep: list[str]) -> DataFrame:
     rows = payloads.select(*keep, F.explode(F.from_json("payload", f"struct<data:array<{entry}>>")["data"]).alias("x"))
     numbers = F.transform(F.regexp_extract_all("x.issuePrice", F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)), lambda v: v.cast("double"))
     return rows.select(*keep, F.trim("x.companyName").alias("company"), F.upper("x.series").alias("series"), (F.lower("x.status") == "active").alias("is_open"), F.array_min(numbers).alias("price_low"), F.array_max(numbers).alias("price_high"))
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """Stored evaluations: a Parquet store."""
+    return spark.read.parquet(path)
+
+
+def read_evaluations(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+    """Evaluation documents, one a file, with the name of the directory that holds each; a file that isn't JSON is an error."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(pattern)
+    return rows.withColumn("directory", F.element_at(F.split(F.input_file_name(), "/"), -2))
+
+
+def read_observations(spark: SparkSession, root: str, evaluation_id: str, schema: str) -> DataFrame:
+    """An evaluation's observations in the order of their file names."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(f"{root}/{evaluation_id}/observations/*.json")
+    return rows.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1)).orderBy("file")
+
+
+def read_dataset(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """An exported dataset, in the canonical order of time, issuer and evaluation."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path).orderBy("evaluated_at", "ipo_id", "evaluation_id")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from pathlib import Path
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
+from quillmark.functions.hashing import canonical_json
+
 
 def append_new(rows: DataFrame, path: str, key: str, partition: str | None = None) -> int:
     """Appends rows whose key the store lacks; how many. A key that comes twice in `rows` is an error."""
@@ -14,8 +20,10 @@ def append_new(rows: DataFrame, path: str, key: str, partition: str | None = Non
     try:
         there = rows.sparkSession.read.parquet(path).select(key)
         rows = rows.join(there, key, "left_anti")
-    except AnalysisException:
-        pass  # the store is new
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # The store is new.
     rows = rows.cache()
     n = rows.count()
     writer = rows.write.mode("append")
@@ -50,3 +58,16 @@ def long_analysis(sections: dict[str, DataFrame]) -> DataFrame:
         one = rows.select(F.lit(section).alias("section"), *[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in names.items()])
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def proposal_json(proposal: Mapping[str, Any], path: str | None = None) -> str:
+    """A proposal or draft policy as canonical JSON, written to a local path if one is told."""
+    made = canonical_json(proposal, wrapped=False)
+    if path is not None:
+        Path(path).write_text(made, encoding="utf-8")
+    return made
+
+
+def records_json(rows: DataFrame, path: str, order: list[str]) -> None:
+    """Canonical records (a `record` column, see `operators.workflow.projected`), one a line, in order."""
+    rows.orderBy(*order).select("record").write.text(path)

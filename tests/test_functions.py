@@ -231,3 +231,56 @@ def test_findings_and_linkage(spark):
     assert {r["code"] for r in validate.findings(df, "ipo_id", validate.issue_rules()).collect()} == {"TOO_FEW_PERIODS", "NEGATIVE_REVENUE", "OPERATING_PROFIT", "SHARE_COUNT", "PERCENT_RANGE"}
     status = dataset.row_status(F.lit(False), F.lit(True), [F.lit(1.0)])
     assert one(spark, status) == "UNVERIFIED"
+
+
+def test_policy_findings():
+    """A sound policy has none, and each fault its own code."""
+    from quillmark.functions import policy
+    from quillmark.plans.screening import POLICY
+    from quillmark.plans.sheets import OVERLAYS
+
+    assert policy.findings(POLICY) == [] and policy.findings(OVERLAYS, domains=metrics.DOMAINS, total=9) == []
+    band = lambda *bands, **kw: {"id": "c", "max": 3, "metric": "peg", "rule": {"type": "bands", "bands": list(bands), "else": 0}, **kw}
+    of = lambda *criteria, **kw: [c for c, _, _ in policy.findings({"modules": [{"id": "A", "criteria": list(criteria)}], **kw})]
+    ok = band([">", 1, 3])
+    assert policy.findings({"modules": []})[0][0] == "CONFIG_NO_MODULES" and of(ok) == []
+    assert of(ok, ok) == ["CONFIG_DUPLICATE_CRITERION"] and of(band()) == ["CONFIG_BANDS_EMPTY"] and of(band([">", 1])) == ["CONFIG_BAND_SHAPE"]
+    assert of(band(["~", 1, 3])) == ["CONFIG_OPERATOR_INVALID"] and of(band([">", 1, 9])) == ["CONFIG_SCORE_EXCEEDS_MAX"] and of(band([">", 1, -1])) == ["CONFIG_NEGATIVE_SCORE"] and of(band([">", 1, "x"])) == ["CONFIG_BAND_SCORE"]
+    assert of(band([">", 1, 3], metric="made_up")) == ["CONFIG_METRIC_UNIMPLEMENTED"] and of({"id": "c"}) == ["CONFIG_CRITERION_NO_MAX", "CONFIG_CRITERION_NO_METRIC", "CONFIG_CRITERION_NO_RULE"]
+    assert of({**ok, "rule": {"type": "guess"}}) == ["CONFIG_RULE_TYPE_INVALID"] and of({"id": "p", "kind": "penalty"}) == ["CONFIG_PENALTY_NO_WHEN"]
+    mapped = {"id": "m", "max": 3, "metric": "lockin_bucket", "rule": {"type": "categorical", "map": {"intact": 3, "odd": 1}}}
+    assert of(mapped) == ["CONFIG_CATEGORICAL_INCOMPLETE", "CONFIG_CATEGORICAL_EXTRA"] and of({**mapped, "rule": {"type": "categorical", "map": {}}}) == ["CONFIG_CATEGORICAL_EMPTY"]
+    assert of({**ok, "rule": {"type": "bands_by_variant", "variants": {"hot": ok["rule"]}}}) == ["CONFIG_VARIANTS_INCOMPLETE"] and of(band([">", 1, 3], exclude_in_modes=["never"])) == ["CONFIG_MODE_EXCLUDE_UNKNOWN"]
+    assert of(ok, knockouts=[{"id": "K"}]) == ["CONFIG_KNOCKOUT_NO_WHEN", "CONFIG_KNOCKOUT_NO_REQUIRED"] and of(ok, critical_data={"items": ["nothing"]}) == ["CONFIG_CRITICAL_DATA_UNKNOWN"]
+    assert of(ok, verdict={"bands": [{"min": 1}, {"min": 2}]}) == ["CONFIG_VERDICT_NO_ELSE", "CONFIG_VERDICT_BANDS_UNORDERED"] and of(ok, verdict={"else": "x"}) == ["CONFIG_VERDICT_NO_BANDS"]
+    trees = {"CONFIG_EXPR_EMPTY": {}, "CONFIG_EXPR_NOT_TYPE": {"not": 3}, "CONFIG_EXPR_UNKNOWN": {"x": 1}, "CONFIG_EXPR_NO_OPERATOR": {"metric": "peg", "value": 1}, "CONFIG_EXPR_NO_VALUE": {"metric": "peg", "op": ">"}, "CONFIG_FLAG_UNIMPLEMENTED": {"flag": "no"}, "CONFIG_OPERATOR_VALUE": {"metric": "peg", "in": 3}}
+    for code, tree in trees.items():
+        assert [c for c, _, _ in policy.expression(tree, "t", ["peg"])] == [code]
+    overlay = {"remove": ["zz"], "override": {"yy": {}}, "add": {"Q": [ok]}}
+    assert of(ok, sector_overlays={"S": overlay}) == ["CONFIG_OVERLAY_REMOVE_UNKNOWN", "CONFIG_METRIC_OVERRIDE_UNKNOWN_CRITERION", "CONFIG_OVERLAY_UNKNOWN_MODULE", "CONFIG_OVERLAY_ADD_EXISTING"]
+
+
+def test_unimplemented_overlays_are_errors(spark):
+    df = spark.createDataFrame([(1, 3.0)], "ipo_id int, peg double")
+    base = {"modules": [{"id": "A", "max": 3, "criteria": [{"id": "c", "max": 3, "metric": "peg", "rule": {"type": "bands", "bands": [[">", 1, 3]], "else": 0}}]}]}
+    with pytest.raises(ValueError, match="OVERLAY_SELECTED_BUT_NOT_IMPLEMENTED"):
+        rules.evaluate_planned(df, "ipo_id", base, F.lit("BANK"))
+    with pytest.raises(ValueError, match="adds up"):
+        rules.evaluate_planned(df, "ipo_id", {**base, "sector_overlays": {"BANK": {"remove": ["c"]}}}, F.lit("BANK"), total=3)
+
+
+def test_stores_and_exports(spark, tmp_path):
+    with pytest.raises(Exception, match="UNRESOLVED|cannot be resolved"):
+        path = str(tmp_path / "wrong")
+        spark.range(1).write.parquet(path)
+        sinks.append_new(spark.createDataFrame([(1,)], "other int"), path, "other")
+    assert sinks.proposal_json({"b": 1.5, "a": "é"}, str(tmp_path / "p.json")) == (tmp_path / "p.json").read_text() == '{"a":"\\u00e9","b":1.5}'
+    for name, n in (("b", 2), ("a", 1)):
+        (tmp_path / "e1" / "observations").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "e1" / "observations" / f"{name}.json").write_text(json.dumps({"n": n}))
+    assert [r["n"] for r in documents.read_observations(spark, str(tmp_path), "e1", "n int").collect()] == [1, 2]
+    got = documents.read_evaluations(spark, str(tmp_path / "*" / "observations" / "a.json"), "n int").first()
+    assert (got["n"], got["directory"]) == (1, "observations")
+    rows = spark.createDataFrame([("t2", 1, 1), ("t1", 2, 2)], "evaluated_at string, ipo_id int, evaluation_id int")
+    sinks.export_json(rows, str(tmp_path / "d"), ["evaluated_at"])
+    assert [r["ipo_id"] for r in documents.read_dataset(spark, str(tmp_path / "d"), "evaluated_at string, ipo_id int, evaluation_id int").collect()] == [2, 1]
