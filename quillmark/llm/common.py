@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -30,12 +31,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _remembered: dict[str, Callable[[], None]] = {}
 
 
+def give_back() -> None:
+    """Called in a worker at a task's end: memory that is free goes back to the system, as Spark keeps the process for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def remember_alone(operator: str, forget: Callable[[], None]) -> None:
     """Called in a worker before an operator fills its memory: the other operators' is given back,
     as Spark uses a worker process for the tasks of all of them."""
     for name in [n for n in _remembered if n != operator]:
         _remembered.pop(name)()
-        pa.default_memory_pool().release_unused()
+        give_back()
     _remembered[operator] = forget
 
 
@@ -100,6 +110,7 @@ def map_texts(
                 texts = [x or "" for x in block.column(0).to_pylist()]
                 made = [a if isinstance(a, pa.Array) else pa.array(a) for a in apply(texts)]
                 yield pa.RecordBatch.from_arrays([*block.columns[1:], *made], names=schema.names)
+        give_back()
 
     return given.mapInArrow(run, schema)
 

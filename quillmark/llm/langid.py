@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.common import blocks, map_texts, saved
+from quillmark.llm.common import blocks, give_back, map_texts, saved
 
 HIDDEN = re.compile(r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->|<title\b.*?</title\s*>|<nav\b.*?</nav\s*>")
 TAG = re.compile(r"(?s)<[^>]*>")
@@ -100,6 +100,7 @@ def train(docs: DataFrame, rows: int = 300) -> Model:
                     counts.update((lang, a + b) for a, b in bigrams(text))
                 keys = list(counts)
                 yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)] + [pa.array([counts[k] for k in keys], pa.int64())], names=["lang", "pair", "n"])
+        give_back()
 
     found: dict[str, Counter] = defaultdict(Counter)
     for lang, pair, n in sampled(docs, rows).mapInArrow(run, "lang string, pair string, n long").groupBy("lang", "pair").agg(F.sum("n").alias("n")).collect():

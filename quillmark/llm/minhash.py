@@ -38,11 +38,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.common import among, blocks, remember_alone, saved, without
+from quillmark.llm.common import among, blocks, give_back, remember_alone, saved, without
 from quillmark.llm.graph import components
 
 #: Words whose hash a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Odd multipliers, drawn once: each minhash has its own.
 _SEEDS = np.random.default_rng(20250101).integers(1, 1 << 63, size=1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -130,6 +130,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int, half: int, ta
                     [block.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists(np.ascontiguousarray(keys[:, 0])), lists(np.ascontiguousarray(keys[:, 1])), lists(sketch.view(np.int64))],
                     names=["doc_id", "n_shingles", "digest", "left", "right", "sketch"],
                 )
+        give_back()
 
     return given.mapInArrow(run, "doc_id long, n_shingles long, digest binary, left array<long>, right array<long>, sketch array<long>")
 
@@ -164,6 +165,7 @@ def compared(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
                     added.append(np.setdiff1d(sets[0], common, assume_unique=True).view(np.int64) if near else None)
                 columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), *columns, pa.array(added, pa.list_(pa.int64()))], names=["a", "b", "n_a", "n_b", "common", "added"])
+        give_back()
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, n_a long, n_b long, common long, added array<long>")
 

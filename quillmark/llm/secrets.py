@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.common import blocks, fresh, map_texts
+from quillmark.llm.common import blocks, fresh, give_back, map_texts, remember_alone
 
 KINDS = ("assign", "access", "hex", "markov")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -150,11 +150,13 @@ def train(samples: DataFrame, smoothing: float = 0.5, made: int = 12000, mistake
     """
 
     def run(batches):
+        remember_alone("secrets", lambda: None)
         for batch in batches:
             for block in blocks(batch, 0):
                 counts = labelled([x or "" for x in block.column(0).to_pylist()])
                 keys = list(counts)
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.bool_()), *[pa.array([k[i] for k in keys], pa.int32()) for i in (1, 2)], pa.array([counts[k] for k in keys], pa.int64())], names=["label", "a", "b", "n"])
+        give_back()
 
     rows = samples.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "label boolean, a int, b int, n long").groupBy("label", "a", "b").agg(F.sum("n").alias("n")).collect()
     drawn = made_up(made)
