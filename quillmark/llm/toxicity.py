@@ -23,18 +23,18 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.common import map_texts, remainder, remember_alone
+from quillmark.llm.common import give_back, map_texts, remainder, remember_alone
 
 #: Scripts without spaces between words: Thai, Lao, Burmese, Khmer, Kana, and Han.
 _JOINED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -94,6 +94,14 @@ class Model:
     weights: list[float] = field(default_factory=list)
 
 
+def features(gains: np.ndarray, least: int) -> list[float]:
+    """Bias, the two largest gains, how many windows gain enough (by the root of all, by all), log of all."""
+    n = max(len(gains), 1)
+    top = np.sort(gains)[-2:][::-1].tolist() + [0, 0]
+    hits = int((gains >= least).sum())
+    return [1.0, max(top[0], 0), max(top[1], 0), hits / math.sqrt(n), hits / n, math.log1p(n)]
+
+
 class Judge:
     """Compares window lengths under a model's two dictionaries."""
 
@@ -113,10 +121,7 @@ class Judge:
         return found
 
     def features(self, own: set[str]) -> list[float]:
-        """Bias, the two largest gains, how many windows gain enough (by the root of all, by all), log of all."""
-        gains = sorted(map(self.gain, own), reverse=True) or [0]
-        n, hits = len(gains), sum(g >= self.least for g in gains)
-        return [1.0, max(gains[0], 0), max(gains[1], 0) if n > 1 else 0, hits / math.sqrt(n), hits / n, math.log1p(n)]
+        return features(np.fromiter(map(self.gain, own), np.int64, len(own)), self.least)
 
     def score(self, text: str) -> float:
         x = float(np.dot(self.features(windows(text)), self.weights))
@@ -147,9 +152,18 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60) ->
     return w
 
 
-def train(sets: list[set[str]], labels: list[int], least: int = 3, ratio: float = 20.0, size: int = 6000, rounds: int = 2, mistaken_share: float = 1e-3) -> Model:
-    """A model of the windows of labelled texts (1: toxic).
+def train(sets: list[set[str]], labels: list[int], **kw) -> Model:
+    """A model of the windows of labelled texts (1: toxic). See `trained`."""
+    number: dict[str, int] = {}
+    ids = [number.setdefault(w, len(number)) for own in sets for w in sorted(own)]
+    return trained(list(number), np.array(ids, np.int64), np.array([len(own) for own in sets], np.int64), np.array(labels), **kw)
+
 
+def trained(known: list[str], ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray, least: int = 3, ratio: float = 20.0, size: int = 6000, rounds: int = 2, mistaken_share: float = 1e-3) -> Model:
+    """A model of labelled texts (1: toxic).
+
+    known: the distinct windows of all texts; ids, sizes: those of one text after
+    another, by their places in it, and how many each text has.
     least, ratio: what tells toxic text is in so many toxic texts (and in a
     hundredth of them), and so many times more often than in ordinary ones.
     size: windows of the ordinary dictionary, to which each of `rounds` adds as
@@ -157,32 +171,35 @@ def train(sets: list[set[str]], labels: list[int], least: int = 3, ratio: float
     mistaken_share: of ordinary windows, that may gain what counts. Without
     texts of both labels the score is the share of toxic ones, smoothed.
     """
-    y = np.array(labels, dtype=float)
-    bad, good = Counter(), Counter()
-    for own, label in zip(sets, labels, strict=True):
-        (bad if label else good).update(own)
+    y = labels.astype(float)
     n_bad, n_good = int(y.sum()), len(y) - int(y.sum())
     if not n_bad or not n_good:
         share = (n_bad + 0.5) / (len(y) + 1)
         return Model(b"", b"", weights=[math.log(share / (1 - share)), 0, 0, 0, 0, 0])
-    odds = {w: (c / n_bad) / ((good[w] + 0.5) / n_good) for w, c in bad.items()}
+    of_toxic = np.repeat(labels == 1, sizes)
+    bad, good = (np.bincount(ids[mask], minlength=len(known)) for mask in (of_toxic, ~of_toxic))
+    odds = (bad / n_bad) / ((good + 0.5) / n_good)
     least = max(least, math.ceil(n_bad / 100))
-    # Nearest to the window stands what comes last, so windows go from rare to frequent.
-    usual = lambda counts, n: sorted(counts, key=lambda w: (-counts[w], w))[:n][::-1]
-    telling = sorted((w for w, c in bad.items() if c >= least and odds[w] >= ratio), key=lambda w: (bad[w], w))
-    toxic = b"".join(map(placed, [*(w for w in usual(bad, size // 5) if odds[w] < ratio), *telling]))
-    mistaken: Counter = Counter()
+
+    def most(counts: np.ndarray, n: int) -> list[int]:
+        """The n most frequent windows, from rare to frequent: nearest to the window stands what comes last."""
+        return sorted(np.flatnonzero(counts).tolist(), key=lambda i: (-counts[i], known[i]))[:n][::-1]
+
+    content = lambda places: b"".join(placed(known[i]) for i in places)
+    telling = sorted(np.flatnonzero((bad >= least) & (odds >= ratio)).tolist(), key=lambda i: (bad[i], known[i]))
+    toxic = content([*(i for i in most(bad, size // 5) if odds[i] < ratio), *telling])
+    usual, mistaken = most(good, size), np.zeros(len(known), np.int64)
     for k in range(rounds + 1):
-        judge = Judge(Model(b"".join(map(placed, usual(mistaken, size) + usual(good, size))), toxic))
+        judge = Judge(Model(content(most(mistaken, size) + usual), toxic))
+        gains = np.fromiter(map(judge.gain, known), np.int64, len(known))
         if k < rounds:
-            for own, label in zip(sets, labels, strict=True):
-                if not label:
-                    mistaken.update(w for w in own if judge.gain(w) >= 3 and odds.get(w, 0) < 4)
-    gains = Counter(judge.gain(w) for own, label in zip(sets, labels, strict=True) if not label for w in own)
-    total = sum(gains.values())
-    judge.least = next(g for g in range(2, 1 << 10) if sum(n for x, n in gains.items() if x >= g) <= mistaken_share * total)
-    weights = logistic(np.array([judge.features(own) for own in sets]), y)
-    return Model(b"".join(map(placed, usual(mistaken, size) + usual(good, size))), toxic, judge.least, weights.tolist())
+            mistaken += np.where((gains >= 3) & (odds < 4), good, 0)
+    order = np.argsort(-gains, kind="stable")
+    passed = np.cumsum(good[order]) <= mistaken_share * good.sum()
+    # The least gain from 2 on that no more than the share of ordinary windows reaches.
+    judge.least = max(2, int(gains[order][~passed].max(initial=0)) + 1)
+    x = np.array([features(gains[own], judge.least) for own in np.split(ids, np.cumsum(sizes)[:-1])])
+    return Model(content(most(mistaken, size) + usual), toxic, judge.least, logistic(x, y).tolist())
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out, rows: int) -> DataFrame:
@@ -221,9 +238,15 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = 2500) -> Model:
     """A model of up to `rows` documents of either label; their distinct windows are what the driver is sent."""
     found = labelled(docs, labels, "toxic", held_out, rows)
     apply = lambda texts: [pa.array([sorted(windows(t)) for t in texts], pa.list_(pa.string()))]
-    made = map_texts(found, lambda: apply, [T.StructField("windows", T.ArrayType(T.StringType()))]).select("doc_id", "label", "windows").collect()
-    made.sort(key=lambda r: r["doc_id"])
-    return train([set(r["windows"]) for r in made], [r["label"] for r in made])
+    made = map_texts(found, lambda: apply, [T.StructField("windows", T.ArrayType(T.StringType()))]).select("doc_id", "label", "windows").toArrow().sort_by("doc_id")
+    if not made.num_rows:
+        return train([], [])
+    lists = made.column("windows").combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    model = trained(coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), pc.list_value_length(lists).to_numpy().astype(np.int64), made.column("label").to_numpy())
+    del made, lists, coded
+    give_back()
+    return model
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = 2500, least: float = 0.7) -> DataFrame:
