@@ -123,24 +123,42 @@ def criterion(spec: Mapping[str, Any], columns: Sequence[str], excluded: Sequenc
     return state, points
 
 
-def criteria(df: DataFrame, key: str, policy: Mapping[str, Any], mode: str = "final") -> DataFrame:
-    """One row for each row of `df` and each criterion: key, module, criterion, kind, max, state, points."""
+def judged(df: DataFrame, policy: Mapping[str, Any], mode: str = "final") -> Column:
+    """A row's criteria: an array of (module, criterion, kind, max, state, points)."""
     excluded = policy.get("modes", {}).get(mode, {}).get("exclude", [])
     made = []
     for module in policy["modules"]:
         for spec in module["criteria"]:
             state, points = criterion(spec, df.columns, excluded)
             made.append(F.struct(F.lit(module["id"]).alias("module"), F.lit(spec["id"]).alias("criterion"), F.lit(spec.get("kind", "criterion")).alias("kind"), F.lit(float(spec.get("max", 0))).alias("max"), state.alias("state"), points.alias("points")))
-    return df.select(key, F.explode(F.array(*made)).alias("c")).select(key, "c.*")
+    return F.array(*made)
+
+
+def criteria(df: DataFrame, key: str, policy: Mapping[str, Any], mode: str = "final") -> DataFrame:
+    """One row for each row of `df` and each criterion: key, module, criterion, kind, max, state, points."""
+    return df.select(key, F.explode(judged(df, policy, mode)).alias("c")).select(key, "c.*")
+
+
+def totalled(own: Column, policy: Mapping[str, Any]) -> Column:
+    """A row's modules, from its criteria (`judged`): an array of (module, score, available_points, unknown_points, not_applicable_points).
+
+    A score is positives and penalties together, 0 at least. The criteria are
+    the row's own, so nothing is moved.
+    """
+
+    def of(module: str) -> Column:
+        mine = F.filter(own, lambda c: c["module"] == module)
+        plain = lambda state: F.aggregate(F.filter(mine, lambda c: (c["kind"] != "penalty") & (c["state"] == state)), F.lit(0.0), lambda a, c: a + c["max"])
+        score = F.greatest(F.lit(0.0), F.aggregate(mine, F.lit(0.0), lambda a, c: a + F.coalesce(c["points"], F.lit(0.0))))
+        return F.struct(F.lit(module).alias("module"), score.alias("score"), plain(SCORED).alias("available_points"), plain(UNKNOWN).alias("unknown_points"), plain(NOT_APPLICABLE).alias("not_applicable_points"))
+
+    return F.array(*[of(m["id"]) for m in policy["modules"] if m["criteria"]])
 
 
-def modules(scored: DataFrame, key: str) -> DataFrame:
-    """Module scores: positives and penalties together, 0 at least; and the points by state."""
-    plain = F.col("kind") != "penalty"
-    return scored.groupBy(key, "module").agg(
-        F.greatest(F.lit(0.0), F.sum(F.coalesce("points", F.lit(0.0)))).alias("score"),
-        *[F.sum(F.when(plain & (F.col("state") == s), F.col("max")).otherwise(0.0)).alias(a) for s, a in ((SCORED, "available_points"), (UNKNOWN, "unknown_points"), (NOT_APPLICABLE, "not_applicable_points"))],
-    )
+def modules(df: DataFrame, key: str, policy: Mapping[str, Any], mode: str = "final") -> DataFrame:
+    """One row for each row of `df` and each module: key, module, score, and the points by state."""
+    own = df.select(key, judged(df, policy, mode).alias("__criteria"))
+    return own.select(key, F.explode(totalled(F.col("__criteria"), policy)).alias("m")).select(key, "m.*")
 
 
 def penalties(df: DataFrame, policy: Mapping[str, Any]) -> tuple[Column, Column]:
@@ -186,10 +204,13 @@ def capped(points: Column, policy: Mapping[str, Any], columns: Sequence[str]) ->
 
 def evaluate(df: DataFrame, key: str, policy: Mapping[str, Any], mode: str = "final") -> DataFrame:
     """Scores, bounds, completeness, knockouts and verdict of each row of `df`, by `policy`."""
-    per = modules(criteria(df, key, policy, mode), key)
-    sums = per.groupBy(key).agg(F.sum("score").alias("base_score"), F.sum("available_points").alias("available_points"), F.sum("unknown_points").alias("unknown_points"), F.sum("not_applicable_points").alias("not_applicable_points"))
     total, reserve = penalties(df, policy)
-    full = df.withColumns({"__penalty": total, "__reserve": reserve, "knockouts": knockouts(df, policy)}).join(sums, key)
+    full = df.withColumns({"__penalty": total, "__reserve": reserve, "knockouts": knockouts(df, policy), "__criteria": judged(df, policy, mode)})
+    # A projection of its own for each step: what the next one uses more than once is computed once.
+    full = full.withColumn("__modules", totalled(F.col("__criteria"), policy))
+    sums = {"base_score": "score", **{c: c for c in ("available_points", "unknown_points", "not_applicable_points")}}
+    summed = lambda field: F.aggregate("__modules", F.lit(0.0), lambda a, m: a + m[field])
+    full = full.withColumns({name: summed(field) for name, field in sums.items()})
     cap = lambda c: capped(c, policy, df.columns)
     zero, base = F.lit(0.0), F.col("base_score")
     final = cap(F.greatest(zero, base + F.col("__penalty")))

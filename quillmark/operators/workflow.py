@@ -185,7 +185,7 @@ def secondary(issues: DataFrame, entries: DataFrame, key: str, policy: Mapping[s
     wide = entries.groupBy(F.col(key).alias("__k")).agg(F.max("observation_time").alias("evaluated_at"), *[F.max(F.when(F.col("target") == t, F.col("value"))).alias(f"__{c}") for t, c in targets.items()])
     base = metrics.complete(issues).join(wide, issues[key] == wide["__k"])
     changed = base.withColumns({c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in targets.values()})
-    scored = lambda df: rules.modules(rules.criteria(metrics.derive(df.drop("__k", "evaluated_at", *[f"__{c}" for c in targets.values()]), names), key, policy), key)
+    scored = lambda df: rules.modules(metrics.derive(df.drop("__k", "evaluated_at", *[f"__{c}" for c in targets.values()]), names), key, policy)
     before = scored(base).select(F.col(key).alias("__a"), F.col("module").alias("__m"), F.col("score").alias("before"))
     after = scored(changed).select(key, "module", F.col("score").alias("after"))
     met = after.join(before, (after[key] == before["__a"]) & (after["module"] == before["__m"]))

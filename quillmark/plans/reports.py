@@ -52,7 +52,7 @@ def p18_top_risks(spark, sf_dir):
 
 @query("p5_module_scores", CRITERIA + """ SELECT ipo_id, 'A' AS module, coalesce(growth_points, 0) + coalesce(trend_points, 0) + coalesce(cash_points, 0) AS score FROM c UNION ALL SELECT ipo_id, 'B', greatest(0, coalesce(leverage_points, 0) + coalesce(decline_points, 0)) FROM c""")
 def p5_module_scores(spark, sf_dir):
-    return rules.modules(rules.criteria(metrics.derive(issues(spark, sf_dir), NAMES), "ipo_id", POLICY), "ipo_id").select("ipo_id", "module", "score")
+    return rules.modules(metrics.derive(issues(spark, sf_dir), NAMES), "ipo_id", POLICY).select("ipo_id", "module", "score")
 
 
 @query("p22_comparison", """WITH a AS (SELECT l_suppkey AS k, CAST(round(sum(l_quantity)) AS DOUBLE) AS v FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45 GROUP BY 1), b AS (SELECT l_suppkey AS k, CAST(round(sum(l_quantity)) AS DOUBLE) AS v FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 3 GROUP BY 1)
