@@ -159,3 +159,19 @@ def s11_regimes(spark, sf_dir):
     rows = documents.grey_market(s.select("s_suppkey", payload.alias("payload")))
     anchors = documents.anchors(rows, "s_suppkey").select(F.col("s_suppkey").alias("a"), "anchor_quality")
     return rows.join(anchors, F.col("a") == F.col("s_suppkey")).select("s_suppkey", documents.market_regime(F.get_json_object("payload", "$.trend")).alias("regime"), F.round("gmp_pct", 4).alias("gmp_pct"), "anchor_quality")
+
+
+@query("s1_documents", RICH + """ SELECT ipo_id, CAST(CASE WHEN subscription_fresh AND overall_x > 5 THEN 5 WHEN subscription_fresh AND overall_x >= 2 THEN 3 ELSE 0 END + CASE WHEN promoter_pledge_pct < 10 THEN 4 WHEN promoter_pledge_pct < 40 THEN 2 ELSE 0 END + CASE WHEN fresh_issue / 10 > 30 THEN 3 ELSE 0 END AS DOUBLE) AS final_score,
+  CAST(CASE WHEN subscription_fresh AND overall_x IS NOT NULL THEN 0 ELSE 5 END + CASE WHEN promoter_pledge_pct IS NULL THEN 4 ELSE 0 END + CASE WHEN fresh_issue IS NULL THEN 3 ELSE 0 END AS DOUBLE) AS unknown_points FROM d""")
+def s1_documents(spark, sf_dir):
+    """Input documents in millions, evaluated under a policy."""
+    from quillmark import api
+
+    rows = issuers(spark, sf_dir)
+    document = F.to_json(F.struct(
+        F.struct(F.lit("INR_MILLIONS").alias("reporting_unit")).alias("financials"), F.struct("fresh_issue", "ofs").alias("issue"), F.struct("promoter_pledge_pct").alias("capital_structure"),
+        F.struct(F.struct("overall_x", F.col("subscription_fresh").alias("fresh")).alias("subscription")).alias("market"),
+    ))
+    fresh = {"id": "G", "criteria": [{"id": "size", "max": 3, "metric": "gcp_legal_max", "rule": {"type": "bands", "bands": [[">", 7.5, 3]], "else": 0}}]}
+    spec = api.load_config({"modules": [*[{k: m[k] for k in ("id", "criteria")} for m in OVERLAYS["modules"]], fresh]})
+    return api.evaluate(rows.select("ipo_id", document.alias("document")), spec).select("ipo_id", "final_score", "unknown_points")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark.functions.text import benchmark_symbol, is_benchmark
+
 #: Names under which a column may stand in a file's header, upper case.
 ALIASES = {
     "day": ["DATE", "TRADE_DATE", "TRADING_DATE", "TIMESTAMP"],
@@ -62,3 +64,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     last = numbered.groupBy("symbol", "day").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("symbol", "day")]), "__n").alias("p"), (F.max("close") - F.min("close")).alias("spread"))
     clash = F.when(F.col("spread") > 1e-6, F.raise_error(F.concat(F.lit("conflicting closes for "), "symbol", F.lit(" "), F.col("day").cast("string"))).cast("double")).otherwise(F.col("p.close"))
     return last.select("symbol", "day", clash.alias("close"), *[f"p.{c}" for c in rows.columns if c not in ("symbol", "day", "close")])
+
+
+def read_levels(spark: SparkSession, path: str) -> DataFrame:
+    """(symbol, day, level) of the benchmarks in a price file: price rows of a benchmark's symbol, and a JSON file's `benchmark_prices`, whose levels win.
+
+    An entry without a date or close is passed over, a level of 0 or less is an error.
+    """
+    rows = read(spark, path)
+    found = rows.where(is_benchmark(F.col("symbol"))).select(benchmark_symbol(F.col("symbol")).alias("symbol"), "day", F.col("close").alias("level"), F.lit(0).alias("rank"))
+    if path.lower().endswith(".json"):
+        raw = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
+        if "benchmark_prices" in raw.columns:
+            block = raw.select(F.posexplode("benchmark_prices").alias("at", "p")).where("p.date is not null and p.close is not null")
+            level = _number(F.col("p.close"))
+            checked = F.when(F.coalesce(level <= 0, F.lit(True)), F.raise_error(F.lit("benchmark close must be positive")).cast("double")).otherwise(level)
+            found = found.unionByName(block.select(benchmark_symbol(F.coalesce("p.symbol", F.lit("NIFTY_50_TRI"))).alias("symbol"), F.to_date(F.split_part("p.date", F.lit("T"), F.lit(1))).alias("day"), checked.alias("level"), (F.col("at") + 1).alias("rank")))
+    return found.groupBy("symbol", "day").agg(F.max_by("level", "rank").alias("level"))

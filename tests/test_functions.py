@@ -284,3 +284,28 @@ def test_stores_and_exports(spark, tmp_path):
     rows = spark.createDataFrame([("t2", 1, 1), ("t1", 2, 2)], "evaluated_at string, ipo_id int, evaluation_id int")
     sinks.export_json(rows, str(tmp_path / "d"), ["evaluated_at"])
     assert [r["ipo_id"] for r in documents.read_dataset(spark, str(tmp_path / "d"), "evaluated_at string, ipo_id int, evaluation_id int").collect()] == [2, 1]
+
+
+def test_documents_are_evaluated_and_replayed(spark, tmp_path):
+    from quillmark import api
+
+    spec = api.load_config({"modules": [{"id": "A", "criteria": [{"id": "debt", "max": 4, "metric": "leverage_bucket", "rule": {"type": "categorical", "map": {"strong": 4, "ok": 2, "stretched": 1, "weak": 0}}}]}], "verdict": {"bands": [{"min": 2, "verdict": "APPLY"}], "else": "AVOID"}})
+    path = tmp_path / "doc.json"
+    path.write_text(json.dumps({"financials": {"reporting_unit": "INR_LAKHS", "periods": [{"fy": "2024", "net_worth": 900.0, "total_debt": 600.0}]}}))
+    got = api.evaluate_file(spark, str(path), spec, "x").first()
+    assert (got["final_score"], got["verdict"], got["unknown_points"]) == (2.0, "APPLY", 0.0)
+    docs = spark.createDataFrame([("x", path.read_text()), ("y", "{}")], "ipo_id string, document string")
+    stored = spark.createDataFrame([tuple(r) for r in api.evaluate(docs, spec).select("ipo_id", "input_hash", "result_hash").collect()], "ipo_id string, input_hash string, result_hash string")
+    assert {tuple(r) for r in api.replay(docs, spec, stored).collect()} == {("x", True, True), ("y", True, True)}
+    other = docs.withColumn("document", F.lit("{}"))
+    assert {tuple(r) for r in api.replay(other, spec, stored).collect()} == {("x", False, False), ("y", True, True)}
+    issue = api.issues(docs).where("ipo_id = 'x'").first()
+    assert issue["periods"][0]["net_worth"] == 9.0
+    with pytest.raises(ValueError, match="CONFIG_NO_MODULES"):
+        api.load_config({})
+
+
+def test_benchmark_levels_of_price_files(spark, tmp_path):
+    path = tmp_path / "p.json"
+    path.write_text(json.dumps({"prices": [{"date": "2024-01-01", "symbol": "nifty50", "close": 5}, {"date": "2024-01-01", "symbol": "abc", "close": 7}], "benchmark_prices": [{"date": "2024-01-01", "symbol": "^NSEI", "close": 6}, {"date": "2024-01-02", "close": 8}, {"symbol": "x"}]}))
+    assert {(r["symbol"], str(r["day"]), r["level"]) for r in prices.read_levels(spark, str(path)).collect()} == {("NIFTY_50", "2024-01-01", 6.0), ("NIFTY_50_TRI", "2024-01-02", 8.0)}
