@@ -60,16 +60,24 @@ def in_crore(value: Column, unit_name: Column) -> Column:
     return F.when(factor.isNotNull(), value * factor).otherwise(F.raise_error(F.concat(F.lit("unknown unit "), unit_name)).cast("double"))
 
 
-def longest_prefix(rows: DataFrame, text: str, prefixes: DataFrame, out: str = "category") -> DataFrame:
-    """`rows` with the category of the longest prefix that their text starts with; prefixes: a small table (prefix, category).
+def longest_prefix(rows: DataFrame, text: str, prefixes: DataFrame, out: str = "category", most: int = 1000) -> DataFrame:
+    """`rows` with the category of the longest prefix that their text starts with; prefixes: (prefix, category), each prefix once.
 
-    The text's own starts of the prefixes' lengths are looked up by hash, which spares comparing every pair.
+    The text's own starts of the prefixes' lengths are looked up by hash, which
+    spares comparing every pair: in a literal map for up to `most` prefixes, else
+    by a join for each length, of which there are few.
     """
-    sizes = [r[0] for r in prefixes.select(F.length("prefix")).distinct().collect()]
-    table = {r["prefix"]: r["category"] for r in prefixes.collect()}
-    known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    found = F.coalesce(*[F.try_element_at(known, F.substring(text, 1, n)) for n in sorted(sizes, reverse=True)]) if sizes else F.lit(None).cast("string")
-    return rows.withColumn(out, found)
+    sizes = sorted((r[0] for r in prefixes.select(F.length("prefix")).distinct().collect()), reverse=True)
+    if not sizes:
+        return rows.withColumn(out, F.lit(None).cast("string"))
+    table = prefixes.limit(most + 1).collect()
+    if len(table) <= most:
+        known = F.create_map(*[F.lit(x) for r in table for x in (r["prefix"], r["category"])])
+        return rows.withColumn(out, F.coalesce(*[F.try_element_at(known, F.substring(text, 1, n)) for n in sizes]))
+    for n in sizes:
+        side = prefixes.where(F.length("prefix") == n).select(F.col("prefix").alias(f"__p{n}"), F.col("category").alias(f"__c{n}"))
+        rows = rows.join(side, F.substring(text, 1, n) == side[f"__p{n}"], "left")
+    return rows.withColumn(out, F.coalesce(*[f"__c{n}" for n in sizes])).drop(*[f"__{k}{n}" for n in sizes for k in "pc"])
 
 
 def is_elimination(text: Column) -> Column:

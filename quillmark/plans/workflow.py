@@ -243,3 +243,48 @@ def s16_exchange_rows(spark, sf_dir):
 def r12_issue_rules(spark, sf_dir):
     rules_ = {c: r for c, r in validate.issue_rules().items() if c in ("TOO_FEW_PERIODS", "OVERSOLD", "SHARE_COUNT", "GCP_LIMIT")}
     return validate.findings(metrics.complete(issuers(spark, sf_dir)).withColumn("fresh_issue", F.when(F.col("fresh_issue") != 0, F.col("fresh_issue"))), "ipo_id", rules_).select("ipo_id", "code")
+
+
+@query("k2_manifest", f"WITH {OBSERVATIONS.strip()} SELECT evaluation_id, count(*) AS rows, sha256(array_to_string(list_sort(list(DISTINCT horizon || ':' || version)), ',')) AS digest FROM observations GROUP BY 1")
+def k2_manifest(spark, sf_dir):
+    from quillmark.sources.sinks import manifest
+
+    return manifest(observations(spark, sf_dir), "evaluation_id", "horizon", "version")
+
+
+@query("k3_flat_rows", "SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_returnflag)), ';') AS flags, count(*) AS n FROM lineitem GROUP BY 1")
+def k3_flat_rows(spark, sf_dir):
+    from quillmark.sources.sinks import flat
+
+    return flat(table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("flags"), F.count(F.lit(1)).alias("n")))
+
+
+@query("r21_policy_diff", "SELECT * FROM (VALUES ('B.demand.max', '5', '6'), ('B.demand.new', NULL, '1'), ('verdict', '\"AVOID\"', NULL)) d(path, before, after)")
+def r21_policy_diff(spark, sf_dir):
+    """Where two policies differ, by dotted paths."""
+    import json
+
+    from quillmark.operators.calibrate import changed_paths
+
+    old, new = {"B": {"demand": {"max": 5, "metric": "x"}}, "verdict": "AVOID"}, {"B": {"demand": {"max": 6, "metric": "x", "new": 1}}}
+    told = lambda v: None if v is None else json.dumps(v)
+    return spark.createDataFrame([(p, told(a), told(b)) for p, a, b in changed_paths(old, new)], "path string, before string, after string")
+
+
+@query("u4_domains", "SELECT * FROM (VALUES ('auditor_bucket', 'eom_only', 'missing'), ('auditor_bucket', 'odd', 'extra'), ('lockin_bucket', 'weak', 'missing')) g(metric, category, gap)")
+def u4_domains(spark, sf_dir):
+    """Categories that a policy's maps lack, or have too many of."""
+    from quillmark.functions.rules import domain_gaps
+
+    mapped = {"auditor_bucket": ["clean_reputed", "unstable_or_repeated_eom", "odd"], "lockin_bucket": ["intact"]}
+    rows = [(m, c, kind) for m, own in mapped.items() for kind, found in zip(("missing", "extra"), domain_gaps(list(metrics.DOMAINS[m]), own), strict=True) for c in found]
+    return spark.createDataFrame(rows, "metric string, category string, gap string")
+
+
+@query("t4_many_prefixes", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey >= 1000 THEN 'p' || (l_partkey // 10) WHEN l_partkey >= 10 THEN 'p' || (l_partkey // 10) END AS category FROM lineitem")
+def t4_many_prefixes(spark, sf_dir):
+    """Keys by the longest of a table of prefixes that is too large for a literal: all but their last digit."""
+    from quillmark.functions.text import longest_prefix
+
+    part = table(spark, sf_dir, "part").where("p_partkey >= 10").select(F.expr("p_partkey div 10").cast("string").alias("prefix")).distinct()
+    return longest_prefix(table(spark, sf_dir, "lineitem").withColumn("key", F.concat(F.lpad(F.length(F.col("l_partkey").cast("string")).cast("string"), 2, "0"), F.col("l_partkey").cast("string"))), "key", part.select(F.concat(F.lpad((F.length("prefix") + 1).cast("string"), 2, "0"), "prefix").alias("prefix"), F.concat(F.lit("p"), "prefix").alias("category")), most=50).select("l_orderkey", "l_linenumber", "l_partkey", "category")
