@@ -29,7 +29,7 @@ t AS (SELECT *, weight + CASE WHEN row_number() OVER (ORDER BY correlation DESC,
 h AS (SELECT return_1w, round(coalesce(module_a, 0) / 50 * 50 + coalesce(module_c, 0) / 30 * 30 + coalesce(module_d, 0) / 20 * 20, 2) AS base,
   round(coalesce(module_a, 0) / 50 * (SELECT trial FROM t WHERE module = 'module_a') + coalesce(module_c, 0) / 30 * (SELECT trial FROM t WHERE module = 'module_c') + coalesce(module_d, 0) / 20 * (SELECT trial FROM t WHERE module = 'module_d'), 2) AS tilted FROM held),
 k AS (SELECT {RANKED.format(k='1', c='base')} AS rb, {RANKED.format(k='1', c='tilted')} AS rt, {RANKED.format(k='1', c='return_1w')} AS ry FROM h), z AS (SELECT round(corr(rt, ry), 6) < round(corr(rb, ry), 6) - 0.05 AS worse FROM k)
-SELECT module, correlation, CASE WHEN worse THEN weight ELSE trial END AS weight, CASE WHEN worse THEN 'REJECTED' ELSE 'PROPOSED' END AS status FROM t, z""")
+SELECT module, correlation, CAST(CASE WHEN worse THEN weight ELSE trial END AS DOUBLE) AS weight, CASE WHEN worse THEN 'REJECTED' ELSE 'PROPOSED' END AS status FROM t, z""")
 def r19_proposal(spark, sf_dir):
     """Weights and status of the tilt, as held against the last vintage."""
     made = calibrate.tilted(backtest(spark, sf_dir).withColumn("year", stats.vintage(F.col("stamp"))), "evaluation_id", WEIGHTS, "return_1w", "year")

@@ -135,7 +135,7 @@ def d1_iso_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", returns.iso_date(stamp).alias("day"), returns.has_offset(stamp).alias("has_offset"))
 
 
-@query("m7_factors", """SELECT p_partkey, CASE WHEN p_partkey % 3 <> 1 AND p_partkey % 2 = 0 THEN CASE p_partkey % 3 WHEN 0 THEN 0.5 ELSE 2.0 END ELSE CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 3.0 END END AS factor, CASE WHEN p_size > 10 THEN floor((p_retailprice - (p_size - 10)) / (p_size - 10) * 100 * 1e4 + 0.5) / 1e4 END AS secondary_return, CASE WHEN p_size <> 10 THEN floor((p_retailprice - (p_size - 10)) * 100 / (p_size - 10) * 1e4 + 0.5) / 1e4 END AS premium FROM part""")
+@query("m7_factors", """SELECT p_partkey, CAST(CASE WHEN p_partkey % 3 <> 1 AND p_partkey % 2 = 0 THEN CASE p_partkey % 3 WHEN 0 THEN 0.5 ELSE 2.0 END ELSE CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 3.0 END END AS DOUBLE) AS factor, CASE WHEN p_size > 10 THEN floor((p_retailprice - (p_size - 10)) / (p_size - 10) * 100 * 1e4 + 0.5) / 1e4 END AS secondary_return, CASE WHEN p_size <> 10 THEN floor((p_retailprice - (p_size - 10)) * 100 / (p_size - 10) * 1e4 + 0.5) / 1e4 END AS premium FROM part""")
 def m7_factors(spark, sf_dir):
     """Factors of a record and of the caller; returns from an opening price, and premiums over a median, of which some are 0."""
     k, start = F.col("p_partkey"), (F.col("p_size") - 10).cast("double")

@@ -185,7 +185,7 @@ def r27_records(spark, sf_dir):
     return workflow.projected(rows, {"result": ["status"], "identity": ["key", "customer"]}).select("o_orderkey", "integrity")
 
 
-@query("s6_full_records", """WITH l AS (SELECT l_orderkey, count(*) AS lines, sum(CAST(l_quantity AS BIGINT)) AS quantity FROM lineitem GROUP BY 1) SELECT o_orderkey AS evaluation_id, lines AS evidence_lines, quantity AS evidence_quantity, event_type AS market_kind FROM orders LEFT JOIN l ON l_orderkey = o_orderkey LEFT JOIN events ON event_id = o_orderkey""")
+@query("s6_full_records", """WITH l AS (SELECT l_orderkey, count(*) AS lines, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY 1) SELECT o_orderkey AS evaluation_id, lines AS evidence_lines, quantity AS evidence_quantity, event_type AS market_kind FROM orders LEFT JOIN l ON l_orderkey = o_orderkey LEFT JOIN events ON event_id = o_orderkey""")
 def s6_full_records(spark, sf_dir):
     e = evaluations(spark, sf_dir).select("evaluation_id")
     evidence = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("evaluation_id")).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
@@ -216,7 +216,7 @@ def o5_activity(spark, sf_dir):
     return versions.page(table(spark, sf_dir, "events"), [F.desc("ts"), F.desc("event_id")], 1, 50).select("event_id", "event_type")
 
 
-@query("s9_subscriptions", "SELECT c_custkey, c_custkey / 100.0 AS qib_x, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END AS nii_x, 2.5 AS overall_x FROM (SELECT c_custkey, abs(c_acctbal) AS c_acctbal FROM customer)")
+@query("s9_subscriptions", "SELECT c_custkey, c_custkey / 100.0 AS qib_x, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END AS nii_x, CAST(2.5 AS DOUBLE) AS overall_x FROM (SELECT c_custkey, abs(c_acctbal) AS c_acctbal FROM customer)")
 def s9_subscriptions(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     payload = F.to_json(F.struct((F.col("c_custkey") / 100).cast("string").alias("qib"), F.when(F.col("c_custkey") % 3 == 0, F.abs("c_acctbal")).alias("nii"), F.lit("2.5").alias("total")))
