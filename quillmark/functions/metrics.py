@@ -340,7 +340,7 @@ def _spike():
     return F.when((F.size(margins) >= 3) & all_known(margins), F.exists(last, lambda d: d * 100 > 500))
 
 
-REGISTRY["receivable_days_yoy_pct"] = lambda: (F.when(at("receivable_days", 2) != 0, (at("receivable_days") / at("receivable_days", 2) - 1) * 100.0), at("receivable_days", 2) == 0)
+REGISTRY["receivable_days_yoy_pct"] = lambda: (F.when(at("receivable_days", 2) != 0, (at("receivable_days") / at("receivable_days", 2) - 1) * 100.0), at("receivable_days").isNotNull() & (at("receivable_days", 2) == 0))
 
 
 @metric("cfo_exempt")
