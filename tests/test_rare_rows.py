@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import duckdb
+from test_functions import derive
 from test_queries import plain
 
 from quillmark.plans.all import registry
@@ -35,3 +36,13 @@ def issuers(spark):
 def test_states_of_untold_receivable_days(spark, tmp_path):
     rows = agree(spark, tmp_path, "metrics_all_states", **issuers(spark))
     assert {r["state"]: r["n"] for r in rows if r["metric_id"] == "receivable_days_yoy_pct"} == {"NOT_APPLICABLE": 1, "UNKNOWN": 2}
+
+
+def test_growth_of_untold_receivable_days(spark, tmp_path):
+    rows = agree(spark, tmp_path, "metrics_growth", **issuers(spark))
+    assert {r["ipo_id"]: r["receivable_days_yoy_pct_state"] for r in rows} == {289: "UNKNOWN", 27: "NOT_APPLICABLE", 3: "UNKNOWN"}
+
+
+def test_percentages_of_receivable_days_need_both_years(spark):
+    state = lambda *days: derive(spark, ["receivable_days_yoy_pct"], years=[{"receivable_days": d} for d in days])["receivable_days_yoy_pct"][0]
+    assert [state(0.0, None), state(None, 0.0), state(0.0, 5.0), state(5.0, 0.0), state(0.0)] == ["UNKNOWN", "UNKNOWN", "NOT_APPLICABLE", "VALUE", "UNKNOWN"]
