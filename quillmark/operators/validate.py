@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.functions import metrics
+
 
 def disagreeing(rows: DataFrame, primary: str, other: str, percent: float) -> DataFrame:
     """Rows whose two values differ by more than `percent` of the first, with gap_pct; a first value of 0 is passed over."""
@@ -31,7 +33,7 @@ def apart(a: Column, b: Column, percent: float) -> Column:
 
 def issue_rules() -> dict[str, tuple[str, Column]]:
     """Checks of an issue (columns as in `quillmark.functions.metrics`). Tolerances are fixed values."""
-    p = F.filter("periods", lambda x: ~F.coalesce(x["is_stub"], F.lit(False)))
+    p = metrics.full_years()
     some = lambda test: F.exists(p, lambda x: F.coalesce(test(x), F.lit(False)))
     sold = F.exists("sellers", lambda s: F.coalesce(s["shares_sold"] > s["pre_issue_shares"], F.lit(False)))
     share = lambda kinds: F.aggregate(F.filter("proceeds", lambda x: x["category"].isin(kinds)), F.lit(0.0), lambda a, x: a + F.coalesce(x["amount"], F.lit(0.0))) / F.col("fresh_issue") * 100
@@ -43,7 +45,7 @@ def issue_rules() -> dict[str, tuple[str, Column]]:
         "PROFIT_BEFORE_TAX": ("WARNING", some(lambda x: apart(x["pbt"] - x["tax"], x["pat"], 1.0))),
         "OPERATING_PROFIT": ("WARNING", some(lambda x: apart(x["ebit"] + x["depreciation"], x["ebitda"], 2.0))),
         "SHARE_COUNT": ("ERROR", apart(F.col("pre_issue_shares") + F.col("fresh_shares"), F.col("post_issue_shares"), 0.5)),
-        "EARNINGS_PER_SHARE": ("WARNING", apart(F.element_at(p, -1)["pat"] * 1e7 / F.col("post_issue_shares"), F.col("post_issue_eps"), 10.0)),
+        "EARNINGS_PER_SHARE": ("WARNING", apart(metrics.at("pat") * 1e7 / F.col("post_issue_shares"), F.col("post_issue_eps"), 10.0)),
         "OVERSOLD": ("ERROR", sold),
         "PERCENT_RANGE": ("ERROR", reduce(lambda a, b: a | b, [F.coalesce((c < 0) | (c > 100), F.lit(False)) for c in percents])),
         "GCP_LIMIT": ("ERROR", share(["gcp"]) > 25),
