@@ -20,6 +20,8 @@ def workbook_rows(spark, sf_dir):
     named = lambda p: F.concat(F.lit(p), n)
     horizon = F.element_at(F.array(F.lit("1W"), F.lit("1M"), F.lit("6M")), F.col("l_linenumber"))
     ordered = lambda s: F.array_sort(F.collect_list(s))
+    # Lines of one number and part come as they are stored; how rows are read and shuffled may differ from run to run.
+    stored = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
     arrays = li.groupBy(F.col("l_orderkey").alias("k")).agg(
         ordered(F.struct(named("c").alias("criterion"), F.when(F.col("l_returnflag") == "R", "UNKNOWN").otherwise("SCORED").alias("state"), F.col("l_quantity").alias("points"))).alias("criteria"),
         ordered(F.struct(named("k").alias("id"), F.when(F.col("l_linestatus") == "O", "UNVERIFIED").otherwise("CLEAR").alias("status"))).alias("knockouts"),
@@ -27,12 +29,11 @@ def workbook_rows(spark, sf_dir):
         ordered(F.struct(F.concat(F.lit("p"), "l_partkey").alias("name"), F.when(F.col("l_tax") == 0, "STALE").otherwise("VALID").alias("status"))).alias("peers"),
         ordered(F.struct(named("b").alias("block"), F.when(F.col("l_quantity") < 5, "STALE").otherwise("FRESH").alias("status"))).alias("blocks"),
         ordered(F.struct(F.col("l_suppkey").alias("source_id"), named("path.").alias("path"))).alias("evidence"),
-        F.collect_list(F.when(F.col("l_linenumber") <= 3, F.struct(horizon.alias("horizon"), F.when(F.col("l_discount") > 0.03, F.col("l_discount")).alias("listing_gain"), F.col("l_tax").alias("absolute_return"), (F.col("l_discount") - 0.02).alias("benchmark_return"), F.col("l_linenumber").alias("at"), F.col("l_partkey").alias("p")))).alias("observations"),
+        ordered(F.when(F.col("l_linenumber") <= 3, F.struct(F.col("l_linenumber").alias("at"), F.col("l_partkey").alias("p"), *stored, horizon.alias("horizon"), F.when(F.col("l_discount") > 0.03, F.col("l_discount")).alias("listing_gain"), F.col("l_tax").alias("absolute_return"), (F.col("l_discount") - 0.02).alias("benchmark_return")))).alias("observations"),
     )
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ipo_id"), F.concat(F.lit("company"), "o_custkey").alias("company_name"), F.col("o_orderkey").alias("evaluation_id"), F.col("o_orderdate").alias("evaluated_at"), F.when(F.col("o_orderstatus") == "F", "FINAL").otherwise("PRELIMINARY").alias("mode"), F.col("o_orderpriority").alias("config_version"), F.col("o_totalprice").alias("final_score"), F.col("o_orderpriority").alias("verdict"))
-    by_place = lambda a, b: F.when(F.struct(a["at"], a["p"]) < F.struct(b["at"], b["p"]), -1).otherwise(1)
     module = F.struct(F.lit("A").alias("module"), F.col("criteria").alias("criteria"))
-    return o.join(arrays, F.col("evaluation_id") == F.col("k")).drop("k").withColumns({"modules": F.array(module), "observations": F.array_sort("observations", by_place)})
+    return o.join(arrays, F.col("evaluation_id") == F.col("k")).drop("k").withColumn("modules", F.array(module))
 
 
 SHEET = "FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
