@@ -111,7 +111,9 @@ def issuers(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = o.groupBy(F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("fy")).agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double") / 100).alias("r"), F.count(F.lit(1)).alias("n"))
     y = y.withColumn("u", F.expr("(k * 31 + fy * 17 + n * 7) % 1000"))
     period = F.struct(F.col("fy").cast("string").alias("fy"), F.lit(False).alias("is_stub"), *[F.expr(PERIOD.get(f, "NULL")).cast("double").alias(f) for f in metrics.PERIOD_FIELDS])
-    years = y.groupBy("k").agg(F.array_sort(F.collect_list(period)).alias("periods"))
+    ordered = F.array_sort(F.collect_list(period))
+    # The year of orders without a date is the last, as in SQL.
+    years = y.groupBy("k").agg(F.concat(F.filter(ordered, lambda p: p["fy"].isNotNull()), F.filter(ordered, lambda p: p["fy"].isNull())).alias("periods"))
     facts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).withColumn("h", F.expr("(k * 7919 + 13) % 1009"))
 
     def listed(count: str, fields: dict[str, str]) -> str:

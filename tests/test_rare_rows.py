@@ -47,6 +47,12 @@ def test_growth_of_untold_receivable_days(spark, tmp_path):
     assert {r["ipo_id"]: r["receivable_days_yoy_pct_state"] for r in rows} == {289: "UNKNOWN", 27: "NOT_APPLICABLE", 3: "UNKNOWN"}
 
 
+def test_growth_of_orders_without_a_date(spark, tmp_path):
+    orders = [(y, 27, datetime(y, 5, 1) if y > 1992 else None, 1000.0 * y, "F", "LOW") for y in range(1992, 1999)]
+    rows = agree(spark, tmp_path, "metrics_growth", orders=[spark.createDataFrame(orders, ORDERS)], customer=[spark.createDataFrame([(27,)], "c_custkey long")])
+    assert [(r["pat_latest"], r["net_worth_latest"], r["receivable_days_yoy_pct_state"]) for r in rows] == [(None, None, "UNKNOWN")]
+
+
 def test_percentages_of_receivable_days_need_both_years(spark):
     state = lambda *days: derive(spark, ["receivable_days_yoy_pct"], years=[{"receivable_days": d} for d in days])["receivable_days_yoy_pct"][0]
     assert [state(0.0, None), state(None, 0.0), state(0.0, 5.0), state(5.0, 0.0), state(0.0)] == ["UNKNOWN", "UNKNOWN", "NOT_APPLICABLE", "VALUE", "UNKNOWN"]
