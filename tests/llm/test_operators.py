@@ -137,6 +137,13 @@ def test_secrets_on_odd_rows(odd, none):
     assert cleaned[5] == "[SECRET]" and cleaned[1] is None and cleaned[2] == "" and cleaned[7] == "Ünïcödé «tëxt» 漢字 😀"
 
 
+def test_rare_characters_are_sought_in_unusual_texts_only(monkeypatch):
+    codec = bpe.codec(bpe.vocabulary_path())
+    assert not [c for c in map(chr, range(0x110000)) if bpe.RARE.search(c) and not bpe.UNUSUAL.search(c)]
+    monkeypatch.setattr(bpe, "RARE", None)
+    assert codec.vocabulary.split("Éclair über") == ["éclair", "über"]
+
+
 def test_redaction_of_overlaps(spark):
     df = table(spark, [(1, 'a token = "0123456789abcdef0123" b 0123456789abcdef c')])
     out = secrets.redact(df, secrets.train(df), out="redacted").first()["redacted"]
