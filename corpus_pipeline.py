@@ -52,11 +52,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null texts stay null, repeated rows stay equal, texts of any length are read
     as a whole. An empty table gives an empty one; further columns stay.
     """
-    out = fresh(docs, "__redacted")
-    found = secrets.redact(docs, secrets.train(secrets.sampled(docs, 4000)), out=out)
-    changed = ~F.col(out).eqNullSafe(F.col("text"))
-    told = F.when(changed, F.length(F.col(out)).cast("long")).otherwise(F.col("n_chars"))
-    own = {"text": F.col(out), "n_chars": told}
+    changed = fresh(docs, "__changed")
+    # The redacted text takes the place of the text, so that workers hold one of them.
+    found = secrets.redact(docs, secrets.train(secrets.sampled(docs, 4000)), out="text", changed=changed)
+    own = {"n_chars": F.when(F.col(changed), F.length("text").cast("long")).otherwise(F.col("n_chars"))}
     return found.select(*[own[c].alias(c) if c in own else F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -68,9 +67,8 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     outputs = ("text", "n_tokens", "token_ids", "decoded_sha256")
     kept = [c for c in docs.columns if c.lower() not in outputs]
-    decoded = fresh(docs, "__decoded")
-    made = bpe.encode(docs.select(*[F.col(f"`{c}`") for c in kept], "text"), decoded=decoded)
-    return made.select(*[F.col(f"`{c}`") for c in kept], bpe.n_tokens(F.col("token_ids")).alias("n_tokens"), "token_ids", F.sha2(decoded, 256).alias("decoded_sha256"))
+    made = bpe.encode(docs.select(*[F.col(f"`{c}`") for c in kept], "text"), decoded="text")
+    return made.select(*[F.col(f"`{c}`") for c in kept], bpe.n_tokens(F.col("token_ids")).alias("n_tokens"), "token_ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -100,16 +100,19 @@ def map_texts(
     names = {f.name.lower() for f in outputs}
     source = fresh(df, "__source_text")
     kept = [c for c in df.columns if c.lower() not in names]
-    given = df.select(F.col(f"`{text}`").cast("string").alias(source), *[F.col(f"`{c}`") for c in kept])
     schema = T.StructType([*[df.schema[c] for c in kept], *outputs])
+    # A text that is kept goes to the worker once.
+    own = [i for i, c in enumerate(kept) if c.lower() == text.lower() and df.schema[c].dataType == T.StringType()]
+    at = own[0] if len(own) == 1 else len(kept)
+    given = df.select(*[F.col(f"`{c}`") for c in kept], *([] if len(own) == 1 else [F.col(f"`{text}`").cast("string").alias(source)]))
 
     def run(batches):
         apply = make()
         for batch in batches:
-            for block in blocks(batch, 0):
-                texts = [x or "" for x in block.column(0).to_pylist()]
+            for block in blocks(batch, at):
+                texts = [x or "" for x in block.column(at).to_pylist()]
                 made = [a if isinstance(a, pa.Array) else pa.array(a) for a in apply(texts)]
-                yield pa.RecordBatch.from_arrays([*block.columns[1:], *made], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*block.columns[: len(kept)], *made], names=schema.names)
         give_back()
 
     return given.mapInArrow(run, schema)

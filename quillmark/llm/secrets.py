@@ -222,15 +222,24 @@ def hidden(text: str, found: list[tuple], mark: str) -> str:
     return "".join([*parts, text[at:]])
 
 
-def redact(df: DataFrame, model: Model, text: str = "text", out: str = "redacted_text", mark: str = "[SECRET]") -> DataFrame:
-    """`df` with each whole text, its secrets replaced by `mark`; null for null, the text itself if it has none. Otherwise as `find`."""
-    was = fresh(df, "__given")
+def redact(df: DataFrame, model: Model, text: str = "text", out: str = "redacted_text", mark: str = "[SECRET]", changed: str | None = None) -> DataFrame:
+    """`df` with each whole text, its secrets replaced by `mark`; null for null, the text itself if it has none. Otherwise as `find`.
+
+    changed: the name of a column that tells whether a text is another than before, if one is wanted.
+    """
+    told = fresh(df, "__told")
+    outputs = [T.StructField(out, T.StringType()), *([T.StructField(changed, T.BooleanType())] if changed else [])]
 
     def apply(texts: list[str]) -> list[pa.Array]:
-        return [pa.array([hidden(t, spans(t, model), mark) for t in texts], pa.string())]
+        made = [hidden(t, spans(t, model), mark) for t in texts]
+        return [pa.array(made, pa.string()), *([pa.array([a != b for a, b in zip(made, texts, strict=True)], pa.bool_())] if changed else [])]
+
+    def make():
+        remember_alone("secrets", lambda: None)
+        return apply
 
-    made = map_texts(df.withColumn(was, F.col(f"`{text}`").cast("string")), lambda: apply, [T.StructField(out, T.StringType())], was)
-    return made.withColumn(out, F.when(F.col(was).isNotNull(), F.col(out))).drop(was)
+    made = map_texts(df.withColumn(told, F.col(f"`{text}`").cast("string").isNotNull()), make, outputs, text)
+    return made.withColumn(out, F.when(F.col(told), F.col(out))).drop(told)
 
 
 def joined(spans: Column) -> Column:

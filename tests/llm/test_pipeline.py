@@ -111,3 +111,13 @@ def test_run(spark, docs):
     assert 0 < out.count() <= docs.count()
     assert out.where("n_tokens * 4 <> octet_length(token_ids)").count() == 0
     assert out.groupBy("doc_id").count().where("count > 1").count() == 0
+
+
+def test_stages_send_each_text_to_workers_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    for stage in (pipeline.drop_toxic, pipeline.redact_secrets, pipeline.encode_tokens):
+        plan = stage(spark, docs, SF)._jdf.queryExecution().optimizedPlan()
+        while plan.nodeName() != "MapInArrow":
+            plan = plan.children().head()
+        given = plan.children().head().output()
+        assert len([i for i in range(given.size()) if given.apply(i).name() in {"text", "__source_text", "__given"}]) == 1, stage.__name__
